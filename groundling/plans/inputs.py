@@ -33,9 +33,15 @@ ARTICLE = " || ".join(
     ]
 )
 _QUOTE = f"substr({_T}, cast(1 + doc_id % 50 as int), 40)"
+
+
+def _upper(expr: str) -> str:
+    return f"translate({expr}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+
 _RECORDS = {
     "c1": f"{_QUOTE} || case when doc_id % 7 = 1 then ' 42%' else '' end",
-    "q1": f"case when doc_id % 9 = 4 then 'invented words that no source has' when doc_id % 11 = 5 then 'tiny' when doc_id % 13 = 6 then '' when doc_id % 5 = 2 then upper({_QUOTE}) else {_QUOTE} end",
+    "q1": f"case when doc_id % 9 = 4 then 'invented words that no source has' when doc_id % 11 = 5 then 'tiny' when doc_id % 13 = 6 then '' when doc_id % 5 = 2 then {_upper(_QUOTE)} else {_QUOTE} end",
     "t1": "case doc_id % 8 when 0 then 'metric' when 1 then 'Result ' when 2 then 'opinion' else 'method' end",
     "s1": "case doc_id % 6 when 0 then 'hedged' when 1 then 'Certain' when 2 then '' else 'demonstrated' end",
     "c2": f"'Fact: ' || substr({_T}, 5, 60)",
@@ -53,7 +59,7 @@ EXTRACTION = (
     + " || "
     + _block(f"({_RECORDS['c2']})", f"({_RECORDS['q2']})", "'result'", "'speculation-or-future-work'")
     + " || case when doc_id % 4 = 1 then "
-    + _block(f"upper({_RECORDS['c2']})", f"({_RECORDS['q2']})", "'result'", "'hedged'")
+    + _block(_upper(_RECORDS["c2"]), f"({_RECORDS['q2']})", "'result'", "'hedged'")
     + " else '' end end"
 )
 CLAIMS = {
