@@ -11,10 +11,10 @@ arrival (early termination), so a document costs about its shingles plus
 
 Copies are one class (MD5 of the text). Class representatives meet in the
 buckets of ``bands`` bands. No pairs of a bucket are emitted: each bucket
-compares its members with one leader, verified links join components, and only
-buckets that still hold more than one component go on to the next leader;
-after ``ROUNDS`` rounds the members of those that remain are joined exactly, on
-the rarest shingles of each (prefix filter). A link is an exact probability
+compares its members with one leader, the member that meets most others, and
+verified links join components. Members of buckets that still hold more than
+one component are then joined exactly, on the rarest shingles of each (prefix
+and position filter) and across components only. A link is an exact probability
 Jaccard, or plain Jaccard of the shingle sets, of the threshold or more.
 """
 
@@ -34,7 +34,7 @@ from groundling.session import discard, materialise
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 25, 5
-ROUNDS = 3
+ROUNDS = 1
 LEADERS = 3
 FILTER_BITS = 1 << 24
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -202,20 +202,19 @@ def components(edges: DataFrame) -> DataFrame:
         return out.where("a != b").distinct()
 
     current = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
     while True:
         after = materialise(star(star(current, True), False), "edges")
         discard(current)
-        now = tuple(after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         current = after
-        if now == mark:
+        # done when every node has one edge, to a node that has none
+        parents = current.groupBy("a").agg(F.count("*").alias("n"))
+        if parents.where("n > 1").isEmpty() and parents.join(current.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             break
-        mark = now
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
 def rare_prefix_pairs(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of ``nodes`` that may reach a plain Jaccard of the threshold: their rarest shingles meet."""
+    """Pairs (a, b) of ``nodes`` (node, component) of different components that may reach a plain Jaccard of the threshold: their rarest shingles meet."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,12 +222,20 @@ def rare_prefix_pairs(nodes: DataFrame, sets: DataFrame, threshold: float) -> Da
                 hashes = np.frombuffer(blob, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([node] * len(hashes), pa.binary()), pa.array(np.full(len(hashes), len(hashes), np.int64)), pa.array(hashes)], ["node", "n", "shingle"])
 
-    rows = sets.join(nodes, "node", "left_semi").mapInArrow(spread, "node binary, n long, shingle long")
+    rows = sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(spread, "node binary, n long, shingle long")
     seen = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    placed = rows.join(seen, "shingle", "left").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "shingle")))
-    prefix = placed.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & F.col("df").isNotNull()).select("node", "shingle", "n")
-    other = prefix.select(F.col("node").alias("b"), "shingle", F.col("n").alias("nb"))
-    met = prefix.join(other, "shingle").where("node < b").where(F.least("n", "nb") >= F.greatest("n", "nb") * threshold - 1e-9)
+    own = Window.partitionBy("node")
+    placed = rows.join(seen, "shingle", "left").withColumn("place", F.row_number().over(own.orderBy(F.coalesce("df", F.lit(1)), "shingle"))).withColumn("common", F.count("df").over(own))
+    # a node whose shared shingles are too few for the threshold has no partner; the others meet in their rarest
+    able = placed.where((F.col("common") >= F.col("n") * threshold - 1e-9) & F.col("df").isNotNull())
+    prefix = able.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("node", "shingle", "n", "place").join(nodes, "node")
+    # a shingle that only one component has joins nothing new
+    across = prefix.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("shingle")
+    prefix = materialise(prefix.join(across, "shingle"), "prefix")
+    other = prefix.select(F.col("node").alias("b"), "shingle", F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
+    # from the first common shingle on, no more than the shorter rest can be common
+    enough = 1 + F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb")) >= (F.col("n") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
+    met = prefix.join(other, "shingle").where("node < b and component != cb").where(enough)
     return met.select(F.col("node").alias("a"), "b").distinct()
 
 
@@ -247,28 +254,31 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     worded = sketched.where("keys is not null")
     classes = worded.groupBy(F.col("class").alias("node")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("keys").alias("keys"))
     classes = materialise(classes, "classes")
-    hash_of = F.xxhash64("node", F.pmod("key", F.lit(LEADERS)))
     buckets = classes.select("node", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(buckets.join(shared, "key"), "members")
     wanted = members.select("node").distinct().join(classes.select("node", "rep"), "node").where("rep is not null")
     sets = materialise(shingle_sets(docs, wanted), "sets")
     links, group = None, None
     for turn in range(ROUNDS + 1):
         placed = members.withColumn("component", F.col("node")) if group is None else members.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        leads = placed.groupBy("key").agg(F.min(F.struct(hash_of.alias("h"), "node", "component")).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+        # the leader is the member that meets most others in all its buckets: a family's base rather than one of its variants
+        degrees = placed.groupBy("node").agg(F.sum("n").alias("degree"))
+        rank = F.struct(-F.col("degree"), F.xxhash64("node", F.pmod("key", F.lit(LEADERS))), "node", "component")
+        leads = placed.join(degrees, "node").groupBy("key").agg(F.min(rank).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
         leads = leads.select("key", F.col("lead.node").alias("leader"), F.col("lead.component").alias("own"))
         met = materialise(placed.join(leads, "key").where("node != leader"), "met")
         if met.isEmpty():
             break
         if turn == ROUNDS:
-            pairs = rare_prefix_pairs(met.select("node").union(met.select("leader")).distinct(), sets, threshold)
+            rest = met.select("node", "component").union(met.select("leader", "own")).distinct()
+            pairs = rare_prefix_pairs(rest, sets, threshold)
         else:
             pairs = met.where("component != own").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         found = materialise(verified(pairs, sets, threshold), "links")
         links = found if links is None else links.unionByName(found)
         group = materialise(components(links), "groups")
-        members = met.select("key", "node")
+        members = met.select("key", "node", "n")
     if group is None:
         grouped = classes.select("node", "rep", "copies", F.col("rep").alias("group_id"))
     else:

@@ -101,7 +101,7 @@ def test_rare_prefix_finds_every_link(spark):
     sk = nd.sketches(docs, nd.BANDS, nd.BAND_ROWS).where("keys is not null")
     classes = sk.groupBy(sk["class"].alias("node")).agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "rep")
     sets = nd.shingle_sets(docs, classes)
-    pairs = nd.verified(nd.rare_prefix_pairs(classes.select("node"), sets, 0.8), sets, 0.8)
+    pairs = nd.verified(nd.rare_prefix_pairs(classes.select("node", classes["node"].alias("component")), sets, 0.8), sets, 0.8)
     names = {bytes(r["node"]): r["rep"] for r in classes.collect()}
     got = {tuple(sorted((names[bytes(r["a"])], names[bytes(r["b"])]))) for r in pairs.collect()}
     reps = sorted(names.values())
