@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from groundling.operators import claims, faithfulness, normalise, rules, sections
+
+_MODULES = [normalise, sections, claims, rules, faithfulness]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
