@@ -122,8 +122,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, labels: DataFrame | None = No
 
     ``rules`` has rule_host, rule_path and rule_verdict. ``labels`` (page_id,
     label: block or allow) are what the mined rules learn from; without it,
-    labels are the written rules' verdicts and, elsewhere, block for a host
-    with a seed term and allow for others. One row per input row: page_id,
+    they learn on the URLs that no written rule decides, of which those of a
+    host with a seed term are labelled block and the others allow. One row per input row: page_id,
     host, path, rule, verdict, mined, confidence. A written rule decides;
     else the surest mined rule; else ``default``. A null URL, or one without
     ``://``, has empty host and path and gets the default. Of two written
@@ -135,7 +135,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, labels: DataFrame | None = No
     judged = materialise(apply_rules(parsed, rules), "urls")
     if labels is None:
         seeded = F.arrays_overlap("tokens", F.array(*(F.lit(f"w:{t}") for t in SEED_TERMS)))
-        labelled = judged.withColumn("label", F.coalesce("rule_verdict", F.when(seeded, F.lit("block")).otherwise(F.lit("allow"))))
+        labelled = judged.where("rule is null").withColumn("label", F.when(seeded, F.lit("block")).otherwise(F.lit("allow")))
     else:
         kept = labels.where("page_id is not null and label in ('block', 'allow')").groupBy(F.col("page_id").cast("long").alias("labelled_id")).agg(F.max("label").alias("label"))
         labelled = judged.join(kept, judged["page_id"].cast("long") == kept["labelled_id"])
