@@ -203,6 +203,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = CONTAINM
     return exact.select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
+    """Rows of ``docs`` that contain no test item; rows without a doc_id stay."""
+    found = decontaminate(docs, items, threshold).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(found, docs["doc_id"].cast("long") == F.col("_leak"), "left_anti")
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -212,11 +218,11 @@ ORACLE_SQL = {
     "op2_benchmark_decontamination": r"""
 with i as (select distinct item_id, text from benchmark where text is not null and item_id is not null),
 iw as (select item_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') w from i),
-ish as (select item_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), k -> array_to_string(w[k:k+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) s from iw),
+ish as (select item_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) s from iw),
 items as (select distinct item_id, s from ish),
 sizes as (select item_id, count(*) n_shingles from items group by item_id),
 dw as (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') w from documents where text is not null and doc_id is not null),
-dsh as (select doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), k -> array_to_string(w[k:k+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) s from dw),
+dsh as (select doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) s from dw),
 shared as (select d.doc_id, x.item_id, count(distinct x.s) n_shared from dsh d join items x using (s) group by all)
 select doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles as containment from shared join sizes using (item_id) where n_shared >= 0.8 * n_shingles
 """,

@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groundling.llm import textkernel as tk
 from groundling.llm.docstats import fold
@@ -162,24 +163,36 @@ def language_id(docs: DataFrame, profiles: Profiles, penalty: float = 2.0) -> Da
     shipped = docs.sparkSession.sparkContext.broadcast(profiles)  # languages x BUCKETS floats at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shipped.value
         for part in tk.slices(batches, "text", _SLICE):
-            text = part.column("text")
-            judged = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            names, scores, sets = np.full(part.num_rows, UNDETERMINED, object), np.zeros(part.num_rows), np.full(part.num_rows, "", object)
-            if known.languages:
-                loglik, first = word_likelihoods(known, text)
-                share, chosen = mixtures(loglik, first, penalty)
-                order = np.argsort(-share, axis=1, kind="stable")
-                for row in np.flatnonzero(judged):
-                    names[row] = known.languages[order[row, 0]]
-                    scores[row] = min(1.0, share[row, order[row, 0]])
-                    sets[row] = ",".join(known.languages[k] for k in order[row] if chosen[row, k])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores), pa.array(sets, pa.string())], ["doc_id", "lang_pred", "score", "languages"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *judge(shipped.value, part.column("text"), penalty)], ["doc_id", "lang_pred", "score", "languages"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, languages string")
 
 
+def judge(known: Profiles, text: pa.Array, penalty: float) -> list[pa.Array]:
+    """Predicted language, its share and the selected languages of each text."""
+    n = len(text)
+    judged = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    names, scores, sets = np.full(n, UNDETERMINED, object), np.zeros(n), np.full(n, "", object)
+    if known.languages:
+        loglik, first = word_likelihoods(known, text)
+        share, chosen = mixtures(loglik, first, penalty)
+        order = np.argsort(-share, axis=1, kind="stable")
+        for row in np.flatnonzero(judged):
+            names[row] = known.languages[order[row, 0]]
+            scores[row] = min(1.0, share[row, order[row, 0]])
+            sets[row] = ",".join(known.languages[k] for k in order[row] if chosen[row, k])
+    return [pa.array(names, pa.string()), pa.array(scores), pa.array(sets, pa.string())]
+
+
+def keep_known_language(docs: DataFrame, profiles: Profiles, least_share: float = 0.3, penalty: float = 2.0) -> DataFrame:
+    """Rows of ``docs`` whose text has a language of at least ``least_share``; columns and repeated rows stay."""
+    shipped = docs.sparkSession.sparkContext.broadcast(profiles)
+    added = [("lang_pred", T.StringType()), ("share", T.DoubleType()), ("languages", T.StringType())]
+    judged = tk.annotate(docs, added, lambda text: judge(shipped.value, text, penalty), limit=_SLICE)
+    return tk.restore(judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("share") >= least_share)), docs)
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     """The rows that the query may learn from."""
     return docs.where(F.coalesce(fold(5) != 0, F.lit(True)))

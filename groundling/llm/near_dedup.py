@@ -290,6 +290,19 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     return out.select("doc_id", F.lower(F.hex("node")).alias("class_id"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
+def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """One row of each group: that of its least doc_id. Rows without a doc_id stay."""
+    groups = near_duplicates(docs, threshold)
+    gone = groups.where("doc_id is not null and doc_id != group_id").select("doc_id").distinct()
+    out = docs.join(gone.withColumnRenamed("doc_id", "_gone"), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    # a doc_id that stands on several rows of one class is one document
+    twice = groups.where("doc_id is not null and class_id is not null").groupBy("doc_id", "class_id").count().where("count > 1")
+    if not twice.isEmpty():
+        named, none = out.where("doc_id is not null"), out.where("doc_id is null")
+        out = named.dropDuplicates(["doc_id", "text"]).unionByName(none)
+    return out
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

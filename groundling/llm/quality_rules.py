@@ -20,10 +20,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from groundling.llm.docstats import document_stats, one_label
+from groundling.llm import textkernel as tk
+from groundling.llm.docstats import COUNTS, document_stats, one_label, slice_stats
 from groundling.session import materialise
 
 #: Word counts at which strata begin.
@@ -177,6 +180,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta
     return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), rule.isNull().alias("kept"), rule.alias("rule"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """Rows of ``docs`` that the rules keep; the texts are read once and carry their statistics to the filter."""
+    added = [(name, T.LongType()) for name in COUNTS]
+    counted = materialise(tk.annotate(docs, added, lambda text: list(map(pa.array, slice_stats(text).values()))), "counted")
+    ids = f"c{docs.columns.index('doc_id')}"
+    cutoffs = fit_cutoffs(counted.select(F.col(ids).cast("long").alias("doc_id"), *COUNTS), labels, alpha, delta)
+    return tk.restore(counted.where(~base_failed() & rejected_by(cutoffs).isNull()), docs)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 

@@ -10,11 +10,13 @@ follows the slice and not the batch or the table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 SLICE_BYTES = 4 << 20
 _HASH_SPAN = 1 << 18
@@ -180,3 +182,28 @@ def distinct(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
     at = np.flatnonzero(new)
     return r[at], h[at], np.diff(np.append(at, len(r)))
+
+
+def annotate(docs: DataFrame, added: list[tuple[str, T.DataType]], compute: Callable[[pa.Array], list[pa.Array]], text_col: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
+    """``docs`` with further columns that ``compute`` makes of its texts.
+
+    Rows and columns pass through as they are, so a filter on the new columns
+    needs no join back to the texts. Columns travel by place: a column of
+    ``docs`` may have any name, also one of those added.
+    """
+    names = docs.columns
+    places = [f"c{k}" for k in range(len(names))]
+    text_at = places[names.index(text_col)]
+    fields = [T.StructField(p, f.dataType, True) for p, f in zip(places, docs.schema.fields, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, text_at, limit):
+            yield pa.RecordBatch.from_arrays([*part.columns, *compute(part.column(text_at))], [*places, *(name for name, _ in added)])
+
+    out = docs.toDF(*places).mapInArrow(run, T.StructType([*fields, *(T.StructField(n, t, True) for n, t in added)]))
+    return out
+
+
+def restore(annotated: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` of what :func:`annotate` returned."""
+    return annotated.select(*(f"c{k}" for k in range(len(docs.columns)))).toDF(*docs.columns)
