@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundling.operators import claims, faithfulness, normalise, rules, sections
+from groundling.operators import claims, edits, faithfulness, normalise, repair, rules, sections
 
-_MODULES = [normalise, sections, claims, rules, faithfulness]
+_MODULES = [normalise, sections, claims, rules, faithfulness, repair, edits]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
