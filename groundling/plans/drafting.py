@@ -1,0 +1,58 @@
+"""The article pipeline as one plan: sources, sections, claims, ledger, article, verdict."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from groundling.functions import text as tx
+from groundling.operators import claims as cl
+from groundling.operators import planning, repair
+from groundling.operators.faithfulness import faithfulness
+from groundling.operators.sections import split_sections
+from groundling.plans import generate as gen
+from groundling.plans import inputs, prompts
+from groundling.session import materialise
+
+
+def draft_articles(sources: DataFrame, generators: list[gen.Generator], retries: int = 1) -> DataFrame:
+    """One article of each source (source_id, name, text).
+
+    Columns: source_id, sections, verified, dropped, article, house, errors,
+    warnings. The generated extraction output is materialised before it is
+    verified; everything else is one plan.
+    """
+    sections = split_sections(sources, "source_id", F.col("name"), tx.text("text")).select("source_id", "section", F.concat_ws(":", "source_id", "section").alias("key"), "body")
+    raw = gen.with_fallback(sections.select("key", prompts.claim_prompt(F.col("body")).alias("prompt")), "key", "extract", generators)
+    outputs = materialise(sections.join(raw.where("error = ''").select("key", F.col("text").alias("raw")), "key"), "extracted")
+    checked = cl.verify(cl.parse(outputs.select(F.struct("source_id", "section").alias("section_id"), F.col("body").alias("source"), "raw"))).select("section_id.*", "ord", *cl.FIELDS, "reason")
+    kept = cl.dedupe(checked.where("reason is null"), ["section", "ord"], within=["source_id"])
+    numbered = kept.withColumn("ord", F.col("section") * 1000 + F.col("ord")).withColumnRenamed("source_id", "ledger_id")
+    fitting = materialise(cl.budget(numbered).select(F.col("ledger_id").alias("source_id"), "ord", *cl.FIELDS), "ledger")
+    ledger = fitting.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", cl.block_text().alias("b")))), lambda x: x["b"]), "").alias("ledger"), F.count("*").alias("verified"))
+    least, most = planning.write_budget(F.coalesce("verified", F.lit(0)))
+    wanted = sources.select("source_id").join(ledger, "source_id", "left").select("source_id", prompts.writing_prompt(F.lit(""), tx.text("ledger"), least, most).alias("prompt"))
+    written = gen.write_until_valid(wanted, "source_id", generators[0], repair.normalise_article, retries)
+    facts = faithfulness(written.select(F.col("source_id").alias("article_id"), F.col("text").alias("md")), fitting.withColumnRenamed("source_id", "article_id"))
+    counts = sections.groupBy("source_id").agg(F.count("*").alias("sections"))
+    dropped = checked.groupBy("source_id").agg(F.count_if(F.col("reason").isNotNull()).alias("dropped"))
+    out = written.join(facts.withColumnRenamed("article_id", "source_id").withColumnRenamed("errors", "facts"), "source_id").join(counts, "source_id", "left").join(dropped, "source_id", "left").join(ledger.select("source_id", "verified"), "source_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("source_id", zero("sections"), zero("verified"), zero("dropped"), F.col("text").alias("article"), F.array_join("errors", "\n").alias("house"), F.array_join("facts", "\n").alias("errors"), F.array_join("warnings", "\n").alias("warnings"))
+
+
+def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = cl.render_ledger(cl.verify(cl.parse(inputs.extractions(spark, sf_dir)))).withColumnRenamed("section_id", "article_id")
+    joined = inputs.articles(spark, sf_dir).join(ledger, "article_id", "left").withColumn("ledger", tx.text("ledger"))
+    least, most = planning.write_budget(F.col("article_id") % 30)
+    md = F.col("md")
+    return joined.select("article_id", F.octet_length(prompts.claim_prompt(md)).alias("claim_bytes"), F.md5(prompts.writing_prompt(F.lit(""), F.col("ledger"), least, most)).alias("writing"), F.octet_length(prompts.continue_prompt(md)).alias("continue_bytes"), F.octet_length(prompts.review_prompt(md, md, F.col("ledger"))).alias("review_bytes"))
+
+
+def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = inputs.documents(spark, sf_dir).select(F.col("doc_id").alias("source_id"), F.format_string("doc %d", "doc_id").alias("name"), "text")
+    return draft_articles(sources, [gen.fake_generator])
+
+
+QUERIES = {"build_prompts": _prompts, "draft_articles": _drafts}
+ORACLE_SQL: dict[str, str] = {}

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundling.operators import claims, edits, faithfulness, normalise, repair, rules, sections
+from groundling.operators import claims, edits, faithfulness, metadata, normalise, planning, repair, rules, sections, streams
+from groundling.plans import drafting
 
-_MODULES = [normalise, sections, claims, rules, faithfulness, repair, edits]
+_MODULES = [normalise, sections, claims, rules, faithfulness, repair, edits, metadata, planning, streams, drafting]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1 +1 @@
-"""See the modules."""
+"""The stateless rules and the claim gate on streams."""
