@@ -12,34 +12,45 @@ from groundling.functions.text import WS
 from groundling.plans import inputs
 
 
-def over(source: Callable, key: str, value: Column, **more: Column) -> Callable[[SparkSession, str], DataFrame]:
-    """A query that projects one expression over an input."""
+def over(source: Callable, key: str, value: Callable[[], Column], **more: Callable[[], Column]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that projects one expression over an input; no Column is made before a session is there."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return source(spark, sf_dir).select(key, value.alias("value"), *(c.alias(k) for k, c in more.items()))
+        return source(spark, sf_dir).select(key, value().alias("value"), *(c().alias(k) for k, c in more.items()))
 
     return run
 
 
-_raw = tx.text("text")
-_md = tx.text("md")
+def _raw() -> Column:
+    return tx.text("text")
+
+
+def _md() -> Column:
+    return tx.text("md")
+
+
 #: Characters that some terminals and models leave in an output.
 NOISY = "concat(chr(27), '[1;31m', replace({t}, '. ', '.' || chr(13) || chr(10) || chr(10) || chr(10) || chr(10) || chr(10)), chr(27), '[0m', chr(7), chr(127), '  ')"
-_noisy = F.expr(NOISY.format(t="coalesce(text, '')"))
+
+
+def _noisy() -> Column:
+    return F.expr(NOISY.format(t="coalesce(text, '')"))
+
+
 THOUGHT = "case when doc_id % 3 = 0 then '<think>plan # a' || chr(10) || '# b</think> lead' || chr(10) when doc_id % 3 = 1 then 'preamble' || chr(10) || '  ' else '#' || chr(10) end || {t}"
 
 QUERIES = {
-    "normalise_space": over(inputs.documents, "doc_id", tx.normalise_space(_noisy)),
-    "normalise_text": over(inputs.documents, "doc_id", tx.normalise_claim(_raw)),
-    "clean_output": over(inputs.documents, "doc_id", tx.clean_output(_noisy)),
+    "normalise_space": over(inputs.documents, "doc_id", lambda: tx.normalise_space(_noisy())),
+    "normalise_text": over(inputs.documents, "doc_id", lambda: tx.normalise_claim(_raw())),
+    "clean_output": over(inputs.documents, "doc_id", lambda: tx.clean_output(_noisy())),
     "strip_thinking": lambda spark, d: inputs.documents(spark, d).select("doc_id", tx.strip_thinking(F.expr(THOUGHT.format(t=f"({inputs.ARTICLE})"))).alias("value")),
-    "strip_placeholders": over(inputs.articles, "article_id", tx.strip_placeholders(_md)),
-    "clean_text": over(inputs.articles, "article_id", tx.clean_text(_md)),
-    "truncate_word": over(inputs.documents, "doc_id", tx.truncate_word(_raw, 197), clipped=tx.clip_bytes(_raw, 500), snippet=F.left(_raw, F.lit(90))),
-    "slugify": over(inputs.documents, "doc_id", tx.slugify(F.left(_raw, F.lit(140)))),
-    "quote_yaml": over(inputs.documents, "doc_id", tx.quote_yaml(F.concat(F.left(_noisy, F.lit(300)), F.lit(' "a\\b" ')))),
-    "extract_title": over(inputs.articles, "article_id", tx.extract_title(_md)),
-    "trim_sentence": over(inputs.documents, "doc_id", tx.trim_sentence(F.left(_raw, F.lit(300)))),
+    "strip_placeholders": over(inputs.articles, "article_id", lambda: tx.strip_placeholders(_md())),
+    "clean_text": over(inputs.articles, "article_id", lambda: tx.clean_text(_md())),
+    "truncate_word": over(inputs.documents, "doc_id", lambda: tx.truncate_word(_raw(), 197), clipped=lambda: tx.clip_bytes(_raw(), 500), snippet=lambda: F.left(_raw(), F.lit(90))),
+    "slugify": over(inputs.documents, "doc_id", lambda: tx.slugify(F.left(_raw(), F.lit(140)))),
+    "quote_yaml": over(inputs.documents, "doc_id", lambda: tx.quote_yaml(F.concat(F.left(_noisy(), F.lit(300)), F.lit(' "a\\b" ')))),
+    "extract_title": over(inputs.articles, "article_id", lambda: tx.extract_title(_md())),
+    "trim_sentence": over(inputs.documents, "doc_id", lambda: tx.trim_sentence(F.left(_raw(), F.lit(300)))),
 }
 
 _NOISE_SQL = NOISY.format(t="coalesce(text, '')")

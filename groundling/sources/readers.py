@@ -54,7 +54,7 @@ def read_sources(spark: SparkSession, paths: str | list[str], limit: int = SOURC
     kind = F.lower(F.regexp_extract(name, r"\.([^.]*)\z", 1))
     sized = files.select("path", name.alias("name"), kind.alias("kind"), "length", "content")
     fits = sized.where(F.col("length") <= limit)
-    plain = fits.where(F.col("kind").isin(*TEXT_KINDS)).select("path", "name", tx.normalise_space(F.decode("content", F.lit("UTF-8"))).alias("text"), F.lit("").alias("error"))
+    plain = fits.where(F.col("kind").isin(*TEXT_KINDS)).select("path", "name", tx.normalise_space(F.decode("content", "UTF-8")).alias("text"), F.lit("").alias("error"))
     pdf = fits.where("kind = 'pdf'").select("path", "content").mapInPandas(_extract_pdf, "path string, text string, error string")
     pdf = pdf.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), tx.normalise_space(F.col("text")).alias("text"), "error")
     big = sized.where(F.col("length") > limit).select("path", "name", F.lit("").alias("text"), F.format_string(f"%s is %d bytes; the limit is {limit}", "name", "length").alias("error"))
