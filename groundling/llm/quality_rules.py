@@ -8,11 +8,13 @@ tried from the most lenient to the strictest and the search stops at the first
 that fails (fixed-sequence testing, so the sequence needs no correction); the
 confidence is divided among all rules and strata (Bonferroni). With
 probability at least ``1 - delta`` every stratum therefore loses at most
-``alpha`` of its good documents. A stratum with too few labelled documents to
+``alpha`` of its good documents. Among the proven cutoffs of a rule the most
+lenient one is taken that catches as many labelled bad documents as the
+strictest; a rule that catches none is off. A stratum with too few labelled documents to
 prove anything keeps the lenient end: the rule is off there.
 
-What the driver sees is a histogram of good documents: rules x strata x grid,
-whatever the table's size.
+What the driver sees is a histogram of labelled documents: rules x strata x
+grid, whatever the table's size.
 """
 
 from __future__ import annotations
@@ -102,25 +104,32 @@ def binomial_upper(k: int, n: int, delta: float) -> float:
     return hi
 
 
-def choose_cutoffs(rejections: dict[tuple[str, int], list[int]], totals: dict[int, int], alpha: float, delta: float, rules: tuple[Rule, ...] = RULES) -> dict[tuple[str, int], float]:
-    """The strictest proven cutoff of each rule and stratum; absent where none is proven.
+def choose_cutoffs(rejections: dict[tuple[str, int], list[int]], totals: dict[int, int], alpha: float, delta: float, caught: dict[tuple[str, int], list[int]] | None = None, rules: tuple[Rule, ...] = RULES) -> dict[tuple[str, int], float]:
+    """A proven cutoff of each rule and stratum; absent where none is proven or none is of use.
 
-    ``rejections[rule, stratum][g]`` counts good documents that grid cutoff ``g`` rejects.
+    ``rejections[rule, stratum][g]`` counts good documents that grid cutoff
+    ``g`` rejects, ``caught`` bad ones. All cutoffs up to the first failure
+    are proven at once, so any of them may be chosen: the most lenient that
+    catches what the strictest does; without bad documents, the strictest.
     """
     share, level = alpha / len(rules), delta / (len(rules) * len(STRATA))
     out = {}
     for rule in rules:
         for s, n in totals.items():
-            for cutoff, k in zip(rule.grid(), rejections.get((rule.name, s), [0] * (rule.steps + 1)), strict=True):
+            zeros = [0] * (rule.steps + 1)
+            bad = (caught or {}).get((rule.name, s))
+            best = 0
+            for g, (cutoff, k) in enumerate(zip(rule.grid(), rejections.get((rule.name, s), zeros), strict=True)):
                 if k > share * n or binomial_upper(k, n, level) > share:
                     break
-                out[rule.name, s] = cutoff
+                if bad is None or bad[g] > best:
+                    out[rule.name, s], best = cutoff, bad[g] if bad else 0
     return out
 
 
 def fit_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float, delta: float, label_col: str = "quality") -> dict[tuple[str, int], float]:
-    """Cutoffs from all labelled good documents of ``stats`` that the base rules keep."""
-    good = stats.where(~base_failed()).join(one_label(labels, label_col).where("label = 1"), "doc_id")
+    """Cutoffs from all labelled documents of ``stats`` that the base rules keep."""
+    known = stats.where(~base_failed()).join(one_label(labels, label_col).where("label in (0, 1)"), "doc_id")
     columns = []
     for rule in RULES:
         step = (rule.high - rule.low) / rule.steps
@@ -128,22 +137,24 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float, delta: float,
         offset = (F.lit(rule.high) - ratio(rule.name)) / step if rule.above else (ratio(rule.name) - rule.low) / step
         index = F.floor(offset + 1e-9) + 1
         columns.append(F.struct(F.lit(rule.name).alias("rule"), F.least(F.greatest(index, F.lit(0)), F.lit(rule.steps + 1)).cast("int").alias("g")))
-    counts = good.select(stratum().alias("s"), F.explode(F.array(*columns)).alias("x")).groupBy("s", "x.rule", "x.g").count().collect()
-    totals: dict[int, int] = {}
-    first: dict[tuple[str, int], dict[int, int]] = {}
+    counts = known.select("label", stratum().alias("s"), F.explode(F.array(*columns)).alias("x")).groupBy("label", "s", "x.rule", "x.g").count().collect()
+    first: dict[tuple[int, str, int], dict[int, int]] = {}
+    totals: dict[tuple[int, int], int] = {}
     for row in counts:
-        first.setdefault((row["rule"], row["s"]), {})[row["g"]] = row["count"]
+        first.setdefault((row["label"], row["rule"], row["s"]), {})[row["g"]] = row["count"]
         if row["rule"] == RULES[0].name:
-            totals[row["s"]] = totals.get(row["s"], 0) + row["count"]
-    rejections = {}
-    for rule in RULES:
-        for s in totals:
-            run, out = 0, []
-            for g in range(rule.steps + 1):
-                run += first.get((rule.name, s), {}).get(g, 0)
-                out.append(run)
-            rejections[rule.name, s] = out
-    return choose_cutoffs(rejections, totals, alpha, delta)
+            totals[row["label"], row["s"]] = totals.get((row["label"], row["s"]), 0) + row["count"]
+
+    def running(label: int, rule: Rule, s: int) -> list[int]:
+        out = []
+        for g in range(rule.steps + 1):
+            out.append((out[-1] if out else 0) + first.get((label, rule.name, s), {}).get(g, 0))
+        return out
+
+    good = {s: n for (label, s), n in totals.items() if label == 1}
+    rejections = {(rule.name, s): running(1, rule, s) for rule in RULES for s in good}
+    caught = {(rule.name, s): running(0, rule, s) for rule in RULES for s in good if totals.get((0, s))}
+    return choose_cutoffs(rejections, good, alpha, delta, caught)
 
 
 def base_failed() -> Column:

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from groundling.llm import textkernel as tk
 from groundling.llm.docstats import slice_stats
-from groundling.llm.quality_rules import binomial_upper, choose_cutoffs, quality_rules
+from groundling.llm.quality_rules import RULES, binomial_upper, choose_cutoffs, quality_rules
 
 import pyarrow as pa
 
@@ -59,6 +59,16 @@ def test_no_cutoff_without_proof():
     assert choose_cutoffs({}, {0: 50}, 0.05, 0.05) == {}
 
 
+def test_the_most_lenient_useful_cutoff_is_chosen():
+    rule = RULES[0]
+    grid = rule.grid()
+    good = [0] * 60 + [50] * (len(grid) - 60)
+    bad = [0] * 10 + [5] * 20 + [9] * (len(grid) - 30)
+    chosen = choose_cutoffs({(rule.name, 1): good}, {1: 10_000}, 0.05, 0.05, {(r.name, 1): bad if r is rule else [0] * (r.steps + 1) for r in RULES})
+    assert chosen == {(rule.name, 1): grid[30]}
+    assert choose_cutoffs({(rule.name, 1): good}, {1: 10_000}, 0.05, 0.05)[rule.name, 1] == grid[59 if binomial_upper(50, 10_000, 0.05 / 32) > 0.05 / 8 else -1]
+
+
 def test_edge_rows_and_verdicts(spark):
     good = [(i, " ".join(f"word{(i * 7 + k * k) % 997}" for k in range(20)), "x") for i in range(10_000)]
     bad = [(20_000 + i, " ".join(f"wo{k}r{i % 50} %%%" for k in range(20)), "x") for i in range(50)]
