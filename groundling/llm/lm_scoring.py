@@ -39,6 +39,7 @@ from groundling.session import discard, materialise
 BLOCK_BYTES = 8 << 20
 #: Keys that one partition of counts is meant to hold.
 KEYS_PER_PARTITION = 1_500_000
+BLOCKS_PER_TASK = 2
 END = tk.mix(np.array([0xE0D], np.uint64))[0]
 START = tk.mix(np.array([0x57A], np.uint64))[0]
 #: Folds of documents.
@@ -252,8 +253,8 @@ def _pack_counts(answers: list[dict], field: str, partitions: int) -> tuple[np.n
 COUNTED_BLOCK = "block long, doc_ids binary, missing binary, folds binary, counts binary, word binary, pair binary, start long, events binary"
 
 
-def attach(encoded: DataFrame, answers: DataFrame, partitions: int, totals: dict[str, tuple[int, int]]) -> DataFrame:
-    """Each block with its tokens' counts (``word``, ``pair``; ``start``: count of the start) and the events of its mixed documents."""
+def attach(encoded: DataFrame, answers: DataFrame, partitions: int, n_blocks: int, totals: dict[str, tuple[int, int]]) -> DataFrame:
+    """Each block, a few to a task, with its tokens' counts (``word``, ``pair``; ``start``: count of the start) and the events of its mixed documents."""
     n_counted = totals["counted"][0]
 
     def join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -281,7 +282,9 @@ def attach(encoded: DataFrame, answers: DataFrame, partitions: int, totals: dict
         return pa.table({n: pa.array([out[k]] if out else [], t) for k, (n, t) in enumerate(zip(names, types, strict=True))})
 
     wanted = answers.where("block >= 0")
-    return encoded.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(join, COUNTED_BLOCK)
+    tasks = max(1, -(-n_blocks // BLOCKS_PER_TASK))
+    left, right = (side.repartition(tasks, "block") for side in (encoded, wanted))
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(join, COUNTED_BLOCK)
 
 
 def lm_scores(docs: DataFrame, train_when: Column | None = None) -> DataFrame:
@@ -300,7 +303,7 @@ def lm_scores(docs: DataFrame, train_when: Column | None = None) -> DataFrame:
     part = F.when(~use, HELD_OUT).when(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0, MIXED).otherwise(COUNTED)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("part", part.cast("int"))
     encoded = materialise(blocks(source), "blocks")
-    n_tokens = encoded.agg(F.sum("n_tokens")).first()[0] or 0
+    n_tokens, n_blocks = encoded.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
     partitions = max(1, -(-n_tokens // KEYS_PER_PARTITION))
     answers = materialise(gather_counts(encoded, partitions), "answers")
     sums = answers.where("block = -1").select("every", "counted").toLocalIterator()  # one row a partition
@@ -309,7 +312,7 @@ def lm_scores(docs: DataFrame, train_when: Column | None = None) -> DataFrame:
         for name, (n, v) in totals.items():
             a, b = _values(row[name], np.uint64).tolist()
             totals[name] = (n + a, v + b)
-    counted = materialise(attach(encoded, answers, partitions, totals), "counted")
+    counted = materialise(attach(encoded, answers, partitions, n_blocks, totals), "counted")
     discard(encoded)
     discard(answers)
 
