@@ -32,10 +32,16 @@ def field(block: Column, name: str) -> Column:
     return tx.strip(tx.sub(found, rf"{line}\n{line}", "\n"))
 
 
-def parse(sections: DataFrame) -> DataFrame:
-    """Records of each section (section_id, source, raw): section_id, ord, claim, source_quote, type, strength, source."""
-    split = sections.select("section_id", "source", F.posexplode(blocks(tx.text("raw"))).alias("ord", "block"))
-    return split.select("section_id", "ord", *(tx.sub(field(F.col("block"), name), '^"+|"+\\z' if key == "source_quote" else "(?!)").alias(key) for key, name in FIELDS.items()), "source")
+def parse(sections: DataFrame, *carry: str, outer: bool = False) -> DataFrame:
+    """Records of each section (section_id, source, raw): section_id, ord, claim, source_quote, type, strength, source.
+
+    Columns named by ``carry`` come along. With ``outer`` a section without
+    blocks has one row whose ``ord`` is null.
+    """
+    spread = (F.posexplode_outer if outer else F.posexplode)(blocks(tx.text("raw"))).alias("ord", "block")
+    split = sections.select("section_id", "source", *carry, spread)
+    value = lambda key, name: field(F.col("block"), name) if key != "source_quote" else tx.sub(field(F.col("block"), name), '^"+|"+\\z')
+    return split.select("section_id", "ord", *(value(key, name).alias(key) for key, name in FIELDS.items()), "source", *carry)
 
 
 #: Words that a complete quote does not end on.
@@ -124,9 +130,10 @@ def _resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("section_id").agg(F.count_if(F.col("reason").isNull()).alias("kept"), F.count_if(F.col("reason").isNotNull()).alias("dropped"))
 
 
-def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = verify(_records(spark, sf_dir)).groupBy("section_id").agg(F.count_if(F.col("reason").isNull()).alias("kept"), F.count_if(F.col("reason").isNotNull()).alias("dropped"))
-    return inputs.extractions(spark, sf_dir).select("section_id").join(found, "section_id", "left").fillna(0, ["kept", "dropped"])
+def summary(sections: DataFrame) -> DataFrame:
+    """(section_id, kept, dropped) of every section, also of those without a block."""
+    found, fine = F.col("ord").isNotNull(), F.col("reason").isNull()
+    return verify(parse(sections, outer=True)).groupBy("section_id").agg(F.count_if(found & fine).alias("kept"), F.count_if(found & ~fine).alias("dropped"))
 
 
 def _grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,11 +144,11 @@ def _grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "parse_blocks": lambda s, d: inputs.extractions(s, d).select("section_id", F.posexplode(blocks(tx.text("raw"))).alias("ord", "block")),
     "parse_fields": lambda s, d: _records(s, d).drop("source"),
-    "verify_claims": lambda s, d: verify(_records(s, d)).join(inputs.extractions(s, d).select("section_id", "lang"), "section_id").groupBy("lang", F.coalesce("reason", F.lit("verified")).alias("reason")).agg(F.count("*").alias("n")),
+    "verify_claims": lambda s, d: verify(parse(inputs.extractions(s, d), "lang")).groupBy("lang", F.coalesce("reason", F.lit("verified")).alias("reason")).agg(F.count("*").alias("n")),
     "quote_in_source": lambda s, d: _records(s, d).select("section_id", "ord", F.contains(tx.normalise_claim(F.col("source")), tx.normalise_claim(F.col("source_quote"))).alias("found")),
     "number_tokens": lambda s, d: inputs.articles(s, d).select("article_id", F.array_join(tx.numbers(tx.text("md")), " ").alias("numbers")),
     "number_grounding": _grounding,
-    "parse_summary": _summary,
+    "parse_summary": lambda s, d: summary(inputs.extractions(s, d)),
     "resume_verify": _resume,
     "dedupe_claims": lambda s, d: dedupe(_records(s, d), ["section_id", "ord"]).select("section_id", "ord", "claim"),
     "render_ledger": lambda s, d: render_ledger(verify(_records(s, d))),

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from groundling.functions import text as tx
 from groundling.functions import vocabulary as v
 from groundling.operators import rules
-from groundling.operators.faithfulness import faithfulness
+from groundling.operators.faithfulness import faithfulness, sql_errors
 from groundling.plans import inputs
 
 EDIT = "array<struct<find:string,replace:string,reason:string>>"
@@ -145,4 +145,13 @@ ORACLE_SQL = {
         nw as (select article_id, l, unnest(l) as message, generate_subscripts(l, 1) - 1 as pos from (select article_id, {_LIST} l from after)),
         nk as (select article_id, pos, message, unnest({_keys_sql("message")}) as key from nw)
         select distinct article_id, pos, message from nk where (article_id, key) not in (select article_id, key from old)""",
+    "review_gate": f"""with {inputs.ARTICLES_SQL}, {inputs.CLAIMS_SQL}, {_AFTER},
+        {sql_errors("articles", "b_facts")}, {sql_errors("after", "a_facts")},
+        then_ as (select article_id, list_concat({_LIST}, b_facts.f) as l from articles join b_facts using (article_id)),
+        now_ as (select article_id, list_concat({_LIST}, a_facts.f) as l from after join a_facts using (article_id)),
+        old as (select article_id, unnest({_keys_sql("m")}) as key from (select article_id, unnest(l) as m from then_)),
+        nw as (select article_id, unnest(l) as message, generate_subscripts(l, 1) as pos from now_),
+        nk as (select article_id, pos, unnest({_keys_sql("message")}) as key from nw),
+        brought as (select article_id, count(distinct pos) as introduced from nk where (article_id, key) not in (select article_id, key from old) group by article_id)
+        select article_id, coalesce(introduced, 0) as introduced, len(l) as kept, introduced is not null as blocked from then_ left join brought using (article_id)""",
 }

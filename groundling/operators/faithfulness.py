@@ -184,6 +184,18 @@ _HEDGE = rf"""{_SENTENCES},
 _LOOSE = rf"""known as (select article_id, list_distinct(flatten(list(list_concat({_numbers_sql("claim")}, {_numbers_sql("source_quote")})))) k from claims group by article_id),
     loose as (select article_id, n as number from (select article_id, unnest({_numbers_sql("md")}) n from articles) join known using (article_id) where not list_contains(k, n))"""
 _AC = f"{inputs.ARTICLES_SQL}, {inputs.CLAIMS_SQL}"
+
+
+def sql_errors(source: str, name: str) -> str:
+    """CTE ``name`` (article_id, f) of the error messages of the articles in ``source``."""
+    own = "" if source == "articles" else f"articles as (select * from {source}), "
+    return rf"""{name} as (with {own}{_METRIC}, {_PARAS}
+        select a.article_id, list_concat(coalesce(m.x, []), case when {_CLOSED} then ['article appears truncated (does not end on sentence punctuation)'] else [] end, coalesce(d.x, [])) as f from articles a
+        left join (select article_id, list('uses metric term ''' || term || ''' that appears in no claim (possible conversion)' order by pos) x from conversions group by 1) m using (article_id)
+        left join (select article_id, case when count(*) <= 2 then list('near-duplicate paragraph (>= 80% overlap with an earlier one): "' || replace(replace(snippet, '\', '\'), '"', '\"') || '"...' order by pos)
+            else [count(*) || ' paragraphs nearly duplicate earlier ones (>= 80% overlap); give each section distinct content'] end x from dup_rows group by 1) d using (article_id))"""
+
+
 ORACLE_SQL = {
     "metric_conversion": f"with {_AC}, {_METRIC} select article_id, term from conversions",
     "rule_truncated": f"with {inputs.ARTICLES_SQL} select article_id, {_CLOSED} as value from articles",

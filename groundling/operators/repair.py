@@ -60,7 +60,14 @@ def _styled_sql(expr: str) -> str:
 
 
 _A = f"with {inputs.ARTICLES_SQL}"
+_STRIPPED = r"""regexp_replace(regexp_replace(regexp_replace(md, '(?i)\*\*\s*opening thesis paragraph\.?\s*\*\*\s*', '', 'g'), '(?m)^\*\*[ \t]*(?:\.{2,}|…)?[ \t]*\*\*[ \t]*\r?\n?', '', 'g'), '(?m)^#{2,6}[ \t]*(?:\.{2,}|…)[ \t]*\r?\n?', '', 'g')"""
+_CLEANED = rf"regexp_replace(regexp_replace({_STRIPPED}, '\x1b\[[0-?]*[ -/]*[@-~]', '', 'g'), '[\x00-\x08\x0B-\x1F]', '', 'g')"
 ORACLE_SQL = {
+    "normalise_article": f"""{_A}, c as (select article_id, string_split({_CLEANED}, '</think>')[-1] as s from articles),
+        l as (select article_id, s, string_split(s, chr(10)) l from c),
+        k as (select article_id, s, l, list_position(list_transform(l, lambda x: starts_with({strip_sql("x")}, '# ')), true) k from l),
+        t as (select article_id, {strip_sql("case when k > 0 then array_to_string(l[k:], chr(10)) else s end")} as md from k)
+        select article_id, {_styled_sql("md")} as value from t""",
     "enforce_style": f"{_A} select article_id, {_styled_sql('md')} as value from articles",
     "strip_echo": f"""{_A}, c as (select doc_id as article_id, {words_sql(STYLE)} as sample from documents)
         select article_id, case when strlen(sample) < 40 then md else array_to_string(list_filter(string_split(md, chr(10) || chr(10)), lambda b: not (strlen({words_sql("b")}) >= 40

@@ -22,9 +22,7 @@ def house_errors_stream(articles: DataFrame) -> DataFrame:
 
 def verified_claims_stream(extractions: DataFrame) -> DataFrame:
     """A stream of records with their ``reason``, from (section_id, source, raw, ts)."""
-    split = extractions.select("section_id", "ts", "source", F.posexplode(claims.blocks(tx.text("raw"))).alias("ord", "block"))
-    fields = split.select("section_id", "ts", "ord", *(tx.sub(claims.field(F.col("block"), name), '^"+|"+\\z' if key == "source_quote" else "(?!)").alias(key) for key, name in claims.FIELDS.items()), "source")
-    return fields.withColumn("reason", claims.reason())
+    return claims.verify(claims.parse(extractions, "ts"))
 
 
 def distinct_claims_stream(records: DataFrame, late: str = "1 hour") -> DataFrame:
