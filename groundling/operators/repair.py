@@ -1,4 +1,4 @@
-"""Repair of a draft: style, echoes of the calibration text, the whole normalisation."""
+"""Repair of an article: style, echoes of the calibration text, the whole normalisation."""
 
 from __future__ import annotations
 

@@ -15,7 +15,7 @@ from groundling.plans import inputs, prompts
 from groundling.session import materialise
 
 
-def draft_articles(sources: DataFrame, generators: list[gen.Generator], retries: int = 1) -> DataFrame:
+def compose_articles(sources: DataFrame, generators: list[gen.Generator], retries: int = 1) -> DataFrame:
     """One article of each source (source_id, name, text).
 
     Columns: source_id, sections, verified, dropped, article, house, errors,
@@ -49,10 +49,10 @@ def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("article_id", F.octet_length(prompts.claim_prompt(md)).alias("claim_bytes"), F.md5(prompts.writing_prompt(F.lit(""), F.col("ledger"), least, most)).alias("writing"), F.octet_length(prompts.continue_prompt(md)).alias("continue_bytes"), F.octet_length(prompts.review_prompt(md, md, F.col("ledger"))).alias("review_bytes"))
 
 
-def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = inputs.documents(spark, sf_dir).select(F.col("doc_id").alias("source_id"), F.format_string("doc %d", "doc_id").alias("name"), "text")
-    return draft_articles(sources, [gen.fake_generator])
+    return compose_articles(sources, [gen.fake_generator])
 
 
-QUERIES = {"build_prompts": _prompts, "draft_articles": _drafts}
+QUERIES = {"build_prompts": _prompts, "compose_articles": _articles}
 ORACLE_SQL: dict[str, str] = {}

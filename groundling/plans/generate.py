@@ -34,7 +34,7 @@ def fake_generator(kind: str, prompts: list[str]) -> list[str]:
         else:
             facts = [line.removeprefix("CLAIM: ") for line in tail.splitlines() if line.startswith("CLAIM: ")]
             body = "\n\n".join(f"## Finding {k + 1}\n\n{fact}." for k, fact in enumerate(facts)) or "## Nothing\n\nNothing was found."
-            out.append(f'# Draft {mark}\n\n<aside class="post-lead"></aside>\n\n> **Executive Summary**\n> - {len(facts)} facts.\n\n{body}')
+            out.append(f'# Report {mark}\n\n<aside class="post-lead"></aside>\n\n> **Executive Summary**\n> - {len(facts)} facts.\n\n{body}')
     return out
 
 
@@ -73,5 +73,5 @@ def write_until_valid(prompts: DataFrame, key: str, generator: Generator, repair
         keep = tried if turn == retries else tried.where(F.size("errors") == 0)
         done = keep if done is None else done.unionByName(keep)
         again = tried.where(F.size("errors") > 0).select(key, F.array_join("errors", "\n- ").alias("why"))
-        left = left.join(again, key).select(key, F.concat("prompt", F.lit("\n\nThe last draft broke these rules:\n- "), "why").alias("prompt"))
+        left = left.join(again, key).select(key, F.concat("prompt", F.lit("\n\nThe last version broke these rules:\n- "), "why").alias("prompt"))
     return done

@@ -1,4 +1,4 @@
-"""Prompts of the drafting stages, as columns; the wording is this project's own."""
+"""Prompts of the writing stages, as columns; the wording is this project's own."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from groundling.functions import text as tx
 from groundling.functions import vocabulary as v
 
-REVIEW_SOURCE_BYTES, REVIEW_DRAFT_BYTES, CONTINUE_BYTES = 6_000, 80_000, 4_000
+REVIEW_SOURCE_BYTES, REVIEW_ARTICLE_BYTES, CONTINUE_BYTES = 6_000, 80_000, 4_000
 STYLE_EXAMPLE = "Open with a claim that can be checked. Prefer one concrete detail to three general ones. Vary the length of sentences. End on what comes next."
 HOUSE_STYLE = "Use plain headings. Write prose, not lists. Use no emoji. Name numbers, people and places exactly as the claims do. Leave out filler."
 SKELETON = '# Title\n\n**Thesis.**\n\n<aside class="post-lead"><p class="post-lead-tldr"><strong>TL;DR.</strong> ...</p></aside>\n\n> **Executive Summary**\n> - ...\n\n## First heading\n\n...'
@@ -39,14 +39,14 @@ def writing_prompt(templates: Column, ledger: Column, least: Column, most: Colum
 
 
 def continue_prompt(partial: Column) -> Column:
-    """Asks to go on where a draft stopped; shows its last bytes."""
+    """Asks to go on where an article stopped; shows its last bytes."""
     tail = F.when(F.octet_length(partial) <= CONTINUE_BYTES, partial).otherwise(tx.from_bytes(F.regexp_replace(F.right(tx.as_bytes(partial), F.lit(CONTINUE_BYTES)), r"\A[\x80-\xBF]+", "")))
     return F.concat(F.lit("Go on exactly where this article stops, repeat nothing, and bring it to a close.\n\nARTICLE SO FAR\n"), tail)
 
 
-def review_prompt(research: Column, draft: Column, ledger: Column) -> Column:
-    """Asks for single edits of a draft as a JSON array."""
+def review_prompt(research: Column, article: Column, ledger: Column) -> Column:
+    """Asks for single edits of an article as a JSON array."""
     head = (
-        f"Propose the fewest edits that mend clear faults of the DRAFT. Answer with a JSON array of objects with find (exact and unique in the draft), replace and reason ({' | '.join(v.EDIT_REASONS)}); [] if there are none.\n\nHOUSE STYLE\n{HOUSE_STYLE}\n\nCLAIMS\n"
+        f"Propose the fewest edits that mend clear faults of the ARTICLE. Answer with a JSON array of objects with find (exact and unique in the article), replace and reason ({' | '.join(v.EDIT_REASONS)}); [] if there are none.\n\nHOUSE STYLE\n{HOUSE_STYLE}\n\nCLAIMS\n"
     )
-    return F.concat(F.lit(head), ledger, F.lit("\n\nSOURCE (context only)\n"), tx.clip_bytes(research, REVIEW_SOURCE_BYTES), F.lit("\n\nDRAFT\n"), tx.clip_bytes(draft, REVIEW_DRAFT_BYTES))
+    return F.concat(F.lit(head), ledger, F.lit("\n\nSOURCE (context only)\n"), tx.clip_bytes(research, REVIEW_SOURCE_BYTES), F.lit("\n\nARTICLE\n"), tx.clip_bytes(article, REVIEW_ARTICLE_BYTES))

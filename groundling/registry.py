@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from groundling.operators import claims, edits, faithfulness, metadata, normalise, planning, repair, rules, sections, streams
-from groundling.plans import drafting
+from groundling.plans import composing
 
-_MODULES = [normalise, sections, claims, rules, faithfulness, repair, edits, metadata, planning, streams, drafting]
+_MODULES = [normalise, sections, claims, rules, faithfulness, repair, edits, metadata, planning, streams, composing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

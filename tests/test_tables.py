@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from groundling import registry
 from groundling.operators.rules import house_errors
-from groundling.plans import drafting
+from groundling.plans import composing
 from groundling.plans import generate as gen
 from groundling.sources import readers, sinks
 from groundling.streaming import gate
@@ -106,8 +106,8 @@ def test_generators(spark):
     two = gen.with_fallback(prompts, "key", "extract", [flaky, gen.fake_generator]).collect()
     assert len(two) == 2 and all(r["error"] == "" for r in two)
     sources = spark.createDataFrame([(1, "a", "Some facts of 12 words that one source states plainly and fully here. More of it."), (2, "b", None)], "source_id int, name string, text string")
-    rows = {r["source_id"]: r for r in drafting.draft_articles(sources, [gen.fake_generator]).collect()}
-    assert rows[1]["verified"] == 1 and rows[1]["article"].startswith("# Draft") and "article is" in rows[1]["house"] and rows[2]["sections"] == 0
+    rows = {r["source_id"]: r for r in composing.compose_articles(sources, [gen.fake_generator]).collect()}
+    assert rows[1]["verified"] == 1 and rows[1]["article"].startswith("# Report") and "article is" in rows[1]["house"] and rows[2]["sections"] == 0
 
 
 def test_rest_works_without_llm(tmp_path):
