@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_WRITTEN: list[DataFrame] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +36,7 @@ def materialise(df: DataFrame, name: str = "part") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._groundling_path = path
+    _WRITTEN.append(out)
     return out
 
 
@@ -45,3 +47,12 @@ def discard(df: DataFrame) -> None:
         spark = df.sparkSession
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _WRITTEN[:] = [other for other in _WRITTEN if other is not df]
+
+
+def sweep() -> int:
+    """Delete all tables of :func:`materialise` that are left, once results that read them are saved; how many there were."""
+    left = list(_WRITTEN)
+    for df in left:
+        discard(df)
+    return len(left)

@@ -67,6 +67,17 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "x").read_bytes() == b"1" and not [p for p in os.listdir(tmp_path) if p.startswith(".staged")]
 
 
+def test_scratch_tables(spark):
+    from groundling import session
+
+    first, second = session.materialise(spark.range(5), "x"), session.materialise(spark.range(3), "y")
+    assert first.count() == 5 and first._groundling_path.startswith(session.shared_dir(spark))
+    session.discard(first)
+    session.discard(spark.range(1))
+    assert not os.path.exists(first._groundling_path.removeprefix("file://")) and second.count() == 3
+    assert session.sweep() >= 1 and session.sweep() == 0 and not os.path.exists(second._groundling_path.removeprefix("file://"))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", F.concat(F.lit("# "), "text").alias("md"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 60).alias("ts"))
     docs.repartition(3).write.parquet(str(tmp_path / "in"))
