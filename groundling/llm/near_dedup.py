@@ -170,10 +170,10 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("ha", "ca", "hb", "cb")]
+            column = {c: batch.column(c) for c in ("ha", "ca", "hb", "cb")}
             ok = []
-            for ha, ca, hb, cb in zip(*columns, strict=True):
-                sides = [(np.frombuffer(h, np.uint64), weights(np.frombuffer(c, np.uint32).astype(float))) for h, c in ((ha, ca), (hb, cb))]
+            for k in range(batch.num_rows):  # views of the batch's buffers, no copies
+                sides = [(np.frombuffer(column[h][k].as_buffer(), np.uint64), weights(np.frombuffer(column[c][k].as_buffer(), np.uint32).astype(float))) for h, c in (("ha", "ca"), ("hb", "cb"))]
                 ok.append(max(similarity(*sides)) >= threshold - 1e-12)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -218,8 +218,8 @@ def rare_prefix_pairs(nodes: DataFrame, sets: DataFrame, threshold: float) -> Da
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, blob in zip(batch.column("node").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
-                hashes = np.frombuffer(blob, np.int64)
+            for node, blob in zip(batch.column("node"), batch.column("hashes"), strict=True):
+                node, hashes = node.as_py(), np.frombuffer(blob.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([node] * len(hashes), pa.binary()), pa.array(np.full(len(hashes), len(hashes), np.int64)), pa.array(hashes)], ["node", "n", "shingle"])
 
     rows = sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(spread, "node binary, n long, shingle long")
@@ -291,11 +291,14 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """One row of each group: that of its least doc_id. Rows without a doc_id stay."""
+    """One row of each group: that of its least doc_id, and of its repetitions one.
+
+    A row is known by doc_id and text, so an id that stands on several texts
+    loses only those that are copies. Rows without a doc_id stay.
+    """
     groups = near_duplicates(docs, threshold)
-    gone = groups.where("doc_id is not null and doc_id != group_id").select("doc_id").distinct()
-    out = docs.join(gone.withColumnRenamed("doc_id", "_gone"), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    # a doc_id that stands on several rows of one class is one document
+    gone = groups.where("doc_id is not null and doc_id != group_id").select(F.col("doc_id").alias("_gone"), F.col("class_id").alias("_class")).distinct()
+    out = docs.join(gone, (docs["doc_id"].cast("long") == F.col("_gone")) & (F.md5(docs["text"].cast("string")) == F.col("_class")), "left_anti")
     twice = groups.where("doc_id is not null and class_id is not null").groupBy("doc_id", "class_id").count().where("count > 1")
     if not twice.isEmpty():
         named, none = out.where("doc_id is not null"), out.where("doc_id is null")

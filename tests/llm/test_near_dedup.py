@@ -115,3 +115,12 @@ def test_empty_table_and_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (2, None)], "doc_id long, text string")
     rows = sorted((r["doc_id"] or 0, r["group_id"] or 0, r["copies"]) for r in nd.near_duplicates(docs).collect())
     assert rows == [(0, 0, 1), (0, 1, 3), (1, 1, 3), (1, 1, 3), (2, 2, 1)]
+
+
+def test_one_row_of_each_group_stays(spark):
+    same = " ".join(f"w{k}" for k in range(40))
+    other = " ".join(f"v{k}" for k in range(40))
+    rows = [(0, other, "a"), (1, same, "a"), (1, same, "a"), (1, other, "b"), (2, same, "a"), (2, "short own text", "c"), (3, None, "d"), (3, None, "d"), (None, same, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, class_id string")
+    kept = sorted(((r["doc_id"] if r["doc_id"] is not None else -1), r["text"] or "", r["class_id"]) for r in nd.keep_one(docs).collect())
+    assert kept == sorted([(0, other, "a"), (1, same, "a"), (2, "short own text", "c"), (3, "", "d"), (-1, same, "e")])
