@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from groundling.llm import decontamination as dc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -46,6 +48,20 @@ def test_matches_brute_force(spark):
     assert len(got) == len({(r["doc_id"], r["item_id"]) for r in got}) > 80
 
 
+def test_small_items_are_not_missed():
+    rng = np.random.default_rng(0)
+    for size, shared in ((8, 8), (8, 7), (11, 9)):
+        c, trials = int(np.log2(size)), 5000
+        width = 4 << c
+        drawn = rng.integers(0, 2**64, (trials, width + size), dtype=np.uint64)
+        item = np.concatenate([drawn[:, :shared], drawn[:, width : width + size - shared]], axis=1)
+        window_at, _, window = dc.signatures(np.repeat(np.arange(trials), width), drawn[:, :width].ravel(), dc._bins(c))
+        item_at, _, own = dc.signatures(np.repeat(np.arange(trials), size), item.ravel(), dc._bins(c))
+        known = set(zip(window_at.tolist(), window.tolist()))
+        found = {r for r, v in zip(item_at.tolist(), own.tolist()) if (r, v) in known}
+        assert len(found) == trials
+
+
 def test_edges(spark):
     docs = [(1, None), (2, ""), (3, "a b c"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "a b c"), (5, "x " * 5000 + "a b c d e f")]
     items = [(1, "a b c"), (1, "a b c"), (2, None), (3, ""), (4, "a b c d e f"), (None, "a b c"), (5, "a b c d e f")]
