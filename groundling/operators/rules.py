@@ -26,7 +26,9 @@ def banned_words(md: Column) -> Column:
 def banned_phrases(md: Column) -> Column:
     """Banned phrases that the article holds, in the list's order."""
     low = tx.lower(md)
-    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(p)), p) for p in v.BANNED_PHRASES)))
+    found = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(p)), p) for p in v.BANNED_PHRASES)))
+    # most articles hold none, which one search tells
+    return F.when(F.regexp_like(low, F.lit("|".join(map(tx.quoted, v.BANNED_PHRASES)))), found).otherwise(F.array().cast("array<string>"))
 
 
 def _bounds(n: Column) -> Column:

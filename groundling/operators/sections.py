@@ -21,7 +21,7 @@ _STOP = rf"^[{SP}]*(?:#{{1,6}}[{SP}]+)?(?:{STOPS})(?![0-9A-Za-z_])"
 def drop_references(c: Column) -> Column:
     """Normalised text before the last heading of reference matter."""
     c = tx.normalise_space(c)
-    return F.when(F.regexp_like(c, F.lit(rf"(?dmiu){_STOP}")), tx.strip(F.regexp_extract(c, rf"(?dmius)\A(.*?){_STOP}(?!.*{_STOP})", 1))).otherwise(c)
+    return F.when(F.regexp_like(c, F.lit(rf"(?dmiu){_STOP}")), tx.strip(F.regexp_extract(c, rf"(?dmius)\A(.*){_STOP}", 1))).otherwise(c)
 
 
 def split_headings(c: Column) -> Column:
