@@ -10,7 +10,10 @@ arrival (early termination), so a document costs about its shingles plus
 ``m log m`` and not their product.
 
 Copies are one class (MD5 of the text). Class representatives meet in the
-buckets of ``bands`` bands. No pairs of a bucket are emitted: each bucket
+buckets of ``bands`` bands of that signature, and of a second one with all
+weights 1, which agrees with the plain Jaccard: repetitions can keep two texts
+apart in the first whose shingle sets are near. A text that repeats no shingle
+has one and the same signature by both. No pairs of a bucket are emitted: each bucket
 compares its members with one leader, the member that meets most others, and
 verified links join components. Members of buckets that still hold more than
 one component are then joined exactly, on the rarest shingles of each (prefix
@@ -90,7 +93,7 @@ def _weighted(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, bands: int, band_rows: int) -> DataFrame:
-    """doc_id, class (MD5 of the text), keys (bucket of each band; null for a text without a word)."""
+    """doc_id, class (MD5 of the text), keys (buckets of the bands by weight and of those by plain sets, each once; null for a text without a word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tk.slices(batches, "text", 2 << 20):
@@ -98,7 +101,15 @@ def sketches(docs: DataFrame, bands: int, band_rows: int) -> DataFrame:
             keys = band_keys(prob_minhash(rows, hashes, weights(counts), part.num_rows, bands * band_rows), bands)
             full = np.zeros(part.num_rows, bool)
             full[rows] = True
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * bands)]).astype(np.int32)), pa.array(keys[full].ravel().view(np.int64)))
+            use = np.repeat(full[:, None], 2 * bands, axis=1)
+            use[:, bands:] = False
+            both = np.concatenate([keys, keys], axis=1)
+            again = np.unique(rows[counts > 1])  # only these have other buckets by plain sets
+            if len(again):
+                own = np.isin(rows, again)
+                both[again, bands:] = band_keys(prob_minhash(np.searchsorted(again, rows[own]), hashes[own], np.ones(int(own.sum())), len(again), bands * band_rows), bands)
+                use[:, bands:] = both[:, bands:] != keys
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(use.sum(axis=1))]).astype(np.int32)), pa.array(both[use].view(np.int64)))
             lists = pa.array([x if ok else None for x, ok in zip(lists, full, strict=True)], pa.list_(pa.int64())) if not full.all() else lists
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("class"), lists], ["doc_id", "class", "keys"])
 

@@ -124,3 +124,20 @@ def test_one_row_of_each_group_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, class_id string")
     kept = sorted(((r["doc_id"] if r["doc_id"] is not None else -1), r["text"] or "", r["class_id"]) for r in nd.keep_one(docs).collect())
     assert kept == sorted([(0, other, "a"), (1, same, "a"), (2, "short own text", "c"), (3, "", "d"), (-1, same, "e")])
+
+
+def test_repeated_lines_do_not_hide_plain_links(spark):
+    """One half of the lines stands 50 times in one text, the other half in the other: near by plain Jaccard, far by weight."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(2)]
+        own = [" ".join(f"x{rng.randrange(10**6)}" for _ in range(5)) for _ in range(2)]
+        texts.append(" ".join([lines[0]] * 50 + [lines[1], own[0]]))
+        texts.append(" ".join([lines[0]] + [lines[1]] * 50 + [own[1]]))
+    texts.append(" ".join(f"u{k}" for k in range(60)))
+    expected = groups_by_force(texts)
+    assert expected == [k - k % 2 for k in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["group_id"] for r in nd.near_duplicates(docs).collect()}
+    assert [rows[i] for i in range(len(texts))] == expected
