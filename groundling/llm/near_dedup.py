@@ -17,7 +17,8 @@ has one and the same signature by both. No pairs of a bucket are emitted: each b
 compares its members with one leader, the member that meets most others, and
 verified links join components. Members of buckets that still hold more than
 one component are then joined exactly, on the rarest shingles of each (prefix
-and position filter) and across components only. A link is an exact probability
+and position filter, by number for plain and by weight for probability Jaccard)
+and across components only. A link is an exact probability
 Jaccard, or plain Jaccard of the shingle sets, of the threshold or more.
 """
 
@@ -225,28 +226,45 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def rare_prefix_pairs(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of ``nodes`` (node, component) of different components that may reach a plain Jaccard of the threshold: their rarest shingles meet."""
+    """Pairs (a, b) of ``nodes`` (node, component) of different components that may reach the threshold by plain or by probability Jaccard: their rarest shingles meet.
+
+    Let ``u`` and ``v`` be the shares of the two texts' weights that their common
+    shingles have. Probability Jaccard is at most ``1 / (1/u + 1/v - 1)``: a
+    common shingle of shares x and y adds no more than ``1 / (1/x + (1 - v)/y)``,
+    which is concave and homogeneous, so the sum is no more than its value at
+    (u, v). So u and v reach the threshold, and the first common shingle stands
+    where that much weight is left in both. Two even texts (each with one count
+    for all its shingles) have one similarity by both, and the closer bound by
+    number finds them.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, blob in zip(batch.column("node"), batch.column("hashes"), strict=True):
+            for node, blob, counts in zip(batch.column("node"), batch.column("hashes"), batch.column("counts"), strict=True):
                 node, hashes = node.as_py(), np.frombuffer(blob.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([node] * len(hashes), pa.binary()), pa.array(np.full(len(hashes), len(hashes), np.int64)), pa.array(hashes)], ["node", "n", "shingle"])
+                weight = weights(np.frombuffer(counts.as_buffer(), np.uint32).astype(float))
+                yield pa.RecordBatch.from_arrays([pa.array([node] * len(hashes), pa.binary()), pa.array(np.full(len(hashes), len(hashes), np.int64)), pa.array(hashes), pa.array(weight / weight.sum()), pa.array(np.full(len(hashes), weight.min() == weight.max()))], ["node", "n", "shingle", "share", "even"])
 
-    rows = sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(spread, "node binary, n long, shingle long")
+    rows = sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(spread, "node binary, n long, shingle long, share double, even boolean")
     seen = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("node")
-    placed = rows.join(seen, "shingle", "left").withColumn("place", F.row_number().over(own.orderBy(F.coalesce("df", F.lit(1)), "shingle"))).withColumn("common", F.count("df").over(own))
-    # a node whose shared shingles are too few for the threshold has no partner; the others meet in their rarest
-    able = placed.where((F.col("common") >= F.col("n") * threshold - 1e-9) & F.col("df").isNotNull())
-    prefix = able.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("node", "shingle", "n", "place").join(nodes, "node")
+    order = own.orderBy(F.coalesce("df", F.lit(1)), "shingle")
+    placed = rows.join(seen, "shingle", "left").withColumn("place", F.row_number().over(order)).withColumn("common", F.count("df").over(own))
+    # what of the weight stands before a shingle, and how much of it other nodes have
+    placed = placed.withColumn("left", 1 - (F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("share"))).withColumn("known", F.sum(F.when(F.col("df").isNotNull(), F.col("share"))).over(own))
+    # a node whose shared shingles are too few, and too light, for the threshold has no partner; the others meet in their rarest
+    by_set = (F.col("common") >= F.col("n") * threshold - 1e-9) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    by_weight = (F.col("known") >= threshold - 1e-9) & (F.col("left") >= threshold - 1e-9)
+    able = placed.where(F.col("df").isNotNull()).withColumn("by_set", by_set).withColumn("by_weight", by_weight)
+    prefix = able.where("by_set or by_weight").select("node", "shingle", "n", "place", "left", "by_set", "by_weight", "even").join(nodes, "node")
     # a shingle that only one component has joins nothing new
     across = prefix.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("shingle")
     prefix = materialise(prefix.join(across, "shingle"), "prefix")
-    other = prefix.select(F.col("node").alias("b"), "shingle", F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
-    # from the first common shingle on, no more than the shorter rest can be common
-    enough = 1 + F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb")) >= (F.col("n") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9
-    met = prefix.join(other, "shingle").where("node < b and component != cb").where(enough)
+    other = prefix.select(F.col("node").alias("b"), "shingle", F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("left").alias("lb"), F.col("by_set").alias("sb"), F.col("by_weight").alias("wb"), F.col("even").alias("eb"), F.col("component").alias("cb"))
+    # from the first common shingle on, no more than the shorter rest, or the lighter, can be common
+    enough = F.col("by_set") & F.col("sb") & (1 + F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb")) >= (F.col("n") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
+    heavy = ~(F.col("even") & F.col("eb")) & F.col("by_weight") & F.col("wb") & (1 / F.col("left") + 1 / F.col("lb") - 1 <= 1 / threshold + 1e-9)
+    met = prefix.join(other, "shingle").where("node < b and component != cb").where(enough | heavy)
     return met.select(F.col("node").alias("a"), "b").distinct()
 
 

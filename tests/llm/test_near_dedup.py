@@ -141,3 +141,55 @@ def test_repeated_lines_do_not_hide_plain_links(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = {r["doc_id"]: r["group_id"] for r in nd.near_duplicates(docs).collect()}
     assert [rows[i] for i in range(len(texts))] == expected
+
+
+def weighted_texts(seed=6):
+    """Families that share a passage repeated 2 to 50 times and have private words, so that weight and number part."""
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(8):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(70)]
+        for _ in range(8):
+            part = base[: rng.choice([70, 70, 66, 60, 45])]
+            texts.append(" ".join(part * rng.choice([2, 10, 50]) + [f"x{rng.randrange(10**6)}" for _ in range(rng.choice([5, 15, 25, 40]))]))
+    return texts
+
+
+def weighted_links(spark, texts, threshold=0.8):
+    """Pairs of documents that reach the threshold by one similarity, and those of them that only the weight links."""
+    from itertools import combinations
+
+    import pyarrow as pa
+
+    rows, hashes, counts = nd._weighted(pa.array(texts))
+    sets = [(hashes[rows == k], nd.weights(counts[rows == k])) for k in range(len(texts))]
+    found = {(i, j): nd.similarity(sets[i], sets[j]) for i, j in combinations(range(len(texts)), 2)}
+    return {p for p, s in found.items() if max(s) >= threshold}, {p for p, (weighted, plain) in found.items() if weighted >= threshold > plain}
+
+
+def test_rare_prefix_finds_links_by_weight(spark):
+    texts = weighted_texts()
+    want, by_weight = weighted_links(spark, texts)
+    assert len(by_weight) > 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sk = nd.sketches(docs, nd.BANDS, nd.BAND_ROWS)
+    classes = sk.select(sk["class"].alias("node"), sk["doc_id"].alias("rep"))
+    sets = nd.shingle_sets(docs, classes)
+    pairs = nd.verified(nd.rare_prefix_pairs(classes.select("node", classes["node"].alias("component")), sets, 0.8), sets, 0.8)
+    names = {bytes(r["node"]): r["rep"] for r in classes.collect()}
+    assert {tuple(sorted((names[bytes(r["a"])], names[bytes(r["b"])]))) for r in pairs.collect()} == want
+
+
+def test_a_leader_that_links_to_neither_parts_nothing(spark):
+    """One band of one row: buckets of many texts, whose leader has few of the links among the rest."""
+    texts = weighted_texts(8)
+    links, _ = weighted_links(spark, texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {r["doc_id"]: set(r["keys"]) for r in nd.sketches(docs, 1, 1).collect()}
+    component = list(range(len(texts)))
+    for i, j in sorted(links):
+        if keys[i] & keys[j]:
+            lo, hi = sorted((component[i], component[j]))
+            component = [lo if c == hi else c for c in component]
+    rows = {r["doc_id"]: r["group_id"] for r in nd.near_duplicates(docs, bands=1, band_rows=1).collect()}
+    assert [rows[i] for i in range(len(texts))] == component
