@@ -12,7 +12,9 @@ bins (a bin's smallest shingle hash). An item and a window are candidates when
 some bin agrees. There are four times as many bins as a window has shingles, so
 that a bin of a contained item agrees with a probability of nearly 0.9: in
 100,000 simulated searches each, no item of eight or eleven shingles was missed,
-whole or contained to 0.8 (tests repeat a smaller simulation).
+whole or contained to 0.8 (tests repeat a smaller simulation). Of items with
+fewer than ``LEAST_SIGNED`` shingles a window's neighbours would hide some, so
+these have no signatures: every document that shares a shingle is a candidate.
 
 Candidates are verified by exact containment of the item's set of shingle
 strings in the document's. Before any signature is made, a filter of fixed
@@ -36,6 +38,7 @@ from groundling.session import materialise
 
 WIDTH = 5
 CONTAINMENT = 0.8
+LEAST_SIGNED = 8
 FILTER_BITS = 1 << 23
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
@@ -159,6 +162,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = CONTAINM
     """
     spark = docs.sparkSession
     signs, shingles = item_tables(items)
+    signs = signs.where(F.col("size_class") >= int(_classes(np.array([LEAST_SIGNED]))[0]))
     classes = sorted(r[0] for r in signs.select("size_class").distinct().collect())  # some twenty at most
     shipped = spark.sparkContext.broadcast(shingle_filter(shingles))  # FILTER_BITS flags, whatever the items
     schema = "doc_id long, size_class int, bin int, value long, shingle string"
@@ -196,10 +200,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = CONTAINM
 
     source = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     probes = materialise(source.mapInArrow(run, schema), "probes")
-    candidates = probes.where("bin is not null").join(signs, ["size_class", "bin", "value"]).select("doc_id", "item_id").distinct()
+    candidates = probes.where("bin is not null").join(signs, ["size_class", "bin", "value"]).select("doc_id", "item_id").distinct().withColumn("met", F.lit(True))
     shared = probes.where("shingle is not null").select("doc_id", "shingle").distinct().join(shingles.select("item_id", "shingle", "n_shingles"), "shingle")
     counted = shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.max("n_shingles").alias("n_shingles"))
-    exact = counted.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_shingles")).join(candidates, ["doc_id", "item_id"], "left_semi")
+    exact = counted.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_shingles")).join(candidates, ["doc_id", "item_id"], "left").where((F.col("n_shingles") < LEAST_SIGNED) | F.col("met"))
     return exact.select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 

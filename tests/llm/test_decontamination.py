@@ -62,6 +62,23 @@ def test_small_items_are_not_missed():
         assert len(found) == trials
 
 
+def test_items_of_few_shingles_in_long_documents(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    items = [(i, " ".join(word() for _ in range(5 + i % 7))) for i in range(1400)]
+    docs = []
+    for d in range(20):
+        words = [word() for _ in range(3000)]
+        for _, text in items[d::20]:
+            at = rng.randrange(len(words))
+            words[at:at] = text.split() if rng.random() < 0.8 else text.split()[:-1]
+        docs.append((d, " ".join(words)))
+    of_docs, of_items = [(d, shingle_set(t)) for d, t in docs], [(i, shingle_set(t)) for i, t in items]
+    want = {(d, i): len(s & own) for d, own in of_docs for i, s in of_items if len(s & own) >= 0.8 * len(s)}
+    got = dc.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["n_shared"] for r in got} == want and len(got) == len(want) > 1000
+
+
 def test_edges(spark):
     docs = [(1, None), (2, ""), (3, "a b c"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "a b c"), (5, "x " * 5000 + "a b c d e f")]
     items = [(1, "a b c"), (1, "a b c"), (2, None), (3, ""), (4, "a b c d e f"), (None, "a b c"), (5, "a b c d e f")]
