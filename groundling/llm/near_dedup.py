@@ -28,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from groundling.llm import textkernel as tk
+from groundling.llm.skew import spread_join
 from groundling.session import discard, materialise
 
 WIDTH = 5
@@ -40,7 +41,8 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 25, 5
 ROUNDS = 1
 LEADERS = 3
-FILTER_BITS = 1 << 24
+FILTER_BITS = 1 << 27
+_LEAST = -(1 << 63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,41 +124,55 @@ def _classed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("class"), text.alias("text"))
 
 
-def _name(node: str = "node", rep: str = "rep") -> "F.Column":
-    """Hash of a class and the document that stands for it."""
-    return F.xxhash64(node, rep)
+def node_key(rep: Column, kind: Column) -> Column:
+    """Name of a class: its least doc_id (null last) and its MD5, so that of two names the lesser has the lesser doc_id."""
+    value = F.unhex(F.lpad(F.hex(rep.bitwiseXOR(F.lit(_LEAST))), 16, "0"))
+    return F.concat(F.when(rep.isNull(), F.unhex(F.lit("01" + 16 * "F"))).otherwise(F.concat(F.unhex(F.lit("00")), value)), kind)
+
+
+def rep_of(node: Column) -> Column:
+    """The least doc_id of a class, from its name."""
+    value = F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(_LEAST))
+    return F.when(F.hex(F.substring(node, 1, 1)) == "00", value)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, hashes, counts) of the classes ``wanted`` (node, rep).
+    """(node, hashes, counts) of the classes ``wanted`` (node).
 
-    Texts are read again where they lie. A filter of FILTER_BITS bits, made of
-    the wanted representatives, passes them and a few others, which the join
-    drops; only what passes is shuffled. With more representatives than the
-    filter can tell apart it passes more, and the join still decides.
+    Texts are read again where they lie. A filter made of the wanted classes'
+    names passes their least documents and a few others, which the join drops;
+    only what passes is shuffled. The filter grows with the classes up to
+    ``FILTER_BITS``; beyond that it passes more, and the join still decides.
     """
-    bit = F.pmod(_name(), F.lit(FILTER_BITS))
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (8 * wanted.count()).bit_length()))
+    bit = F.pmod(F.xxhash64("node"), F.lit(bits))
     words = wanted.select(F.floor(bit / 64).cast("int").alias("w"), F.pmod(bit, F.lit(64)).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
-    table = np.zeros(FILTER_BITS // 64, np.uint64)
+    table = np.zeros(bits // 64, np.uint64)
     got = words.toArrow()  # FILTER_BITS / 64 rows at most
     table[got.column("w").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    shipped = docs.sparkSession.sparkContext.broadcast(np.packbits(np.unpackbits(table.view(np.uint8), bitorder="little"), bitorder="little"))
+    shipped = docs.sparkSession.sparkContext.broadcast(table.view(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shipped.value
+        seen: set[bytes] = set()  # wanted classes that this task has sent: copies without an id, or with the same one
         for batch in batches:
-            name = batch.column("name").to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(FILTER_BITS - 1)
+            name = batch.column("name").to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(bits - 1)
             ok = (known[(name >> np.uint64(3)).astype(np.int64)] >> (name & np.uint64(7)).astype(np.uint8)) & 1
-            chosen = batch.filter(pa.array(ok.astype(bool)))
-            for part in tk.slices(iter([chosen]), "text"):
+            chosen = []
+            for k in np.flatnonzero(ok):
+                node = batch.column("node")[int(k)].as_py()
+                if node not in seen:
+                    seen.add(node)
+                    chosen.append(k)
+            for part in tk.slices(iter([batch.take(pa.array(chosen, pa.int64()))]), "text"):
                 rows, hashes, counts = _weighted(part.column("text"))
                 at = np.searchsorted(rows, np.arange(part.num_rows + 1))
                 blobs = [[a[at[k] : at[k + 1]].astype(t).tobytes() for k in range(part.num_rows)] for a, t in ((hashes, np.uint64), (counts, np.uint32))]
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("rep"), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], ["node", "rep", "hashes", "counts"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], ["node", "hashes", "counts"])
 
-    source = _classed(docs).select(F.col("class").alias("node"), F.col("doc_id").alias("rep"), "text").withColumn("name", _name())
-    sets = source.mapInArrow(run, "node binary, rep long, hashes binary, counts binary")
-    return sets.join(wanted, ["node", "rep"], "left_semi").dropDuplicates(["node"]).select("node", "hashes", "counts")
+    source = _classed(docs).select(node_key(F.col("doc_id"), F.col("class")).alias("node"), "text").withColumn("name", F.xxhash64("node"))
+    sets = source.mapInArrow(run, "node binary, hashes binary, counts binary")
+    return sets.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
@@ -178,7 +194,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose exact similarity reaches the threshold."""
+    """The (a, b) of ``pairs``, a written table, whose exact similarity reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +207,11 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "ca", "hb", "cb").mapInArrow(run, "a binary, b binary")
+    # a leader is in many pairs, on either side
+    total = pairs.count()
+    by_b = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    met = spread_join(spread_join(pairs, left, ["a"], total=total), right, ["b"], counts=by_b, total=total)
+    return met.select("a", "b", "ha", "ca", "hb", "cb").mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -199,28 +219,30 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large and small stars: every step gives each node's neighbours
     its least neighbour, until all edges lead to the least node of their
-    component.
+    component. A node with a large share of all edges is dealt over several
+    tasks in each step.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both if large else both.where("b < a")
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        joined = near.join(least, "a")
+        least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        joined = spread_join(near, least.select("a", "m"), ["a"], counts=least.select("a", "n"))
         if large:
             out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        return out.where("a != b").distinct()
+        return materialise(out.where("a != b").distinct(), "edges")
 
     current = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
-        after = materialise(star(star(current, True), False), "edges")
-        discard(current)
-        current = after
+        for large in (True, False):
+            after = star(current, large)
+            discard(current)
+            current = after
         # done when every node has one edge, to a node that has none
         parents = current.groupBy("a").agg(F.count("*").alias("n"))
-        if parents.where("n > 1").isEmpty() and parents.join(current.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+        if parents.where("n > 1").isEmpty() and current.select("b").distinct().join(current.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             break
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
@@ -255,17 +277,22 @@ def rare_prefix_pairs(nodes: DataFrame, sets: DataFrame, threshold: float) -> Da
     # a node whose shared shingles are too few, and too light, for the threshold has no partner; the others meet in their rarest
     by_set = (F.col("common") >= F.col("n") * threshold - 1e-9) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
     by_weight = (F.col("known") >= threshold - 1e-9) & (F.col("left") >= threshold - 1e-9)
+    # of two that reach the threshold, one has this much left after the first common shingle: the smaller, and the one with more weight left
+    half = 2 * threshold / (1 + threshold)
     able = placed.where(F.col("df").isNotNull()).withColumn("by_set", by_set).withColumn("by_weight", by_weight)
-    prefix = able.where("by_set or by_weight").select("node", "shingle", "n", "place", "left", "by_set", "by_weight", "even").join(nodes, "node")
-    # a shingle that only one component has joins nothing new
-    across = prefix.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("shingle")
+    able = able.withColumn("first", (F.col("by_set") & (1 + F.col("n") - F.col("place") >= F.col("n") * half - 1e-9)) | (F.col("by_weight") & (F.col("left") >= half - 1e-9)))
+    prefix = able.where("by_set or by_weight").select("node", "shingle", "n", "place", "left", "by_set", "by_weight", "even", "first").join(nodes, "node")
+    # a shingle that only one component has, or that nobody may meet others in, joins nothing new
+    across = prefix.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("first").alias("any")).where("lo != hi and any").select("shingle")
     prefix = materialise(prefix.join(across, "shingle"), "prefix")
-    other = prefix.select(F.col("node").alias("b"), "shingle", F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("left").alias("lb"), F.col("by_set").alias("sb"), F.col("by_weight").alias("wb"), F.col("even").alias("eb"), F.col("component").alias("cb"))
+    other = prefix.where("first").select(F.col("node").alias("b"), "shingle", F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("left").alias("lb"), F.col("by_set").alias("sb"), F.col("by_weight").alias("wb"), F.col("even").alias("eb"), F.col("component").alias("cb"))
     # from the first common shingle on, no more than the shorter rest, or the lighter, can be common
     enough = F.col("by_set") & F.col("sb") & (1 + F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb")) >= (F.col("n") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
     heavy = ~(F.col("even") & F.col("eb")) & F.col("by_weight") & F.col("wb") & (1 / F.col("left") + 1 / F.col("lb") - 1 <= 1 / threshold + 1e-9)
-    met = prefix.join(other, "shingle").where("node < b and component != cb").where(enough | heavy)
-    return met.select(F.col("node").alias("a"), "b").distinct()
+    met = spread_join(prefix, other, ["shingle"]).where("node != b and component != cb and not (first and node > b)").where(enough | heavy)
+    pairs = materialise(met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "pairs")
+    discard(prefix)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
@@ -281,42 +308,50 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     """
     sketched = materialise(sketches(docs, bands, band_rows), "sketches")
     worded = sketched.where("keys is not null")
-    classes = worded.groupBy(F.col("class").alias("node")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("keys").alias("keys"))
-    classes = materialise(classes, "classes")
+    classes = worded.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("keys").alias("keys"))
+    classes = materialise(classes.select("class", node_key(F.col("rep"), F.col("class")).alias("node"), "copies", "keys"), "classes")
+    used = [classes]
     buckets = classes.select("node", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialise(buckets.join(shared, "key"), "members")
-    wanted = members.select("node").distinct().join(classes.select("node", "rep"), "node").where("rep is not null")
+    wanted = materialise(members.select("node").distinct(), "wanted")
     sets = materialise(shingle_sets(docs, wanted), "sets")
+    used += [members, wanted, sets]
     links, group = None, None
     for turn in range(ROUNDS + 1):
         placed = members.withColumn("component", F.col("node")) if group is None else members.join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
         # the leader is the member that meets most others in all its buckets: a family's base rather than one of its variants
         degrees = placed.groupBy("node").agg(F.sum("n").alias("degree"))
         rank = F.struct(-F.col("degree"), F.xxhash64("node", F.pmod("key", F.lit(LEADERS))), "node", "component")
+        placed = materialise(placed, "placed")
         leads = placed.join(degrees, "node").groupBy("key").agg(F.min(rank).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-        leads = leads.select("key", F.col("lead.node").alias("leader"), F.col("lead.component").alias("own"))
-        met = materialise(placed.join(leads, "key").where("node != leader"), "met")
+        leads = materialise(leads.select("key", F.col("lead.node").alias("leader"), F.col("lead.component").alias("own")), "leads")
+        sizes = placed.select("key", "n").distinct()
+        met = materialise(spread_join(placed, leads, ["key"], counts=sizes).where("node != leader"), "met")
+        used += [placed, leads, met]
         if met.isEmpty():
             break
         if turn == ROUNDS:
-            rest = met.select("node", "component").union(met.select("leader", "own")).distinct()
+            rest = materialise(met.select("node", "component").union(met.select("leader", "own")).distinct(), "rest")
             pairs = rare_prefix_pairs(rest, sets, threshold)
+            used.append(rest)
         else:
-            pairs = met.where("component != own").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+            pairs = materialise(met.where("component != own").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "pairs")
         found = materialise(verified(pairs, sets, threshold), "links")
         links = found if links is None else links.unionByName(found)
         group = materialise(components(links), "groups")
         members = met.select("key", "node", "n")
-    if group is None:
-        grouped = classes.select("node", "rep", "copies", F.col("rep").alias("group_id"))
-    else:
-        placed = classes.select("node", "rep", "copies").join(group, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = placed.groupBy("component").agg(F.min("rep").alias("group_id"))
-        grouped = placed.join(least, "component").select("node", "rep", "copies", "group_id")
-    grouped = materialise(grouped, "grouped")
-    out = sketched.select("doc_id", F.when(F.col("keys").isNotNull(), F.col("class")).alias("node")).join(grouped, "node", "left")
-    return out.select("doc_id", F.lower(F.hex("node")).alias("class_id"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+        used += [pairs, found, group]
+    grouped = classes.select("class", "node", "copies")
+    if group is not None:
+        grouped = grouped.join(group, "node", "left").withColumn("node", F.coalesce("component", "node"))
+    grouped = materialise(grouped.select("class", "copies", rep_of(F.col("node")).alias("group_id")), "grouped")
+    for table in used:
+        discard(table)
+    # a class of copies may be a large share of all documents, and so may texts without a word
+    out = spread_join(worded.select("doc_id", "class"), grouped, ["class"], counts=grouped.select("class", F.col("copies").alias("n")))
+    out = out.select("doc_id", F.lower(F.hex("class")).alias("class_id"), "group_id", "copies")
+    return out.unionByName(sketched.where("keys is null").select("doc_id", F.lit(None).cast("string").alias("class_id"), F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("copies")))
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

@@ -3,8 +3,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from groundling.llm import near_dedup as nd
+from groundling.llm import skew
 from groundling.llm import textkernel as tk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -99,8 +101,8 @@ def test_rare_prefix_finds_every_link(spark):
     texts = [t for t in make_texts(9) if t]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").where("text is not null")
     sk = nd.sketches(docs, nd.BANDS, nd.BAND_ROWS).where("keys is not null")
-    classes = sk.groupBy(sk["class"].alias("node")).agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "rep")
-    sets = nd.shingle_sets(docs, classes)
+    classes = sk.groupBy("class").agg(F.min("doc_id").alias("rep")).select("rep", nd.node_key(F.col("rep"), F.col("class")).alias("node"))
+    sets = nd.shingle_sets(docs, classes.select("node"))
     pairs = nd.verified(nd.rare_prefix_pairs(classes.select("node", classes["node"].alias("component")), sets, 0.8), sets, 0.8)
     names = {bytes(r["node"]): r["rep"] for r in classes.collect()}
     got = {tuple(sorted((names[bytes(r["a"])], names[bytes(r["b"])]))) for r in pairs.collect()}
@@ -173,8 +175,8 @@ def test_rare_prefix_finds_links_by_weight(spark):
     assert len(by_weight) > 20
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sk = nd.sketches(docs, nd.BANDS, nd.BAND_ROWS)
-    classes = sk.select(sk["class"].alias("node"), sk["doc_id"].alias("rep"))
-    sets = nd.shingle_sets(docs, classes)
+    classes = sk.select(nd.node_key(F.col("doc_id"), F.col("class")).alias("node"), F.col("doc_id").alias("rep"))
+    sets = nd.shingle_sets(docs, classes.select("node"))
     pairs = nd.verified(nd.rare_prefix_pairs(classes.select("node", classes["node"].alias("component")), sets, 0.8), sets, 0.8)
     names = {bytes(r["node"]): r["rep"] for r in classes.collect()}
     assert {tuple(sorted((names[bytes(r["a"])], names[bytes(r["b"])]))) for r in pairs.collect()} == want
@@ -193,3 +195,68 @@ def test_a_leader_that_links_to_neither_parts_nothing(spark):
             component = [lo if c == hi else c for c in component]
     rows = {r["doc_id"]: r["group_id"] for r in nd.near_duplicates(docs, bands=1, band_rows=1).collect()}
     assert [rows[i] for i in range(len(texts))] == component
+
+
+def test_names_of_classes_sort_by_id(spark):
+    ids = [None, -(1 << 63), -7, -1, 0, 3, 255, 256, (1 << 63) - 1]
+    rows = spark.createDataFrame([(i, bytes([k] * 16)) for k, i in enumerate(ids)], "rep long, kind binary").select("rep", nd.node_key(F.col("rep"), F.col("kind")).alias("node"))
+    got = [(r["rep"], r["back"]) for r in rows.withColumn("back", nd.rep_of(F.col("node"))).orderBy("node").collect()]
+    assert [r for r, _ in got] == [*ids[1:], None] and all(a == b for a, b in got)
+
+
+def test_near_copies_without_an_id_are_linked(spark):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    near = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in (5, 40, 75)]
+    rows = [(7, " ".join(base)), (None, near[0]), (None, near[0]), (None, near[1]), (9, near[2]), (None, "some other words that stand alone here"), (None, " ".join(base[:40])), (None, " ".join([*base[:39], "z"]))]
+    got = sorted((r["group_id"] is None, r["group_id"] or 0, r["copies"]) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(False, 7, 1)] * 3 + [(False, 7, 2)] * 2 + [(True, 0, 1)] * 3
+
+
+def test_a_hot_key_loses_and_doubles_nothing(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    values = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, rows.join(values, "k", how).select("k", "v", F.coalesce("x", F.lit(-1))).collect()))
+        assert sorted(map(tuple, skew.spread_join(rows, values, ["k"], how).select("k", "v", F.coalesce("x", F.lit(-1))).collect())) == want
+    assert skew.spread_join(rows.limit(0), values, ["k"]).count() == 0
+
+
+def test_every_link_of_a_table_with_repetitions(spark):
+    """sf0.01 with planted near copies that repeat lines: groups are those of all pairs."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    rng = random.Random(2)
+    for k, (_, text) in enumerate(docs[:200]):
+        words = WORD.findall(text or "")
+        if len(words) >= 30:
+            at = rng.randrange(len(words) - 8)
+            docs.append((10**6 + k, " ".join([*words, *(words[at : at + 8] * rng.choice([1, 20, 60]))])))
+    got = {r["doc_id"]: r["group_id"] for r in nd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()}
+    rows, hashes, counts = nd._weighted(__import__("pyarrow").array([t for _, t in docs]))
+    first = np.searchsorted(rows, np.arange(len(docs) + 1))
+    sets = [(hashes[a:b], nd.weights(counts[a:b])) for a, b in zip(first[:-1], first[1:])]
+    owners, links = {}, set()
+    for i, (own, _) in enumerate(sets):
+        for h in own.tolist():
+            owners.setdefault(h, []).append(i)
+    shared = {}
+    for each in owners.values():
+        for x in range(len(each)):
+            for y in range(x):
+                shared[each[y], each[x]] = shared.get((each[y], each[x]), 0) + 1
+    for (i, j), n in shared.items():
+        if n >= 0.3 * max(len(sets[i][0]), len(sets[j][0])) and max(nd.similarity(sets[i], sets[j])) >= 0.8:
+            links.add((i, j))
+    group = list(range(len(docs)))
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i, j in links:
+        group[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        least[find(i)] = min(d, least.get(find(i), d))
+    assert len(links) > 150 and all(got[d] == least[find(i)] for i, (d, _) in enumerate(docs))
