@@ -2,8 +2,9 @@
 
 A job's intermediate tables go to the folder that the cluster names in
 ``spark.checkpoint.dir``: every executor sees it, so a lost executor costs a
-re-read and never a wrong or missing result. Only where that setting is unset
-(tests, a laptop) a local temporary folder stands in.
+re-read and never a wrong or missing result. Where that setting is unset, a
+local temporary folder stands in for a local master (tests, a laptop); any
+other master is refused, as its executors would write to disks of their own.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="groundling-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
@@ -50,9 +53,14 @@ def discard(df: DataFrame) -> None:
         _WRITTEN[:] = [other for other in _WRITTEN if other is not df]
 
 
-def sweep() -> int:
-    """Delete all tables of :func:`materialise` that are left, once results that read them are saved; how many there were."""
-    left = list(_WRITTEN)
+def written() -> list[DataFrame]:
+    """Tables of :func:`materialise` that are not deleted yet."""
+    return list(_WRITTEN)
+
+
+def sweep(keep: list[DataFrame] | None = None) -> int:
+    """Delete all tables of :func:`materialise` that are left but ``keep``, once results that read them are saved; how many there were."""
+    left = [df for df in _WRITTEN if not any(df is other for other in keep or [])]
     for df in left:
         discard(df)
     return len(left)
