@@ -14,7 +14,7 @@ from groundling.llm.language_id import fit_profiles, keep_known_language, traini
 from groundling.llm.near_dedup import keep_one
 from groundling.llm.packing import pack
 from groundling.llm.quality_rules import keep_good
-from groundling.session import discard, materialise
+from groundling.session import discard, materialise, sweep, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +51,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
+        before = written()
         kept = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             kept = materialise(kept, f"stage{k}")
             discard(docs)  # does nothing to the input table
+            sweep([*before, kept])  # what the stage wrote on its way
         docs = kept
     return docs
