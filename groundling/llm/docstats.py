@@ -71,15 +71,16 @@ def slice_stats(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and COUNTS (long) of every whole text; a null text counts as empty, repeated rows stay."""
+    """``doc_id``, ``text_class`` (MD5 of the text) and COUNTS (long) of every whole text; a null text counts as empty, repeated rows stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tk.slices(batches, "text"):
             stats = slice_stats(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(stats[k]) for k in COUNTS)], ["doc_id", *COUNTS])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("text_class"), *(pa.array(stats[k]) for k in COUNTS)], ["doc_id", "text_class", *COUNTS])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in COUNTS))
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.coalesce(text, F.lit(""))).alias("text_class"), text.alias("text"))
+    return source.mapInArrow(run, "doc_id long, text_class string, " + ", ".join(f"{k} long" for k in COUNTS))
 
 
 def one_label(labels: DataFrame, column: str, keep: str = "min", id_col: str = "doc_id") -> DataFrame:

@@ -10,11 +10,21 @@ confidence is divided among all rules and strata (Bonferroni). With
 probability at least ``1 - delta`` every stratum therefore loses at most
 ``alpha`` of its good documents. Among the proven cutoffs of a rule the most
 lenient one is taken that catches as many labelled bad documents as the
-strictest; a rule that catches none is off. A stratum with too few labelled documents to
-prove anything keeps the lenient end: the rule is off there.
+strictest; a rule that catches none of them is off.
 
-What the driver sees is a histogram of labelled documents: rules x strata x
-grid, whatever the table's size.
+A trial is one text: however many ids a text stands under, and however many
+rows an id has, they are one trial, so copies prove nothing twice. The bound
+is on good texts drawn like the labelled ones; near copies among these are
+trials of their own although they fare alike, which makes the bound as much
+too sure as families of near copies are large.
+
+To prove anything, ``least_trials`` good texts must all pass (1,030 by
+default). Neighbouring strata are joined until each has as many; the numbers
+of trials alone decide that, not what the rules do to them. With fewer in all
+the rules are off.
+
+What the driver sees is a histogram of labelled texts: rules x strata x grid,
+whatever the table's size.
 """
 
 from __future__ import annotations
@@ -84,26 +94,73 @@ def stratum() -> Column:
     return out
 
 
+def binomial_tail(k: int, n: int, p: float) -> float:
+    """P(X <= k) of n trials at rate p: the regularised incomplete beta function I(1 - p; n - k, k + 1), by its continued fraction."""
+    if k >= n or p <= 0:
+        return 1.0
+    if k < 0 or p >= 1:
+        return 0.0
+    a, b, x = float(n - k), float(k + 1), 1.0 - p
+    if x >= (a + 1) / (a + b + 2):  # the fraction is quick on one side; the other is the complement
+        return 1.0 - _beta_part(b, a, p)
+    return _beta_part(a, b, x)
+
+
+def _beta_part(a: float, b: float, x: float) -> float:
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1) or tiny)
+    out = d
+    for m in range(1, 100_000):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / (1.0 + term * d or tiny)
+            c = 1.0 + term / c or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return front * out
+
+
 def binomial_upper(k: int, n: int, delta: float) -> float:
     """Exact upper bound at confidence ``1 - delta`` for a rate seen ``k`` times in ``n``."""
     if n <= 0 or k >= n:
         return 1.0
-
-    def below(p: float) -> float:  # P(X <= k)
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-        top = max(logs)
-        return math.exp(top) * math.fsum(math.exp(x - top) for x in logs)
-
     lo, hi = k / n, 1.0
     for _ in range(60):
         mid = (lo + hi) / 2
-        if mid <= 0 or below(mid) > delta:
-            lo = mid
-        else:
-            hi = mid
+        lo, hi = (mid, hi) if binomial_tail(k, n, mid) > delta else (lo, mid)
     return hi
 
 
+def most_rejections(n: int, rate: float, delta: float) -> int:
+    """The largest k whose upper bound in n trials is within ``rate``; -1 if not even none rejected proves it."""
+    lo, hi = -1, max(0, math.floor(rate * n))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if binomial_tail(mid, n, rate) <= delta else (lo, mid - 1)
+    return lo
+
+
+def least_trials(rate: float, delta: float) -> int:
+    """Trials that prove a rate when none is rejected."""
+    return math.ceil(math.log(delta) / math.log1p(-rate))
+
+
+def joined_strata(totals: dict[int, int], alpha: float, delta: float, rules: tuple[Rule, ...] = RULES) -> dict[int, int]:
+    """Stratum of proof of each stratum: neighbours are joined until each has trials enough to prove something."""
+    need = least_trials(alpha / len(rules), delta / (len(rules) * len(STRATA)))
+    out, at, have = {}, 0, 0
+    for s in range(len(STRATA)):
+        out[s] = at
+        have += totals.get(s, 0)
+        if have >= need:
+            at, have = s + 1, 0
+    if at < len(STRATA) and have < need and at:  # too few are left over: with those before
+        last = out[at - 1]
+        out = {s: last if t == at else t for s, t in out.items()}
+    return out
+
+
 def choose_cutoffs(rejections: dict[tuple[str, int], list[int]], totals: dict[int, int], alpha: float, delta: float, caught: dict[tuple[str, int], list[int]] | None = None, rules: tuple[Rule, ...] = RULES) -> dict[tuple[str, int], float]:
     """A proven cutoff of each rule and stratum; absent where none is proven or none is of use.
 
@@ -113,23 +170,35 @@ def choose_cutoffs(rejections: dict[tuple[str, int], list[int]], totals: dict[in
     catches what the strictest does; without bad documents, the strictest.
     """
     share, level = alpha / len(rules), delta / (len(rules) * len(STRATA))
+    most = {s: most_rejections(n, share, level) for s, n in totals.items()}
     out = {}
     for rule in rules:
-        for s, n in totals.items():
+        for s in totals:
             zeros = [0] * (rule.steps + 1)
             bad = (caught or {}).get((rule.name, s))
             best = 0
             for g, (cutoff, k) in enumerate(zip(rule.grid(), rejections.get((rule.name, s), zeros), strict=True)):
-                if k > share * n or binomial_upper(k, n, level) > share:
+                if k > most[s]:
                     break
                 if bad is None or bad[g] > best:
                     out[rule.name, s], best = cutoff, bad[g] if bad else 0
     return out
 
 
-def fit_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float, delta: float, label_col: str = "quality") -> dict[tuple[str, int], float]:
-    """Cutoffs from all labelled documents of ``stats`` that the base rules keep."""
+def trials(stats: DataFrame, labels: DataFrame, label_col: str = "quality") -> DataFrame:
+    """One row per labelled text of ``stats`` that the base rules keep.
+
+    Of an id with several texts the least counts, of a text with several
+    labels the lowest.
+    """
     known = stats.where(~base_failed()).join(one_label(labels, label_col).where("label in (0, 1)"), "doc_id")
+    per_id = known.groupBy("doc_id").agg(F.min_by(F.struct("label", "text_class", *COUNTS), "text_class").alias("t")).select("t.*")
+    return per_id.groupBy("text_class").agg(F.min_by(F.struct("label", *COUNTS), "label").alias("t")).select("t.*")
+
+
+def fit_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float, delta: float, label_col: str = "quality") -> dict[tuple[str, int], float]:
+    """Cutoffs by rule and stratum, from all :func:`trials`."""
+    known = trials(stats, labels, label_col)
     columns = []
     for rule in RULES:
         step = (rule.high - rule.low) / rule.steps
@@ -152,9 +221,18 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float, delta: float,
         return out
 
     good = {s: n for (label, s), n in totals.items() if label == 1}
-    rejections = {(rule.name, s): running(1, rule, s) for rule in RULES for s in good}
-    caught = {(rule.name, s): running(0, rule, s) for rule in RULES for s in good if totals.get((0, s))}
-    return choose_cutoffs(rejections, good, alpha, delta, caught)
+    proof = joined_strata(good, alpha, delta)
+    zeros = {rule.name: [0] * (rule.steps + 1) for rule in RULES}
+    rejections, caught = {}, {}
+    for s, to in proof.items():
+        for rule in RULES:
+            for label, table in ((1, rejections), (0, caught)):
+                if totals.get((label, s)):
+                    before = table.get((rule.name, to), zeros[rule.name])
+                    table[rule.name, to] = [x + y for x, y in zip(before, running(label, rule, s), strict=True)]
+    joined = {to: sum(good.get(s, 0) for s, t in proof.items() if t == to) for to in set(proof.values())}
+    chosen = choose_cutoffs(rejections, joined, alpha, delta, caught)
+    return {(name, s): chosen[name, to] for s, to in proof.items() for name in zeros if (name, to) in chosen}
 
 
 def base_failed() -> Column:
@@ -183,7 +261,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta
     the rejecting rule's name or null). Null and empty texts have no words and
     fail the base rules. Without labels no rule is proven and only the base
     rules reject. A document labelled more than once counts with its lowest
-    label; other columns of either table are ignored.
+    label; a label other than 0 and 1 is none; a value that equals its cutoff
+    is kept. Repeated rows are judged alike; other columns of either table are
+    ignored.
     """
     stats = materialise(document_stats(docs), "rule-stats")
     cutoffs = fit_cutoffs(stats, labels, alpha, delta)
@@ -196,7 +276,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: fl
     added = [(name, T.LongType()) for name in COUNTS]
     counted = materialise(tk.annotate(docs, added, lambda text: list(map(pa.array, slice_stats(text).values()))), "counted")
     ids = f"c{docs.columns.index('doc_id')}"
-    cutoffs = fit_cutoffs(counted.select(F.col(ids).cast("long").alias("doc_id"), *COUNTS), labels, alpha, delta)
+    text = F.col(f"c{docs.columns.index('text')}").cast("string")
+    cutoffs = fit_cutoffs(counted.select(F.col(ids).cast("long").alias("doc_id"), F.md5(F.coalesce(text, F.lit(""))).alias("text_class"), *COUNTS), labels, alpha, delta)
     return tk.restore(counted.where(~base_failed() & rejected_by(cutoffs).isNull()), docs)
 
 
