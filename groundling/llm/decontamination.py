@@ -10,18 +10,25 @@ the class lies whole in some window, and is at least a fixed share of it.
 Windows and items have one-permutation MinHash signatures of ``16 * 2^c``
 bins (a bin's smallest shingle hash). An item and a window are candidates when
 some bin agrees. There are four times as many bins as a window has shingles, so
-that a bin of a contained item agrees with a probability of nearly 0.9: in
+that a bin of a contained item agrees with a probability of nearly 0.9. Of an
+item's bins those whose shingles the fewest items share are used, as many as
+may be missing and ``SURE`` more: at least ``SURE`` used bins stand in the
+document, and boilerplate of many items is no candidate's only ground. In
 100,000 simulated searches each, no item of eight or eleven shingles was missed,
-whole or contained to 0.8 (tests repeat a smaller simulation). Of items with
-fewer than ``LEAST_SIGNED`` shingles a window's neighbours would hide some, so
-these have no signatures: every document that shares a shingle is a candidate.
-
-Candidates are verified by exact containment of the item's set of shingle
-strings in the document's. Before any signature is made, a filter of fixed
-size drops shingles that no item has, and a document without any is done: a
-shingle that no item has can neither be the minimum of an item's bin nor count
-for containment, but it can hide one in a window's bin, which is why windows
-are cut and signed from all shingles of the documents that remain.
+whole or contained to 0.8 (tests repeat a smaller simulation).
+
+An item so small that a window's neighbours could hide all of it (fewer than
+seven shingles must be there) has its rarest shingles as signature, one more
+than may be missing, and meets every document that has one of them: a document
+without any cannot contain it, so this search misses nothing.
+
+Candidates, and only they, are verified by exact containment of the item's set
+of shingle strings in the document's. Before any signature is made, a filter of
+fixed size drops shingles that no item has, and a document without any is done:
+a shingle that no item has can neither be the minimum of an item's bin nor
+count for containment, but it can hide one in a window's bin, which is why
+windows are cut and signed from all shingles of the documents that remain. A
+document with no value of any item's signature is done then.
 """
 
 from __future__ import annotations
@@ -32,13 +39,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from groundling.llm import textkernel as tk
-from groundling.session import materialise
+from groundling.llm.skew import spread_join
+from groundling.session import discard, materialise
 
 WIDTH = 5
 CONTAINMENT = 0.8
-LEAST_SIGNED = 8
+#: Used bins that stand in a document which contains the item.
+SURE = 8
+#: Size class of the items that have their rarest shingles as signature.
+SMALL = -1
 FILTER_BITS = 1 << 23
 _SALT = np.uint64(0x2545F4914F6CDD1D)
 
@@ -47,18 +59,18 @@ def _bins(size_class: int) -> int:
     return 16 << size_class
 
 
-def _classes(n: np.ndarray) -> np.ndarray:
-    """Size class of each count of distinct shingles."""
-    return np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
+def _place(hashes: np.ndarray) -> np.ndarray:
+    """Where each hash stands in the permutation, 63 bits."""
+    return (tk.mix(hashes ^ _SALT) >> np.uint64(1)).view(np.int64)
 
 
 def signatures(rows: np.ndarray, hashes: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bin, smallest hash) of one-permutation MinHash; bins without a hash are left out."""
     if not len(hashes):
         return rows, np.zeros(0, np.int64), hashes
-    permuted = tk.mix(hashes ^ _SALT)
-    bin_of = (permuted % np.uint64(bins)).astype(np.int64)
-    order = np.lexsort((permuted, bin_of, rows))
+    place = _place(hashes)
+    bin_of = place % bins
+    order = np.lexsort((place, bin_of, rows))
     r, b = rows[order], bin_of[order]
     new = np.ones(len(r), bool)
     new[1:] = (r[1:] != r[:-1]) | (b[1:] != b[:-1])
@@ -66,58 +78,70 @@ def signatures(rows: np.ndarray, hashes: np.ndarray, bins: int) -> tuple[np.ndar
     return rows[at], bin_of[at], hashes[at]
 
 
-def _strings(raw: np.ndarray, words: tk.Words, row: int, at: np.ndarray) -> list[str]:
-    """Text of the shingles that start at words ``at`` of a row (joined by single spaces)."""
-    last = words.first[row + 1]
-    return [" ".join(raw[words.start[j] : words.end[j]].tobytes().decode() for j in range(i, min(i + WIDTH, last))) for i in at]
-
-
 class _Shingled:
     """Shingle hashes of a slice by row, in the order of the text."""
 
     def __init__(self, column: pa.Array):
         self.raw, off = tk.utf8(column)
         self.words = tk.Words(self.raw, off)
-        hashes = tk.hash_spans(self.raw, self.words.start, self.words.end)
-        self.hash, self.row = tk.shingles(hashes, self.words.first, WIDTH)
+        self.of_words = tk.hash_spans(self.raw, self.words.start, self.words.end)
+        self.hash, self.row = tk.shingles(self.of_words, self.words.first, WIDTH)
         self.first = np.searchsorted(self.row, np.arange(len(off)))
 
+    def runs(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, row and first word of every run of ``width`` words."""
+        hashes, rows = tk.shingles(self.of_words, self.words.first, width, short=False)
+        count = self.words.count
+        place = np.arange(len(self.of_words)) - np.repeat(self.words.first[:-1], count)
+        return hashes, rows, np.flatnonzero(place + width <= np.repeat(count, count))
+
+    def strings(self, row: int, at: np.ndarray | list[int], width: int = WIDTH) -> list[str]:
+        """Text of the shingles that start at words ``at`` of a row (joined by single spaces)."""
+        last, words = self.words.first[row + 1], self.words
+        return [" ".join(self.raw[words.start[j] : words.end[j]].tobytes().decode() for j in range(i, min(i + width, last))) for i in at]
+
 
-def item_tables(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Signatures (size_class, bin, value, item_id) and shingles (item_id, shingle, n_shingles) of all items."""
+def item_shingles(items: DataFrame) -> DataFrame:
+    """(item_id, shingle, value, place, n_shingles): distinct shingles of all items, their hash and its place in the permutation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tk.slices(batches, "text"):
             s = _Shingled(part.column("text"))
             ids = part.column("item_id").to_pylist()
-            out: list[list] = [[], [], [], [], [], []]
             for k in range(part.num_rows):
-                own = s.hash[s.first[k] : s.first[k + 1]]
-                unique, place = np.unique(own, return_index=True)
-                if not len(unique):
-                    continue
-                c = int(_classes(np.array([len(unique)]))[0])
-                _, bins, values = signatures(np.zeros(len(unique), np.int64), unique, _bins(c))
-                sign = dict(zip(values.tolist(), bins.tolist(), strict=True))
-                texts = _strings(s.raw, s.words, k, place + s.words.first[k])
-                for h, text in zip(unique.tolist(), texts, strict=True):
-                    for column, value in zip(out, (ids[k], len(unique), c, sign.get(h, -1), h - (1 << 64) if h >> 63 else h, text), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["item_id", "n_shingles", "size_class", "bin", "value", "shingle"])
+                unique, at = np.unique(s.hash[s.first[k] : s.first[k + 1]], return_index=True)
+                texts = s.strings(k, at + s.words.first[k])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[k]] * len(unique), pa.int64()), pa.array(texts, pa.string()), pa.array(unique.view(np.int64)), pa.array(_place(unique))], ["item_id", "shingle", "value", "place"])
 
     source = items.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    rows = materialise(source.mapInArrow(run, "item_id long, n_shingles long, size_class int, bin int, value long, shingle string"), "items")
-    return rows.where("bin >= 0").select("size_class", "bin", "value", "item_id"), rows.select("item_id", "shingle", "n_shingles", "value")
-
-
-def shingle_filter(shingles: DataFrame) -> np.ndarray:
-    """Bitmap of FILTER_BITS bits with those of all item shingles set: 64-bit words, added up before the driver sees them."""
+    rows = source.mapInArrow(run, "item_id long, shingle string, value long, place long").dropDuplicates(["item_id", "shingle"])
+    return rows.withColumn("n_shingles", F.count("*").over(Window.partitionBy("item_id")))
+
+
+def item_signatures(shingles: DataFrame, threshold: float) -> DataFrame:
+    """(size_class, bin, value, item_id): what a document must share one of to be a candidate."""
+    least = F.ceil(F.col("n_shingles") * threshold - 1e-9)
+    signed = least >= SURE - 1
+    size_class = F.when(signed, F.length(F.bin("n_shingles")) - 1).otherwise(SMALL).cast("int")
+    binned = shingles.select("item_id", "value", "n_shingles", "place", size_class.alias("size_class"))
+    bins = F.expr("shiftleft(16L, greatest(size_class, 0))")
+    binned = binned.withColumn("bin", F.when(F.col("size_class") == SMALL, 0).otherwise(F.pmod("place", bins)).cast("int"))
+    first = F.row_number().over(Window.partitionBy("item_id", "bin").orderBy("place", "value"))
+    minima = binned.withColumn("nth", first).where((F.col("size_class") == SMALL) | (F.col("nth") == 1))
+    common = shingles.groupBy("value").agg(F.count("*").alias("items"))
+    used = F.col("n_shingles") - least + F.when(F.col("size_class") == SMALL, 1).otherwise(SURE)
+    ranked = minima.join(common, "value").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("items", "place", "value")))
+    return ranked.where(F.col("rank") <= used).select("size_class", "bin", "value", "item_id")
+
+
+def value_filter(values: DataFrame) -> np.ndarray:
+    """Bitmap of FILTER_BITS bits with those of all values set: 64-bit words, added up before the driver sees them."""
     bit = F.pmod("probe", F.lit(FILTER_BITS))
-    probes = shingles.select(F.explode(F.array(F.col("value"), F.shiftrightunsigned("value", 32))).alias("probe"))
+    probes = values.select(F.explode(F.array(F.col("value"), F.shiftrightunsigned("value", 32))).alias("probe"))
     words = probes.select(F.floor(bit / 64).cast("int").alias("w"), F.pmod(bit, F.lit(64)).cast("int").alias("b")).groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
     out = np.zeros(FILTER_BITS // 64, np.uint64)
-    for row in words.collect():  # FILTER_BITS / 64 rows at most
-        out[row["w"]] = row["bits"] & ((1 << 64) - 1)
+    got = words.toArrow()  # FILTER_BITS / 64 rows at most
+    out[got.column("w").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
@@ -148,50 +172,51 @@ def _windows(first: np.ndarray, rows: np.ndarray, size_class: int) -> tuple[np.n
     return np.concatenate(index), np.concatenate(window)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
-    """Pairs of a document and a test item that it contains.
-
-    One row per pair with containment (distinct item shingles that the
-    document has, over all distinct item shingles) of ``threshold`` or more:
-    doc_id, item_id, n_shingles, n_shared (long), containment (double).
-    Shingles are runs of five words; a text of one to four words is a single
-    shingle of all of them. Null, empty and wordless texts contain nothing and
-    are contained in nothing. Rows that repeat a doc_id are one document,
-    items that repeat an item_id one item; rows without an id are left out,
-    as are other columns.
-    """
+def probes(docs: DataFrame, shingles: DataFrame, signs: DataFrame) -> DataFrame:
+    """What documents have of the items: rows (doc_id, size_class, bin, value) of signatures and, of the documents with such a row, rows (doc_id, shingle)."""
     spark = docs.sparkSession
-    signs, shingles = item_tables(items)
-    signs = signs.where(F.col("size_class") >= int(_classes(np.array([LEAST_SIGNED]))[0]))
     classes = sorted(r[0] for r in signs.select("size_class").distinct().collect())  # some twenty at most
-    shipped = spark.sparkContext.broadcast(shingle_filter(shingles))  # FILTER_BITS flags, whatever the items
+    n_words = F.size(F.split("shingle", " "))
+    widths = sorted(r[0] for r in shingles.select(n_words.alias("n")).where(F.col("n") < WIDTH).distinct().collect())  # 1 to 4
+    shipped = spark.sparkContext.broadcast(tuple(np.packbits(value_filter(t.select("value")), bitorder="little") for t in (shingles, signs)))  # FILTER_BITS flags each, whatever the items
     schema = "doc_id long, size_class int, bin int, value long, shingle string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shipped.value
+        known, signed = (np.unpackbits(x, bitorder="little").astype(bool) for x in shipped.value)
         for part in tk.slices(batches, "text"):
             s = _Shingled(part.column("text"))
-            hit = np.flatnonzero(passes(known, s.hash))
-            if not len(hit):
-                continue
-            rows = np.unique(s.row[hit])
             ids = part.column("doc_id").to_pylist()
             out: list[list] = [[], [], [], [], []]
+            found: list[np.ndarray] = []
+            for width in widths:  # items shorter than a shingle: runs of their length
+                runs, of, at = s.runs(width)
+                mine = np.flatnonzero(passes(signed, runs))
+                values, first = np.unique(np.rec.fromarrays([of[mine], runs[mine].view(np.int64)]), return_index=True)
+                for row, value, k in zip(values["f0"].tolist(), values["f1"].tolist(), at[mine][first].tolist(), strict=True):
+                    for column, x in zip(out, ((ids[row],) * 2, (SMALL, None), (0, None), (value, None), (None, *s.strings(row, [k], width))), strict=True):
+                        column.extend(x)
+            hit = np.flatnonzero(passes(known, s.hash))
+            rows = np.unique(s.row[hit])
             for c in classes:
-                at, window = _windows(s.first, rows, c)
-                w, bins, values = signatures(window, s.hash[at], _bins(c))
-                owner = np.zeros(int(window.max()) + 1 if len(window) else 0, np.int64)
-                owner[window] = s.row[at]
-                keep = passes(known, values)
-                found = np.unique(np.rec.fromarrays([owner[w[keep]], bins[keep], values[keep].view(np.int64)]))
-                out[0].extend(ids[r] for r in found["f0"])
-                out[1].extend([c] * len(found))
-                out[2].extend(found["f1"].tolist())
-                out[3].extend(found["f2"].tolist())
-                out[4].extend([None] * len(found))
-            for row in rows:
-                mine = hit[(hit >= s.first[row]) & (hit < s.first[row + 1])]
-                texts = sorted(set(_strings(s.raw, s.words, row, mine - s.first[row] + s.words.first[row])))
+                if c == SMALL:
+                    of, bins, values = s.row[hit], np.zeros(len(hit), np.int64), s.hash[hit]
+                else:
+                    at, window = _windows(s.first, rows, c)
+                    w, bins, values = signatures(window, s.hash[at], _bins(c))
+                    owner = np.zeros(int(window.max()) + 1 if len(window) else 0, np.int64)
+                    owner[window] = s.row[at]
+                    of = owner[w]
+                keep = passes(signed, values)
+                each = np.unique(np.rec.fromarrays([of[keep], bins[keep], values[keep].view(np.int64)]))
+                found.append(each["f0"])
+                out[0].extend(ids[r] for r in each["f0"])
+                out[1].extend([c] * len(each))
+                out[2].extend(each["f1"].tolist())
+                out[3].extend(each["f2"].tolist())
+                out[4].extend([None] * len(each))
+            for row in np.unique(np.concatenate(found)).astype(np.int64) if found else ():
+                mine = hit[np.searchsorted(hit, s.first[row]) : np.searchsorted(hit, s.first[row + 1])]
+                texts = sorted(set(s.strings(row, mine - s.first[row] + s.words.first[row])))
                 out[0].extend([ids[row]] * len(texts))
                 for column in out[1:4]:
                     column.extend([None] * len(texts))
@@ -199,12 +224,41 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = CONTAINM
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["doc_id", "size_class", "bin", "value", "shingle"])
 
     source = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    probes = materialise(source.mapInArrow(run, schema), "probes")
-    candidates = probes.where("bin is not null").join(signs, ["size_class", "bin", "value"]).select("doc_id", "item_id").distinct().withColumn("met", F.lit(True))
-    shared = probes.where("shingle is not null").select("doc_id", "shingle").distinct().join(shingles.select("item_id", "shingle", "n_shingles"), "shingle")
+    return source.mapInArrow(run, schema)
+
+
+def candidates(found: DataFrame, signs: DataFrame) -> DataFrame:
+    """(doc_id, item_id) that share a value of a signature; ``found`` is the written table of :func:`probes`."""
+    rows = found.where("bin is not null").select("doc_id", "size_class", "bin", "value")
+    return spread_join(rows, signs, ["size_class", "bin", "value"]).select("doc_id", "item_id").distinct()
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
+    """Pairs of a document and a test item that it contains.
+
+    One row per pair with containment (distinct item shingles that the
+    document has, over all distinct item shingles) of ``threshold`` or more:
+    doc_id, item_id, n_shingles, n_shared (long), containment (double).
+    Shingles are runs of five words. An item of one to four words is a single
+    shingle of all of them, which a document has where these words stand in a
+    run. Null, empty and wordless texts contain nothing and are contained in
+    nothing. Rows that repeat a doc_id are one document with
+    the shingles of all, and so are rows that repeat an item_id; rows without
+    an id are left out, as are other columns.
+    """
+    shingles = materialise(item_shingles(items), "items")
+    signs = materialise(item_signatures(shingles, threshold), "signs")
+    found = materialise(probes(docs, shingles, signs), "probes")
+    met = materialise(candidates(found, signs), "candidates")
+    # only candidates' shingles are looked up: no document meets an item for a shingle that many have
+    asked = spread_join(met, shingles.select("item_id", "shingle", "n_shingles"), ["item_id"])
+    shared = asked.join(found.where("shingle is not null").select("doc_id", "shingle").distinct(), ["doc_id", "shingle"])
     counted = shared.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.max("n_shingles").alias("n_shingles"))
-    exact = counted.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_shingles")).join(candidates, ["doc_id", "item_id"], "left").where((F.col("n_shingles") < LEAST_SIGNED) | F.col("met"))
-    return exact.select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
+    exact = counted.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_shingles"))
+    out = materialise(exact.select("doc_id", "item_id", "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment")), "contained")
+    for table in (shingles, signs, found, met):
+        discard(table)
+    return out
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
@@ -226,7 +280,9 @@ ish as (select item_id, unnest(case when len(w) >= 5 then list_transform(range(1
 items as (select distinct item_id, s from ish),
 sizes as (select item_id, count(*) n_shingles from items group by item_id),
 dw as (select doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') w from documents where text is not null and doc_id is not null),
-dsh as (select doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) s from dw),
+short as (select distinct len(w) k from iw where len(w) between 1 and 4),
+dsh as (select doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) s from dw
+    union all select doc_id, unnest(list_transform(range(1, (len(w) - k + 2)::bigint), lambda i: array_to_string(w[i:i+k-1], ' '))) s from dw, short where len(w) >= k),
 shared as (select d.doc_id, x.item_id, count(distinct x.s) n_shared from dsh d join items x using (s) group by all)
 select doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles as containment from shared join sizes using (item_id) where n_shared >= 0.8 * n_shingles
 """,

@@ -18,7 +18,10 @@ def by_force(docs, items, threshold=0.8):
     for d, text in docs:
         for i, item in items:
             s = shingle_set(item)
-            if s and text and len(s & shingle_set(text)) >= threshold * len(s):
+            width = min(5, len(WORD.findall(item or "")))
+            w = WORD.findall(text or "")
+            runs = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)}
+            if s and w and len(s & runs) >= threshold * len(s):
                 out.add((d, i))
     return out
 
@@ -79,12 +82,42 @@ def test_items_of_few_shingles_in_long_documents(spark):
     assert {(r["doc_id"], r["item_id"]): r["n_shared"] for r in got} == want and len(got) == len(want) > 1000
 
 
+def test_only_candidates_are_read(spark):
+    """Boilerplate that all items and all documents share makes no pairs; without signatures, nothing is found."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    common = " ".join(word() for _ in range(9))
+    items = [(i, f"{common} " + " ".join(word() for _ in range(20))) for i in range(150)]
+    docs = [(d, " ".join(word() for _ in range(40)) + f" {common} " + (items[d][1] if d < 30 else "")) for d in range(300)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    shingles = dc.item_shingles(spark.createDataFrame(items, "item_id long, text string")).cache()
+    signs = dc.item_signatures(shingles, 0.8).cache()
+    found = dc.probes(table, shingles, signs).cache()
+    pairs = {tuple(r) for r in dc.candidates(found, signs).collect()}
+    assert {(d, d) for d in range(30)} <= pairs and len(pairs) < 60
+    assert found.where("shingle is not null").select("doc_id").distinct().count() < 60
+    got = dc.decontaminate(table, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, d) for d in range(30)} == by_force(docs, items)
+    assert dc.candidates(found, signs.limit(0)).count() == 0
+
+
+def test_short_items_inside_documents(spark):
+    """Items of one to four words are runs of words, at any place of a document."""
+    rng = random.Random(13)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(20_000)]
+    docs = [(1, "a b c d e f g h"), (2, "b c d"), (3, "x y b c d e f z"), (4, " ".join([*long, "q", "r"])), (5, "d"), (6, "b  c\nd x"), (7, "bc d")]
+    items = [(1, "b c d"), (2, "b c d e f"), (3, "c d e f g h"), (4, "d"), (5, "q r"), (6, " ".join(long[9000:9004])), (7, "c b"), (8, "d")]
+    got = dc.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r["doc_id"], r["item_id"]) for r in got}
+    assert found == by_force(docs, items) and len(got) == len(found) and {(1, 1), (2, 1), (6, 1), (4, 5), (4, 6), (5, 4), (5, 8)} <= found and (7, 1) not in found
+
+
 def test_edges(spark):
     docs = [(1, None), (2, ""), (3, "a b c"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "a b c"), (5, "x " * 5000 + "a b c d e f")]
     items = [(1, "a b c"), (1, "a b c"), (2, None), (3, ""), (4, "a b c d e f"), (None, "a b c"), (5, "a b c d e f")]
     table = spark.createDataFrame([(*d, "z", 1) for d in docs], "doc_id long, text string, item_id string, bin int")
     got = dc.decontaminate(table, spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got} == {(3, 1), (4, 4), (4, 5), (5, 4), (5, 5)} and len(got) == 5
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(3, 1), (4, 1), (5, 1), (4, 4), (4, 5), (5, 4), (5, 5)} and len(got) == 7
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.decontaminate(table, none).count() == 0
     assert dc.decontaminate(table.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
