@@ -2,11 +2,22 @@
 
 A URL becomes a set of tokens (host labels and their parts, path segments,
 query keys; numbers are one token). Labelled URLs are transactions of their
-tokens and their label; Spark's FP-growth mines frequent combinations, and
-those that predict a label with enough confidence and support, and that no
-more general rule makes redundant, are kept. A URL meets a mined rule through
-an inverted index on the rule's rarest token. URLs with equal tokens are
-judged once, so a host with a third of all pages costs no more than another.
+tokens. For each label, Spark's FP-growth mines the combinations that are
+frequent among its transactions, so that a rare label's are found too; each
+combination is then counted exactly over all labelled transactions, and those
+that predict a label with enough confidence and support, and that no more
+general rule makes redundant, are kept. A URL meets a mined rule through an
+inverted index on the rule's rarest token. URLs with equal tokens are judged
+once, so a host with a third of all pages costs no more than another.
+
+FP-growth itself knows no longest combination, and a basket of n tokens that
+are all frequent has 2^n of them. Baskets hold frequent tokens only, and a
+basket of more than ``BASKET`` tokens is dealt into overlapping smaller ones
+such that any three tokens are together in one; what is counted too often
+there is put right by the exact count.
+
+Labels come from outside the URL. :func:`page_labels` takes them from written
+rules where one decides and else from what the page shows.
 
 All steps are DataFrame operations.
 """
@@ -17,13 +28,18 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundling.session import materialise
+from groundling.llm.skew import spread_join
+from groundling.session import discard, materialise
 
-#: Terms in a host that mark a URL as unwanted where neither a written rule nor a label says otherwise.
-SEED_TERMS = ["adult", "bets", "betting", "casino", "gambling", "lottery", "pills", "poker", "porn", "sex", "spam", "viagra", "warez", "xxx"]
+#: Tokens of a basket that is mined as it is; a multiple of three.
+BASKET = 12
+MOST_TOKENS = 3
+#: Rules that are compared with each row as they are; more are joined by host.
+FEW_RULES = 200
+#: A label's baskets are weighed in this many parts of the least support.
+_GRAIN = 1000
 #: Host, path and verdict of the query's written rules.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-_LABEL = "label:"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,58 +53,143 @@ def split_url(url: Column) -> tuple[Column, Column, Column]:
 
 
 def url_tokens(host: Column, path: Column, query: Column) -> Column:
-    """Distinct tokens, sorted: ``h`` host labels, ``w`` their parts, ``d`` top-level domain, ``p`` path segments, ``q`` query keys."""
+    """Distinct tokens, sorted: ``h`` host labels, ``w`` the parts of compound ones, ``d`` top-level domain, ``p`` path segments, ``q`` query keys."""
     labels = F.split(host, r"\.")
-    words = F.split(host, r"[.\-_]")
+    compound = F.filter(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: F.regexp_like(x, F.lit("[-_]")))
+    words = F.flatten(F.transform(compound, lambda x: F.split(x, "[-_]")))
     segments = F.filter(F.split(F.translate(path, _UPPER, _LOWER), "[/.]"), lambda x: x != "")
     keys = F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.substring_index(x, "=", 1))
     named = lambda prefix, items: F.transform(items, lambda x: F.concat(F.lit(prefix), F.regexp_replace(x, "[0-9]+", "#")))
-    tokens = F.concat(named("h:", labels), named("w:", words), F.array(F.concat(F.lit("d:"), F.element_at(labels, -1))), named("p:", segments), named("q:", keys))
+    tokens = F.concat(named("h:", F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0)))), named("w:", words), F.array(F.concat(F.lit("d:"), F.element_at(labels, -1))), named("p:", segments), named("q:", keys))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(tokens)))
 
 
+def page_text(html: Column) -> Column:
+    """What a page shows: without scripts, styles, navigation, comments and tags. Every step is linear in the page, however it is broken."""
+    def cut(text: Column, opening: str, hidden: str) -> Column:
+        """Without what each ``opening`` hides; one that is never closed hides nothing."""
+        parts = F.split(text, opening)
+        return F.array_join(F.transform(parts, lambda x, k: F.when(k == 0, x).otherwise(F.regexp_replace(x, hidden, " "))), " ")
+
+    text = cut(F.coalesce(html.cast("string"), F.lit("")), "<!--", r"(?s)^.*?-->")
+    text = cut(text, r"(?i)<(?=(?:script|style|nav)\b)", r"(?is)^(script|style|nav)\b.*?</\1\s*>")
+    text = F.regexp_replace(text, "<[^<>]*>", " ")
+    return F.regexp_replace(F.regexp_replace(text, "&amp;", "&"), "&(?:[a-z]{1,10}|#[0-9]{1,7});", " ")
+
+
+def page_labels(verdict: Column, html: Column, symbols: float = 0.1, shouts: float = 0.1, words: int = 20) -> Column:
+    """block or allow: the written rule's verdict, else block for a page that shows symbols, shouting or next to no words."""
+    text = page_text(html)
+    n = F.greatest(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1))
+    poor = (F.regexp_count(text, F.lit(r"[#*$%&|<>]")) > symbols * n) | (F.regexp_count(text, F.lit("!")) > shouts * n) | (n < words)
+    return F.coalesce(verdict, F.when(poor, F.lit("block")).otherwise(F.lit("allow")))
+
+
 def written_rules(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
     quote = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     rows = ", ".join(f"({', '.join(map(quote, r))})" for r in rules)
     return spark.sql(f"select * from values {rows} as t(rule_host, rule_path, rule_verdict)") if rules else spark.sql("select '' rule_host, '' rule_path, '' rule_verdict where false")
 
 
+def _suffixes(host: Column) -> Column:
+    """A host and its parent domains."""
+    parts = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+
+
 def apply_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """``pages`` (host, path, ...) with ``rule`` and ``rule_verdict`` of the longest rule that fits, else null.
 
-    Rules meet the distinct hosts (each with its parent domains), and each
-    host's rules go back to its pages.
+    A few rules are compared with each row where it lies. More than
+    ``FEW_RULES`` meet the distinct hosts (each with its parent domains), and
+    each host's rules go back to its pages, a frequent host's over many tasks.
+    """
+    longest = lambda a, b: F.coalesce(F.nullif(b["n"] - a["n"], F.lit(0)), F.when(a["rule"] < b["rule"], -1).when(a["rule"] > b["rule"], 1).otherwise(0))
+    each = rules.select(F.struct(F.col("rule_host").alias("host"), (F.length("rule_host") + F.length("rule_path")).alias("n"), F.concat("rule_host", "rule_path").alias("rule"), "rule_path", "rule_verdict").alias("r"))
+    few = each.limit(FEW_RULES + 1).collect()
+    if len(few) <= FEW_RULES:
+        known = F.array(*(F.struct(*(F.lit(value).alias(name) for name, value in r["r"].asDict().items())) for r in sorted(few))) if few else None
+        fits = F.filter(known, lambda r: (F.col("host") != "") & (F.endswith(F.concat(F.lit("."), F.col("host")), F.concat(F.lit("."), r["host"]))) & F.startswith(F.col("path"), r["rule_path"])) if few else None
+        best = F.array_sort(fits, longest)[0] if few else F.lit(None).cast(each.schema["r"].dataType)
+        return pages.withColumn("best", F.when(F.size(fits) > 0, best) if few else best).withColumn("rule", F.col("best.rule")).withColumn("rule_verdict", F.col("best.rule_verdict")).drop("best")
+    pages = materialise(pages, "pages")
+    hosts = pages.where("host != ''").groupBy("host").agg(F.count("*").alias("n"))
+    domains = hosts.select("host", F.explode(_suffixes(F.col("host"))).alias("rule_host"))
+    known = domains.join(each.select("r", F.col("r.host").alias("rule_host")), "rule_host").groupBy("host").agg(F.collect_list("r").alias("known"))
+    joined = spread_join(pages, known, ["host"], "left", counts=hosts)
+    fits = F.array_sort(F.filter("known", lambda r: F.startswith(F.col("path"), r["rule_path"])), longest)
+    return joined.withColumn("best", F.when(F.size(fits) > 0, fits[0])).withColumn("rule", F.col("best.rule")).withColumn("rule_verdict", F.col("best.rule_verdict")).drop("known", "best")
+
+
+def small_baskets(tokens: Column) -> Column:
+    """Baskets of at most ``BASKET`` tokens, in one of which any three tokens of a basket are together."""
+    third = BASKET // 3
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(tokens) / F.lit(third)).cast("int") - 1), lambda k: F.slice(tokens, k * third + 1, F.lit(third)))
+    n = F.size(blocks)
+    threes = F.flatten(F.transform(F.sequence(F.lit(0), n - 3), lambda a: F.flatten(F.transform(F.sequence(a + 1, n - 2), lambda b: F.transform(F.sequence(b + 1, n - 1), lambda c: F.concat(F.get(blocks, a), F.get(blocks, b), F.get(blocks, c)))))))
+    return F.when(F.size(tokens) <= BASKET, F.array(tokens)).otherwise(threes)
+
+
+def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, min_count: int = 5) -> DataFrame:
+    """Rules (tokens, verdict, confidence, support, lift) from transactions (tokens, label).
+
+    ``min_support`` is the least share of a label's own transactions, and
+    ``min_count`` their least number. Support and lift are of all transactions.
     """
-    parts = F.split("host", r"\.")
-    hosts = pages.select("host").where("host != ''").distinct()
-    domains = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))).alias("rule_host"))
-    known = domains.join(rules, "rule_host").groupBy("host").agg(F.collect_list(F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.concat("rule_host", "rule_path").alias("rule"), "rule_path", "rule_verdict")).alias("known"))
-    joined = pages.join(known, "host", "left")
-    fits = F.array_sort(F.filter("known", lambda r: F.startswith(F.col("path"), r["rule_path"])), lambda a, b: F.coalesce(F.nullif(b["n"] - a["n"], F.lit(0)), F.when(a["rule"] < b["rule"], -1).when(a["rule"] > b["rule"], 1).otherwise(0)))
-    best = F.when(F.size(fits) > 0, fits[0])
-    return joined.withColumn("best", best).withColumn("rule", F.col("best.rule")).withColumn("rule_verdict", F.col("best.rule_verdict")).drop("known", "best")
-
-
-def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, max_tokens: int = 3) -> DataFrame:
-    """Rules (tokens, verdict, confidence, support, lift) from transactions (tokens, label)."""
     spark = labelled.sparkSession
-    baskets = labelled.select(F.array_append("tokens", F.concat(F.lit(_LABEL), "label")).alias("items")).where(F.size("items") > 1)
-    total = baskets.count()
-    if not total:
-        return spark.sql("select array('') tokens, '' verdict, 0.0d confidence, 0.0d support, 0.0d lift where false")
-    sets = materialise(FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets).freqItemsets.where(F.size("items") <= max_tokens + 1).select(F.array_sort("items").alias("items"), "freq"), "itemsets")
-    is_label = lambda x: F.startswith(x, F.lit(_LABEL))
-    named = sets.where(F.exists("items", is_label) & (F.size("items") > 1)).select(F.filter("items", lambda x: ~is_label(x)).alias("tokens"), F.element_at(F.filter("items", is_label), 1).alias("label"), "freq")
-    bases = sets.where(~F.exists("items", is_label)).select(F.col("items").alias("tokens"), F.col("freq").alias("base"))
-    rules = named.join(bases, "tokens").select("tokens", F.substring(F.col("label"), len(_LABEL) + 1, 1000).alias("verdict"), (F.col("freq") / F.col("base")).alias("confidence"), (F.col("freq") / F.lit(total)).alias("support"))
-    rates = sets.where(F.exists("items", is_label) & (F.size("items") == 1)).select(F.substring(F.element_at("items", 1), len(_LABEL) + 1, 1000).alias("verdict"), (F.col("freq") / F.lit(total)).alias("rate"))
-    rules = rules.where(F.col("confidence") >= min_confidence).join(rates, "verdict").select("tokens", "verdict", "confidence", "support", (F.col("confidence") / F.col("rate")).alias("lift"))
-    rules = materialise(rules, "rules")
+    shapes = materialise(labelled.where(F.size("tokens") > 0).groupBy("tokens", "label").agg(F.count("*").alias("n")).withColumn("id", F.unhex(F.md5(F.concat_ws("\n", "label", "tokens")))), "shapes")
+    totals = {r["label"]: r["n"] for r in shapes.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # a few labels
+    nothing = spark.sql("select array('') tokens, '' verdict, 0.0d confidence, 0.0d support, 0.0d lift where false")
+    if not totals:
+        return nothing
+    total = sum(totals.values())
+    found, used = None, [shapes]
+    for label, n in sorted(totals.items()):
+        least = max(min_count, min_support * n)
+        spread = materialise(shapes.where(F.col("label") == label).select("id", "n", F.explode("tokens").alias("token")), "spread")
+        frequent = materialise(spread.groupBy("token").agg(F.sum("n").alias("seen")).where(F.col("seen") >= least), "frequent")
+        sizes = spread.groupBy("token").agg(F.count("*").alias("n"))
+        kept = spread_join(spread, frequent.select("token"), ["token"], counts=sizes).groupBy("id").agg(F.first("n").alias("n"), F.array_sort(F.collect_set("token")).alias("items"))
+        kept = kept.groupBy("items").agg(F.sum("n").alias("n"))
+        # equal baskets are one, which stands once for every `scale` pages and once more: no combination gets less than its due
+        scale = max(1, int(least) // _GRAIN)
+        share = F.ceil(F.col("n") / F.lit(scale)).cast("long")
+        baskets = materialise(kept.select("n", F.explode(small_baskets(F.col("items"))).alias("items")).groupBy("items").agg(F.sum("n").alias("n")).select("items", share.alias("n")), "baskets")
+        used += [spread, frequent, baskets]
+        many = baskets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not many:
+            continue
+        rows = baskets.select("items", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("items")
+        floor = max(1, int(least) // scale)
+        sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (floor - 0.5) / many)).fit(rows).freqItemsets.where(F.size("items") <= MOST_TOKENS).select(F.array_sort("items").alias("tokens"))
+        found = sets if found is None else found.unionByName(sets)
+    if found is None:
+        return nothing
+    found = materialise(found.distinct(), "itemsets")
+    # exact counts: an itemset meets the shapes of its rarest token
+    vocabulary = found.select(F.explode("tokens").alias("token")).distinct()
+    every = materialise(shapes.select("id", "label", "n", F.explode("tokens").alias("token")), "tokens")
+    spread = materialise(spread_join(every, vocabulary, ["token"]), "spread")
+    seen = spread.groupBy("token").agg(F.count("*").alias("n"))
+    rarest = found.select("tokens", F.explode("tokens").alias("token")).join(seen, "token").groupBy("tokens").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    sets = spread.groupBy("id").agg(F.collect_set("token").alias("own"))
+    met = spread_join(spread, rarest, ["token"], counts=seen).join(sets, "id").where(F.size(F.array_except("tokens", "own")) == 0)
+    counted = met.groupBy("tokens", F.col("label").alias("verdict")).agg(F.sum("n").alias("freq"))
+    counted = materialise(counted, "counted")
+    base = counted.groupBy("tokens").agg(F.sum("freq").alias("base"))
+    rate = F.create_map(*(F.lit(x) for label, n in sorted(totals.items()) for x in (label, float(n))))
+    confidence = F.col("freq") / F.col("base")
+    own = F.element_at(rate, F.col("verdict"))
+    rules = counted.join(base, "tokens").where((confidence >= min_confidence) & (F.col("freq") >= F.greatest(F.lit(float(min_count)), min_support * own)))
+    rules = materialise(rules.select("tokens", "verdict", confidence.alias("confidence"), (F.col("freq") / F.lit(total)).alias("support"), (confidence / (own / F.lit(total))).alias("lift")), "rules")
     # a rule is redundant if a part of its tokens predicts the same as surely
-    smaller = rules.select("tokens", "verdict", "confidence", F.explode(_proper_parts(F.col("tokens"), max_tokens)).alias("part"))
+    smaller = rules.select("tokens", "verdict", "confidence", F.explode(_proper_parts(F.col("tokens"), MOST_TOKENS)).alias("part"))
     general = rules.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("sure"))
     redundant = smaller.join(general, ["part", "verdict"]).where("sure >= confidence").select("tokens", "verdict").distinct()
-    return rules.join(redundant, ["tokens", "verdict"], "left_anti")
+    kept = materialise(rules.join(redundant, ["tokens", "verdict"], "left_anti"), "kept")
+    for table in (*used, found, every, spread, counted, rules):
+        discard(table)
+    return kept
 
 
 def _proper_parts(tokens: Column, most: int) -> Column:
@@ -107,48 +208,65 @@ def match_rules(shapes: DataFrame, rules: DataFrame) -> DataFrame:
     Rules are indexed by the token that the fewest token sets have; ties go to
     more lift, more support, to ``block``, and to the first by name.
     """
-    spread = shapes.select("tokens", F.explode("tokens").alias("token"))
-    seen = spread.groupBy("token").agg(F.count("*").alias("seen"))
+    vocabulary = rules.select(F.explode("tokens").alias("token")).distinct()
+    spread = materialise(spread_join(materialise(shapes.select("tokens", F.explode("tokens").alias("token")), "tokens"), vocabulary, ["token"]), "spread")
+    seen = spread.groupBy("token").agg(F.count("*").alias("n"))
     numbered = rules.select(F.struct("tokens", "verdict", "confidence", "support", "lift").alias("r"))
-    rarest = numbered.select("r", F.explode("r.tokens").alias("token")).join(seen, "token").groupBy("r").agg(F.min_by("token", F.struct("seen", "token")).alias("token"))
-    met = spread.join(rarest, "token").where(F.size(F.array_except("r.tokens", "tokens")) == 0)
+    rarest = numbered.select("r", F.explode("r.tokens").alias("token")).join(seen, "token").groupBy("r").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    met = spread_join(spread, rarest, ["token"], counts=seen).where(F.size(F.array_except("r.tokens", "tokens")) == 0)
     order = F.struct((-F.col("r.confidence")).alias("c"), (-F.col("r.lift")).alias("l"), (-F.col("r.support")).alias("s"), (F.col("r.verdict") != "block").alias("v"), F.array_join("r.tokens", " ").alias("name"), F.col("r.verdict").alias("verdict"), F.col("r.confidence").alias("confidence"))
     best = met.groupBy("tokens").agg(F.min(order).alias("best"))
     return best.select("tokens", F.col("best.name").alias("mined"), F.col("best.verdict").alias("mined_verdict"), F.col("best.confidence").alias("confidence"))
 
 
-def url_filter(pages: DataFrame, rules: DataFrame, labels: DataFrame | None = None, min_support: float = 0.0005, min_confidence: float = 0.9, default: str = "allow") -> DataFrame:
+def url_filter(pages: DataFrame, rules: DataFrame, labels: DataFrame | None = None, min_support: float = 0.005, min_confidence: float = 0.9, default: str = "allow", train_when: Column | None = None) -> DataFrame:
     """Verdict of every page's URL.
 
     ``rules`` has rule_host, rule_path and rule_verdict. ``labels`` (page_id,
     label: block or allow) are what the mined rules learn from; without it,
-    they learn on the URLs that no written rule decides, of which those of a
-    host with a seed term are labelled block and the others allow. One row per input row: page_id,
-    host, path, rule, verdict, mined, confidence. A written rule decides;
-    else the surest mined rule; else ``default``. A null URL, or one without
-    ``://``, has empty host and path and gets the default. Of two written
-    rules of equal length the first by name wins; repeated rows are judged
-    alike; other columns are ignored.
+    every page is labelled by :func:`page_labels` (``html``, where there is such
+    a column). ``train_when`` is a condition on ``page_id`` that pages learned
+    from must meet. One row per input row: page_id, host, path, rule, verdict,
+    mined, confidence, label (what the page was labelled, null if it was not).
+    A written rule decides; else the surest mined rule; else ``default``. A
+    null URL, or one without ``://``, has empty host and path, is not learned
+    from and gets the default. Of two written rules of equal length the first
+    by name wins; of mined rules of equal confidence the one with more lift,
+    then more support, then ``block``. A page labelled twice is ``block`` if
+    any label is. Combinations under ``min_support`` of their label's pages, or
+    on fewer than five, give no rule. Repeated rows are judged alike; other
+    columns are ignored.
     """
     host, path, query = split_url(F.col("url").cast("string"))
-    parsed = pages.select("page_id", host.alias("host"), path.alias("path"), url_tokens(host, path, query).alias("tokens"))
-    judged = materialise(apply_rules(parsed, rules), "urls")
+    html = F.col("html") if "html" in pages.columns else F.lit(None).cast("string")
+    parsed = pages.select("page_id", host.alias("host"), path.alias("path"), url_tokens(host, path, query).alias("tokens"), html.alias("html"))
+    judged = apply_rules(parsed, rules)
     if labels is None:
-        seeded = F.arrays_overlap("tokens", F.array(*(F.lit(f"w:{t}") for t in SEED_TERMS)))
-        labelled = judged.where("rule is null").withColumn("label", F.when(seeded, F.lit("block")).otherwise(F.lit("allow")))
+        judged = materialise(judged.withColumn("label", page_labels(F.col("rule_verdict"), F.col("html"))).drop("html"), "urls")
     else:
         kept = labels.where("page_id is not null and label in ('block', 'allow')").groupBy(F.col("page_id").cast("long").alias("labelled_id")).agg(F.max("label").alias("label"))
-        labelled = judged.join(kept, judged["page_id"].cast("long") == kept["labelled_id"])
-    mined = mine_rules(labelled.where("host != ''").select("tokens", "label"), min_support, min_confidence)
-    open_shapes = judged.where("rule is null and host != ''").select("tokens").distinct()
-    found = match_rules(open_shapes, mined)
-    joined = judged.join(found, "tokens", "left")
-    mined_only = lambda c: F.when(F.col("rule").isNull(), F.col(c))
-    return joined.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", mined_only("mined_verdict"), F.lit(default)).alias("verdict"), mined_only("mined").alias("mined"), mined_only("confidence").alias("confidence"))
+        judged = judged.drop("html")
+        judged = materialise(judged.join(kept, judged["page_id"].cast("long") == kept["labelled_id"], "left").drop("labelled_id"), "urls")
+    learned = judged.where("host != '' and label is not null")
+    mined = mine_rules((learned.where(train_when) if train_when is not None else learned).select("tokens", "label"), min_support, min_confidence)
+    shapes = materialise(judged.where("rule is null and host != ''").groupBy("tokens").agg(F.count("*").alias("n")), "open")
+    found = materialise(match_rules(shapes.select("tokens"), mined), "matched")
+    is_open = F.col("rule").isNull() & (F.col("host") != "")
+    columns = ["page_id", "host", "path", "rule", "rule_verdict", "label"]
+    joined = spread_join(judged.where(is_open).select(*columns, "tokens"), found, ["tokens"], "left", counts=shapes)
+    closed = judged.where(~is_open).select(*columns, F.lit(None).cast("string").alias("mined"), F.lit(None).cast("string").alias("mined_verdict"), F.lit(None).cast("double").alias("confidence"))
+    out = joined.drop("tokens").unionByName(closed)
+    return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "mined_verdict", F.lit(default)).alias("verdict"), "mined", "confidence", "label")
+
+
+def held_out() -> Column:
+    """Pages that the query does not learn from, so that its verdicts can be held against their labels."""
+    return F.coalesce(F.crc32(F.col("page_id").cast("string")) % 5 == 0, F.lit(False))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), written_rules(spark, RULES))
+    out = url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"), written_rules(spark, RULES), train_when=~held_out())
+    return out.withColumn("held_out", held_out())
 
 
 QUERIES = {"op7_url_filter": op7_url_filter}
