@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -123,10 +124,15 @@ def places(runs: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Pieces of every whole text: only texts of over ``capacity`` ids are cut, and only the first piece may then be shorter."""
+    """Pieces of every whole text: only texts of over ``capacity`` ids are cut, and only the first piece may then be shorter.
+
+    ``deal`` is a number of the row by itself, mixed, so that rows can be dealt
+    evenly even where all else is equal.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
+        number = np.uint64(TaskContext.get().partitionId() << 40)
         for part in tk.slices(batches, "text"):
             rows: list[list[int]] = [[], [], [], [], []]
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
@@ -137,24 +143,26 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary
                         column.append(value)
                     at, stop, n = stop, stop + capacity, n + 1
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            deal = tk.mix(np.arange(len(rows[0]), dtype=np.uint64) + number + np.uint64(1)).view(np.int64)
+            number += np.uint64(len(rows[0]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(rows, types, strict=True)), pa.array(deal)], ["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, deal long")
 
 
 def ranked(rows: DataFrame, total: int) -> DataFrame:
     """Number the rows of each length from 0 (``rank``).
 
-    Rows of a length are dealt to so many groups that each has some ten
-    thousand; a group is numbered by itself and moved by the sum of those
-    before it. Rows that are equal in every column are interchangeable.
+    Rows are dealt by ``deal`` to so many groups that each has some ten
+    thousand, also where many rows are equal in all else; a group is numbered
+    by itself and moved by the sum of those before it.
     """
     groups = max(1, -(-total // _RANK_ROWS))
-    dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+    dealt = rows.withColumn("group", F.pmod("deal", F.lit(groups)).cast("int"))
     sizes = dealt.groupBy("length", "group").agg(F.count("*").alias("n"))
     before = sizes.select("length", "group", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("length", "group").orderBy("doc_id", "piece", "ids_crc32"))
+    own = F.row_number().over(Window.partitionBy("length", "group").orderBy("deal", "doc_id", "piece"))
     return dealt.withColumn("own", own).join(before, ["length", "group"]).withColumn("rank", F.col("own") - 1 + F.col("before"))
 
 
