@@ -147,10 +147,12 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, train_when: Column |
     ``train_when`` is a condition on ``doc_id`` that rows used for learning
     must meet. Null and empty texts are scored like any other (no words).
     Without labelled training rows every score is 0.5. A document labelled
-    more than once counts with its lowest label; other columns are ignored.
+    more than once counts with its lowest label, a label other than 0 and 1 is
+    none. Equal statistics have equal scores, repeated rows are scored alike
+    and each counts in the fit; other columns are ignored.
     """
     stats = materialise(document_stats(docs), "quality-stats").select("doc_id", F.array(*(x.cast("double") for x in features())).alias("x"))
-    train = stats.join(one_label(labels, "quality"), "doc_id")
+    train = stats.join(one_label(labels, "quality").where("label in (0, 1)"), "doc_id")
     model = fit(train.where(train_when) if train_when is not None else train, dimension, gamma, ridge, seed)
     if model is None:
         return stats.select("doc_id", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
