@@ -6,9 +6,13 @@ of widths 1, 2 and 3 run over the words of the whole text, their largest
 responses go through a logistic layer. The network is fitted on the driver on
 a bounded sample of labelled rows (``SAMPLE_ROWS`` of each class and
 ``SAMPLE_WORDS`` words, both parameters); its tables have a fixed size and go
-to the executors as a broadcast. Scores are calibrated by language: on a
-second bounded sample, each language inferred from the text gets the logit
-cutoff with the best F1, and that cutoff is mapped to a score of 0.3.
+to the executors as a broadcast.
+
+Scores are calibrated by language, on all labelled rows that were kept from
+the fit (a quarter): they are scored where they lie, and a histogram of
+languages x logits x labels gives each language inferred from the text the
+logit cutoff with the best F1, which is mapped to a score of 0.3. Language
+profiles count all rows that may be learned from.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from groundling.llm import textkernel as tk
 from groundling.llm.docstats import fold, one_label
 from groundling.llm.language_id import Profiles, _sums, fit_profiles, word_likelihoods
+from groundling.session import materialise
 
 ROWS = 1 << 17
 WIDTH = 12
@@ -33,6 +38,10 @@ FILTERS = 8
 THRESHOLD = 0.3
 SAMPLE_ROWS = 2000
 SAMPLE_WORDS = 2_500_000
+#: Steps of a logit in the calibration's histogram, and where it ends.
+LOGIT_STEPS, LOGIT_END = 50, 30
+#: Labelled rows of either class that a language needs for a cutoff of its own.
+LEAST_LABELS = 20
 _SLICE = 1 << 20
 
 #: ASCII punctuation separates words here.
@@ -106,11 +115,6 @@ class Network:
     def logits(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         return self.pooled(ids, first) @ self.weight + self.intercept
 
-    def logits_of(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Logits of single texts, some at a time."""
-        out = [self.logits(np.concatenate([texts[k] for k in part]), np.concatenate([[0], np.cumsum([len(texts[k]) for k in part])])) for part in batches_of(texts, range(len(texts)), 64)]
-        return np.concatenate(out) if out else np.zeros(0)
-
 
 def batches_of(texts: list[np.ndarray], order: Iterable[int], size: int, words: int = 30_000) -> Iterator[list[int]]:
     """Runs of up to ``size`` texts and ``words`` words; a longer text is a run of its own."""
@@ -181,26 +185,33 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 5, batch: i
     return net
 
 
-def best_cutoff(logit: np.ndarray, label: np.ndarray) -> float:
-    """Midpoint cutoff with the best F1; the middle of several equally good ones."""
+def best_cutoff(logit: np.ndarray, negative: np.ndarray, positive: np.ndarray) -> float:
+    """Midpoint cutoff with the best F1 from counts at distinct logits; the middle of several equally good ones."""
     order = np.argsort(-logit, kind="stable")
-    z, y = logit[order], label[order]
-    hits = np.cumsum(y)
-    f1 = 2 * hits / (np.arange(1, len(z) + 1) + y.sum())
-    ok = np.append(z[1:] < z[:-1], True)
-    best = np.flatnonzero(ok & (f1 >= f1[ok].max() - 1e-12))
+    z, hits = logit[order], np.cumsum(positive[order])
+    f1 = 2 * hits / (np.cumsum((negative + positive)[order]) + positive.sum())
+    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
     lower = np.append(z[1:], z[-1] - 1.0)
     return float((z[best[0]] + lower[best[-1]]) / 2)
 
 
-def best_slope(net: Network, logit: np.ndarray, label: np.ndarray, language: np.ndarray) -> float:
-    """Steepness around the cutoffs with the smallest log-loss."""
+def calibrate(net: Network, bins: np.ndarray, languages: int) -> None:
+    """Cutoffs and slope from rows (language, step of the logit, label, count)."""
+    def counts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        steps, at = np.unique(rows[:, 1], return_inverse=True)
+        return steps / LOGIT_STEPS, *(np.bincount(at, rows[:, 3] * (rows[:, 2] == label), minlength=len(steps)) for label in (0, 1))
+
+    net.cutoffs = np.full(max(1, languages), best_cutoff(*counts(bins)))
+    for k in range(languages):
+        logit, negative, positive = counts(bins[bins[:, 0] == k])
+        if positive.sum() >= LEAST_LABELS and negative.sum() >= LEAST_LABELS:
+            net.cutoffs[k] = best_cutoff(logit, negative, positive)
     losses = {}
-    for slope in (0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0):
+    for slope in (0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0):  # the steepness with the smallest log-loss
         net.slope = slope
-        p = np.clip(net.scores(logit, language), 1e-6, 1 - 1e-6)
-        losses[slope] = -np.mean(label * np.log(p) + (1 - label) * np.log(1 - p))
-    return min(losses, key=losses.get)
+        p = np.clip(net.scores(bins[:, 1] / LOGIT_STEPS, bins[:, 0]), 1e-6, 1 - 1e-6)
+        losses[slope] = -(bins[:, 3] * np.where(bins[:, 2] == 1, np.log(p), np.log(1 - p))).sum()
+    net.slope = min(losses, key=losses.get)
 
 
 def infer_language(profiles: Profiles, text: pa.Array) -> np.ndarray:
@@ -209,35 +220,44 @@ def infer_language(profiles: Profiles, text: pa.Array) -> np.ndarray:
     return _sums(loglik, first).argmax(axis=1)
 
 
-def sample_ids(labels: DataFrame, rows: int, part: int) -> DataFrame:
-    """Up to ``rows`` document ids of each class in a fixed random order; ``part`` 0 to fit, 1 to calibrate."""
-    dealt = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(4)).isin([0] if part else [1, 2, 3]))
-    each = [dealt.where(F.col("label") == k).orderBy(F.xxhash64("doc_id", F.lit(78)), "doc_id").limit(rows) for k in (0, 1)]
+def sample_ids(labels: DataFrame, rows: int) -> DataFrame:
+    """Up to ``rows`` document ids of each class in a fixed random order."""
+    each = [labels.where(F.col("label") == k).orderBy(F.xxhash64("doc_id", F.lit(78)), "doc_id").limit(rows) for k in (0, 1)]
     return each[0].unionByName(each[1])
 
 
-def _gather(docs: DataFrame, ids: DataFrame, words: int, profiles: Profiles | None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Word ids, labels and languages of the sampled documents, ``words`` words at most."""
+def _gather(docs: DataFrame, ids: DataFrame, words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Word ids and labels of the sampled documents, ``words`` words at most, each id with one text.
+
+    What fits is settled from the texts' sizes; only its word ids come to the
+    driver. A text that is longer than what is left is passed over.
+    """
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in tk.slices(batches, "text", _SLICE):
+            raw, off = tk.utf8(part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_class"), pa.array(np.diff(tk.Words(_PLAIN[raw], off).first))], ["doc_id", "text_class", "n"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tk.slices(batches, "text", _SLICE):
             each, first = word_ids(part.column("text"))
-            language = infer_language(profiles, part.column("text")) if profiles and profiles.languages else np.zeros(part.num_rows, int)
             blobs = [each[first[k] : first[k + 1]].tobytes() for k in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(language.astype(np.int32)), pa.array(blobs, pa.binary())], ["doc_id", "label", "language", "ids"])
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(encode, "doc_id long, label int, language int, ids binary")
-    ordered = rows.withColumn("order", F.xxhash64("doc_id", F.lit(79)))
-    texts, labels, languages, total = [], [], [], 0
-    for row in sorted(ordered.collect(), key=lambda r: (r["order"], r["doc_id"], r["ids"])):
-        each = np.frombuffer(row["ids"], np.int32).reshape(-1, 3)
-        if texts and total + len(each) > words:
-            continue
-        total += len(each)
-        texts.append(each)
-        labels.append(row["label"])
-        languages.append(row["language"])
-    return texts, np.array(labels, int), np.array(languages, int)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(blobs, pa.binary())], ["doc_id", "label", "ids"])
+
+    known = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("text_class", F.md5(F.coalesce("text", F.lit(""))))
+    sizes = known.select("doc_id", "text", "text_class").mapInArrow(measure, "doc_id long, text_class string, n long")
+    left, chosen = words, []
+    for row in sizes.groupBy("doc_id").agg(F.min(F.struct("text_class", "n")).alias("t")).orderBy(F.xxhash64("doc_id", F.lit(79)), "doc_id").collect():  # as many as sampled ids
+        if row["t"]["n"] <= left:
+            left -= row["t"]["n"]
+            chosen.append((row["doc_id"], row["t"]["text_class"]))
+    if not chosen:
+        return [], np.zeros(0, int)
+    picked = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, text_class string"))
+    got = known.join(picked, ["doc_id", "text_class"]).select("doc_id", "label", "text").mapInArrow(encode, "doc_id long, label int, ids binary").dropDuplicates(["doc_id"]).collect()  # as many words as asked for
+    order = {doc_id: k for k, (doc_id, _) in enumerate(chosen)}
+    got.sort(key=lambda r: order[r["doc_id"]])
+    return [np.frombuffer(r["ids"], np.int32).reshape(-1, 3) for r in got], np.array([r["label"] for r in got], int)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, train_when: Column | None = None, sample_rows: int = SAMPLE_ROWS, sample_words: int = SAMPLE_WORDS) -> DataFrame:
@@ -246,39 +266,47 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_when: Column | None = Non
     ``train_when`` is a condition on ``doc_id`` that rows used for learning
     must meet. Null and empty texts have no words and get the network's value
     for nothing found. Without labelled rows of both classes every score is 0.
-    A document labelled more than once counts with its highest label; other
+    A document labelled more than once counts with its highest label, a label
+    other than 0 and 1 is none; equal texts have equal scores, repeated rows
+    are scored alike; a score equal to the threshold is predicted 1. Other
     columns are ignored, ``lang`` only names the languages of training rows.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang"))
     known = one_label(labels, "toxic", "max").where("label in (0, 1)")
     known = known.where(train_when) if train_when is not None else known
-    fit_ids, check_ids = sample_ids(known, sample_rows, 0), sample_ids(known, sample_rows // 2, 1)
-    profiles = fit_profiles(source.join(F.broadcast(fit_ids), "doc_id"))
-    texts, y, _ = _gather(source, fit_ids, sample_words, None)
+    kept = F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(4)) == 0
+    fit_ids = sample_ids(known.where(~kept), sample_rows)
+    texts, y = _gather(source, fit_ids, sample_words)
     if len(set(y.tolist())) < 2:
         return source.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     net = train(texts, y)
-    held, held_y, held_language = _gather(source, check_ids, sample_words // 2, profiles)
-    if len(set(held_y.tolist())) < 2:
-        held, held_y, held_language = texts, y, np.full(len(y), -1)
-    logit = net.logits_of(held)
-    overall = best_cutoff(logit, held_y)
-    net.cutoffs = np.full(max(1, len(profiles.languages)), overall)
-    for k in range(len(profiles.languages)):
-        mine = held_language == k
-        if held_y[mine].sum() >= 20 and (1 - held_y[mine]).sum() >= 20:
-            net.cutoffs[k] = best_cutoff(logit[mine], held_y[mine])
-    net.slope = best_slope(net, logit, held_y, np.maximum(held_language, 0) if len(profiles.languages) else np.zeros(len(held_y), int))
-    shipped = docs.sparkSession.sparkContext.broadcast((net, profiles))  # fixed tables: ROWS x WIDTH, languages x BUCKETS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    profiles = fit_profiles(source.where(train_when) if train_when is not None else source)
+    spark = docs.sparkSession
+    shipped = spark.sparkContext.broadcast((net, profiles))  # fixed tables: ROWS x WIDTH, and those of the languages
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, profiles = shipped.value
         for part in tk.slices(batches, "text", _SLICE):
-            ids, first = word_ids(part.column("text"))
             language = infer_language(profiles, part.column("text")) if profiles.languages else np.zeros(part.num_rows, int)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(net.scores(net.logits(ids, first), language))], ["doc_id", "score"])
-
-    out = source.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+            logit = np.clip(net.logits(*word_ids(part.column("text"))).astype(float), -LOGIT_END, LOGIT_END)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(language.astype(np.int32)), pa.array(logit)], ["doc_id", "language", "logit"])
+
+    # every text is read once; calibration and scores work on its logit
+    placed = materialise(source.select("doc_id", "text").mapInArrow(place, "doc_id long, language int, logit double"), "logits")
+
+    def histogram(rows: DataFrame) -> np.ndarray:
+        step = F.rint(F.col("logit") * LOGIT_STEPS).cast("int").alias("step")
+        counted = placed.join(rows, "doc_id").groupBy("language", step, "label").count().collect()  # cells of a fixed grid
+        return np.array([list(r) for r in counted], np.int64).reshape(-1, 4)
+
+    bins = histogram(known.where(kept))
+    if len(set(bins[:, 2].tolist())) < 2:  # too few rows to keep any
+        bins = histogram(known)
+    if len(bins):
+        calibrate(net, bins, len(profiles.languages))
+    cutoff = F.element_at(F.array(*(F.lit(float(c)) for c in (net.cutoffs if len(net.cutoffs) else [0.0]))), F.col("language") + 1)
+    z = F.lit(net.slope) * (F.col("logit") - cutoff) + float(np.log(THRESHOLD / (1 - THRESHOLD)))
+    out = placed.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
