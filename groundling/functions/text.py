@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from groundling.functions.cutting import WHITE
+
 #: Members of Unicode White_Space, with and without the line feed.
 WS_BUT_LF = r"\t\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WS = r"\n" + WS_BUT_LF
@@ -45,17 +47,22 @@ def sub(c: Column, pattern: str, to: str = "") -> Column:
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
-    return sub(c, rf"^[{WS}]+|[{WS}]+\z")
+    return F.btrim(c, F.lit(WHITE))
+
+
+_OTHER_WHITE = WHITE.replace(" ", "")
 
 
-def collapse(c: Column) -> Column:
-    """Words joined by single spaces."""
-    return F.trim(sub(c, rf"[{WS}]+", " "))
+def collapse(c: Column, mapped: str = "", to: str = "", without: str = "") -> Column:
+    """Words joined by single spaces; letters of ``mapped`` become those of ``to``, those of ``without`` go, in the same pass."""
+    white = "".join(x for x in _OTHER_WHITE if x not in without)
+    plain = F.translate(c, mapped + white + without, to + " " * len(white))
+    return F.trim(F.when(F.contains(plain, F.lit("  ")), sub(plain, " {2,}", " ")).otherwise(plain))
 
 
 def lower(c: Column) -> Column:
     """Lower case by simple mapping, one character for one."""
-    return F.lower(F.translate(c, "İΣ", "iσ"))
+    return F.lower(F.replace(F.replace(c, F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ")))
 
 
 def normalise_space(c: Column) -> Column:
@@ -65,7 +72,7 @@ def normalise_space(c: Column) -> Column:
 
 def normalise_claim(c: Column) -> Column:
     """Straight quotes, single spaces, lower case: how quotes and sources are compared."""
-    return lower(collapse(F.translate(c, "“”‘’", "\"\"''")))
+    return lower(collapse(c, "“”‘’", "\"\"''"))
 
 
 def clean_output(c: Column) -> Column:
@@ -90,7 +97,7 @@ def strip_placeholders(c: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """Markdown and tags removed, link texts kept, single spaces."""
     c = sub(sub(c, "<[^>]*>"), r"(?d)\[(.*?)\]\([^)]*\)", "$1")
-    return collapse(sub(sub(c, "[*_`~]"), "\r"))
+    return collapse(c, without="*_`~\r")
 
 
 def as_bytes(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # Results depend on these lists and their order.
 BANNED_WORDS = [
     "delve", "underscore", "testament", "foster", "maximize", "navigate", "tapestry", "catalyst", "elevate", "paradigm",
@@ -41,7 +43,7 @@ WRITER_STOPWORDS = [
     "such", "system", "than", "that", "their", "them", "then", "there", "these", "they", "those", "through", "under",
     "until", "using", "value", "when", "where", "which", "while", "with", "within", "would",
 ]
-#: Words of four letters or more that make no key term (shorter words never do).
+# Words that make no key term; only those of four letters or more are listed, as shorter ones never make any.
 TERM_STOPWORDS = [
     "with", "from", "down", "about", "into", "onto", "over", "under", "after", "before", "between", "through", "during",
     "against", "within", "without", "across", "around", "among", "toward", "towards", "upon", "above", "below", "this",
@@ -63,26 +65,22 @@ CATEGORIES = {"Finance": "bank[0-9A-Za-z_]*|finan[0-9A-Za-z_]*|fiduciary|ledger[
 EDIT_REASONS = ["banned word", "generic", "repeated opening", "forced choppiness", "weak ending", "filler", "factual correction"]
 MIN_WORDS, MAX_WORDS = 500, 3000
 MIN_QUOTE_CHARS = 12
-KINDS = ["base", "s", "ed", "ing", "ly"]
+#: Kinds of forms of an English word, each by its rules: the first whose ending the word has drops so many letters and adds its own.
+INFLECTIONS = {
+    "base": [("", 0, "")],
+    "s": [("(?:s|x|z|ch|sh)", 0, "es"), ("", 0, "s")],
+    "ed": [("e", 1, "ed"), ("", 0, "ed")],
+    "ing": [("e", 1, "ing"), ("", 0, "ing")],
+    "ly": [("ic", 0, "ally"), (".le", 1, "y"), ("[^aeiou]y", 1, "ily"), ("", 0, "ly")],
+}
+KINDS = list(INFLECTIONS)
 
 
 def inflect(word: str, kind: str) -> str:
     """The form of an English word; an unknown kind leaves it as it is."""
-    silent = word.endswith("e")
-    if kind == "s":
-        return word + ("es" if word.endswith(("s", "x", "z", "ch", "sh")) else "s")
-    if kind == "ed":
-        return word + ("d" if silent else "ed")
-    if kind == "ing":
-        return (word[:-1] if silent else word) + "ing"
-    if kind == "ly":
-        if word.endswith("ic"):
-            return word + "ally"
-        if word.endswith("le") and len(word) > 2:
-            return word[:-1] + "y"
-        if len(word) > 1 and word.endswith("y") and word[-2] not in "aeiou":
-            return word[:-1] + "ily"
-        return word + "ly"
+    for ending, drop, add in INFLECTIONS.get(kind, ()):
+        if re.search(rf"{ending}\Z", word):
+            return word[: len(word) - drop] + add
     return word
 
 
@@ -96,8 +94,13 @@ def metric_forms(term: str) -> list[str]:
     return next((group for group in METRIC_GROUPS if term in group), [term])
 
 
+def banned_families() -> list[list[str]]:
+    """The forms of each banned word."""
+    return [[form for form, _ in forms(word)] for word in BANNED_WORDS]
+
+
 def banned_forms() -> list[str]:
-    return [form for word in BANNED_WORDS for form, _ in forms(word)]
+    return [form for family in banned_families() for form in family]
 
 
 def style_passes() -> list[tuple[str, str, bool]]:

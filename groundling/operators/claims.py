@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from groundling.functions import text as tx
 from groundling.functions import vocabulary as v
-from groundling.functions.text import SP, WS, WS_BUT_LF
+from groundling.functions.cutting import WHITE
+from groundling.functions.text import SP, WS_BUT_LF
 from groundling.operators.normalise import strip_sql, words_sql
 from groundling.plans import inputs
 
@@ -25,31 +26,45 @@ def blocks(raw: Column) -> Column:
     return F.when((raw == "") | (raw == "NONE"), F.array().cast("array<string>")).otherwise(parts)
 
 
-def field(block: Column, name: str) -> Column:
-    """Value of the first ``name:`` line up to the next header of any field, its lines trimmed."""
-    line = rf"[{WS_BUT_LF}]*"
-    found = F.regexp_extract(block, rf"(?dms)^{line}{name}:(.*?)(?=\n{line}{_HEADER}|\z)", 1)
-    return tx.strip(tx.sub(found, rf"{line}\n{line}", "\n"))
+_LINE = rf"[{WS_BUT_LF}]*"
+
+
+def field_parts(block: Column) -> Column:
+    """The fields of a block, each from its header on; what stands before the first header comes first."""
+    return F.split(F.btrim(block, F.lit(WHITE)), rf"\n(?={_LINE}{_HEADER})")
+
+
+def field(parts: Column, name: str) -> Column:
+    """Value of the first field of that name among :func:`field_parts`, its lines trimmed."""
+    head = f"{name}:"
+    trimmed = F.transform(parts, lambda x: F.btrim(x, F.lit(WHITE)))
+    found = F.get(F.filter(trimmed, lambda x: F.startswith(x, F.lit(head))), F.lit(0))
+    value = F.coalesce(F.substring(found, len(head) + 1, 1 << 30), F.lit(""))
+    many = F.when(F.contains(value, F.lit("\n")), tx.sub(value, rf"{_LINE}\n{_LINE}", "\n")).otherwise(value)
+    return tx.strip(many)
 
 
 def parse(sections: DataFrame, *carry: str, outer: bool = False) -> DataFrame:
-    """Records of each section (section_id, source, raw): section_id, ord, claim, source_quote, type, strength, source.
+    """Records of each section (section_id, source, raw): section_id, ord, claim, source_quote, type, strength, source, plain.
 
-    Columns named by ``carry`` come along. With ``outer`` a section without
-    blocks has one row whose ``ord`` is null.
+    ``plain`` is the source as quotes are compared with it, made once for a
+    section. Columns named by ``carry`` come along. With ``outer`` a section
+    without blocks has one row whose ``ord`` is null.
     """
-    spread = (F.posexplode_outer if outer else F.posexplode)(blocks(tx.text("raw"))).alias("ord", "block")
-    split = sections.select("section_id", "source", *carry, spread)
-    value = lambda key, name: field(F.col("block"), name) if key != "source_quote" else tx.sub(field(F.col("block"), name), '^"+|"+\\z')
-    return split.select("section_id", "ord", *(value(key, name).alias(key) for key, name in FIELDS.items()), "source", *carry)
+    spread = (F.posexplode_outer if outer else F.posexplode)("blocks").alias("ord", "block")
+    listed = sections.select("section_id", "source", *carry, tx.normalise_claim(F.col("source")).alias("plain"), blocks(tx.text("raw")).alias("blocks"))
+    split = listed.select("section_id", "source", "plain", *carry, spread)
+    parts = split.withColumn("parts", field_parts(F.col("block")))
+    value = lambda key, name: field(F.col("parts"), name) if key != "source_quote" else F.btrim(field(F.col("parts"), name), F.lit('"'))
+    return parts.select("section_id", "ord", *(value(key, name).alias(key) for key, name in FIELDS.items()), "source", "plain", *carry)
 
 
 #: Words that a complete quote does not end on.
 DANGLING = "and|or|but|the|a|an|of|to|in|for|with|that|which|is|are|was|were"
 
 
-def reason() -> Column:
-    """Why a record (claim, source_quote, type, strength, source) fails verification; null if it does not."""
+def reason(plain: Column | None = None) -> Column:
+    """Why a record (claim, source_quote, type, strength, source) fails verification; null if it does not. ``plain`` is the normalised source where it is at hand."""
     c = {k: F.col(k) for k in (*FIELDS, "source")}
     quote = tx.strip(c["source_quote"])
     kind, strength = (tx.lower(tx.strip(c[k])) for k in ("type", "strength"))
@@ -59,7 +74,7 @@ def reason() -> Column:
         .when(F.char_length(quote) < v.MIN_QUOTE_CHARS, "quote too short")
         .when(~F.is_valid_utf8(quote), "quote is not valid UTF-8")
         .when(F.contains(quote, F.lit("�")), "quote contains a replacement character")
-        .when(~F.contains(tx.normalise_claim(c["source"]), tx.normalise_claim(quote)), "quote not found in source")
+        .when(~F.contains(tx.normalise_claim(c["source"]) if plain is None else plain, tx.normalise_claim(quote)), "quote not found in source")
         .when(F.regexp_like(quote, F.lit(rf"(?iu)(?:,|;|(?<![0-9A-Za-z_])(?:{DANGLING})(?![0-9A-Za-z_]))[{SP}]*\z")), "quote is a truncated fragment")
         .when((kind != "") & ~kind.isin(v.CLAIM_TYPES), F.concat(F.lit("invalid TYPE '"), kind, F.lit("'")))
         .when((strength != "") & ~strength.isin(v.STRENGTHS), F.concat(F.lit("invalid STRENGTH '"), strength, F.lit("'")))
@@ -68,7 +83,7 @@ def reason() -> Column:
 
 
 def verify(records: DataFrame) -> DataFrame:
-    return records.withColumn("reason", reason())
+    return records.withColumn("reason", reason(F.col("plain") if "plain" in records.columns else None))
 
 
 def dedupe(records: DataFrame, order: list[str], within: list[str] | None = None) -> DataFrame:
@@ -143,16 +158,17 @@ def _grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "parse_blocks": lambda s, d: inputs.extractions(s, d).select("section_id", F.posexplode(blocks(tx.text("raw"))).alias("ord", "block")),
-    "parse_fields": lambda s, d: _records(s, d).drop("source"),
-    "verify_claims": lambda s, d: verify(parse(inputs.extractions(s, d), "lang")).groupBy("lang", F.coalesce("reason", F.lit("verified")).alias("reason")).agg(F.count("*").alias("n")),
-    "quote_in_source": lambda s, d: _records(s, d).select("section_id", "ord", F.contains(tx.normalise_claim(F.col("source")), tx.normalise_claim(F.col("source_quote"))).alias("found")),
+    "parse_fields": lambda s, d: _records(s, d).drop("source", "plain"),
+    "verify_claims": lambda s, d: verify(_records(s, d)).select("section_id", "ord", F.coalesce("reason", F.lit("verified")).alias("reason")),
+    "verify_reasons": lambda s, d: verify(parse(inputs.extractions(s, d), "lang")).groupBy("lang", F.coalesce("reason", F.lit("verified")).alias("reason")).agg(F.count("*").alias("n")),
+    "quote_in_source": lambda s, d: _records(s, d).select("section_id", "ord", F.contains(F.col("plain"), tx.normalise_claim(F.col("source_quote"))).alias("found")),
     "number_tokens": lambda s, d: inputs.articles(s, d).select("article_id", F.array_join(tx.numbers(tx.text("md")), " ").alias("numbers")),
     "number_grounding": _grounding,
     "parse_summary": lambda s, d: summary(inputs.extractions(s, d)),
     "resume_verify": _resume,
     "dedupe_claims": lambda s, d: dedupe(_records(s, d), ["section_id", "ord"]).select("section_id", "ord", "claim"),
     "render_ledger": lambda s, d: render_ledger(verify(_records(s, d))),
-    "ledger_budget": lambda s, d: budget(_ledgers(s, d), 45, 14_000).groupBy("ledger_id").agg(F.count("*").alias("included"), F.max("ord").alias("last"), F.max("bytes").alias("bytes")),
+    "ledger_budget": lambda s, d: budget(_ledgers(s, d), 45, 14_000).select("ledger_id", "ord", "n", "bytes", *FIELDS),
 }
 
 _BLOCKS = rf"""{inputs.EXTRACTIONS_SQL},
@@ -196,7 +212,8 @@ _BLOCK_SQL = """'CLAIM: ' || claim || chr(10) || 'SOURCE_QUOTE: "' || source_quo
 ORACLE_SQL = {
     "parse_blocks": f"with {_BLOCKS} select section_id, ord, block from split",
     "parse_fields": f"with {_RECORDS_SQL} select section_id, ord, claim, source_quote, type, strength from records",
-    "verify_claims": f"with {_VERIFIED_SQL} select lang, coalesce(reason, 'verified') as reason, count(*) as n from verified join extractions using (section_id) group by all",
+    "verify_claims": f"with {_VERIFIED_SQL} select section_id, ord, coalesce(reason, 'verified') as reason from verified",
+    "verify_reasons": f"with {_VERIFIED_SQL} select lang, coalesce(reason, 'verified') as reason, count(*) as n from verified join extractions using (section_id) group by all",
     "quote_in_source": f"with {_RECORDS_SQL} select section_id, ord, contains({_norm_sql('source')}, {_norm_sql('source_quote')}) as found from records",
     "number_tokens": f"with {inputs.ARTICLES_SQL} select article_id, array_to_string(list_sort({_numbers_sql('md')}), ' ') as numbers from articles",
     "number_grounding": f"with {_RECORDS_SQL} select section_id, ord, {_missing_sql('claim', 'source_quote')} as missing from records",
@@ -206,7 +223,7 @@ ORACLE_SQL = {
     "render_ledger": f"""with {_VERIFIED_SQL} select section_id, case when count(*) filter (reason is null) = 0 then '# Verified Claim Ledger' || chr(10) || chr(10) || 'NONE' || chr(10) else
         '# Verified Claim Ledger' || chr(10) || chr(10) || 'Verified records: ' || count(*) filter (reason is null) || chr(10) || 'Dropped records with unverifiable SOURCE_QUOTE: ' || count(reason) || chr(10) || chr(10)
         || string_agg({_BLOCK_SQL}, '' order by ord) filter (reason is null) end as ledger from verified group by section_id""",
-    "ledger_budget": f"""with {_VERIFIED_SQL}, kept as (select section_id // 100 as ledger_id, section_id * 10 + ord as ord, strlen({_BLOCK_SQL}) as b from verified where reason is null),
+    "ledger_budget": f"""with {_VERIFIED_SQL}, kept as (select section_id // 100 as ledger_id, section_id * 10 + ord as ord, claim, source_quote, type, strength, strlen({_BLOCK_SQL}) as b from verified where reason is null),
         run as (select *, row_number() over w as n, 65 + sum(b) over w as bytes from kept window w as (partition by ledger_id order by ord))
-        select ledger_id, count(*) as included, max(ord) as last, max(bytes)::bigint as bytes from run where n <= 45 and bytes <= 14000 group by ledger_id""",
+        select ledger_id, ord, n, bytes::bigint as bytes, claim, source_quote, type, strength from run where n <= 45 and bytes <= 14000""",
 }

@@ -2,15 +2,16 @@
 
 What the rules compare are sets, so the operators are joins: numbers and
 metric terms by anti-join, hedged claims and assertive sentences by their
-shared tokens, near-duplicate paragraphs by their shared shingles.
+shared tokens. Near-duplicate paragraphs are within one article and need no shuffle.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
+from groundling.functions import paragraphs as paragraphs_in_python
 from groundling.functions import text as tx
 from groundling.functions import vocabulary as v
 from groundling.functions.text import SP
@@ -66,21 +67,13 @@ def shingle_rows(kept: DataFrame) -> DataFrame:
 def near_duplicate_paragraphs(articles: DataFrame) -> DataFrame:
     """(article_id, pos, paragraph): paragraphs whose shingles reach Jaccard 0.8 with those of an earlier one.
 
-    Equal shingle sets are one class, of which only the first paragraph is
-    compared: copies do not meet pair by pair. Distinct classes of an article
-    meet through an inverted index of their shingles.
+    Only paragraphs of one article meet, so an article is compared where it
+    lies: equal shingle sets are one class, of which only the first paragraph
+    is compared, and distinct classes meet through an index of their shingles.
     """
-    kept = paragraphs(articles)
-    shingles = shingle_rows(kept)
-    sets = shingles.groupBy("article_id", "pos").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("shingle")), "\1").cast("binary")).alias("class"))
-    placed = sets.withColumn("lead", F.min("pos").over(Window.partitionBy("article_id", "class")))
-    leads = placed.where("pos = lead").select("article_id", "pos", "n")
-    index = shingles.join(leads, ["article_id", "pos"])
-    other = index.select("article_id", F.col("pos").alias("i"), F.col("n").alias("ni"), "shingle")
-    met = index.join(other, ["article_id", "shingle"]).where("i < pos").groupBy("article_id", "pos", "i", "n", "ni").agg(F.count("*").alias("both"))
-    close = met.where("5 * both >= 4 * (n + ni - both)").select("article_id", "pos")
-    duplicates = placed.where("pos > lead").select("article_id", "pos").unionByName(close).distinct()
-    return kept.join(duplicates, ["article_id", "pos"]).select("article_id", "pos", "paragraph")
+    rows = articles.select("article_id", tx.text("md").alias("md"))
+    found = rows.mapInArrow(paragraphs_in_python.duplicate_batches, T.StructType([rows.schema["article_id"], T.StructField("pos", T.IntegerType()), T.StructField("paragraph", T.StringType())]))
+    return found.select("article_id", "pos", "paragraph")
 
 
 def duplicate_messages(articles: DataFrame) -> DataFrame:

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from groundling.functions import paragraphs
 from groundling.functions import text as tx
 from groundling.functions import vocabulary as v
 from groundling.functions.text import SP
 from groundling.operators.normalise import _PREFIX, strip_sql, words_sql
 from groundling.plans import inputs
 
-PUNCTUATION = ".,;:!?()[]{}'\""
 _BLOCK = r"(?s)\A(---\r?\n.*?\r?\n---\r?\n?)"
 
 
@@ -64,14 +65,17 @@ def merge_fields(adjacent: Column, own: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.coalesce(F.element_at(own, k), F.element_at(adjacent, k))))
 
 
+def terms(text: Column, most: int = 8) -> Column:
+    """The most frequent terms of a text, the first to appear first among equals; counted within the row."""
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return paragraphs.term_lists(batches, most)
+
+    return F.pandas_udf(count, "array<string>")(tx.lower(tx.clean_text(text)))
+
+
 def key_terms(texts: DataFrame, key: str, most: int = 8) -> DataFrame:
-    """(key, place, term): the most frequent terms of each text, the first to appear first among equals."""
-    words = F.split(tx.clean_text(tx.text("text")), " ")
-    term = F.regexp_replace(tx.lower(F.col("w")), rf"^[{tx.quoted(PUNCTUATION)}]+|[{tx.quoted(PUNCTUATION)}]+\z", "")
-    spread = texts.select(key, F.posexplode(words).alias("at", "w")).select(key, "at", term.alias("term")).where((F.octet_length("term") > 3) & ~F.col("term").isin(v.TERM_STOPWORDS))
-    counted = spread.groupBy(key, "term").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "first"))
-    return counted.withColumn("place", place).where(F.col("place") <= most).select(key, "place", "term")
+    """(key, place, term): :func:`terms` of each text, a row for each."""
+    return texts.select(key, F.posexplode(terms(tx.text("text"), most)).alias("at", "term")).select(key, (F.col("at") + 1).alias("place"), "term")
 
 
 def title(body: Column) -> Column:
@@ -100,12 +104,10 @@ def description(body: Column, heading: Column, standfirst: Column) -> Column:
 
 def category(text: Column) -> Column:
     """Finance, Security or AI by the number of their terms, in this order among equals; Technology without any."""
-    counts = {name: F.regexp_count(text, F.lit("(?iu)" + tx.bounded(pattern))) for name, pattern in v.CATEGORIES.items()}
-    out, names = F.lit("Technology"), list(v.CATEGORIES)
-    best = F.greatest(*counts.values())
-    for name in reversed(names):
-        out = F.when((best > 0) & (counts[name] == best), name).otherwise(out)
-    return out
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return paragraphs.category_names(batches)
+
+    return F.pandas_udf(count, "string")(tx.lower(F.replace(text, F.lit("ſ"), F.lit("s"))))  # a search without case takes the long s for an s
 
 
 def extract_metadata(articles: DataFrame) -> DataFrame:
@@ -116,17 +118,13 @@ def extract_metadata(articles: DataFrame) -> DataFrame:
     longer = (F.col("subtitle") != "") & (F.octet_length("subtitle") > F.octet_length("description"))
     named = named.withColumn("excerpt", _short(F.when(longer, F.col("subtitle")).otherwise(F.col("description")), 220))
     named = named.withColumn("category", category(F.concat("title", F.lit(" "), "body"))).withColumn("slug", tx.slugify(F.col("title")))
-    words = keywords(named).select("article_id", "keywords")
-    out = named.drop("body").join(words, "article_id", "left")
-    return out.select("article_id", "title", "subtitle", "description", "excerpt", F.coalesce("keywords", F.lit("")).alias("keywords"), F.coalesce("keywords", F.lit("")).alias("tags"), "category", "slug")
+    named = named.withColumn("keywords", keywords(F.col("title"), F.col("body")))
+    return named.select("article_id", "title", "subtitle", "description", "excerpt", "keywords", F.col("keywords").alias("tags"), "category", "slug")
 
 
-def keywords(named: DataFrame, most: int = 12) -> DataFrame:
-    """(article_id, keywords): terms of the title, then of the body, each once."""
-    parts = [key_terms(named.select("article_id", F.col(c).alias("text")), "article_id").withColumn("part", F.lit(k)) for k, c in enumerate(("title", "body"))]
-    once = parts[0].unionByName(parts[1]).groupBy("article_id", "term").agg(F.min(F.struct("part", "place")).alias("at"))
-    listed = once.groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("all"))
-    return listed.select("article_id", F.array_join(F.slice(F.transform("all", lambda x: x["term"]), 1, most), ", ").alias("keywords"))
+def keywords(heading: Column, body: Column, most: int = 12) -> Column:
+    """Terms of the title, then of the body, each once."""
+    return F.array_join(F.slice(F.array_distinct(F.concat(terms(heading), terms(body))), 1, most), ", ")
 
 
 def part_of_set(path: Column) -> Column:
@@ -207,7 +205,7 @@ def _pairs(fields: Column) -> Column:
 
 def _keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = _fronted(spark, sf_dir).select("article_id", split_front(F.col("md"))[1].alias("body"))
-    return keywords(body.withColumn("title", title(F.col("body"))))
+    return body.select("article_id", keywords(title(F.col("body")), F.col("body")).alias("keywords")).where("keywords != ''")
 
 
 def render(articles: DataFrame, site: Site, day: Column) -> DataFrame:

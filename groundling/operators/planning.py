@@ -97,10 +97,31 @@ def config_clamp(name: Column, raw: Column, settings: dict[str, tuple[int, int,
     return F.when((warning == "") & (raw != ""), value).otherwise(default).cast("long"), warning
 
 
-def unique_stems(articles: DataFrame, base: Column) -> DataFrame:
-    """(article_id, stem): file stems, of equal ones the later numbered from 2."""
-    n = F.row_number().over(Window.partitionBy("base").orderBy("article_id"))
-    return articles.select("article_id", base.alias("base")).withColumn("n", n).select("article_id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string"))).alias("stem"))
+def unique_stems(articles: DataFrame, base: Column, taken: DataFrame | None = None) -> DataFrame:
+    """(article_id, stem): file stems that are all different, and none of ``taken`` (stem).
+
+    In the order of article_id, the first of a base has the base itself and
+    each later one the least number from 2 on that makes a free stem. A stem is
+    free if nobody took it and it is no article's base: a base always belongs
+    to the first article that has it. Only numbers that are bases themselves or
+    taken are skipped, so the tables meet on the numbered name and no loop runs.
+    """
+    rows = articles.select("article_id", base.alias("base"))
+    names = rows.select(F.col("base").alias("name")).distinct()
+    held = names if taken is None else names.unionByName(taken.select(F.col("stem").alias("name"))).distinct()
+    # the numbers of a base that are held, and how many free ones stand before each
+    parts = held.select(F.regexp_extract("name", r"(?s)\A(.*)-([1-9][0-9]{0,8})\z", 1).alias("base"), F.regexp_extract("name", r"(?s)\A(.*)-([1-9][0-9]{0,8})\z", 2).try_cast("int").alias("k"))
+    used = parts.where("k >= 2").join(names.select(F.col("name").alias("base")), "base", "left_semi")
+    skips = used.groupBy("base").agg(F.array_sort(F.collect_set("k")).alias("used"))
+    own = F.lit(0) if taken is None else F.when(F.col("gone").isNotNull(), 1).otherwise(0)
+    nth = F.row_number().over(Window.partitionBy("base").orderBy("article_id"))
+    numbered = rows.withColumn("n", nth).join(skips, "base", "left")
+    if taken is not None:
+        numbered = numbered.join(taken.select(F.col("stem").alias("base"), F.lit(True).alias("gone")).distinct(), "base", "left")
+    # the n-th free number from 2 on: each held one up to it moves it by one
+    want = F.col("n") + own
+    free = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), want, lambda at, k: F.when(k <= at, at + 1).otherwise(at))
+    return numbered.select("article_id", F.when(want == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), free.cast("string"))).alias("stem"))
 
 
 def size_cap(text: Column, limit: int) -> tuple[Column, Column]:
@@ -117,11 +138,14 @@ def style_samples(templates: DataFrame, most: int = 2, excerpt: int = 500) -> Da
 
 
 def inflect(word: Column, kind: Column) -> Column:
-    """Form of a word, as :func:`groundling.functions.vocabulary.inflect` makes it."""
-    e = F.endswith(word, F.lit("e"))
-    stem = F.when(e, F.left(word, F.length(word) - 1)).otherwise(word)
-    ly = F.when(F.endswith(word, F.lit("ic")), F.concat(word, F.lit("ally"))).when(F.endswith(word, F.lit("le")) & (F.length(word) > 2), F.concat(stem, F.lit("y"))).when(F.regexp_like(word, F.lit("[^aeiou]y\\z")), F.concat(F.left(word, F.length(word) - 1), F.lit("ily"))).otherwise(F.concat(word, F.lit("ly")))
-    return F.when(kind == "s", F.concat(word, F.when(F.regexp_like(word, F.lit("(?:s|x|z|ch|sh)\\z")), F.lit("es")).otherwise(F.lit("s")))).when(kind == "ed", F.concat(stem, F.lit("ed"))).when(kind == "ing", F.concat(stem, F.lit("ing"))).when(kind == "ly", ly).otherwise(word)
+    """Form of a word, by the rules of :data:`groundling.functions.vocabulary.INFLECTIONS`."""
+    out = word
+    for name, rules in v.INFLECTIONS.items():
+        form = word
+        for ending, drop, add in reversed(rules):
+            form = F.when(F.regexp_like(word, F.lit(rf"{ending}\z")), F.concat(F.left(word, F.length(word) - drop), F.lit(add))).otherwise(form)
+        out = F.when(kind == name, form).otherwise(out)
+    return out
 
 
 def summary_lines(jobs: DataFrame) -> DataFrame:
@@ -138,6 +162,10 @@ def _literal(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
 _WORDS = sorted({*v.BANNED_WORDS, *v.REPLACEMENTS.values(), *v.ASSERTIVE_VERBS, *v.CLAIM_TYPES})
 _RAW = "case {id} % 7 when 0 then '' when 1 then ' 12x' when 2 then '-5' when 3 then ' 100 ' when 4 then '2000000' when 5 then '7' else '1024' end"
 _NAMES = list(SETTINGS)
+#: Stems of which some look like others' numbered ones.
+_CLASHES = "when doc_id % 4 = 0 then coalesce(lang, 'none') when doc_id % 4 = 1 then coalesce(lang, 'none') || '-' || cast(2 + doc_id % 6 as string) when doc_id % 40 = 2 then coalesce(lang, 'none') || '-2-2'"
+_BASE = f"case {_CLASHES} else coalesce(nullif(trim('-' from left(trim('-' from regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-')), 90)), ''), 'draft-article') end"
+_BASE_SQL = f"case {_CLASHES} else coalesce(nullif(trim(x, '-'), ''), 'draft-article') end"
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:
@@ -163,7 +191,7 @@ QUERIES = {
     "progress_score": lambda s, d: inputs.articles(s, d).select("article_id", progress_score(F.when(F.col("article_id") % 7 == 0, F.lit(" \n")).otherwise(F.left("md", (F.col("article_id") * 13 % 900).cast("int")))).alias("score")),
     "tail_preview": lambda s, d: inputs.articles(s, d).select("article_id", tail_preview(F.when(F.col("article_id") % 2 == 0, F.translate("md", "\n", " ")).otherwise(F.col("md"))).alias("preview")).withColumn("words", F.size(F.filter(F.split("preview", rf"[{WS}]+"), lambda w: w != "")).cast("long")),
     "config_clamp": lambda s, d: _events(s, d).select("event_id", *(c.alias(n) for n, c in zip(("value", "warning"), config_clamp(F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("event_id") % 5 + 1).cast("int")), F.expr(_RAW.format(id="event_id"))), strict=True))),
-    "unique_stem": lambda s, d: unique_stems(inputs.documents(s, d).withColumnRenamed("doc_id", "article_id"), F.concat(F.lit("2024-03-09-"), tx.slugify(F.left(tx.text("text"), F.lit(4))))),
+    "unique_stem": lambda s, d: unique_stems(inputs.documents(s, d).withColumnRenamed("doc_id", "article_id"), F.concat(F.lit("2024-03-09-"), F.expr(_BASE.replace("doc_id", "article_id")))),
     "size_cap": lambda s, d: inputs.documents(s, d).select("doc_id", *(c.alias(n) for n, c in zip(("accepted", "refusal"), size_cap(tx.text("text"), 5000), strict=True))),
     "style_samples": lambda s, d: style_samples(inputs.articles(s, d).select(F.format_string("%d.md", "article_id").alias("name"), F.col("article_id").alias("modified"), F.col("md").alias("text"))),
     "merge_sources": lambda s, d: inputs.documents(s, d).groupBy(F.col("source").alias("job")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("sources")),
@@ -204,8 +232,12 @@ ORACLE_SQL = {
     "config_clamp": f"""with s(k, name, d, lo, hi) as (values {_SETTING_ROWS}), r as (select event_id, name, d, lo, hi, trim({_RAW.format(id="event_id")}) as raw from events join s on s.k = event_id % 5)
         select event_id, case when try_cast(raw as bigint) between lo and hi then try_cast(raw as bigint) else d end as value,
         case when raw = '' or try_cast(raw as bigint) between lo and hi then '' when try_cast(raw as bigint) is null then name || '="' || raw || '" is not a number; using ' || d else name || '=' || raw || ' is outside [' || lo || ', ' || hi || ']; using ' || d end as warning from r""",
-    "unique_stem": """with b as (select doc_id as article_id, '2024-03-09-' || coalesce(nullif(trim(regexp_replace(lower(left(coalesce(text, ''), 4)), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'draft-article') as base from documents)
-        select article_id, base || case when row_number() over (partition by base order by article_id) > 1 then '-' || row_number() over (partition by base order by article_id) else '' end as stem from b""",
+    "unique_stem": rf"""with t as (select doc_id, doc_id as article_id, lang, left(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '-'), 90) x from documents),
+        b as (select article_id, '2024-03-09-' || {_BASE_SQL} as base from t),
+        n as (select *, row_number() over (partition by base order by article_id) as n from b),
+        k as (select base, unnest(range(2, count(*) + 20)) as k from b group by base having count(*) > 1),
+        free as (select base, k, row_number() over (partition by base order by k) as r from k where base || '-' || k not in (select base from b))
+        select article_id, case when n = 1 then n.base else n.base || '-' || k end as stem from n left join free on free.base = n.base and r = n - 1""",
     "size_cap": "select doc_id, strlen(coalesce(text, '')) <= 5000 as accepted, case when strlen(coalesce(text, '')) > 5000 then strlen(text) || ' bytes; the limit is 5000' else '' end as refusal from documents",
     "style_samples": rf"""with {inputs.ARTICLES_SQL}, n as (select article_id || '.md' as name, {strip_sql(r"regexp_replace(replace(regexp_replace(md, '(?m)^#{1,6} .*$', '', 'g'), chr(13), chr(10)), '\n{4,}', repeat(chr(10), 3), 'g')")} as t from articles order by article_id desc limit 2)
         select name, case when strlen(t) <= 500 then t else coalesce(try(decode(encode(t)[1:500])), try(decode(encode(t)[1:499])), try(decode(encode(t)[1:498])), try(decode(encode(t)[1:497]))) end as excerpt from n where t <> ''""",

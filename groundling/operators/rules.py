@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import os
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundling.functions import text as tx
@@ -18,17 +22,30 @@ EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
 _BANNED = "|".join(map(tx.quoted, v.banned_forms()))
 
 
-def banned_words(md: Column) -> Column:
-    """Distinct banned forms in order of first appearance."""
-    return F.array_distinct(F.regexp_extract_all(tx.lower(md), F.lit(tx.bounded(_BANNED)), F.lit(0)))
+#: What every form of a banned word begins with.
+_STEMS = sorted({os.path.commonprefix(forms) for forms in v.banned_families()})
+
+
+def banned_words(low: Column) -> Column:
+    """Distinct banned forms of a lower-cased article in order of first appearance."""
+    found = F.array_distinct(F.regexp_extract_all(low, F.lit(tx.bounded(_BANNED)), F.lit(0)))
+    # most articles hold none of their stems, which plain searches tell
+    some = reduce(or_, (F.contains(low, F.lit(stem)) for stem in _STEMS))
+    return F.when(some, found).otherwise(F.array().cast("array<string>"))
+
+
+def banned_phrases(low: Column) -> Column:
+    """Banned phrases that a lower-cased article holds, in the list's order."""
+    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(p)), p) for p in v.BANNED_PHRASES)))
 
 
-def banned_phrases(md: Column) -> Column:
-    """Banned phrases that the article holds, in the list's order."""
-    low = tx.lower(md)
-    found = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(p)), p) for p in v.BANNED_PHRASES)))
-    # most articles hold none, which one search tells
-    return F.when(F.regexp_like(low, F.lit("|".join(map(tx.quoted, v.BANNED_PHRASES)))), found).otherwise(F.array().cast("array<string>"))
+def _has_placeholder(md: Column) -> Column:
+    might = reduce(or_, (F.contains(md, F.lit(x)) for x in ("..", "…", "**o", "**O")))
+    return might & F.regexp_like(md, F.lit(f"(?dmiu){PLACEHOLDER}"))
+
+
+def _has_h2(md: Column) -> Column:
+    return F.contains(md, F.lit("##")) & F.regexp_like(md, F.lit(rf"(?dm)^##[{SP}]+.+$"))
 
 
 def _bounds(n: Column) -> Column:
@@ -40,26 +57,31 @@ def _listed(title: str, items: Column) -> Column:
     return F.when(F.size(items) > 0, F.concat(F.lit(f"contains banned {title}: "), F.array_join(items, ", ")))
 
 
+#: Each rule reads an article and its lower case.
 RULES = {
-    "rule_h1": lambda md: F.when(~F.startswith(md, F.lit(H1)), "body-only mode must start with a Markdown H1"),
-    "aside": lambda md: F.when(~F.contains(md, F.lit(ASIDE)), "missing post-lead aside"),
-    "summary": lambda md: F.when(~F.contains(md, F.lit(SUMMARY)), "missing Executive Summary"),
-    "rule_h2": lambda md: F.when(~F.regexp_like(md, F.lit(rf"(?dm)^##[{SP}]+.+$")), "missing section headings"),
-    "rule_placeholder": lambda md: F.when(F.regexp_like(md, F.lit(f"(?dmiu){PLACEHOLDER}")), "contains an unfilled skeleton placeholder (title, heading, or thesis)"),
-    "rule_length": lambda md: _bounds(tx.word_count(md)),
-    "rule_emoji": lambda md: F.when(F.regexp_like(md, F.lit(EMOJI)), "contains emoji"),
-    "rule_banned_words": lambda md: _listed("words", banned_words(md)),
-    "rule_banned_phrases": lambda md: _listed("phrases", banned_phrases(md)),
+    "rule_h1": lambda md, low: F.when(~F.startswith(md, F.lit(H1)), "body-only mode must start with a Markdown H1"),
+    "aside": lambda md, low: F.when(~F.contains(md, F.lit(ASIDE)), "missing post-lead aside"),
+    "summary": lambda md, low: F.when(~F.contains(md, F.lit(SUMMARY)), "missing Executive Summary"),
+    "rule_h2": lambda md, low: F.when(~_has_h2(md), "missing section headings"),
+    "rule_placeholder": lambda md, low: F.when(_has_placeholder(md), "contains an unfilled skeleton placeholder (title, heading, or thesis)"),
+    "rule_length": lambda md, low: _bounds(tx.word_count(md)),
+    "rule_emoji": lambda md, low: F.when(F.regexp_like(md, F.lit(EMOJI)), "contains emoji"),
+    "rule_banned_words": lambda md, low: _listed("words", banned_words(low)),
+    "rule_banned_phrases": lambda md, low: _listed("phrases", banned_phrases(low)),
 }
 
 
-def house_errors(md: Column) -> Column:
-    """Messages of all broken rules, in the rules' order; empty if the article may be published."""
-    return F.array_compact(F.array(*(rule(md) for rule in RULES.values())))
+def house_errors(md: Column, low: Column | None = None) -> Column:
+    """Messages of all broken rules, in the rules' order; empty if the article may be published.
+
+    ``low`` is the lower-cased article where a caller has it as a column.
+    """
+    low = tx.lower(md) if low is None else low
+    return F.array_compact(F.array(*(rule(md, low) for rule in RULES.values())))
 
 
 def looks_like_article(md: Column) -> Column:
-    return F.startswith(md, F.lit(H1)) & F.regexp_like(md, F.lit(rf"(?dm)^##[{SP}]+.+$"))
+    return F.startswith(md, F.lit(H1)) & _has_h2(md)
 
 
 def _project(**columns):
@@ -67,15 +89,21 @@ def _project(**columns):
 
 
 def _one(name: str):
-    return lambda spark, d: inputs.articles(spark, d).select("article_id", F.coalesce(RULES[name](tx.text("md")), F.lit("")).alias("message"))
+    return lambda spark, d: inputs.articles(spark, d).select("article_id", F.coalesce(RULES[name](tx.text("md"), tx.lower(tx.text("md"))), F.lit("")).alias("message"))
+
+
+def _errors(spark: SparkSession, d: str) -> DataFrame:
+    low = inputs.articles(spark, d).select("article_id", tx.text("md").alias("md")).withColumn("low", tx.lower(F.col("md")))
+    found = low.select("article_id", house_errors(F.col("md"), F.col("low")).alias("all"))
+    return found.select("article_id", F.array_join("all", "\n").alias("errors"), F.size("all").cast("long").alias("n"))
 
 
 QUERIES = {
     "rule_h1": _one("rule_h1"),
-    "rule_structure": _project(aside=lambda md: F.coalesce(RULES["aside"](md), F.lit("")), summary=lambda md: F.coalesce(RULES["summary"](md), F.lit(""))),
+    "rule_structure": _project(aside=lambda md: F.coalesce(RULES["aside"](md, md), F.lit("")), summary=lambda md: F.coalesce(RULES["summary"](md, md), F.lit(""))),
     **{name: _one(name) for name in ("rule_h2", "rule_placeholder", "rule_length", "rule_emoji", "rule_banned_words", "rule_banned_phrases")},
     "word_count": _project(words=lambda md: tx.word_count(md).cast("long")),
-    "house_errors": _project(errors=lambda md: F.array_join(house_errors(md), "\n"), n=lambda md: F.size(house_errors(md)).cast("long")),
+    "house_errors": _errors,
     "looks_like_article": _project(value=looks_like_article),
     "ends_sentence": _project(value=lambda md: tx.ends_sentence(tx.right_trim(md))),
 }

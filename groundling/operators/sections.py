@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groundling.functions import cutting
 from groundling.functions import text as tx
@@ -13,9 +17,9 @@ from groundling.plans import inputs
 
 # Headings at which a paper is split, and those that end it.
 HEADINGS = ["Abstract", "Introduction", "Related Work", "Method", "Methods", "Experiments", "Results", "Discussion", "Limitations", "Conclusion", "References"]
-STOPS = "references|bibliography|acknowledge?ments|appendix"
+STOPS = ["references", "bibliography", "acknowledgments", "acknowledgements", "appendix"]
 
-_STOP = rf"^[{SP}]*(?:#{{1,6}}[{SP}]+)?(?:{STOPS})(?![0-9A-Za-z_])"
+_STOP = rf"^[{SP}]*(?:#{{1,6}}[{SP}]+)?(?:{'|'.join(STOPS)})(?![0-9A-Za-z_])"
 
 
 def drop_references(c: Column) -> Column:
@@ -31,10 +35,19 @@ def split_headings(c: Column) -> Column:
 
 
 def split_sections(sources: DataFrame, key: str, name: Column, body: Column) -> DataFrame:
-    """One row per section: key, section (int, from 1), label, body. Texts without content have none."""
-    parts = sources.select(key, name.alias("name"), F.pandas_udf(cutting.cut_parts, "array<string>")(split_headings(drop_references(body))).alias("bodies"))
-    exploded = parts.select(key, "name", F.posexplode("bodies").alias("at", "body"))
-    return exploded.select(key, (F.col("at") + 1).alias("section"), F.concat("name", F.lit(" section "), (F.col("at") + 1).cast("string")).alias("label"), "body")
+    """One row per section: key, section (int, from 1), label, body. Texts without content have none.
+
+    A text is read once: what :func:`drop_references` and
+    :func:`split_headings` do, and the cut in bytes, are one pass of the worker.
+    """
+    rows = sources.select(key, name.alias("name"), body.alias("body"))
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("at", T.IntegerType()), T.StructField("body", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return cutting.section_batches(batches, cutting.sectioner(HEADINGS, STOPS, "\t\n\f\r "))
+
+    cut = rows.mapInArrow(run, schema)
+    return cut.select(key, (F.col("at") + 1).alias("section"), F.concat("name", F.lit(" section "), (F.col("at") + 1).cast("string")).alias("label"), "body")
 
 
 #: A paper made of an article: headings in front of some paragraphs, references at the end.
@@ -69,7 +82,7 @@ _NORM = rf"""{strip_sql(r"regexp_replace(regexp_replace(paper, '\r\n?', chr(10),
 _DROPPED = rf"""
     {PAPERS_SQL}, norm as (select article_id, {_NORM} as t from papers),
     lines as (select article_id, t, string_split(t, chr(10)) l from norm),
-    marked as (select article_id, t, l, list_last(list_filter(range(1, len(l) + 1), lambda k: regexp_matches(l[k], '(?i)^\s*(?:#{{1,6}}\s+)?(?:{STOPS})\b'))) k from lines),
+    marked as (select article_id, t, l, list_last(list_filter(range(1, len(l) + 1), lambda k: regexp_matches(l[k], '(?i)^\s*(?:#{{1,6}}\s+)?(?:{'|'.join(STOPS)})\b'))) k from lines),
     dropped as (select article_id, case when k is null then t else {strip_sql("array_to_string(l[1:k-1], chr(10))")} end as t from marked)"""
 _NAMES = "|".join(HEADINGS)
 _SPLIT = rf"list_filter(string_split(regexp_replace(t, '\n((?:{_NAMES})\b)', chr(1) || '\1', 'g'), chr(1)), lambda x: x <> '')"
