@@ -128,7 +128,7 @@ def slugify(c: Column) -> Column:
     """Lower-case ASCII words joined by hyphens, at most 90 bytes."""
     dashed = F.regexp_replace(sub(lower(c), "[^a-z0-9]+", "-"), "^-+|-+\\z", "")
     cut = F.regexp_replace(F.left(dashed, F.lit(90)), "^-+|-+\\z", "")
-    return F.coalesce(F.nullif(cut, F.lit("")), F.lit("draft-article"))
+    return F.coalesce(F.nullif(cut, F.lit("")), F.lit("untitled-article"))
 
 
 def quote_yaml(c: Column) -> Column:
@@ -141,7 +141,12 @@ def quote_yaml(c: Column) -> Column:
 def extract_title(c: Column) -> Column:
     """Text of the first top heading."""
     found = strip(F.regexp_extract(c, rf"(?dm)^#[{SP}]+(.+)$", 1))
-    return F.when(F.regexp_like(c, F.lit(rf"(?dm)^#[{SP}]+.+$")), found).otherwise(F.lit("draft-article"))
+    return F.when(F.regexp_like(c, F.lit(rf"(?dm)^#[{SP}]+.+$")), found).otherwise(F.lit("untitled-article"))
+
+
+def first_line(c: Column) -> Column:
+    """What stands before the first line feed, trimmed; a text without one as it is."""
+    return F.when(F.contains(c, F.lit("\n")), strip(F.substring_index(c, "\n", 1))).otherwise(c)
 
 
 def trim_sentence(c: Column) -> Column:

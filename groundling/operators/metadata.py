@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+import re
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, fields
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,19 @@ class Site:
     components: str = "Templates, Themes"
 
 
+def site_from(settings: Mapping[str, str], prefix: str = "GROUNDLING_SITE_") -> Site:
+    """The default site with what ``settings`` (such as the environment) names, as PREFIX + field in capitals; blank or malformed values keep the default."""
+    found = {}
+    for field in fields(Site):
+        value = settings.get(prefix + field.name.upper(), "").strip()
+        if field.name == "copyright_from":
+            if re.fullmatch(r"[+-]?[0-9]{1,9}", value):
+                found[field.name] = int(value)
+        elif value:
+            found[field.name] = value
+    return Site(**found)
+
+
 def split_front(c: Column) -> tuple[Column, Column]:
     """Front matter block (empty without one) and body."""
     c = tx.strip(c)
@@ -292,6 +306,6 @@ ORACLE_SQL = {
         e as (select *, case when subtitle <> '' and strlen(subtitle) > strlen(description) then subtitle else description end as e0 from c),
         s as (select *, left(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), 90) as s0 from e)
         select article_id, title, subtitle, description, {_cut_sql("e0", 220)} as excerpt, coalesce(keywords, '') as keywords, coalesce(keywords, '') as tags, {_category_sql("(title || ' ' || body)")} as category,
-        case when trim(s0, '-') = '' then 'draft-article' else trim(s0, '-') end as slug from s left join kw using (article_id)""",
+        case when trim(s0, '-') = '' then 'untitled-article' else trim(s0, '-') end as slug from s left join kw using (article_id)""",
     "part_of_set": rf"with p as (select page_id, {_PATH} as path from pages), q as (select page_id, string_split(path, '/') s from p) select page_id, regexp_matches(regexp_replace(s[-1], '\.[^.]*$', ''), '-(body|final|frontmatter)$') or coalesce(s[-2], '') in ('source', 'final') as value from q",
 }

@@ -47,10 +47,12 @@ QUERIES = {
     "strip_placeholders": over(inputs.articles, "article_id", lambda: tx.strip_placeholders(_md())),
     "clean_text": over(inputs.articles, "article_id", lambda: tx.clean_text(_md())),
     "truncate_word": over(inputs.documents, "doc_id", lambda: tx.truncate_word(_raw(), 197), clipped=lambda: tx.clip_bytes(_raw(), 500), snippet=lambda: F.left(_raw(), F.lit(90))),
-    "slugify": over(inputs.documents, "doc_id", lambda: tx.slugify(F.left(_raw(), F.lit(140)))),
-    "quote_yaml": over(inputs.documents, "doc_id", lambda: tx.quote_yaml(F.concat(F.left(_noisy(), F.lit(300)), F.lit(' "a\\b" ')))),
+    "slugify": over(inputs.documents, "doc_id", lambda: tx.slugify(_raw())),
+    "quote_yaml": over(inputs.documents, "doc_id", lambda: tx.quote_yaml(F.concat(_noisy(), F.lit(' "a\\b" ')))),
+    "collapse_space": over(inputs.articles, "article_id", lambda: tx.collapse(_md())),
+    "first_line": over(inputs.documents, "doc_id", lambda: tx.first_line(_noisy())),
     "extract_title": over(inputs.articles, "article_id", lambda: tx.extract_title(_md())),
-    "trim_sentence": over(inputs.documents, "doc_id", lambda: tx.trim_sentence(F.left(_raw(), F.lit(300)))),
+    "trim_sentence": over(inputs.documents, "doc_id", lambda: tx.trim_sentence(_raw())),
 }
 
 _NOISE_SQL = NOISY.format(t="coalesce(text, '')")
@@ -91,14 +93,16 @@ ORACLE_SQL = {
         select doc_id, case when strlen(t) <= 197 then t when instr(substr({_PREFIX.format(n=197)}, 2), ' ') > 0 then regexp_extract({_PREFIX.format(n=197)}, '(?s)^(.+) ', 1) else {_PREFIX.format(n=197)} end as value,
         case when strlen(t) <= 500 then t else {_PREFIX.format(n=500)} end as clipped, left(t, 90) as snippet from d""",
     "slugify": """
-        with s as (select doc_id, left(trim(regexp_replace(lower(left(coalesce(text, ''), 140)), '[^a-z0-9]+', '-', 'g'), '-'), 90) x from documents)
-        select doc_id, case when trim(x, '-') = '' then 'draft-article' else trim(x, '-') end as value from s""",
+        with s as (select doc_id, left(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '-'), 90) x from documents)
+        select doc_id, case when trim(x, '-') = '' then 'untitled-article' else trim(x, '-') end as value from s""",
     "quote_yaml": rf"""
-        with s as (select doc_id, regexp_replace(regexp_replace(left({_NOISE_SQL}, 300) || ' "a\b" ', '[\n\t\r]', ' ', 'g'), '[\x00-\x1F\x7F]', '', 'g') x from documents)
+        with s as (select doc_id, regexp_replace(regexp_replace({_NOISE_SQL} || ' "a\b" ', '[\n\t\r]', ' ', 'g'), '[\x00-\x1F\x7F]', '', 'g') x from documents)
         select doc_id, '"' || {words_sql(r"""replace(replace(x, '\', '\\'), '"', '\"')""")} || '"' as value from s""",
+    "collapse_space": f"with {inputs.ARTICLES_SQL} select article_id, {words_sql('md')} as value from articles",
+    "first_line": f"with n as (select doc_id, {_NOISE_SQL} as t from documents) select doc_id, case when instr(t, chr(10)) > 0 then {strip_sql('substr(t, 1, instr(t, chr(10)) - 1)')} else t end as value from n",
     "extract_title": rf"""
         with {inputs.ARTICLES_SQL}
-        select article_id, case when regexp_matches(md, '(?m)^#\s+(.+)$') then {strip_sql(r"regexp_extract(md, '(?m)^#\s+(.+)$', 1)")} else 'draft-article' end as value from articles""",
+        select article_id, case when regexp_matches(md, '(?m)^#\s+(.+)$') then {strip_sql(r"regexp_extract(md, '(?m)^#\s+(.+)$', 1)")} else 'untitled-article' end as value from articles""",
     "trim_sentence": rf"""
-        select doc_id, coalesce(regexp_extract(left(coalesce(text, ''), 300), '(?s)^(.*[.!?"'')\]”’…»])(?:[{WS}]|$)', 1), '') as value from documents""",
+        select doc_id, coalesce(regexp_extract(coalesce(text, ''), '(?s)^(.*[.!?"'')\]”’…»])(?:[{WS}]|$)', 1), '') as value from documents""",
 }

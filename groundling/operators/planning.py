@@ -164,8 +164,8 @@ _RAW = "case {id} % 7 when 0 then '' when 1 then ' 12x' when 2 then '-5' when 3
 _NAMES = list(SETTINGS)
 #: Stems of which some look like others' numbered ones.
 _CLASHES = "when doc_id % 4 = 0 then coalesce(lang, 'none') when doc_id % 4 = 1 then coalesce(lang, 'none') || '-' || cast(2 + doc_id % 6 as string) when doc_id % 40 = 2 then coalesce(lang, 'none') || '-2-2'"
-_BASE = f"case {_CLASHES} else coalesce(nullif(trim('-' from left(trim('-' from regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-')), 90)), ''), 'draft-article') end"
-_BASE_SQL = f"case {_CLASHES} else coalesce(nullif(trim(x, '-'), ''), 'draft-article') end"
+_BASE = f"case {_CLASHES} else coalesce(nullif(trim('-' from left(trim('-' from regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-')), 90)), ''), 'untitled-article') end"
+_BASE_SQL = f"case {_CLASHES} else coalesce(nullif(trim(x, '-'), ''), 'untitled-article') end"
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:

@@ -70,7 +70,7 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _turns(spark, sf_dir).select(F.col("conv_id").alias("job"), "turn", F.left("text", F.lit(80)).alias("t"))
+    turns = _turns(spark, sf_dir).select(F.col("conv_id").alias("job"), "turn", F.col("text").alias("t"))
     delta = turns.select("job", F.col("turn").alias("pos"), F.to_json(F.struct(F.lit("stream_event").alias("type"), F.struct(F.lit("content_block_delta").alias("type"), F.struct(F.lit("text_delta").alias("type"), F.col("t").alias("text")).alias("delta")).alias("event"))).alias("line"))
     jobs = turns.select("job").distinct()
     odd = jobs.select("job", F.lit(-1).cast("long").alias("pos"), F.lit('{"type": "stream_event", "ev').alias("line"))
@@ -81,7 +81,7 @@ def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _response_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _turns(spark, sf_dir).select(F.col("conv_id").alias("job"), F.col("turn").alias("pos"), F.left("text", F.lit(80)).alias("t"))
+    turns = _turns(spark, sf_dir).select(F.col("conv_id").alias("job"), F.col("turn").alias("pos"), F.col("text").alias("t"))
     made = F.to_json(F.struct(F.col("t").alias("response"), ((F.col("pos") == 2) & (F.col("job") % 2 == 0)).alias("done"), F.when(F.col("job") % 4 == 0, "length").otherwise("stop").alias("done_reason")))
     line = F.when((F.col("job") % 7 == 3) & (F.col("pos") == 1), '{"error":"model not found"}').when((F.col("job") % 7 == 5) & (F.col("pos") == 1), "{oops").otherwise(made)
     return turns.select("job", "pos", line.alias("line"))
@@ -89,7 +89,7 @@ def _response_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = (F.col("conv_id") * 5 + F.col("turn")) % 3 != 0
-    return _turns(spark, sf_dir).select(F.col("conv_id").alias("job"), F.col("turn").alias("rank"), F.concat(F.col("role"), F.lit("-"), F.col("turn").cast("string")).alias("engine"), F.left("text", F.lit(40)).alias("text"), F.when(bad, F.concat(F.lit("offline "), F.col("turn").cast("string"))).otherwise("").alias("error"))
+    return _turns(spark, sf_dir).select(F.col("conv_id").alias("job"), F.col("turn").alias("rank"), F.concat(F.col("role"), F.lit("-"), F.col("turn").cast("string")).alias("engine"), F.col("text"), F.when(bad, F.concat(F.lit("offline "), F.col("turn").cast("string"))).otherwise("").alias("error"))
 
 
 QUERIES = {
@@ -98,12 +98,12 @@ QUERIES = {
     "first_success": lambda s, d: first_success(_attempts(s, d)),
 }
 ORACLE_SQL = {
-    "assemble_stream": """with a as (select conv_id as job, string_agg(left(text, 80), '' order by turn) as said from conversations group by conv_id)
+    "assemble_stream": """with a as (select conv_id as job, string_agg(text, '' order by turn) as said from conversations group by conv_id)
         select job, case job % 5 when 1 then 'Final ' || job when 2 then '' when 4 then '' else said end as text, job % 3 = 0 as truncated, case job % 5 when 2 then 'error_max' when 4 then 'provider reported an error' else '' end as error from a""",
-    "assemble_ndjson": """with t as (select conv_id as job, turn, left(text, 80) as t, case when conv_id % 7 in (3, 5) and turn = 1 then 'bad' when turn = 2 and conv_id % 2 = 0 then 'done' else 'go' end as k from conversations),
+    "assemble_ndjson": """with t as (select conv_id as job, turn, text as t, case when conv_id % 7 in (3, 5) and turn = 1 then 'bad' when turn = 2 and conv_id % 2 = 0 then 'done' else 'go' end as k from conversations),
         e as (select job, min(turn) filter (k <> 'go') as stop, arg_min(k, turn) filter (k <> 'go') as how from t group by job)
         select job, coalesce(string_agg(t, '' order by turn) filter (k <> 'bad' and (stop is null or turn <= stop)), '') as text, coalesce(any_value(how) = 'done', false) and job % 4 = 0 as truncated,
         case when any_value(how) = 'bad' then case when job % 7 = 3 then 'model not found' else 'invalid line' end else '' end as error from t join e using (job) group by job""",
-    "first_success": """with a as (select conv_id as job, turn, role || '-' || turn as engine, left(text, 40) as text, (conv_id * 5 + turn) % 3 = 0 as ok from conversations)
+    "first_success": """with a as (select conv_id as job, turn, role || '-' || turn as engine, text, (conv_id * 5 + turn) % 3 = 0 as ok from conversations)
         select job, coalesce(arg_min(engine, turn) filter (ok), '') as engine, coalesce(arg_min(text, turn) filter (ok), '') as text, case when bool_or(ok) then '' else 'offline ' || max(turn) end as error from a group by job""",
 }

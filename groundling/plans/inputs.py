@@ -44,6 +44,8 @@ _RECORDS = {
     "q1": f"case when doc_id % 9 = 4 then 'invented words that no source has' when doc_id % 11 = 5 then 'tiny' when doc_id % 13 = 6 then '' when doc_id % 5 = 2 then {_upper(_QUOTE)} else {_QUOTE} end",
     "t1": "case doc_id % 8 when 0 then 'metric' when 1 then 'Result ' when 2 then 'opinion' else 'method' end",
     "s1": "case doc_id % 6 when 0 then 'hedged' when 1 then 'Certain' when 2 then '' else 'demonstrated' end",
+    "c3": f"'All of it: ' || replace({_T}, {_NL}, ' ')",
+    "q3": f"replace({_T}, {_NL}, case when doc_id % 2 = 0 then ' ' else '  ' end)",
     "c2": f"'Fact: ' || substr({_T}, 5, 60)",
     "q2": f"substr({_T}, 5, 60)",
 }
@@ -60,11 +62,14 @@ EXTRACTION = (
     + _block(f"({_RECORDS['c2']})", f"({_RECORDS['q2']})", "'result'", "'speculation-or-future-work'")
     + " || case when doc_id % 4 = 1 then "
     + _block(_upper(_RECORDS["c2"]), f"({_RECORDS['q2']})", "'result'", "'hedged'")
+    + " else '' end || case when doc_id % 3 = 0 then "
+    + _block(f"({_RECORDS['c3']})", f"({_RECORDS['q3']})", "'definition'", "'demonstrated'")
     + " else '' end end"
 )
 CLAIMS = {
     1: ("substr(" + _T + ", 1, 110)", "substr(" + _T + ", 1, 110)", "'result'", "case when doc_id % 3 = 0 then ' Hedged' else 'demonstrated' end"),
     2: ("case when doc_id % 2 = 0 then 'ppl fell by 3.5' else 'certain gains of 0.82' end", "'found 91,000 items in ' || cast(doc_id as string)", "'metric'", "'demonstrated'"),
+    3: ("case when doc_id % 5 = 0 then " + _T + " else 'a short one' end", _T, "'limitation'", "case when doc_id % 2 = 0 then 'hedged' else '' end"),
 }
 EDITS = (
     "'<think>[x]</think> Edits: ' || '[{\"find\": \"' || left(regexp_replace(" + _T + ", '[^A-Za-z ]', ' ', 'g'), 30) || '\", \"replace\": \"Replaced opening\", \"reason\": \"' || "

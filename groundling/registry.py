@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundling.operators import claims, edits, faithfulness, metadata, normalise, planning, repair, rules, sections, streams
+from groundling.operators import claims, edits, faithfulness, metadata, normalise, planning, repair, rules, running, sections, streams
 from groundling.plans import composing
 
-_MODULES = [normalise, sections, claims, rules, faithfulness, repair, edits, metadata, planning, streams, composing]
+_MODULES = [normalise, sections, claims, rules, faithfulness, repair, edits, metadata, planning, running, streams, composing]
 
 
 def _widened(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -54,7 +54,9 @@ def read_sources(spark: SparkSession, paths: str | list[str], limit: int = SOURC
     kind = F.lower(F.regexp_extract(name, r"\.([^.]*)\z", 1))
     sized = files.select("path", name.alias("name"), kind.alias("kind"), "length", "content")
     fits = sized.where(F.col("length") <= limit)
-    plain = fits.where(F.col("kind").isin(*TEXT_KINDS)).select("path", "name", tx.normalise_space(F.decode("content", "UTF-8")).alias("text"), F.lit("").alias("error"))
+    body = F.col("content").cast("string")
+    valid = F.is_valid_utf8(body)
+    plain = fits.where(F.col("kind").isin(*TEXT_KINDS)).select("path", "name", F.when(valid, tx.normalise_space(body)).otherwise("").alias("text"), F.when(valid, "").otherwise(F.concat("name", F.lit(" is not valid UTF-8"))).alias("error"))
     pdf = fits.where("kind = 'pdf'").select("path", "content").mapInPandas(_extract_pdf, "path string, text string, error string")
     pdf = pdf.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), tx.normalise_space(F.col("text")).alias("text"), "error")
     big = sized.where(F.col("length") > limit).select("path", "name", F.lit("").alias("text"), F.format_string(f"%s is %d bytes; the limit is {limit}", "name", "length").alias("error"))
@@ -62,6 +64,18 @@ def read_sources(spark: SparkSession, paths: str | list[str], limit: int = SOURC
     return plain.unionByName(pdf).unionByName(big).unionByName(other)
 
 
+def outcome(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sources (path, name, text, error) to work on, and one row (read, failed, error) about all of them.
+
+    Sources that failed are passed over with their errors; only where none is
+    left the row has an error itself.
+    """
+    failed = F.col("error") != ""
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(failed, F.struct("name", "error")))), lambda x: x["error"]), "; ")
+    counted = sources.agg(F.count_if(~failed).alias("read"), F.count_if(failed).alias("failed"), said.alias("all"))
+    return sources.where(~failed), counted.select("read", "failed", F.when(F.col("read") == 0, F.concat(F.lit("no source could be read"), F.when(F.col("all") != "", F.concat(F.lit(": "), "all")).otherwise(""))).otherwise("").alias("error"))
+
+
 def read_articles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Markdown articles, with the smaller limit that applies to them."""
     return read_sources(spark, paths, ARTICLE_BYTES)

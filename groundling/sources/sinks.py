@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -12,23 +13,38 @@ from groundling.functions import text as tx
 from groundling.operators import metadata as md
 from groundling.operators.planning import summary_lines, unique_stems
 from groundling.operators.rules import looks_like_article
+from groundling.session import materialise
 
 
-def article_set(articles: DataFrame, day: str, site: md.Site | None = None) -> DataFrame:
-    """(article_id, folder, name, content): body, front matter and final document of each article, under one stem."""
+ENDINGS = {"source": "-body.md", "yaml": "-frontmatter.yaml", "final": "-final.md"}
+
+
+def article_set(articles: DataFrame, day: str, site: md.Site | None = None, taken: DataFrame | None = None) -> DataFrame:
+    """(article_id, folder, name, content): body, front matter and final document of each article, under one stem that is none of ``taken`` (stem)."""
     date = F.to_date(F.lit(day))
     body = articles.select("article_id", tx.strip(md.split_front(tx.text("md"))[1]).alias("md"))
-    stems = unique_stems(body, F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit("-"), tx.slugify(tx.extract_title(F.col("md")))))
+    stems = unique_stems(body, F.concat(F.date_format(date, "yyyy-MM-dd"), F.lit("-"), tx.slugify(tx.extract_title(F.col("md")))), taken)
     fronts = md.render(body, site or md.Site(), date)
     joined = body.join(stems, "article_id").join(fronts, "article_id")
     file = lambda folder, ending, content: F.struct(F.lit(folder).alias("folder"), F.concat("stem", F.lit(ending)).alias("name"), content.alias("content"))
-    files = F.array(file("source", "-body.md", F.concat("md", F.lit("\n"))), file("yaml", "-frontmatter.yaml", F.concat("front", F.lit("\n"))), file("final", "-final.md", F.concat(md.combine_front(F.col("front"), F.col("md")), F.lit("\n"))))
+    files = F.array(file("source", ENDINGS["source"], F.concat("md", F.lit("\n"))), file("yaml", ENDINGS["yaml"], F.concat("front", F.lit("\n"))), file("final", ENDINGS["final"], F.concat(md.combine_front(F.col("front"), F.col("md")), F.lit("\n"))))
     return joined.select("article_id", F.inline(files))
 
 
 def write_article_set(articles: DataFrame, path: str, day: str, site: md.Site | None = None) -> None:
-    """The sets as Parquet under ``path``, by day and folder; Spark's committer publishes all files or none."""
-    article_set(articles, day, site).withColumn("day", F.lit(day)).write.mode("append").partitionBy("day", "folder").parquet(path)
+    """The sets as Parquet under ``path``, by day and folder; Spark's committer publishes all files or none.
+
+    What a day's folders hold is left alone: a name that stands in any of them
+    moves all three of a new set to the next free number.
+    """
+    spark = articles.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day={day}")
+    held = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    taken = None
+    if held:
+        ending = "|".join(re.escape(e) for e in ENDINGS.values())
+        taken = materialise(spark.read.parquet(path).where(F.col("day") == day).select(F.regexp_replace("name", f"(?:{ending})$", "").alias("stem")).distinct(), "stems")
+    article_set(articles, day, site, taken).withColumn("day", F.lit(day)).write.mode("append").partitionBy("day", "folder").parquet(path)
 
 
 def split_failures(outputs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -22,9 +22,9 @@ def apply(spark, expression, texts):
         (tx.strip_thinking, ["<think>a</think>\n junk\n  # T\nbody ", "no heading ", "#\n# \nx"], ["# T\nbody", "no heading", "#\n# \nx"]),
         (tx.strip_placeholders, ["**Opening Thesis paragraph.** Real", "**...**\nx", "## …\ny", "# ...\nz"], ["Real", "x", "y", "# ...\nz"]),
         (tx.clean_text, ["<b>[a *b*](http://x)</b>\r\n c_d"], ["a b cd"]),
-        (tx.slugify, ["Hello, World!", "--", "é", "a" * 89 + " b"], ["hello-world", "draft-article", "draft-article", "a" * 89]),
+        (tx.slugify, ["Hello, World!", "--", "é", "a" * 89 + " b"], ["hello-world", "untitled-article", "untitled-article", "a" * 89]),
         (tx.quote_yaml, ['a "b" \\ c\n\x07\x7fd'], ['"a \\"b\\" \\\\ c d"']),
-        (tx.extract_title, ["x\n#  T t \ny", "none", "#\nnext"], ["T t", "draft-article", "next"]),
+        (tx.extract_title, ["x\n#  T t \ny", "none", "#\nnext"], ["T t", "untitled-article", "next"]),
         (tx.trim_sentence, ["One. Two 3.1 and", "no end", 'He said “go.”  x'], ["One.", "", "He said “go.”"]),
         (tx.ends_sentence, ["a.", "a---", "a”", "a", "a,", ""], [True, True, True, False, False, False]),
         (lambda c: tx.truncate_word(c, 10), ["short", "hello big world", "ééééééééé", "x" * 20], ["short", "hello big", "ééééé", "x" * 10]),
