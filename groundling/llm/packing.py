@@ -13,6 +13,7 @@ plan, and a piece finds its place by its rank among pieces of its length.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +30,6 @@ from groundling.session import materialise
 
 CAPACITY = 1024
 END = 2
-_RANK_ROWS = 50_000
 
 
 class SumIndex:
@@ -151,15 +151,17 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary
     return source.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, deal long")
 
 
-def ranked(rows: DataFrame, total: int) -> DataFrame:
-    """Number the rows of each length from 0 (``rank``).
+def ranked(rows: DataFrame, counts: np.ndarray) -> DataFrame:
+    """Number the rows of each length from 0 (``rank``); ``counts[n]`` rows have length n.
 
-    Rows are dealt by ``deal`` to so many groups that each has some ten
-    thousand, also where many rows are equal in all else; a group is numbered
-    by itself and moved by the sum of those before it.
+    Rows of a length are dealt by ``deal`` to groups, also where many are equal
+    in all else; a group is numbered by itself and moved by the sum of those
+    before it. A group holds about the square root of all rows, so that
+    neither a group nor the list of a length's groups is longer than that.
     """
-    groups = max(1, -(-total // _RANK_ROWS))
-    dealt = rows.withColumn("group", F.pmod("deal", F.lit(groups)).cast("int"))
+    size = max(1, math.isqrt(int(counts.sum())))
+    groups = F.element_at(F.array(*(F.lit(max(1, -(-int(n) // size))) for n in counts)), F.col("length").cast("int") + 1)
+    dealt = rows.withColumn("group", F.pmod("deal", groups).cast("int"))
     sizes = dealt.groupBy("length", "group").agg(F.count("*").alias("n"))
     before = sizes.select("length", "group", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("length", "group").orderBy("deal", "doc_id", "piece"))
@@ -194,7 +196,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, vocabulary:
                 offset[mine] = table[at, 2]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    rows = ranked(cut, int(counts.sum())).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
+    rows = ranked(cut, counts).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return rows.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
