@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Mapping
-from dataclasses import dataclass, fields
+from dataclasses import asdict, dataclass, fields
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -149,57 +149,71 @@ def part_of_set(path: Column) -> Column:
     return F.regexp_like(stem, F.lit(r"-(?:body|final|frontmatter)\z")) | folder.isin("source", "final")
 
 
+# Parts of the block, their keys in order, and what is written where an article has no value of its own.
+# In braces: an article's metadata, its dates and addresses, and the site's fields.
+FRONT = [
+    ("# Front Matter (YAML)\n\n", [
+        ("author", "{email} ({name})"), ("banner_alt", "An illustration representing {lower_title}."), ("banner_height", "1280"), ("banner_width", "1920"),
+        ("banner", "{cdn}/stocks/images/{slug}.webp"), ("cdn", "{cdn}"), ("charset", "UTF-8"), ("cname", "{host}"), ("copyright", "© Copyright {span} - {name}. All rights reserved."), ("date", "{shown}"),
+        ("description", "{description}"), ("format-detection", "telephone=no"), ("hreflang", "en"), ("icon", "{logo}"), ("id", "{url}"), ("image_alt", "Portrait of {name}"), ("image_height", "162"),
+        ("image_width", "162"), ("image", "{cdn}/stocks/images/{short_name}.webp"), ("keywords", "{keywords}"), ("language", "en-GB"), ("last_reviewed", "{date}"), ("layout", "report"), ("locale", "en_GB"),
+        ("logo_alt", "Logo for {name}"), ("logo_height", "44"), ("logo_width", "44"), ("logo", "{logo}"), ("menu", ""), ("measurementID", "{measurement_id}"), ("name", "{name}"), ("permalink", "{url}"),
+        ("rating", "general"), ("referrer", "no-referrer"), ("robots", "index, follow"), ("schema", "FAQPage, Article"), ("seo_title", "{title}"), ("short_name", "{short_name}"), ("subtitle", "{subtitle}"),
+        ("tags", "{tags}"), ("theme-color", "0, 83, 191"), ("title", "{title}"), ("url", "{url}"), ("viewport", "width=device-width, initial-scale=1, shrink-to-fit=no"),
+    ]),
+    ("# RSS - The RSS feed front matter (YAML).\n", [
+        ("atom_link", "{url}/rss.xml"), ("category", "{category}"), ("docs", None), ("generator", "{generator}"), ("item_description", "{description}"), ("item_guid", "{url}/rss.xml"), ("item_link", "{url}/rss.xml"),
+        ("item_pub_date", "{rss}"), ("item_title", "{title}"), ("last_build_date", "{rss}"), ("managing_editor", "{email} ({name})"), ("pub_date", "{rss}"), ("ttl", "60"), ("type", "article"), ("webmaster", "{email}"),
+    ]),
+    ("# Apple - The Apple front matter (YAML).\n", [
+        ("apple_mobile_web_app_orientations", "portrait"), ("apple_touch_icon_sizes", "192x192"), ("apple-mobile-web-app-capable", "yes"), ("apple-mobile-web-app-status-bar-inset", "black"),
+        ("apple-mobile-web-app-status-bar-style", "black-translucent"), ("apple-mobile-web-app-title", "{title}"), ("apple-touch-fullscreen", "yes"),
+    ]),
+    ("# MS Application - The MS Application front matter (YAML).\n\n", [("msapplication-navbutton-color", "0, 83, 191")]),
+    ("# Twitter Card - The Twitter Card front matter (YAML).\n\n", [
+        ("twitter_card", "summary_large_image"), ("twitter_creator", "{handle}"), ("twitter_description", "{description}"), ("twitter_image", "{logo}"), ("twitter_image_alt", "Logo of {name}"),
+        ("twitter_site", "{handle}"), ("twitter_title", "{title}"), ("twitter_url", "{url}"),
+    ]),
+    ("", [("excerpt", "{excerpt}")]),
+    ("# Humans.txt - The Humans.txt front matter (YAML).\n", [
+        ("author_website", "{base_url}"), ("author_twitter", "{handle}"), ("author_location", "{location}"), ("thanks", "Thanks for reading!"), ("site_last_updated", "{date}"),
+        ("site_standards", "HTML5, CSS3, RSS, Atom, JSON, XML, YAML, Markdown, TOML"), ("site_components", "{components}"),
+    ]),
+]
+RSS_DOCS = "https://validator.w3.org/feed/docs/rss2.html"
+
+
+def _pieces(template: str, site: Site) -> list[tuple[bool, str]]:
+    """(whether it is a name of the article's, text) of a template, the site's names filled in."""
+    known = asdict(site) | {"host": site.base_url.removeprefix("https://"), "logo": f"{site.cdn}/clients/{site.short_name}/v1/logos/{site.short_name}.svg"}
+    out: list[tuple[bool, str]] = []
+    for at, piece in enumerate(re.split(r"\{(\w+)\}", template)):
+        named = at % 2 == 1 and piece not in known
+        text = str(known[piece]) if at % 2 and not named else piece
+        if out and not named and not out[-1][0]:
+            out[-1] = (False, out[-1][1] + text)
+        elif named or text:
+            out.append((named, text))
+    return out or [(False, "")]
+
+
 def render_front(site: Site, day: Column, meta: Column, existing: Column) -> Column:
     """Front matter of an article: every key once, an existing value verbatim before a generated one.
 
     ``meta`` has the fields of :func:`extract_metadata`, ``existing`` is a map.
     """
-    m = {f: meta[f] for f in ("title", "subtitle", "description", "excerpt", "keywords", "tags", "category", "slug")}
+    values = {f: meta[f] for f in ("title", "subtitle", "description", "excerpt", "keywords", "tags", "category", "slug")}
     day = day.cast("timestamp")
-    date, shown, rss = F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "MMMM d, yyyy"), F.date_format(day, "EEE, dd MMM yyyy HH:mm:ss '+0000'")
-    url = F.concat(F.lit(site.base_url + "/"), date, F.lit("-"), m["slug"])
-    feed, author = F.concat(url, F.lit("/rss.xml")), f"{site.email} ({site.name})"
-    logo = f"{site.cdn}/clients/{site.short_name}/v1/logos/{site.short_name}.svg"
-    year = F.year(day)
+    year, date = F.year(day), F.date_format(day, "yyyy-MM-dd")
     span = F.when(year > site.copyright_from, F.concat(F.lit(f"{site.copyright_from} - "), year.cast("string"))).otherwise(year.cast("string")) if site.copyright_from else year.cast("string")
-    # Keys and their order in each part of the block.
-    parts = [
-        ("# Front Matter (YAML)\n\n", [
-            ("author", author), ("banner_alt", F.concat(F.lit("An illustration representing "), tx.lower(m["title"]), F.lit("."))), ("banner_height", "1280"), ("banner_width", "1920"),
-            ("banner", F.concat(F.lit(site.cdn + "/stocks/images/"), m["slug"], F.lit(".webp"))), ("cdn", site.cdn), ("charset", "UTF-8"), ("cname", site.base_url.removeprefix("https://")),
-            ("copyright", F.concat(F.lit("© Copyright "), span, F.lit(f" - {site.name}. All rights reserved."))), ("date", shown), ("description", m["description"]), ("format-detection", "telephone=no"),
-            ("hreflang", "en"), ("icon", logo), ("id", url), ("image_alt", f"Portrait of {site.name}"), ("image_height", "162"), ("image_width", "162"), ("image", f"{site.cdn}/stocks/images/{site.short_name}.webp"),
-            ("keywords", m["keywords"]), ("language", "en-GB"), ("last_reviewed", date), ("layout", "report"), ("locale", "en_GB"), ("logo_alt", f"Logo for {site.name}"), ("logo_height", "44"), ("logo_width", "44"),
-            ("logo", logo), ("menu", ""), ("measurementID", site.measurement_id), ("name", site.name), ("permalink", url), ("rating", "general"), ("referrer", "no-referrer"), ("robots", "index, follow"),
-            ("schema", "FAQPage, Article"), ("seo_title", m["title"]), ("short_name", site.short_name), ("subtitle", m["subtitle"]), ("tags", m["tags"]), ("theme-color", "0, 83, 191"), ("title", m["title"]),
-            ("url", url), ("viewport", "width=device-width, initial-scale=1, shrink-to-fit=no"),
-        ]),
-        ("# RSS - The RSS feed front matter (YAML).\n", [
-            ("atom_link", feed), ("category", m["category"]), ("docs", None), ("generator", site.generator), ("item_description", m["description"]), ("item_guid", feed), ("item_link", feed), ("item_pub_date", rss),
-            ("item_title", m["title"]), ("last_build_date", rss), ("managing_editor", author), ("pub_date", rss), ("ttl", "60"), ("type", "article"), ("webmaster", site.email),
-        ]),
-        ("# Apple - The Apple front matter (YAML).\n", [
-            ("apple_mobile_web_app_orientations", "portrait"), ("apple_touch_icon_sizes", "192x192"), ("apple-mobile-web-app-capable", "yes"), ("apple-mobile-web-app-status-bar-inset", "black"),
-            ("apple-mobile-web-app-status-bar-style", "black-translucent"), ("apple-mobile-web-app-title", m["title"]), ("apple-touch-fullscreen", "yes"),
-        ]),
-        ("# MS Application - The MS Application front matter (YAML).\n\n", [("msapplication-navbutton-color", "0, 83, 191")]),
-        ("# Twitter Card - The Twitter Card front matter (YAML).\n\n", [
-            ("twitter_card", "summary_large_image"), ("twitter_creator", site.handle), ("twitter_description", m["description"]), ("twitter_image", logo), ("twitter_image_alt", f"Logo of {site.name}"),
-            ("twitter_site", site.handle), ("twitter_title", m["title"]), ("twitter_url", url),
-        ]),
-        ("", [("excerpt", m["excerpt"])]),
-        ("# Humans.txt - The Humans.txt front matter (YAML).\n", [
-            ("author_website", site.base_url), ("author_twitter", site.handle), ("author_location", site.location), ("thanks", "Thanks for reading!"), ("site_last_updated", date),
-            ("site_standards", "HTML5, CSS3, RSS, Atom, JSON, XML, YAML, Markdown, TOML"), ("site_components", site.components),
-        ]),
-    ]
+    values |= {"date": date, "shown": F.date_format(day, "MMMM d, yyyy"), "rss": F.date_format(day, "EEE, dd MMM yyyy HH:mm:ss '+0000'"), "span": span, "lower_title": tx.lower(values["title"]), "url": F.concat(F.lit(site.base_url + "/"), date, F.lit("-"), values["slug"])}
     out = [F.lit("---\n\n")]
-    for head, fields in parts:
+    for head, keys in FRONT:
         out.append(F.lit(head))
-        for key, value in fields:
-            made = F.lit("https://validator.w3.org/feed/docs/rss2.html") if value is None else tx.quote_yaml(value if isinstance(value, Column) else F.lit(value))
+        for key, template in keys:
+            made = F.lit(RSS_DOCS) if template is None else tx.quote_yaml(F.concat(*(values[x] if named else F.lit(x) for named, x in _pieces(template, site))))
             line = F.concat(F.lit(f"{key}: "), F.coalesce(F.element_at(existing, F.lit(key)), made), F.lit("\n"))
-            out.append(F.when((m["subtitle"] == "") & ~F.map_contains_key(existing, key), F.lit("")).otherwise(line) if key == "subtitle" else line)
+            out.append(F.when((values["subtitle"] == "") & ~F.map_contains_key(existing, key), F.lit("")).otherwise(line) if key == "subtitle" else line)
         out.append(F.lit("\n"))
     return F.concat(*out, F.lit("---"))
 
@@ -309,3 +323,27 @@ ORACLE_SQL = {
         case when trim(s0, '-') = '' then 'untitled-article' else trim(s0, '-') end as slug from s left join kw using (article_id)""",
     "part_of_set": rf"with p as (select page_id, {_PATH} as path from pages), q as (select page_id, string_split(path, '/') s from p) select page_id, regexp_matches(regexp_replace(s[-1], '\.[^.]*$', ''), '-(body|final|frontmatter)$') or coalesce(s[-2], '') in ('source', 'final') as value from q",
 }
+
+
+def _front_sql() -> str:
+    """Front matter of every article as one string of lines."""
+    text = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    site = Site()
+    names = {"date": "'2024-03-09'", "shown": "'March 9, 2024'", "rss": "'Sat, 09 Mar 2024 00:00:00 +0000'", "span": f"'{site.copyright_from} - 2024'", "lower_title": "lower(title)", "url": f"'{site.base_url}/2024-03-09-' || slug"}
+    inner = r"""replace(replace(regexp_replace(regexp_replace({x}, '[\n\t\r]', ' ', 'g'), '[\x00-\x1F\x7F]', '', 'g'), '\', '\\'), '"', '\"')"""
+    quote = lambda x: "chr(34) || " + words_sql(inner.replace("{x}", x)) + " || chr(34)"
+    lines = ["'---'", "''"]
+    for head, keys in FRONT:
+        lines += [text(x) for x in head.removesuffix("\n").split("\n")] if head else []
+        for key, template in keys:
+            made = text(RSS_DOCS) if template is None else quote("(" + " || ".join(names.get(x, x) if named else text(x) for named, x in _pieces(template, site)) + ")")
+            line = f"'{key}: ' || coalesce(f['{key}'], {made})"
+            lines.append(f"case when subtitle <> '' or f['{key}'] is not null then {line} end" if key == "subtitle" else line)
+        lines.append("''")
+    return "array_to_string(list_filter([" + ", ".join([*lines, "'---'"]) + "], lambda x: x is not null), chr(10))"
+
+
+ORACLE_SQL["render_front"] = rf"""with {_SPLIT}, p as ({_PAIRS.format(src=0, text="front")}), l as (select article_id, k, regexp_replace(arg_max(val, i), '[ \t]+$', '') as val from p group by all),
+    own as (select s.article_id, map_from_entries(list((k, val)) filter (k is not null)) as f0 from split s left join l using (article_id) group by s.article_id), meta as ({ORACLE_SQL["extract_metadata"]}),
+    j as (select m.*, coalesce(f0, map([]::varchar[], []::varchar[])) as f from meta m join own using (article_id))
+    select article_id, {_front_sql()} as front from j"""

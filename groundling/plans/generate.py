@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from groundling.functions import text as tx
 from groundling.operators import rules
+from groundling.operators.planning import looks_truncated
+from groundling.plans import prompts
 from groundling.session import materialise
 
 #: (kind, prompts) -> texts
@@ -38,8 +40,8 @@ def fake_generator(kind: str, prompts: list[str]) -> list[str]:
     return out
 
 
-def generate(prompts: DataFrame, key: str, kind: str, generator: Generator, first_failure: str = "") -> DataFrame:
-    """(key, text, error) of prompts (key, prompt); a batch that raises gives its rows an error and no text."""
+def generate(asked: DataFrame, key: str, kind: str, generator: Generator, first_failure: str = "") -> DataFrame:
+    """(key, text, error) of ``asked`` (key, prompt); a batch that raises gives its rows an error and no text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -49,13 +51,13 @@ def generate(prompts: DataFrame, key: str, kind: str, generator: Generator, firs
                 texts, error = [""] * len(batch), f"{type(failure).__name__}: {failure}"
             yield pd.DataFrame({key: batch[key], "text": texts, "error": error})
 
-    kept = prompts.select(key, "prompt")
+    kept = asked.select(key, "prompt")
     return kept.mapInPandas(run, f"{kept.schema[key].simpleString()}, text string, error string".replace(f"{key}:", f"{key} "))
 
 
-def with_fallback(prompts: DataFrame, key: str, kind: str, generators: list[Generator]) -> DataFrame:
+def with_fallback(asked: DataFrame, key: str, kind: str, generators: list[Generator]) -> DataFrame:
     """(key, text, error) by the first generator that does not fail, row by row: later ones see only what is left."""
-    done, left = None, prompts
+    done, left = None, asked
     for generator in generators:
         tried = materialise(generate(left, key, kind, generator), "generated")
         good = tried.where("error = ''")
@@ -64,14 +66,52 @@ def with_fallback(prompts: DataFrame, key: str, kind: str, generators: list[Gene
     return done.unionByName(tried.where("error != ''"))
 
 
-def write_until_valid(prompts: DataFrame, key: str, generator: Generator, repair: Callable[[Column], Column], retries: int = 2) -> DataFrame:
-    """(key, text, errors): articles rewritten while they break a house rule, ``retries`` times at most; only failing rows are asked again."""
-    done, left = None, prompts
+def continue_until_closed(texts: DataFrame, key: str, generator: Generator, repair: Callable[[Column], Column], rounds: int = 3) -> DataFrame:
+    """(key, text): texts that stop within a sentence are carried on, ``rounds`` times at most; what is still open ends after its last sentence.
+
+    Only open texts are asked about. A generator that fails, or has nothing to
+    add, ends a text's rounds.
+    """
+    done, left, over = None, texts.select(key, "text"), None
+    for _ in range(rounds):
+        is_open = looks_truncated(F.lit(False), F.col("text"))
+        closed, left = left.where(~is_open), left.where(is_open)
+        done = closed if done is None else done.unionByName(closed)
+        if left.isEmpty():
+            break
+        answers = generate(left.select(key, prompts.continue_prompt(F.col("text")).alias("prompt")), key, "continue", generator)
+        said = materialise(answers.select(key, F.when(F.col("error") == "", repair(tx.text("text"))).otherwise("").alias("more")), "continued")
+        joined = left.join(said, key)
+        stuck = joined.where(tx.strip(F.col("more")) == "").select(key, "text")
+        over = stuck if over is None else over.unionByName(stuck)
+        grown = F.concat(tx.right_trim(F.col("text")), F.lit(" "), F.regexp_replace("more", r"\A[ \t\r\n]+", ""))
+        left = materialise(joined.where(tx.strip(F.col("more")) != "").select(key, grown.alias("text")), "grown")
+    rest = left if over is None else left.unionByName(over)
+    whole = tx.trim_sentence(F.col("text"))
+    cut = F.when(looks_truncated(F.lit(False), F.col("text")) & (whole != ""), whole).otherwise(F.col("text"))
+    ended = rest.select(key, cut.alias("text"))
+    return ended if done is None else done.unionByName(ended)
+
+
+def write_until_valid(wanted: DataFrame, key: str, generator: Generator, repair: Callable[[Column], Column], retries: int = 2, rounds: int = 3, facts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(key, text, errors): articles for prompts (key, prompt), rewritten while they break a rule, ``retries`` times at most; only failing rows are asked again.
+
+    Rules are the house rules and, where given, ``facts``: from (key, text) to
+    (key, facts), an array of further errors.
+    """
+    done, left = None, wanted
     for turn in range(retries + 1):
-        texts = generate(left, key, "write", generator).select(key, repair(tx.text("text")).alias("text"))
-        tried = materialise(texts.withColumn("errors", rules.house_errors(F.col("text"))), "written")
+        first = materialise(generate(left, key, "write", generator).select(key, repair(tx.text("text")).alias("text")), "drafted")
+        texts = materialise(continue_until_closed(first, key, generator, repair, rounds), "closed")
+        checked = texts.withColumn("errors", rules.house_errors(F.col("text")))
+        if facts is not None:
+            none = F.array().cast("array<string>")
+            checked = checked.join(facts(texts), key, "left").select(key, "text", F.concat("errors", F.coalesce("facts", none)).alias("errors"))
+        tried = materialise(checked, "written")
         keep = tried if turn == retries else tried.where(F.size("errors") == 0)
         done = keep if done is None else done.unionByName(keep)
-        again = tried.where(F.size("errors") > 0).select(key, F.array_join("errors", "\n- ").alias("why"))
-        left = left.join(again, key).select(key, F.concat("prompt", F.lit("\n\nThe last version broke these rules:\n- "), "why").alias("prompt"))
+        again = tried.where(F.size("errors") > 0)
+        if turn == retries or again.isEmpty():
+            break
+        left = wanted.join(again.select(key, F.array_join("errors", "\n- ").alias("why")), key).select(key, F.concat("prompt", F.lit(prompts.FIX_HEAD), "why").alias("prompt"))
     return done

@@ -11,6 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundling import registry
+from groundling.functions import cutting
+from groundling.functions import text as tx
+from groundling.operators import metadata as md
+from groundling.operators import running, sections
+from groundling.operators.planning import unique_stems
 from groundling.operators.rules import house_errors
 from groundling.plans import composing
 from groundling.plans import generate as gen
@@ -47,9 +52,16 @@ def test_readers(spark, tmp_path):
     (tmp_path / "c.docx").write_bytes(b"x")
     (tmp_path / "d.pdf").write_bytes(b"x")
     (tmp_path / "e.txt").write_text("y" * 200)
+    (tmp_path / "f.txt").write_bytes("caf\u00e9".encode("latin-1"))
     rows = {r["name"]: r for r in readers.read_sources(spark, str(tmp_path), limit=100).collect()}
     assert rows["a.txt"]["text"] == "x\ny\n\n\nz" and rows["b.MD"]["text"] == "# T"
     assert rows["c.docx"]["error"] == "unsupported file type: docx" and rows["d.pdf"]["error"] and rows["e.txt"]["error"] == "e.txt is 200 bytes; the limit is 100"
+    assert rows["f.txt"]["error"] == "f.txt is not valid UTF-8" and rows["f.txt"]["text"] == ""
+    good, about = readers.outcome(readers.read_sources(spark, str(tmp_path), limit=100))
+    told = about.first()
+    assert sorted(r["name"] for r in good.collect()) == ["a.txt", "b.MD"] and (told["read"], told["failed"], told["error"]) == (2, 4, "")
+    told = readers.outcome(readers.read_sources(spark, str(tmp_path / "f.txt")))[1].first()
+    assert told["error"] == "no source could be read: f.txt is not valid UTF-8"
 
 
 def test_sinks(spark, tmp_path):
@@ -57,6 +69,11 @@ def test_sinks(spark, tmp_path):
     sinks.write_article_set(articles, str(tmp_path / "out"), "2024-03-09")
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r["name"] for r in rows if r["folder"] == "source") == ["2024-03-09-same-2-body.md", "2024-03-09-same-body.md"] and len(rows) == 6
+    sinks.write_article_set(spark.createDataFrame([(5, "# Same\n\nthird"), (6, "# Same 2\n\nnamed so")], "article_id int, md string"), str(tmp_path / "out"), "2024-03-09")
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r["name"] for r in rows if r["folder"] == "final") == [f"2024-03-09-same{x}-final.md" for x in ("-2-2", "-2", "-3", "")] and len(rows) == 12
+    failed, worth = sinks.split_failures(spark.createDataFrame([(1, "# T\n\n## H\n\nx"), (2, "no article")], "article_id int, md string"))
+    assert failed.count() == 2 and [r["article_id"] for r in worth.collect()] == [1]
     jobs = spark.createDataFrame([(1, "a.pdf", 0, True, "", [], 5)], "job_id int, source string, words int, ok boolean, error string, warnings array<string>, duration_ms int")
     sinks.write_summaries(jobs, str(tmp_path / "jobs"))
     assert json.loads(spark.read.text(str(tmp_path / "jobs")).first()[0]) == {"source": "a.pdf", "ok": True, "duration_ms": 5}
@@ -121,6 +138,105 @@ def test_generators(spark):
     assert rows[1]["verified"] == 1 and rows[1]["article"].startswith("# Report") and "article is" in rows[1]["house"] and rows[2]["sections"] == 0
 
 
+def test_stems_are_free(spark):
+    rows = [(1, "a"), (2, "a"), (3, "a-2"), (4, "a"), (5, "a-2"), (6, "a-2-2"), (7, "b"), (8, "a-02"), (9, "a"), (10, "a-4")]
+    frame = spark.createDataFrame(rows, "article_id int, base string")
+    got = {r["article_id"]: r["stem"] for r in unique_stems(frame, F.col("base")).collect()}
+    assert len(set(got.values())) == 10 and [got[k] for k in (1, 2, 3, 4, 5, 6, 9)] == ["a", "a-3", "a-2", "a-5", "a-2-3", "a-2-2", "a-6"]
+    taken = spark.createDataFrame([("a",), ("a-3",), ("b-2",)], "stem string")
+    got = {r["article_id"]: r["stem"] for r in unique_stems(frame, F.col("base"), taken).collect()}
+    assert len(set(got.values())) == 10 and not {"a", "a-3", "b-2"} & set(got.values()) and got[7] == "b" and got[1] == "a-5"
+
+
+def test_open_texts_are_continued(spark):
+    asked = []
+
+    def closing(kind, texts):
+        return ["and it ends here." if "slow" not in t else "still slow" for t in texts]
+
+    def failing(kind, texts):
+        raise RuntimeError("offline")
+
+    frame = spark.createDataFrame([(1, "It is closed."), (2, "It goes on \n"), (3, "One. Two slow"), (4, ""), (5, "never closed slow")], "key int, text string")
+    got = {r["key"]: r["text"] for r in gen.continue_until_closed(frame, "key", closing, lambda c: c, 2).collect()}
+    assert got == {1: "It is closed.", 2: "It goes on and it ends here.", 3: "One.", 4: "", 5: "never closed slow still slow still slow"}
+    got = {r["key"]: r["text"] for r in gen.continue_until_closed(frame, "key", failing, lambda c: c).collect()}
+    assert got[2] == "It goes on \n" and got[3] == "One." and not asked
+
+
+def test_failed_and_resumed_sources(spark):
+    text = "Some facts of 12 words that one source states plainly and fully here. More of it."
+
+    def flaky(kind, texts):
+        if kind == "extract" and any("unreadable" in t for t in texts):
+            raise RuntimeError("offline")
+        return gen.fake_generator(kind, texts)
+
+    sources = spark.createDataFrame([(1, "a", text), (2, "b", "unreadable " + text), (3, "c", text.replace("12", "13")), (4, "d", None)], "source_id int, name string, text string").repartition(4, "source_id")
+    saved = spark.createDataFrame([(3, 'CLAIM: It has 13 words\nSOURCE_QUOTE: "facts of 13 words that one source"\nTYPE: result\nSTRENGTH: hedged\n---\nCLAIM: gone\nSOURCE_QUOTE: "this is no longer there"\n---'), (1, 'CLAIM: old\nSOURCE_QUOTE: "nothing of this stands there"\n---')], "source_id int, raw string")
+    rows = {r["source_id"]: r for r in composing.compose_articles(sources, [flaky], saved=saved).collect()}
+    assert rows[2]["failed"] == 1 and rows[2]["article"] == "" and rows[2]["error"].startswith("claim extraction failed: RuntimeError")
+    assert rows[3]["resumed"] and (rows[3]["verified"], rows[3]["dropped"]) == (1, 1) and "It has 13 words" in rows[3]["article"]
+    assert not rows[1]["resumed"] and rows[1]["verified"] == 1 and rows[1]["article"] and rows[4]["sections"] == 0 and rows[4]["error"] == ""
+
+
+def test_reviews_are_gated(spark):
+    body = "# T\n\nThe cat sat on the mat. It was plain."
+    answers = {1: '[{"find": "plain", "replace": "simple", "reason": "generic"}]', 2: '[{"find": "plain", "replace": "robust", "reason": "generic"}]', 3: "no edits", 4: "[]", 5: '[{"find": "absent", "replace": "x", "reason": "filler"}]', 6: None}
+
+    def editor(kind, texts):
+        return [next(a for k, a in answers.items() if f"article {k}" in t) for t in texts]
+
+    def failing(kind, texts):
+        raise RuntimeError("offline")
+
+    drafts = spark.createDataFrame([(k, f"---\ntitle: x\n---\n{body} article {k}.") for k in answers], "article_id int, md string")
+    claims = spark.createDataFrame([(1, 1, "a", "b", "result", "hedged")], "article_id int, ord int, claim string, source_quote string, type string, strength string")
+    research = spark.createDataFrame([(1, "source text")], "article_id int, research string")
+    rows = {r["article_id"]: r for r in composing.review_articles(drafts.where("article_id < 6"), claims, research, editor).collect()}
+    rows |= {r["article_id"]: r for r in composing.review_articles(drafts.where("article_id = 6"), claims, research, failing).collect()}
+    assert rows[1]["saved"] == f"---\ntitle: x\n---\n\n{body.replace('plain', 'simple')} article 1.\n" and rows[1]["kept"] > 0
+    assert rows[2]["saved"] is None and rows[2]["error"] == "the edited article broke the rules" and "robust" in rows[2]["output"]
+    assert rows[3]["error"] == "no edits could be read from the answer" and rows[3]["output"] == "no edits"
+    assert rows[4]["saved"].endswith("article 4.\n") and rows[4]["error"] == "" and rows[5]["error"] == "edits failed to apply"
+    assert rows[6]["saved"] is None and rows[6]["error"].startswith("review failed")
+
+
+def test_processing_twice_changes_nothing(spark):
+    text = "# A title\n\nSome text of the article about models.\n\n## H\n\nMore."
+    files = spark.createDataFrame([(1, "/out/source/2024-01-05-a-title-body.md", f"---\nslug: own\n---\n{text}", "layout: post\n")], "article_id int, path string, md string, adjacent string")
+    day = F.to_date(F.lit("2024-03-09"))
+    once = running.process_files(files, day).first()
+    assert once["final_path"] == "/out/final/2024-01-05-a-title-final.md" and "slug" in once["final"] or once["error"] == ""
+    assert "layout: post\n" in once["front"] and "/2024-01-05-a-title" in once["front"]
+    again = spark.createDataFrame([(1, once["final_path"], once["final"], once["front"])], files.schema)
+    twice = running.process_files(again, day).first()
+    assert [twice[c] for c in ("body", "front", "final", "body_path")] == [once[c] for c in ("body", "front", "final", "body_path")]
+
+
+def test_site_settings():
+    site = md.site_from({"GROUNDLING_SITE_NAME": " N ", "GROUNDLING_SITE_COPYRIGHT_FROM": "x", "GROUNDLING_SITE_CDN": "  "})
+    assert site.name == "N" and site.copyright_from == md.Site().copyright_from and site.cdn == md.Site().cdn
+    assert md.site_from({"GROUNDLING_SITE_COPYRIGHT_FROM": "2019"}).copyright_from == 2019
+
+
+def test_sectioning_in_one_pass_equals_the_columns(spark):
+    blank = [" ", "\n", "\t", "\r", ""]
+    import random
+
+    rng = random.Random(3)
+    words = ["References", "REFERENCES", "## Appendix", "####### appendix", "acknowledgments", "Results", "Methods", "Method", "text. More", "\n\n", "# ", "références", "ſ", "\u0130", "x" * 3000, "bibliographyx", "bibliography", "Abstract"]
+    texts = ["".join(rng.choice(words) + rng.choice(blank) + rng.choice(["\n", " ", "\r\n"]) for _ in range(rng.randrange(14))) for _ in range(400)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    parts = frame.select("k", sections.split_headings(sections.drop_references(tx.text("t"))).alias("p")).collect()
+    cut = cutting.sectioner(sections.HEADINGS, sections.STOPS, "\t\n\f\r ")
+    for r in parts:
+        assert cut(texts[r["k"]]) == [piece for part in r["p"] for piece in cutting.cut_part(part)], texts[r["k"]]
+    long = ("word. " * 900 + "\n\n") * 60 + "é" * 6000
+    pieces = cutting.cut_part(long)
+    assert all(len(p.encode()) <= cutting.SECTION_BYTES for p in pieces) and "".join("".join(pieces).split()) == "".join(long.split())
+
+
 def test_rest_works_without_llm(tmp_path):
     shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'house_errors' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q); e.oracle_sql()"
