@@ -1,28 +1,40 @@
 """Language-model scores by deleted interpolation.
 
-The model mixes maximum-likelihood estimates of words and of pairs of words
-with the uniform one,
+The model mixes maximum-likelihood estimates of words after two, one and no
+words with the uniform one,
 
-    P(w | v) = a(v) c(v, w) / c(v) + b(v) c(w) / N + (1 - a(v) - b(v)) / (V + 1),
+    P(w | u, v) = a c(u, v, w) / c(u, v) + b c(v, w) / c(v) + d c(w) / N + e / (V + 1),
 
-with weights that depend only on the bucket of the context's count c(v). The
-weights are learned by expectation-maximisation on held-out counts: a fifth of
-the training documents is scored with the counts of the others, and those
-counts, gathered by bucket and by quarter octaves of the two estimates, are
-all that EM needs, so that it runs on a table of fixed size. Scores then use
-the counts of all training documents.
+with weights (a, b, d, e) that depend only on the bucket of the context's
+count: of c(u, v), or where that is zero of c(v). The weights are learned by
+expectation-maximisation on held-out counts: a fifth of the training documents
+is scored with the counts of the others, and those counts, gathered by bucket
+and by half octaves of the three estimates, are all that EM needs, so that it
+runs on a table of bounded size. Scores then use the counts of all training
+documents.
 
 How counts travel: documents are encoded into blocks of some megabytes, each
-with its sorted distinct words and pairs. A block sends every key once, with
-its own count, to the partition that the key's hash belongs to; there blocks'
-counts are added up, and each block gets the sums back in the order it asked.
-However frequent a key is, it is one entry of a block. No table of counts is
-ever in one place.
+with its sorted distinct words and pairs. However frequent a key is, it is one
+entry of a block, and no table of counts is ever in one place. Keys are
+numbers, and the partitions that own them are ranges of numbers. A block cuts
+its keys into ``FAN_OUT`` ranges only. Where there are more partitions than
+that, ``FAN_OUT`` blocks meet at one range, are merged there, and what is
+merged is cut again, level by level, until a range has one owner; sums go back
+the way the keys came. So every block costs ``FAN_OUT`` rows a level, and rows
+grow as the input times the logarithm of its partitions, not as blocks times
+partitions.
+
+Triples go the same way after the pairs have come back. One whose pairs stand
+nowhere else in the corpus cannot stand anywhere else either, so its count is
+the block's own and it is not sent; all others are.
+
+A key is so many bits of a 64-bit hash that two of all keys share a count with
+a probability of ``2**-SPARE_BITS`` each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,21 +49,23 @@ from groundling.llm.docstats import fold
 from groundling.session import discard, materialise
 
 BLOCK_BYTES = 8 << 20
-#: Keys that one partition of counts is meant to hold.
+#: Tokens to each partition of counts.
 KEYS_PER_PARTITION = 1_500_000
+FAN_OUT = 64
 BLOCKS_PER_TASK = 2
+SPARE_BITS = 26
 END = tk.mix(np.array([0xE0D], np.uint64))[0]
 START = tk.mix(np.array([0x57A], np.uint64))[0]
 #: Folds of documents.
 HELD_OUT, COUNTED, MIXED = 0, 1, 2
-_BUCKETS, _STEPS, _DEPTH = 40, 4, 45
+_BUCKETS, _STEPS, _DEPTH = 40, 2, 30
 _FOLDED = np.arange(256, dtype=np.uint8)
 _FOLDED[ord("A") : ord("Z") + 1] += 32
 
 
 def _planes(values: np.ndarray) -> bytes:
     """Compressed byte planes of an array."""
-    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize)
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T).tobytes())
 
 
@@ -71,8 +85,8 @@ def _sorted_keys(blob: bytes) -> np.ndarray:
 BLOCK = "block long, n_tokens long, doc_ids binary, missing binary, folds binary, counts binary, vocabulary binary, tokens binary"
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """Encoded documents (doc_id, text, part): one row for each ``BLOCK_BYTES`` of text or single longer document.
+def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Encoded documents (doc_id, text, part): one row for each ``block_bytes`` of text or single longer document.
 
     A document is its words and one end; ``tokens`` are places in the block's
     sorted ``vocabulary`` of word hashes.
@@ -93,9 +107,9 @@ def blocks(docs: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.int64(), *(pa.binary(),) * 6)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], [x.split()[0] for x in BLOCK.split(", ")])
 
-        for part in tk.slices(batches, "text"):
+        for part in tk.slices(batches, "text", min(tk.SLICE_BYTES, block_bytes)):
             raw, off = tk.utf8(part.column("text"))
-            if held and size + len(raw) > BLOCK_BYTES:
+            if held and size + len(raw) > block_bytes:
                 yield flush()
                 size = 0
             size += len(raw)
@@ -112,6 +126,12 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, BLOCK)
 
 
+def key_mask(n_tokens: int) -> int:
+    """Which bits of a hash are a key; the lowest of them says whether it is a word."""
+    bits = min(64, max(48, n_tokens.bit_length() + SPARE_BITS))
+    return (1 << 64) - (1 << (64 - bits))
+
+
 @dataclass
 class _Block:
     """A decoded block: its distinct words and pairs, and which of each every token is."""
@@ -127,79 +147,147 @@ class _Block:
     def read(cls, row: dict) -> _Block:
         return cls(_values(row["doc_ids"], np.int64), np.frombuffer(row["missing"], np.uint8), np.frombuffer(row["folds"], np.uint8), _values(row["counts"], np.int32), _sorted_keys(row["vocabulary"]), _values(row["tokens"], np.int32))
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted hashes of the distinct (context, word), and the place of each token's pair among them."""
-        context = np.empty_like(self.tokens)
-        context[1:] = self.tokens[:-1]
-        context[np.concatenate([[0], np.cumsum(self.counts)[:-1]])] = len(self.vocabulary)  # the start
-        local, place = np.unique(context.astype(np.int64) * (len(self.vocabulary) + 1) + self.tokens, return_inverse=True)
-        before = np.append(self.vocabulary, START)[local // (len(self.vocabulary) + 1)]
-        keys = tk.combine([before, self.vocabulary[local % (len(self.vocabulary) + 1)]])
-        order = np.argsort(keys)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        return keys[order], rank[place]
+    def __post_init__(self) -> None:
+        self.first = np.zeros(len(self.tokens), bool)
+        self.first[np.concatenate([[0], np.cumsum(self.counts)[:-1]])] = True
+        self.context = np.where(self.first, len(self.vocabulary), np.roll(self.tokens, 1)).astype(np.int64)  # of a first word the start
+        local, self.pair = np.unique(self.context * (len(self.vocabulary) + 1) + self.tokens, return_inverse=True)
+        self._named = np.append(self.vocabulary, START)
+        self.pair_hash = tk.combine([self._named[local // (len(self.vocabulary) + 1)], self.vocabulary[local % (len(self.vocabulary) + 1)]])
+        self.part = np.repeat(self.folds, self.counts)
+
+    def keys(self, mask: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys of words and pairs, and which of them each token's word and pair are."""
+        flag = np.uint64(mask & -mask)
+        words, pairs = (self.vocabulary & np.uint64(mask)) | flag, self.pair_hash & np.uint64(mask) & ~flag
+        keys, at = np.unique(np.concatenate([words, pairs]), return_inverse=True)
+        return keys, at[: len(words)][self.tokens], at[len(words) :][self.pair]
+
+    def counted(self, at: np.ndarray, n: int, rows: np.ndarray | None = None) -> list[np.ndarray]:
+        """How often each of ``n`` keys is met by tokens of each fold."""
+        part = self.part if rows is None else self.part[rows]
+        return [np.bincount(at[part == f], minlength=n).astype(np.uint32) for f in (COUNTED, MIXED, HELD_OUT)]
+
+
+def _owner(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Range of each key; it rises with the key."""
+    return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+PLANES = ("counted", "mixed", "held")
+_NUMBERS = {**dict.fromkeys(("child", "squad", "range"), pa.int64()), **dict.fromkeys(("keys", *PLANES, "every", "both"), pa.binary())}
+ASKED = ["child", "squad", "range", "keys", *PLANES]
+REPLIED = ["child", "range", "every", "counted", "both"]
+
+
+def _schema(names: list[str]) -> str:
+    return ", ".join(f"{n} {'long' if _NUMBERS[n] == pa.int64() else 'binary'}" for n in names)
+
 
-    def token_folds(self) -> np.ndarray:
-        return np.repeat(self.folds, self.counts)
+def _table(names: list[str], rows: list[tuple]) -> pa.Table:
+    columns = zip(*rows, strict=True) if rows else ((),) * len(names)
+    return pa.table({n: pa.array(list(c), _NUMBERS[n]) for n, c in zip(names, columns, strict=True)})
 
 
-def _owner(keys: np.ndarray, partitions: int) -> np.ndarray:
-    """Partition of each key; it rises with the key."""
-    return ((keys >> np.uint64(32)) * np.uint64(partitions) >> np.uint64(32)).astype(np.int64)
+def _cut(keys: np.ndarray, planes: list[np.ndarray], ranges: int) -> Iterator[tuple]:
+    """(range, blobs of its keys and planes) of sorted keys."""
+    owner = _owner(keys, ranges)
+    used = np.unique(owner)
+    lo, hi = np.searchsorted(owner, used), np.searchsorted(owner, used, "right")
+    for r, a, b in zip(used.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        yield r, _sorted_blob(keys[a:b]), *(_planes(p[a:b].astype(np.uint64)) for p in planes)
 
 
-def gather_counts(encoded: DataFrame, partitions: int) -> DataFrame:
+def _merge(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Sorted distinct keys of the rows, where each row's keys are among them, and the sums of each plane."""
+    each = [_sorted_keys(r["keys"]) for r in rows]
+    keys, at = np.unique(np.concatenate(each), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate([_values(r[f], np.uint64) for r in rows]).astype(float), minlength=len(keys)).astype(np.uint64) for f in PLANES]
+    return keys, np.split(at, np.cumsum([len(x) for x in each])[:-1]), sums
+
+
+def levels(owners: int, fan_out: int = FAN_OUT) -> list[int]:
+    """Ranges at each level: ``fan_out`` times as many as before, and at last at least ``owners``."""
+    out, n = [], 1
+    while n * fan_out < owners:
+        n *= fan_out
+        out.append(n)
+    return [*out, n * -(-owners // n)]
+
+
+def exchange(asked: DataFrame, owners: int, n_blocks: int, mask: int, fan_out: int = FAN_OUT) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
     """Counts over all blocks, for each block in the order of its keys.
 
-    Rows: block (-1: the sums over the vocabulary), slot (pairs from
-    ``partitions`` on), blobs ``every`` (training documents) and ``counted``
-    (those that EM counts with).
+    ``asked`` has a row for each block: child (its number), keys, and a plane
+    of counts for each fold. The replies (child, range, every, counted, both)
+    hold, range by range, the sums over training documents, over those that EM
+    counts with, and over all documents. With them come the sum and number of
+    the counts of words in ``every`` and ``counted``.
     """
+    ranges = levels(owners, fan_out)
+    top = len(ranges) - 1
+    squads = max(1, -(-n_blocks // fan_out))
+    flag = np.uint64(mask & -mask)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                block = _Block.read(row)
-                part = block.token_folds()
-                pair_keys, pair_at = block.pairs()
-                out: list[list] = [[], [], [], [], []]
-                for base, keys, at in ((0, block.vocabulary, block.tokens), (partitions, pair_keys, pair_at)):
-                    counted, mixed = (np.bincount(at[part == f], minlength=len(keys)).astype(np.uint32) for f in (COUNTED, MIXED))
-                    owner = _owner(keys, partitions)
-                    border = np.searchsorted(owner, np.arange(partitions + 1))
-                    for p in np.unique(owner):
-                        lo, hi = border[p], border[p + 1]
-                        for column, value in zip(out, (row["block"], base + int(p), _sorted_blob(keys[lo:hi]), _planes(counted[lo:hi]), _planes(mixed[lo:hi])), strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "slot", "keys", "counted", "mixed"])
+                squad = int(tk.mix(np.array([row["child"]], np.int64).view(np.uint64))[0] % np.uint64(squads))
+                cut = _cut(_sorted_keys(row["keys"]), [_values(row[f], np.uint64) for f in PLANES], ranges[0])
+                yield from _table(ASKED, [(row["child"], squad, *piece) for piece in cut]).to_batches()
+
+    def up(level: int) -> Callable[[pa.Table], pa.Table]:
+        def merge(group: pa.Table) -> pa.Table:
+            rows = group.select(ASKED).to_pylist()
+            keys, _, sums = _merge(rows)
+            squad, own = rows[0]["squad"], rows[0]["range"]
+            return _table(ASKED, [(squad * ranges[level] + own, squad // fan_out, *piece) for piece in _cut(keys, sums, ranges[level + 1])])
+
+        return merge
+
+    def reply(rows: list[dict], at: list[np.ndarray], values: list[np.ndarray]) -> list[tuple]:
+        return [(r["child"], r["range"], *(_planes(v[mine]) for v in values)) for r, mine in zip(rows, at, strict=True)]
 
     def answer(group: pa.Table) -> pa.Table:
-        rows = group.select(["block", "slot", "keys", "counted", "mixed"]).to_pylist()
-        each = [_sorted_keys(r["keys"]) for r in rows]
-        keys, at = np.unique(np.concatenate(each), return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([_values(r[f], np.uint32) for r in rows]).astype(float), minlength=len(keys)).astype(np.uint64) for f in ("counted", "mixed")]
-        every, counted = sums[0] + sums[1], sums[0]
-        blocks_, slots, blobs = [], [], ([], [])
-        lo = 0
-        for r, own in zip(rows, each, strict=True):
-            mine = at[lo : lo + len(own)]
-            lo += len(own)
-            blocks_.append(r["block"])
-            slots.append(r["slot"])
-            for out, values in zip(blobs, (every, counted), strict=True):
-                out.append(_planes(values[mine]))
-        if rows[0]["slot"] < partitions:
-            blocks_.append(-1)
-            slots.append(rows[0]["slot"])
-            totals = [np.array([v.sum(), np.count_nonzero(v)], np.uint64) for v in (every, counted)]
-            for out, values in zip(blobs, totals, strict=True):
-                out.append(_planes(values))
-        return pa.table({"block": pa.array(blocks_, pa.int64()), "slot": pa.array(slots, pa.int32()), "every": pa.array(blobs[0], pa.binary()), "counted": pa.array(blobs[1], pa.binary())})
-
-    asked = encoded.mapInArrow(ask, "block long, slot int, keys binary, counted binary, mixed binary")
-    spread = asked.repartition(2 * partitions, "slot")
-    return spread.groupBy("slot").applyInArrow(answer, "block long, slot int, every binary, counted binary")
+        rows = group.select(ASKED).to_pylist()
+        keys, at, (counted, mixed, held) = _merge(rows)
+        every = counted + mixed
+        words = (keys & flag) > 0
+        totals = [np.array([v[words].sum(), np.count_nonzero(v[words])], np.uint64) for v in (every, counted)]
+        return _table(REPLIED, [*reply(rows, at, [every, counted, every + held]), (-1, rows[0]["range"], _planes(totals[0]), _planes(totals[1]), _planes(totals[0]))])
+
+    def down(level: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        def merge(left: pa.Table, right: pa.Table) -> pa.Table:
+            rows = left.select(ASKED).to_pylist()
+            if not rows:
+                return _table(REPLIED, [])
+            _, at, _ = _merge(rows)
+            got = sorted(right.select(REPLIED).to_pylist(), key=lambda r: r["range"])
+            return _table(REPLIED, reply(rows, at, [np.concatenate([_values(r[f], np.uint64) for r in got]) for f in REPLIED[2:]]))
+
+        return merge
+
+    sent = asked.mapInArrow(ask, _schema(ASKED))
+    kept: list[DataFrame] = []
+    for level in range(top):
+        kept.append(materialise(sent, "asked"))
+        spread = kept[-1].repartition(max(1, n_blocks), "squad", "range")
+        sent = spread.groupBy("squad", "range").applyInArrow(up(level), _schema(ASKED))
+    replies = materialise(sent.repartition(2 * ranges[top], "range").groupBy("range").applyInArrow(answer, _schema(REPLIED)), "replies")
+    totals = {"every": (0, 0), "counted": (0, 0)}
+    for row in replies.where("child = -1").select("every", "counted").toLocalIterator():  # one row a partition
+        for name, (n, v) in totals.items():
+            a, b = _values(row[name], np.uint64).tolist()
+            totals[name] = (n + a, v + b)
+    for level in reversed(range(top)):
+        own = (F.col("squad") * ranges[level] + F.col("range")).alias("me")
+        left = kept[level].select(own, *ASKED).repartition(max(1, n_blocks), "me")
+        right = replies.where("child >= 0").select(F.col("child").alias("me"), *REPLIED).repartition(max(1, n_blocks), "me")
+        after = materialise(left.groupBy("me").cogroup(right.groupBy("me")).applyInArrow(down(level), _schema(REPLIED)), "replies")
+        discard(replies)
+        discard(kept[level])
+        replies = after
+    return replies, totals
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -207,8 +295,13 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))).astype(np.int64) + 1, 0)
 
 
+def context_bucket(two: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Bucket of the counts of a context of two words and of its last word."""
+    return np.where(two > 0, _BUCKETS + bucket(two), bucket(one))
+
+
 def _level(estimate: np.ndarray) -> np.ndarray:
-    """Quarter octaves below 1, from 1 on; 0 for an estimate of zero."""
+    """Half octaves below 1, from 1 on; 0 for an estimate of zero."""
     depth = np.clip(np.rint(-np.log2(np.maximum(estimate, 2.0**-_DEPTH)) * _STEPS), 0, _DEPTH * _STEPS).astype(np.int64)
     return np.where(estimate > 0, depth + 1, 0)
 
@@ -218,76 +311,132 @@ def _estimate(level: np.ndarray) -> np.ndarray:
 
 
 def fit_weights(events: np.ndarray, vocabulary: int, rounds: int = 200) -> np.ndarray:
-    """Weights (bucket x 3: pair, word, uniform) by EM from rows (bucket, pair level, word level, n)."""
-    weights = np.tile([0.0, 0.5, 0.5], (_BUCKETS, 1))
-    weights[1:] = 1 / 3
-    for b in range(_BUCKETS):
+    """Weights (bucket x 4: after two words, after one, alone, uniform) by EM from rows (bucket, levels of the three estimates, n)."""
+    weights = np.full((2 * _BUCKETS, 4), 0.25)
+    weights[:_BUCKETS, 0] = 0
+    weights[0, 1] = 0
+    weights /= weights.sum(axis=1, keepdims=True)
+    for b in np.unique(events[:, 0]):
         mine = events[events[:, 0] == b]
-        if not len(mine):
-            continue
-        parts = np.stack([_estimate(mine[:, 1]) if b else np.zeros(len(mine)), _estimate(mine[:, 2]), np.full(len(mine), 1 / (vocabulary + 1))], axis=1)
-        n = mine[:, 3].astype(float)
+        parts = np.concatenate([_estimate(mine[:, 1:4]), np.full((len(mine), 1), 1 / (vocabulary + 1))], axis=1) * (weights[b] > 0)
+        n = mine[:, 4].astype(float)
         w = weights[b].copy()
         for _ in range(rounds):
             joint = parts * w
-            total = joint.sum(axis=1, keepdims=True)
-            new = (joint / total * n[:, None]).sum(axis=0) / n.sum()
+            new = (joint / joint.sum(axis=1, keepdims=True) * n[:, None]).sum(axis=0) / n.sum()
             moved, w = np.abs(new - w).max(), new
             if moved < 1e-9:
                 break
-        w[2] = max(w[2], 1e-6)
+        w[3] = max(w[3], 1e-6)
         weights[b] = w / w.sum()
     return weights
 
 
-def _pack_counts(answers: list[dict], field: str, partitions: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the words and of the pairs, in the order of the block's keys."""
-    ordered = sorted(answers, key=lambda r: r["slot"])
-    out = []
-    for pairs in (False, True):
-        some = [_values(r[field], np.uint64) for r in ordered if (r["slot"] >= partitions) == pairs]
-        out.append(np.concatenate(some).astype(np.int64) if some else np.zeros(0, np.int64))
-    return out[0], out[1]
+def _in_order(replies: pa.Table, field: str) -> np.ndarray:
+    """Counts in the order of a block's keys."""
+    rows = sorted(replies.select(["range", field]).to_pylist(), key=lambda r: r["range"])
+    return np.concatenate([_values(r[field], np.uint64) for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
+
+
+def ask_for_pairs(encoded: DataFrame, mask: int) -> DataFrame:
+    """Keys of each block's words and pairs, with the block's own counts by fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = _Block.read(row)
+                keys, word, pair = block.keys(mask)
+                own = [a + b for a, b in zip(block.counted(word, len(keys)), block.counted(pair, len(keys)), strict=True)]
+                yield from _table(["child", "keys", *PLANES], [(row["block"], _sorted_blob(keys), *(_planes(x.astype(np.uint64)) for x in own))]).to_batches()
+
+    return encoded.mapInArrow(run, _schema(["child", "keys", *PLANES]))
 
 
-COUNTED_BLOCK = "block long, doc_ids binary, missing binary, folds binary, counts binary, word binary, pair binary, start long, events binary"
+PAIRED = "block long, doc_ids binary, missing binary, folds binary, counts binary, word binary, pair binary, start long, word_counted binary, pair_counted binary, start_counted long, triple binary, own binary, own_counted binary, keys binary, counted binary, mixed binary, held binary"
+COUNTED_BLOCK = "block long, doc_ids binary, missing binary, folds binary, counts binary, word binary, pair binary, triple binary, start long, events binary"
 
 
-def attach(encoded: DataFrame, answers: DataFrame, partitions: int, n_blocks: int, totals: dict[str, tuple[int, int]]) -> DataFrame:
-    """Each block, a few to a task, with its tokens' counts (``word``, ``pair``; ``start``: count of the start) and the events of its mixed documents."""
-    n_counted = totals["counted"][0]
+def _typed(schema: str, values: list | None) -> pa.Table:
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table({n: pa.array([] if values is None else [values[k]], pa.int64() if t == "long" else pa.binary()) for k, (n, t) in enumerate(fields)})
+
+
+def attach_pairs(encoded: DataFrame, replies: DataFrame, tasks: int, mask: int) -> DataFrame:
+    """Each block, a few to a task, with its tokens' counts of words and pairs, and the keys of triples that may stand elsewhere too.
+
+    ``word_counted`` and ``pair_counted`` are those of the documents that EM
+    scores. ``triple`` says for each token but documents' first which key it
+    is, or from the number of keys on which of the block's own counts.
+    """
+
+    def join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _typed(PAIRED, None)
+        row = left.to_pylist()[0]
+        block = _Block.read(row)
+        keys, word, pair = block.keys(mask)
+        every, counted, both = (_in_order(right, f) for f in ("every", "counted", "both"))
+        flag = np.uint64(mask & -mask)
+        end = int(np.searchsorted(keys, (END & np.uint64(mask)) | flag))
+        mixed = block.part == MIXED
+        inner = np.flatnonzero(~block.first)
+        local, at = np.unique(block.pair[inner - 1].astype(np.int64) * (len(block.vocabulary) + 1) + block.tokens[inner], return_inverse=True)
+        some = np.zeros(len(local), np.int64)
+        some[at] = inner  # one place of each triple
+        own = block.counted(at, len(local), inner)
+        elsewhere = np.minimum(both[pair[some]], both[pair[some - 1]]) > sum(x.astype(np.int64) for x in own) if len(local) else np.zeros(0, bool)
+        hashes = tk.combine([block.pair_hash[block.pair[some - 1]], block.vocabulary[block.tokens[some]]]) & np.uint64(mask) & ~flag if len(local) else np.zeros(0, np.uint64)
+        asked, place = np.unique(hashes[elsewhere], return_inverse=True)
+        index = np.empty(len(local), np.int32)
+        index[elsewhere] = place
+        index[~elsewhere] = len(asked) + np.arange(int((~elsewhere).sum()))
+        sums = [np.bincount(place, x[elsewhere], minlength=len(asked)).astype(np.uint64) for x in own]
+        mine = [x[~elsewhere].astype(np.uint64) for x in (own[0] + own[1], own[0])]
+        plain = lambda x: _planes(x.astype(np.uint64))
+        return _typed(PAIRED, [
+            row["block"], row["doc_ids"], row["missing"], row["folds"], row["counts"], plain(every[word]), plain(every[pair]), int(every[end]), plain(counted[word[mixed]]), plain(counted[pair[mixed]]), int(counted[end]),
+            _planes(index[at]), *map(_planes, mine), _sorted_blob(asked), *map(_planes, sums),
+        ])
+
+    left, right = encoded.repartition(tasks, "block"), replies.where("child >= 0").withColumnRenamed("child", "block").repartition(tasks, "block")
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(join, PAIRED)
+
+
+def attach_triples(paired: DataFrame, replies: DataFrame, tasks: int, n_counted: int) -> DataFrame:
+    """Each block with its tokens' counts of words, pairs and triples (``start``: count of the start) and the events of its mixed documents."""
 
     def join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0] if left.num_rows else None
-        out: list = []
-        if row:
-            block = _Block.read(row)
-            _, pair_at = block.pairs()
-            got = right.select(["slot", "every", "counted"]).to_pylist()
-            end = int(np.searchsorted(block.vocabulary, END))
-            words, pairs = _pack_counts(got, "every", partitions)
-            words_a, pairs_a = _pack_counts(got, "counted", partitions)
-            mixed = block.token_folds() == MIXED
-            first = np.zeros(len(block.tokens), bool)
-            first[np.concatenate([[0], np.cumsum(block.counts)[:-1]])] = True
-            context = np.where(first, words_a[end], words_a[np.roll(block.tokens, 1)])[mixed]
-            pair_level = _level(pairs_a[pair_at][mixed] / np.maximum(context, 1))
-            word_level = _level(words_a[block.tokens][mixed] / max(n_counted, 1))
-            code = (bucket(context) * 256 + pair_level) * 256 + word_level
-            codes, n = np.unique(code, return_counts=True)
-            events = np.stack([codes >> 16, codes >> 8 & 255, codes & 255, n], axis=1).astype(np.int64)
-            out = [row["block"], row["doc_ids"], row["missing"], row["folds"], row["counts"], _planes(words[block.tokens].astype(np.uint64)), _planes(pairs[pair_at].astype(np.uint64)), int(words[end]), events.tobytes()]
-        names = [x.split()[0] for x in COUNTED_BLOCK.split(", ")]
-        types = (pa.int64(), *(pa.binary(),) * 6, pa.int64(), pa.binary())
-        return pa.table({n: pa.array([out[k]] if out else [], t) for k, (n, t) in enumerate(zip(names, types, strict=True))})
-
-    wanted = answers.where("block >= 0")
-    tasks = max(1, -(-n_blocks // BLOCKS_PER_TASK))
-    left, right = (side.repartition(tasks, "block") for side in (encoded, wanted))
+        if not left.num_rows:
+            return _typed(COUNTED_BLOCK, None)
+        row = left.to_pylist()[0]
+        counts = _values(row["counts"], np.int32)
+        first = np.zeros(int(counts.sum()), bool)
+        first[np.concatenate([[0], np.cumsum(counts)[:-1]])] = True
+        index = _values(row["triple"], np.int32)
+        pair = _values(row["pair"], np.uint64).astype(np.int64)
+        triple = pair.copy()  # two starts and a word are a start and a word
+        triple[~first] = np.concatenate([_in_order(right, "every"), _values(row["own"], np.uint64).astype(np.int64)])[index]
+        mixed = np.repeat(np.frombuffer(row["folds"], np.uint8), counts) == MIXED
+        begins = first[mixed]
+        word_c, pair_c = (_values(row[f], np.uint64).astype(np.int64) for f in ("word_counted", "pair_counted"))
+        every_c = np.zeros(len(first), np.int64)
+        every_c[~first] = np.concatenate([_in_order(right, "counted"), _values(row["own_counted"], np.uint64).astype(np.int64)])[index]
+        triple_c = np.where(begins, pair_c, every_c[mixed])
+        one, two = (np.where(begins, row["start_counted"], np.roll(x, 1)) for x in (word_c, pair_c))
+        levels_ = [_level(a / np.maximum(b, 1)) for a, b in ((triple_c, two), (pair_c, one), (word_c, np.array(n_counted)))]
+        code = context_bucket(two, one)
+        for each in levels_:
+            code = code * 64 + each
+        codes, n = np.unique(code, return_counts=True)
+        events = np.stack([codes >> 18, codes >> 12 & 63, codes >> 6 & 63, codes & 63, n], axis=1).astype(np.int64)
+        return _typed(COUNTED_BLOCK, [row["block"], row["doc_ids"], row["missing"], row["folds"], row["counts"], row["word"], row["pair"], _planes(triple.astype(np.uint64)), row["start"], events.tobytes()])
+
+    kept = [x.split()[0] for x in PAIRED.split(", ")][:-4]
+    left, right = paired.select(kept).repartition(tasks, "block"), replies.where("child >= 0").withColumnRenamed("child", "block").repartition(tasks, "block")
     return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(join, COUNTED_BLOCK)
 
 
-def lm_scores(docs: DataFrame, train_when: Column | None = None) -> DataFrame:
+def lm_scores(docs: DataFrame, train_when: Column | None = None, block_bytes: int = BLOCK_BYTES, keys_per_partition: int = KEYS_PER_PARTITION, fan_out: int = FAN_OUT) -> DataFrame:
     """Log10 probability of every whole text under a model of the training texts.
 
     ``train_when`` is a condition on ``doc_id`` for the documents to learn
@@ -296,46 +445,45 @@ def lm_scores(docs: DataFrame, train_when: Column | None = None) -> DataFrame:
     base_score (add-one unigram), score. A null text is an empty one: its only
     token is the end. Without training documents all estimates are uniform
     over nothing known and both scores are 0. Rows that repeat a doc_id count
-    each; other columns are ignored.
+    each, in the training counts too; equal texts have equal scores; other
+    columns are ignored.
     """
-    spark = docs.sparkSession
     use = F.coalesce(train_when, F.lit(True)) if train_when is not None else F.lit(True)
     part = F.when(~use, HELD_OUT).when(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0, MIXED).otherwise(COUNTED)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("part", part.cast("int"))
-    encoded = materialise(blocks(source), "blocks")
+    encoded = materialise(blocks(source, block_bytes), "blocks")
     n_tokens, n_blocks = encoded.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
-    partitions = max(1, -(-n_tokens // KEYS_PER_PARTITION))
-    answers = materialise(gather_counts(encoded, partitions), "answers")
-    sums = answers.where("block = -1").select("every", "counted").toLocalIterator()  # one row a partition
-    totals = {"every": (0, 0), "counted": (0, 0)}
-    for row in sums:
-        for name, (n, v) in totals.items():
-            a, b = _values(row[name], np.uint64).tolist()
-            totals[name] = (n + a, v + b)
-    counted = materialise(attach(encoded, answers, partitions, n_blocks, totals), "counted")
+    owners, tasks, mask = max(1, -(-n_tokens // keys_per_partition)), max(1, -(-n_blocks // BLOCKS_PER_TASK)), key_mask(n_tokens)
+    replies, totals = exchange(ask_for_pairs(encoded, mask), owners, n_blocks, mask, fan_out)
+    paired = materialise(attach_pairs(encoded, replies, tasks, mask), "paired")
     discard(encoded)
-    discard(answers)
+    discard(replies)
+    replies, _ = exchange(paired.select(F.col("block").alias("child"), "keys", *PLANES), owners, n_blocks, mask, fan_out)
+    counted = materialise(attach_triples(paired, replies, tasks, totals["counted"][0]), "counted")
+    discard(paired)
+    discard(replies)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob in batch.column("events").to_pylist():
-                rows = np.frombuffer(blob, np.int64).reshape(-1, 4)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(4)], ["b", "p", "w", "n"])
+                rows = np.frombuffer(blob, np.int64).reshape(-1, 5)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(5)], ["b", "t", "p", "w", "n"])
 
-    got = counted.select("events").mapInArrow(spread, "b long, p long, w long, n long").groupBy("b", "p", "w").agg(F.sum("n").alias("n")).toArrow()  # cells of a fixed grid
-    events = np.stack([got.column(c).to_numpy() for c in ("b", "p", "w", "n")], axis=1) if got.num_rows else np.zeros((0, 4), np.int64)
+    got = counted.select("events").mapInArrow(spread, "b long, t long, p long, w long, n long").groupBy("b", "t", "p", "w").agg(F.sum("n").alias("n")).toArrow()  # cells of a fixed grid
+    events = np.stack([got.column(c).to_numpy() for c in ("b", "t", "p", "w", "n")], axis=1) if got.num_rows else np.zeros((0, 5), np.int64)
     weights = fit_weights(events, totals["counted"][1])
     n_train, v_train = totals["every"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                counts, word, pair = _values(row["counts"], np.int32), _values(row["word"], np.uint64).astype(float), _values(row["pair"], np.uint64).astype(float)
+                counts = _values(row["counts"], np.int32)
+                word, pair, triple = (_values(row[f], np.uint64).astype(float) for f in ("word", "pair", "triple"))
                 first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-                context = np.roll(word, 1)
-                context[first] = row["start"]
-                w = weights[bucket(context)]
-                p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(n_train, 1) + w[:, 2] / (v_train + 1)
+                one, two = np.roll(word, 1), np.roll(pair, 1)
+                one[first] = two[first] = row["start"]
+                w = weights[context_bucket(two, one)]
+                p = w[:, 0] * triple / np.maximum(two, 1) + w[:, 1] * pair / np.maximum(one, 1) + w[:, 2] * word / max(n_train, 1) + w[:, 3] / (v_train + 1)
                 if not n_train:
                     p = np.ones(len(word))
                 base = np.log10((word + 1) / (n_train + v_train + 1))
@@ -344,7 +492,7 @@ def lm_scores(docs: DataFrame, train_when: Column | None = None) -> DataFrame:
                 columns = [ids, pa.array(np.frombuffer(row["folds"], np.uint8) != HELD_OUT), pa.array(counts.astype(np.int64)), pa.array(known), pa.array(np.full(len(counts), n_train)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(np.log10(p), first))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return counted.select("doc_ids", "missing", "folds", "counts", "word", "pair", "start").mapInArrow(score, "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return counted.select("doc_ids", "missing", "folds", "counts", "word", "pair", "triple", "start").mapInArrow(score, "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
