@@ -1,7 +1,8 @@
 """Sequential style repair in plain Python: it runs in executors' Python workers.
 
 Each pass reads what the pass before wrote, so one alternation of all terms
-would not give the same text; most texts hold no term and cost one search.
+would not give the same text; a pass whose term a text does not hold costs one
+plain search.
 """
 
 from __future__ import annotations
@@ -15,22 +16,25 @@ import pandas as pd
 from groundling.functions.vocabulary import style_passes
 
 
+#: Letters that a search without case takes for ASCII ones.
+_FOLD = str.maketrans({"ſ": "s", "ı": "i", "İ": "i"})
+
+
 @lru_cache(maxsize=1)
-def _passes() -> tuple[re.Pattern, list[tuple[re.Pattern, str]]]:
-    passes = [(re.compile((r"(?<![0-9A-Za-z_])%s(?![0-9A-Za-z_])" if bounded else "%s") % re.escape(term), re.IGNORECASE), to) for term, to, bounded in style_passes()]
-    return re.compile("|".join(re.escape(term) for term, _, _ in style_passes()), re.IGNORECASE), passes
+def _passes() -> list[tuple[str, re.Pattern, str]]:
+    return [(term.lower(), re.compile((r"(?<![0-9A-Za-z_])%s(?![0-9A-Za-z_])" if bounded else "%s") % re.escape(term), re.IGNORECASE), to) for term, to, bounded in style_passes()]
 
 
 def repair(text: str) -> str:
     """Banned terms replaced, with the case of the first letter kept."""
-    some, passes = _passes()
-    if not some.search(text):
-        return text
-    for pattern, to in passes:
-        text = pattern.sub(lambda m, to=to: to[0].upper() + to[1:] if m[0][0].isupper() else to, text)
+    low = text.translate(_FOLD).lower()
+    for term, pattern, to in _passes():
+        if term in low:  # a plain search tells most passes that they have nothing to do
+            text = pattern.sub(lambda m, to=to: to[0].upper() + to[1:] if m[0][0].isupper() else to, text)
+            low = text.translate(_FOLD).lower()
     return text
 
 
 def repair_all(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
-        yield batch.map(repair)
+        yield pd.Series([repair(text) for text in batch], dtype=object)
