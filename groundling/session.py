@@ -10,6 +10,7 @@ other master is refused, as its executors would write to disks of their own.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -64,3 +65,13 @@ def sweep(keep: list[DataFrame] | None = None) -> int:
     for df in left:
         discard(df)
     return len(left)
+
+
+def free(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps.
+
+    Spark deletes them once its driver has found that no plan refers to them
+    any more, which without this call may be long after the next step began.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
