@@ -10,13 +10,13 @@ other master is refused, as its executors would write to disks of their own.
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: list[str] = []
 _WRITTEN: list[DataFrame] = []
 
@@ -34,10 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write ``df`` to the shared folder once and return the table read back."""
+    """Write ``df`` to the shared folder once and return the table read back.
+
+    Later steps read the table, so the shuffle files that led to it go with the
+    write's end and not whenever the driver next looks for what is unused.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._groundling_path = path
     _WRITTEN.append(out)
@@ -65,13 +74,3 @@ def sweep(keep: list[DataFrame] | None = None) -> int:
     for df in left:
         discard(df)
     return len(left)
-
-
-def free(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps.
-
-    Spark deletes them once its driver has found that no plan refers to them
-    any more, which without this call may be long after the next step began.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
