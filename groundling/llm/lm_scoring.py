@@ -24,12 +24,12 @@ the way the keys came. So every block costs ``FAN_OUT`` rows a level, and rows
 grow as the input times the logarithm of its partitions, not as blocks times
 partitions.
 
-Triples go the same way after the pairs have come back. One whose pairs stand
-nowhere else in the corpus cannot stand anywhere else either, so its count is
-the block's own and it is not sent; all others are.
+Triples go the same way after the pairs have come back. One of whose pairs
+either stands in no other block cannot stand in one either, so its count is the
+block's own and it is not sent; all others are.
 
-A key is so many bits of a 64-bit hash that two of all keys share a count with
-a probability of ``2**-SPARE_BITS`` each.
+A key has so many bits of a 64-bit hash, more with more tokens, that it shares
+its count with another key with a probability of about ``2**-SPARE_BITS``.
 """
 
 from __future__ import annotations
@@ -48,12 +48,12 @@ from groundling.llm import textkernel as tk
 from groundling.llm.docstats import fold
 from groundling.session import discard, materialise
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Tokens to each partition of counts.
 KEYS_PER_PARTITION = 1_500_000
-FAN_OUT = 64
-BLOCKS_PER_TASK = 2
-SPARE_BITS = 26
+FAN_OUT = 256
+BLOCKS_PER_TASK = 4
+SPARE_BITS = 20
 END = tk.mix(np.array([0xE0D], np.uint64))[0]
 START = tk.mix(np.array([0x57A], np.uint64))[0]
 #: Folds of documents.
@@ -75,6 +75,7 @@ def _values(blob: bytes, dtype: type) -> np.ndarray:
 
 
 def _sorted_blob(keys: np.ndarray) -> bytes:
+    """Differences of keys; they are small where keys ascend, and wrap around where they do not."""
     return _planes(np.diff(keys, prepend=np.uint64(0)))
 
 
@@ -89,7 +90,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Encoded documents (doc_id, text, part): one row for each ``block_bytes`` of text or single longer document.
 
     A document is its words and one end; ``tokens`` are places in the block's
-    sorted ``vocabulary`` of word hashes.
+    ``vocabulary`` of word hashes, the most frequent first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +101,11 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal number
             ids, missing, parts, counts = (np.concatenate([h[k] for h in held]) for k in range(4))
-            vocabulary, tokens = np.unique(np.concatenate([h[4] for h in held]), return_inverse=True)
-            row = (number, len(tokens), _planes(ids), missing.tobytes(), parts.tobytes(), _planes(counts), _sorted_blob(vocabulary), _planes(tokens.astype(np.int32)))
+            vocabulary, tokens, often = np.unique(np.concatenate([h[4] for h in held]), return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order))
+            row = (number, len(tokens), _planes(ids), missing.tobytes(), parts.tobytes(), _planes(counts), _sorted_blob(vocabulary[order]), _planes(rank[tokens]))
             number += 1
             held.clear()
             types = (pa.int64(), pa.int64(), *(pa.binary(),) * 6)
@@ -163,6 +167,15 @@ class _Block:
         keys, at = np.unique(np.concatenate([words, pairs]), return_inverse=True)
         return keys, at[: len(words)][self.tokens], at[len(words) :][self.pair]
 
+    def triples(self, mask: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens that follow another of their document, which of the distinct triples each ends, and a token and the key of each of these."""
+        inner = np.flatnonzero(~self.first)
+        local, at = np.unique(self.pair[inner - 1].astype(np.int64) * (len(self.vocabulary) + 1) + self.tokens[inner], return_inverse=True)
+        some = np.zeros(len(local), np.int64)
+        some[at] = inner
+        keys = tk.combine([self.pair_hash[self.pair[some - 1]], self.vocabulary[self.tokens[some]]]) & np.uint64(mask) & ~np.uint64(mask & -mask)
+        return inner, at, some, keys
+
     def counted(self, at: np.ndarray, n: int, rows: np.ndarray | None = None) -> list[np.ndarray]:
         """How often each of ``n`` keys is met by tokens of each fold."""
         part = self.part if rows is None else self.part[rows]
@@ -175,9 +188,9 @@ def _owner(keys: np.ndarray, ranges: int) -> np.ndarray:
 
 
 PLANES = ("counted", "mixed", "held")
-_NUMBERS = {**dict.fromkeys(("child", "squad", "range"), pa.int64()), **dict.fromkeys(("keys", *PLANES, "every", "both"), pa.binary())}
+_NUMBERS = {**dict.fromkeys(("child", "squad", "range"), pa.int64()), **dict.fromkeys(("keys", *PLANES, "every", "elsewhere"), pa.binary())}
 ASKED = ["child", "squad", "range", "keys", *PLANES]
-REPLIED = ["child", "range", "every", "counted", "both"]
+REPLIED = ["child", "range", "every", "counted", "elsewhere"]
 
 
 def _schema(names: list[str]) -> str:
@@ -206,6 +219,12 @@ def _merge(rows: list[dict]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndar
     return keys, np.split(at, np.cumsum([len(x) for x in each])[:-1]), sums
 
 
+def _in_order(replies: pa.Table, field: str, dtype: type = np.uint64) -> np.ndarray:
+    """What replies say, in the order of a block's keys."""
+    rows = sorted(replies.select(["range", field]).to_pylist(), key=lambda r: r["range"])
+    return np.concatenate([_values(r[field], dtype) for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
+
+
 def levels(owners: int, fan_out: int = FAN_OUT) -> list[int]:
     """Ranges at each level: ``fan_out`` times as many as before, and at last at least ``owners``."""
     out, n = [], 1
@@ -219,10 +238,12 @@ def exchange(asked: DataFrame, owners: int, n_blocks: int, mask: int, fan_out: i
     """Counts over all blocks, for each block in the order of its keys.
 
     ``asked`` has a row for each block: child (its number), keys, and a plane
-    of counts for each fold. The replies (child, range, every, counted, both)
-    hold, range by range, the sums over training documents, over those that EM
-    counts with, and over all documents. With them come the sum and number of
-    the counts of words in ``every`` and ``counted``.
+    of counts for each fold. The replies (child, range, every, counted,
+    elsewhere) hold, range by range, the sums over training documents, those
+    over documents that EM counts with (for keys that the child has in a
+    document that EM scores, else 0), and whether any document of another
+    child has the key. With them come the sum and number of the counts of
+    words in ``every`` and ``counted``.
     """
     ranges = levels(owners, fan_out)
     top = len(ranges) - 1
@@ -245,8 +266,16 @@ def exchange(asked: DataFrame, owners: int, n_blocks: int, mask: int, fan_out: i
 
         return merge
 
-    def reply(rows: list[dict], at: list[np.ndarray], values: list[np.ndarray]) -> list[tuple]:
-        return [(r["child"], r["range"], *(_planes(v[mine]) for v in values)) for r, mine in zip(rows, at, strict=True)]
+    def reply(rows: list[dict], at: list[np.ndarray], every: np.ndarray, counted: np.ndarray, total: np.ndarray, beyond: np.ndarray | None = None) -> list[tuple]:
+        """To each row's sender, in the order of its keys; ``total`` is what stands here, ``beyond`` whether others have a key."""
+        out = []
+        for r, mine in zip(rows, at, strict=True):
+            own = [_values(r[f], np.uint64) for f in PLANES]
+            elsewhere = total[mine] > own[0] + own[1] + own[2]
+            if beyond is not None:
+                elsewhere |= beyond[mine]
+            out.append((r["child"], r["range"], _planes(every[mine]), _planes(np.where(own[1] > 0, counted[mine], np.uint64(0))), _planes(elsewhere)))
+        return out
 
     def answer(group: pa.Table) -> pa.Table:
         rows = group.select(ASKED).to_pylist()
@@ -254,23 +283,23 @@ def exchange(asked: DataFrame, owners: int, n_blocks: int, mask: int, fan_out: i
         every = counted + mixed
         words = (keys & flag) > 0
         totals = [np.array([v[words].sum(), np.count_nonzero(v[words])], np.uint64) for v in (every, counted)]
-        return _table(REPLIED, [*reply(rows, at, [every, counted, every + held]), (-1, rows[0]["range"], _planes(totals[0]), _planes(totals[1]), _planes(totals[0]))])
+        return _table(REPLIED, [*reply(rows, at, every, counted, every + held), (-1, rows[0]["range"], _planes(totals[0]), _planes(totals[1]), _planes(totals[0]))])
 
     def down(level: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         def merge(left: pa.Table, right: pa.Table) -> pa.Table:
             rows = left.select(ASKED).to_pylist()
             if not rows:
                 return _table(REPLIED, [])
-            _, at, _ = _merge(rows)
-            got = sorted(right.select(REPLIED).to_pylist(), key=lambda r: r["range"])
-            return _table(REPLIED, reply(rows, at, [np.concatenate([_values(r[f], np.uint64) for r in got]) for f in REPLIED[2:]]))
+            _, at, sums = _merge(rows)
+            every, counted = (_in_order(right, f).astype(np.uint64) for f in ("every", "counted"))
+            return _table(REPLIED, reply(rows, at, every, counted, sums[0] + sums[1] + sums[2], _in_order(right, "elsewhere", bool).astype(bool)))
 
         return merge
 
     sent = asked.mapInArrow(ask, _schema(ASKED))
     kept: list[DataFrame] = []
     for level in range(top):
-        kept.append(materialise(sent, "asked"))
+        kept.append(materialise(sent, "asked") if level else sent)  # the first is made again on the way back
         spread = kept[-1].repartition(max(1, n_blocks), "squad", "range")
         sent = spread.groupBy("squad", "range").applyInArrow(up(level), _schema(ASKED))
     replies = materialise(sent.repartition(2 * ranges[top], "range").groupBy("range").applyInArrow(answer, _schema(REPLIED)), "replies")
@@ -332,12 +361,6 @@ def fit_weights(events: np.ndarray, vocabulary: int, rounds: int = 200) -> np.nd
     return weights
 
 
-def _in_order(replies: pa.Table, field: str) -> np.ndarray:
-    """Counts in the order of a block's keys."""
-    rows = sorted(replies.select(["range", field]).to_pylist(), key=lambda r: r["range"])
-    return np.concatenate([_values(r[field], np.uint64) for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
-
-
 def ask_for_pairs(encoded: DataFrame, mask: int) -> DataFrame:
     """Keys of each block's words and pairs, with the block's own counts by fold."""
 
@@ -352,8 +375,8 @@ def ask_for_pairs(encoded: DataFrame, mask: int) -> DataFrame:
     return encoded.mapInArrow(run, _schema(["child", "keys", *PLANES]))
 
 
-PAIRED = "block long, doc_ids binary, missing binary, folds binary, counts binary, word binary, pair binary, start long, word_counted binary, pair_counted binary, start_counted long, triple binary, own binary, own_counted binary, keys binary, counted binary, mixed binary, held binary"
-COUNTED_BLOCK = "block long, doc_ids binary, missing binary, folds binary, counts binary, word binary, pair binary, triple binary, start long, events binary"
+PAIRED = BLOCK.replace("n_tokens long, ", "") + ", word binary, word_counted binary, pair binary, pair_counted binary, start long, start_counted long, elsewhere binary, own binary, own_counted binary"
+COUNTED_BLOCK = "block long, doc_ids binary, missing binary, folds binary, counts binary, tokens binary, word binary, pair binary, triple binary, start long, events binary"
 
 
 def _typed(schema: str, values: list | None) -> pa.Table:
@@ -362,11 +385,12 @@ def _typed(schema: str, values: list | None) -> pa.Table:
 
 
 def attach_pairs(encoded: DataFrame, replies: DataFrame, tasks: int, mask: int) -> DataFrame:
-    """Each block, a few to a task, with its tokens' counts of words and pairs, and the keys of triples that may stand elsewhere too.
+    """Each block, a few to a task, with the counts of its words and of its tokens' pairs, and which triples may stand elsewhere too.
 
-    ``word_counted`` and ``pair_counted`` are those of the documents that EM
-    scores. ``triple`` says for each token but documents' first which key it
-    is, or from the number of keys on which of the block's own counts.
+    ``word`` and ``word_counted`` follow the vocabulary, ``pair`` the tokens,
+    ``pair_counted`` those of the documents that EM scores, ``elsewhere`` (a
+    bit) and ``own`` (the block's own count of any other triple) the tokens
+    that follow another of their document.
     """
 
     def join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -375,64 +399,83 @@ def attach_pairs(encoded: DataFrame, replies: DataFrame, tasks: int, mask: int)
         row = left.to_pylist()[0]
         block = _Block.read(row)
         keys, word, pair = block.keys(mask)
-        every, counted, both = (_in_order(right, f) for f in ("every", "counted", "both"))
+        every, counted = (_in_order(right, f) for f in ("every", "counted"))
+        others = _in_order(right, "elsewhere", bool).astype(bool)
         flag = np.uint64(mask & -mask)
+        vocabulary = np.searchsorted(keys, (block.vocabulary & np.uint64(mask)) | flag)
         end = int(np.searchsorted(keys, (END & np.uint64(mask)) | flag))
         mixed = block.part == MIXED
-        inner = np.flatnonzero(~block.first)
-        local, at = np.unique(block.pair[inner - 1].astype(np.int64) * (len(block.vocabulary) + 1) + block.tokens[inner], return_inverse=True)
-        some = np.zeros(len(local), np.int64)
-        some[at] = inner  # one place of each triple
-        own = block.counted(at, len(local), inner)
-        elsewhere = np.minimum(both[pair[some]], both[pair[some - 1]]) > sum(x.astype(np.int64) for x in own) if len(local) else np.zeros(0, bool)
-        hashes = tk.combine([block.pair_hash[block.pair[some - 1]], block.vocabulary[block.tokens[some]]]) & np.uint64(mask) & ~flag if len(local) else np.zeros(0, np.uint64)
-        asked, place = np.unique(hashes[elsewhere], return_inverse=True)
-        index = np.empty(len(local), np.int32)
-        index[elsewhere] = place
-        index[~elsewhere] = len(asked) + np.arange(int((~elsewhere).sum()))
-        sums = [np.bincount(place, x[elsewhere], minlength=len(asked)).astype(np.uint64) for x in own]
-        mine = [x[~elsewhere].astype(np.uint64) for x in (own[0] + own[1], own[0])]
+        inner, at, some, _ = block.triples(mask)
+        own = block.counted(at, len(some), inner)
+        elsewhere = others[pair[some]] & others[pair[some - 1]]
+        mine = [np.where(elsewhere, 0, x)[at] for x in (own[0] + own[1], own[0])]
         plain = lambda x: _planes(x.astype(np.uint64))
-        return _typed(PAIRED, [
-            row["block"], row["doc_ids"], row["missing"], row["folds"], row["counts"], plain(every[word]), plain(every[pair]), int(every[end]), plain(counted[word[mixed]]), plain(counted[pair[mixed]]), int(counted[end]),
-            _planes(index[at]), *map(_planes, mine), _sorted_blob(asked), *map(_planes, sums),
-        ])
+        carried = [row[x.split()[0]] for x in BLOCK.split(", ") if not x.startswith("n_tokens")]
+        return _typed(PAIRED, [*carried, plain(every[vocabulary]), plain(counted[vocabulary]), plain(every[pair]), plain(counted[pair[mixed]]), int(every[end]), int(counted[end]), np.packbits(elsewhere[at]).tobytes(), *map(plain, mine)])
 
     left, right = encoded.repartition(tasks, "block"), replies.where("child >= 0").withColumnRenamed("child", "block").repartition(tasks, "block")
     return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(join, PAIRED)
 
 
-def attach_triples(paired: DataFrame, replies: DataFrame, tasks: int, n_counted: int) -> DataFrame:
-    """Each block with its tokens' counts of words, pairs and triples (``start``: count of the start) and the events of its mixed documents."""
+def _asked_triples(row: dict, block: _Block, mask: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a paired block: inner tokens, the triple of each, which triples are asked for, their sorted keys, and which of these each is."""
+    inner, at, some, hashes = block.triples(mask)
+    bits = np.unpackbits(np.frombuffer(row["elsewhere"], np.uint8))[: len(inner)].astype(bool)
+    asked = np.zeros(len(some), bool)
+    asked[at] = bits
+    keys, place = np.unique(hashes[asked], return_inverse=True)
+    return inner, at, asked, keys, place
+
+
+def ask_for_triples(paired: DataFrame, mask: int) -> DataFrame:
+    """Keys of each block's triples that may stand elsewhere too, with the block's own counts by fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = _Block.read(row)
+                inner, at, asked, keys, place = _asked_triples(row, block, mask)
+                own = [np.bincount(place, x[asked], minlength=len(keys)).astype(np.uint64) for x in block.counted(at, len(asked), inner)]
+                yield from _table(["child", "keys", *PLANES], [(row["block"], _sorted_blob(keys), *map(_planes, own))]).to_batches()
+
+    return paired.select("block", "doc_ids", "missing", "folds", "counts", "vocabulary", "tokens", "elsewhere").mapInArrow(run, _schema(["child", "keys", *PLANES]))
+
+
+def attach_triples(paired: DataFrame, replies: DataFrame, tasks: int, n_counted: int, mask: int) -> DataFrame:
+    """Each block with its tokens' counts of pairs and triples and its words' (``start``: count of the start), and the events of its mixed documents."""
 
     def join(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _typed(COUNTED_BLOCK, None)
         row = left.to_pylist()[0]
-        counts = _values(row["counts"], np.int32)
-        first = np.zeros(int(counts.sum()), bool)
-        first[np.concatenate([[0], np.cumsum(counts)[:-1]])] = True
-        index = _values(row["triple"], np.int32)
+        block = _Block.read(row)
+        inner, at, asked, _, place = _asked_triples(row, block, mask)
+
+        def counts_of(field: str, own: str) -> np.ndarray:
+            """Of each inner token's triple, from the replies or the block's own."""
+            each = np.zeros(len(asked), np.int64)
+            each[asked] = _in_order(right, field)[place]
+            return np.where(asked[at], each[at], _values(row[own], np.uint64).astype(np.int64))
+
         pair = _values(row["pair"], np.uint64).astype(np.int64)
         triple = pair.copy()  # two starts and a word are a start and a word
-        triple[~first] = np.concatenate([_in_order(right, "every"), _values(row["own"], np.uint64).astype(np.int64)])[index]
-        mixed = np.repeat(np.frombuffer(row["folds"], np.uint8), counts) == MIXED
-        begins = first[mixed]
-        word_c, pair_c = (_values(row[f], np.uint64).astype(np.int64) for f in ("word_counted", "pair_counted"))
-        every_c = np.zeros(len(first), np.int64)
-        every_c[~first] = np.concatenate([_in_order(right, "counted"), _values(row["own_counted"], np.uint64).astype(np.int64)])[index]
+        triple[inner] = counts_of("every", "own")
+        mixed = block.part == MIXED
+        begins = block.first[mixed]
+        word_c = _values(row["word_counted"], np.uint64).astype(np.int64)[block.tokens[mixed]]
+        pair_c = _values(row["pair_counted"], np.uint64).astype(np.int64)
+        every_c = np.zeros(len(block.tokens), np.int64)
+        every_c[inner] = counts_of("counted", "own_counted")
         triple_c = np.where(begins, pair_c, every_c[mixed])
         one, two = (np.where(begins, row["start_counted"], np.roll(x, 1)) for x in (word_c, pair_c))
-        levels_ = [_level(a / np.maximum(b, 1)) for a, b in ((triple_c, two), (pair_c, one), (word_c, np.array(n_counted)))]
         code = context_bucket(two, one)
-        for each in levels_:
-            code = code * 64 + each
+        for a, b in ((triple_c, two), (pair_c, one), (word_c, np.array(n_counted))):
+            code = code * 64 + _level(a / np.maximum(b, 1))
         codes, n = np.unique(code, return_counts=True)
         events = np.stack([codes >> 18, codes >> 12 & 63, codes >> 6 & 63, codes & 63, n], axis=1).astype(np.int64)
-        return _typed(COUNTED_BLOCK, [row["block"], row["doc_ids"], row["missing"], row["folds"], row["counts"], row["word"], row["pair"], _planes(triple.astype(np.uint64)), row["start"], events.tobytes()])
+        return _typed(COUNTED_BLOCK, [row["block"], row["doc_ids"], row["missing"], row["folds"], row["counts"], row["tokens"], row["word"], row["pair"], _planes(triple.astype(np.uint64)), row["start"], events.tobytes()])
 
-    kept = [x.split()[0] for x in PAIRED.split(", ")][:-4]
-    left, right = paired.select(kept).repartition(tasks, "block"), replies.where("child >= 0").withColumnRenamed("child", "block").repartition(tasks, "block")
+    left, right = paired.repartition(tasks, "block"), replies.where("child >= 0").withColumnRenamed("child", "block").repartition(tasks, "block")
     return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(join, COUNTED_BLOCK)
 
 
@@ -458,8 +501,8 @@ def lm_scores(docs: DataFrame, train_when: Column | None = None, block_bytes: in
     paired = materialise(attach_pairs(encoded, replies, tasks, mask), "paired")
     discard(encoded)
     discard(replies)
-    replies, _ = exchange(paired.select(F.col("block").alias("child"), "keys", *PLANES), owners, n_blocks, mask, fan_out)
-    counted = materialise(attach_triples(paired, replies, tasks, totals["counted"][0]), "counted")
+    replies, _ = exchange(ask_for_triples(paired, mask), owners, n_blocks, mask, fan_out)
+    counted = materialise(attach_triples(paired, replies, tasks, totals["counted"][0], mask), "counted")
     discard(paired)
     discard(replies)
 
@@ -467,9 +510,9 @@ def lm_scores(docs: DataFrame, train_when: Column | None = None, block_bytes: in
         for batch in batches:
             for blob in batch.column("events").to_pylist():
                 rows = np.frombuffer(blob, np.int64).reshape(-1, 5)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(5)], ["b", "t", "p", "w", "n"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, k].astype(np.int32)) for k in range(4)), pa.array(rows[:, 4])], ["b", "t", "p", "w", "n"])
 
-    got = counted.select("events").mapInArrow(spread, "b long, t long, p long, w long, n long").groupBy("b", "t", "p", "w").agg(F.sum("n").alias("n")).toArrow()  # cells of a fixed grid
+    got = counted.select("events").mapInArrow(spread, "b int, t int, p int, w int, n long").groupBy("b", "t", "p", "w").agg(F.sum("n").alias("n")).toArrow()  # cells of a fixed grid
     events = np.stack([got.column(c).to_numpy() for c in ("b", "t", "p", "w", "n")], axis=1) if got.num_rows else np.zeros((0, 5), np.int64)
     weights = fit_weights(events, totals["counted"][1])
     n_train, v_train = totals["every"]
@@ -478,7 +521,8 @@ def lm_scores(docs: DataFrame, train_when: Column | None = None, block_bytes: in
         for batch in batches:
             for row in batch.to_pylist():
                 counts = _values(row["counts"], np.int32)
-                word, pair, triple = (_values(row[f], np.uint64).astype(float) for f in ("word", "pair", "triple"))
+                pair, triple = (_values(row[f], np.uint64).astype(float) for f in ("pair", "triple"))
+                word = _values(row["word"], np.uint64).astype(float)[_values(row["tokens"], np.int32)]
                 first = np.concatenate([[0], np.cumsum(counts)[:-1]])
                 one, two = np.roll(word, 1), np.roll(pair, 1)
                 one[first] = two[first] = row["start"]
@@ -492,7 +536,7 @@ def lm_scores(docs: DataFrame, train_when: Column | None = None, block_bytes: in
                 columns = [ids, pa.array(np.frombuffer(row["folds"], np.uint8) != HELD_OUT), pa.array(counts.astype(np.int64)), pa.array(known), pa.array(np.full(len(counts), n_train)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(np.log10(p), first))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return counted.select("doc_ids", "missing", "folds", "counts", "word", "pair", "triple", "start").mapInArrow(score, "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return counted.select("doc_ids", "missing", "folds", "counts", "tokens", "word", "pair", "triple", "start").mapInArrow(score, "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,7 +96,7 @@ def test_many_levels_give_the_same_counts(spark, monkeypatch):
     """Tiny blocks and ranges, so that keys pass several levels."""
     rows = make()
     plain = sorted((r["doc_id"], r["n_known"], r["base_score"], r["score"]) for r in scored(spark, monkeypatch, rows, lm.fold(7) != 2)[0])
-    assert len(lm.levels(-(-10_000 // 300), 3)) == 4 and lm.levels(1) == [1] and lm.levels(65) == [64, 128]
+    assert len(lm.levels(-(-10_000 // 300), 3)) == 4 and lm.levels(1) == [1] and lm.levels(65, 64) == [64, 128] and lm.levels(257) == [256, 512]
     small = sorted((r["doc_id"], r["n_known"], r["base_score"], r["score"]) for r in scored(spark, monkeypatch, rows, lm.fold(7) != 2, block_bytes=4000, keys_per_partition=400, fan_out=3)[0])
     assert [x[:2] for x in small] == [x[:2] for x in plain] and np.allclose([x[2:] for x in small], [x[2:] for x in plain])
 
