@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from groundling.llm import bpe, collocations, decontamination, language_id, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filter
+from groundling.llm import bpe, collocations, decontamination, language_id, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, spelling, token_counts, toxicity, url_filter
 
-_MODULES = [token_counts, decontamination, packing, near_dedup, lm_scoring, language_id, url_filter, toxicity, quality_rules, quality_classifier, bpe, collocations]
+_MODULES = [token_counts, decontamination, packing, near_dedup, lm_scoring, language_id, url_filter, toxicity, quality_rules, quality_classifier, bpe, collocations, spelling]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
