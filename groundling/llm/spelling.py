@@ -62,10 +62,11 @@ def _keys(counts: DataFrame) -> DataFrame:
 def near_words(counts: DataFrame) -> DataFrame:
     """All ordered pairs of words of ``counts`` one edit apart: word, n, near, near_n. Words have two characters or more."""
     keys = materialise(_keys(counts), "spelling-keys")
-    left, right = keys.select("key", "word", "n", "size"), keys.select("key", F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("size").alias("near_size"))
-    longer = (F.col("near_size") - F.col("size")).isin(0, 1)
-    once = (F.col("size") < F.col("near_size")) | (F.col("word") < F.col("near"))
-    met = left.join(right, "key").where(longer & once & (F.levenshtein("word", "near", 1) == 1))
+    # a near word is as long or one longer: the length is part of the key, so that only such words meet
+    left = keys.select("key", "word", "n", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"))
+    right = keys.select("key", "size", F.col("word").alias("near"), F.col("n").alias("near_n"))
+    once = (F.char_length("word") < F.col("size")) | (F.col("word") < F.col("near"))
+    met = left.join(right, ["key", "size"]).where(once & (F.levenshtein("word", "near", 1) == 1))
     pairs = met.select("word", "n", "near", "near_n").distinct()
     turned = pairs.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     return pairs.unionByName(turned)

@@ -97,8 +97,8 @@ def test_three_rarest_bigrams_meet(words):
 
 
 def test_rows_and_edges(spark):
-    rows = [(k, "Hello WORLD École hel×o cafés; don't world2world") for k in range(3000)]
-    rows += [(None, "hello hello hello"), (1, None), (2, ""), (3, "ab " * 50_000 + "w" * 30_000), (3, "ab")]
+    rows = [(k, "Hellos WORLDS Écoles hel×os caféss; don't worlds2worlds") for k in range(3000)]
+    rows += [(None, "hellos hellos hellos"), (1, None), (2, ""), (3, "ab " * 50_000 + "w" * 30_000), (3, "ab")]
     docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, n int, word string")
     want = brute(brute_counts(rows))
     assert any(r[1] for r in want) and any("É" in r[0] for r in want)
