@@ -34,7 +34,7 @@ from groundling.llm import textkernel as tk
 from groundling.llm.lm_scoring import _cut, _planes, _sorted_blob, _sorted_keys, _values, levels
 from groundling.session import discard, materialise
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Blocks that meet at one range of a level.
 FAN_OUT = 256
 #: Phrases to each range of the last level.
@@ -94,30 +94,29 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         held: dict[str, list[tuple[bytes, int]]] = {}
-        size = 0
+        sizes: dict[str, int] = {}
 
-        def flush() -> pa.RecordBatch:
+        def flush(lang: str) -> pa.RecordBatch:
             nonlocal number
-            rows = []
-            for lang, texts in held.items():
-                rows.append((number, lang, sum(n for _, n in texts), zstandard.ZstdCompressor(level=3).compress(b"".join(t for t, _ in texts))))
-                number += 1
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["block", "lang", "n_words", "text"])
+            texts = held.pop(lang)
+            del sizes[lang]
+            row = (number, lang, sum(n for _, n in texts), zstandard.ZstdCompressor(level=3).compress(b"".join(t for t, _ in texts)))
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, (pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["block", "lang", "n_words", "text"])
 
         for part in tk.slices(batches, "text", min(tk.SLICE_BYTES, block_bytes)):
             langs = np.asarray(part.column("lang").to_pylist(), object)
             for lang in dict.fromkeys(langs.tolist()):
                 own = part.column("text").take(pa.array(np.flatnonzero(langs == lang))) if (langs != lang).any() else part.column("text")
-                raw, off = tk.utf8(own)
-                text, n = normal_text(raw, off)
+                text, n = normal_text(*tk.utf8(own))
                 held.setdefault(lang, []).append((text, n))
-                size += len(text)
-            if size >= block_bytes:
-                yield flush()
-                size = 0
-        if held:
-            yield flush()
+                sizes[lang] = sizes.get(lang, 0) + len(text)
+                if sizes[lang] >= block_bytes:
+                    yield flush(lang)
+            while sum(sizes.values()) >= 4 * block_bytes:
+                yield flush(max(sizes, key=sizes.get))
+        for lang in list(held):
+            yield flush(lang)
 
     return docs.mapInArrow(run, BLOCK)
 
@@ -279,12 +278,11 @@ def phrase_counts(docs: DataFrame, lang: str | Column = "lang", most: int = 3, l
 
     asked = stored.select("block", "lang", "text").mapInArrow(ask, "child long, cells binary, n binary")
     flags = frequent_cells(asked, least, n_phrases, n_blocks, keys_per_range, fan_out)
-    out_schema = "lang string, phrase string, words int, a long"
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         import ahocorasick
 
-        found: tuple[list, list, list, list] = ([], [], [], [])
+        named, n = [], np.zeros(0, np.int64)
         if left.num_rows:
             (row,) = left.to_pylist()
             text = _plain(row["text"])
@@ -299,14 +297,16 @@ def phrase_counts(docs: DataFrame, lang: str | Column = "lang", most: int = 3, l
                 automaton.make_automaton()
                 hits = np.fromiter((k for _, k in automaton.iter(text.decode())), np.int32)
                 n = np.bincount(hits, minlength=len(names))
-                found = ([row["lang"]] * len(names), names, phrases.size[rows].astype(int).tolist(), n.tolist())
-        types = (pa.string(), pa.string(), pa.int32(), pa.int64())
-        return pa.table({name: pa.array(c, t) for name, c, t in zip(("lang", "phrase", "words", "a"), found, types, strict=True)})
+                named = [f"{name}\n{row['lang']}" for name in names]
+        return pa.table({"key": pa.array(named, pa.string()), "a": pa.array(n, pa.int64())})
 
     tasks = max(1, min(n_blocks, MOST_PARTITIONS))
     texts, answers = stored.select("block", "lang", "text").repartition(tasks, "block"), flags.select(F.col("child").alias("block"), "range", "flags").repartition(tasks, "block")
-    local = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(count, out_schema)
-    sums = materialise(local.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= least), "phrases")
+    local = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(count, "key string, a long")
+    summed = local.groupBy("key").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    phrase = F.substring_index("key", "\n", 1)  # no word holds a line feed
+    own = F.substring("key", F.char_length(phrase) + 2, F.char_length("key"))
+    sums = materialise(summed.select(own.alias("lang"), phrase.alias("phrase"), (F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1).alias("words"), "a"), "phrases")
     languages = materialise(totals, "languages")
     discard(stored)
     discard(flags)
@@ -359,7 +359,7 @@ def collocations(docs: DataFrame, lang: str | Column = "lang", most: int = 3, le
     kept = materialise(scored.where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a"))).drop("longer"), "scored")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # the first of each share of a language, then the first of those
-    salts = max(1, kept.count() // (20 * top))
+    salts = max(16, kept.count() // (20 * top))
     dealt = kept.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(salts)))
     dealt = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("lang", "_salt").orderBy(*order))).where(F.col("_place") <= top)
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
