@@ -28,8 +28,13 @@ Triples go the same way after the pairs have come back. One of whose pairs
 either stands in no other block cannot stand in one either, so its count is the
 block's own and it is not sent; all others are.
 
-A key has so many bits of a 64-bit hash, more with more tokens, that it shares
-its count with another key with a probability of about ``2**-SPARE_BITS``.
+A word's key is 63 bits of its hash, whatever the corpus, so that the counts of
+words, their number and the base score are exact. A pair's or triple's key has
+so many bits, more with more tokens, that it shares its count with another key
+with a probability of about ``2**-SPARE_BITS``.
+
+Groups of rows, not partitions, bound a task's memory: there are as many as
+the input asks for, dealt over ``MOST_PARTITIONS`` shuffle partitions at most.
 """
 
 from __future__ import annotations
@@ -54,6 +59,10 @@ KEYS_PER_PARTITION = 1_500_000
 FAN_OUT = 256
 BLOCKS_PER_TASK = 4
 SPARE_BITS = 20
+#: Shuffle partitions at most.
+MOST_PARTITIONS = 4096
+#: Set in the key of a word, and in no other.
+WORD = np.uint64(1)
 END = tk.mix(np.array([0xE0D], np.uint64))[0]
 START = tk.mix(np.array([0x57A], np.uint64))[0]
 #: Folds of documents.
@@ -131,11 +140,16 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def key_mask(n_tokens: int) -> int:
-    """Which bits of a hash are a key; the lowest of them says whether it is a word."""
-    bits = min(64, max(48, n_tokens.bit_length() + SPARE_BITS))
+    """Which bits of a hash are the key of a pair or triple; never the lowest, which says that a key is a word's."""
+    bits = min(63, max(48, n_tokens.bit_length() + SPARE_BITS))
     return (1 << 64) - (1 << (64 - bits))
 
 
+def _dealt(groups: int) -> int:
+    """Shuffle partitions for so many groups."""
+    return max(1, min(groups, MOST_PARTITIONS))
+
+
 @dataclass
 class _Block:
     """A decoded block: its distinct words and pairs, and which of each every token is."""
@@ -162,8 +176,7 @@ class _Block:
 
     def keys(self, mask: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted keys of words and pairs, and which of them each token's word and pair are."""
-        flag = np.uint64(mask & -mask)
-        words, pairs = (self.vocabulary & np.uint64(mask)) | flag, self.pair_hash & np.uint64(mask) & ~flag
+        words, pairs = self.vocabulary | WORD, self.pair_hash & np.uint64(mask)
         keys, at = np.unique(np.concatenate([words, pairs]), return_inverse=True)
         return keys, at[: len(words)][self.tokens], at[len(words) :][self.pair]
 
@@ -173,7 +186,7 @@ class _Block:
         local, at = np.unique(self.pair[inner - 1].astype(np.int64) * (len(self.vocabulary) + 1) + self.tokens[inner], return_inverse=True)
         some = np.zeros(len(local), np.int64)
         some[at] = inner
-        keys = tk.combine([self.pair_hash[self.pair[some - 1]], self.vocabulary[self.tokens[some]]]) & np.uint64(mask) & ~np.uint64(mask & -mask)
+        keys = tk.combine([self.pair_hash[self.pair[some - 1]], self.vocabulary[self.tokens[some]]]) & np.uint64(mask)
         return inner, at, some, keys
 
     def counted(self, at: np.ndarray, n: int, rows: np.ndarray | None = None) -> list[np.ndarray]:
@@ -248,7 +261,6 @@ def exchange(asked: DataFrame, owners: int, n_blocks: int, mask: int, fan_out: i
     ranges = levels(owners, fan_out)
     top = len(ranges) - 1
     squads = max(1, -(-n_blocks // fan_out))
-    flag = np.uint64(mask & -mask)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +293,7 @@ def exchange(asked: DataFrame, owners: int, n_blocks: int, mask: int, fan_out: i
         rows = group.select(ASKED).to_pylist()
         keys, at, (counted, mixed, held) = _merge(rows)
         every = counted + mixed
-        words = (keys & flag) > 0
+        words = (keys & WORD) > 0
         totals = [np.array([v[words].sum(), np.count_nonzero(v[words])], np.uint64) for v in (every, counted)]
         return _table(REPLIED, [*reply(rows, at, every, counted, every + held), (-1, rows[0]["range"], _planes(totals[0]), _planes(totals[1]), _planes(totals[0]))])
 
@@ -300,18 +312,22 @@ def exchange(asked: DataFrame, owners: int, n_blocks: int, mask: int, fan_out: i
     kept: list[DataFrame] = []
     for level in range(top):
         kept.append(materialise(sent, "asked") if level else sent)  # the first is made again on the way back
-        spread = kept[-1].repartition(max(1, n_blocks), "squad", "range")
+        spread = kept[-1].repartition(_dealt(n_blocks), "squad", "range")
         sent = spread.groupBy("squad", "range").applyInArrow(up(level), _schema(ASKED))
-    replies = materialise(sent.repartition(2 * ranges[top], "range").groupBy("range").applyInArrow(answer, _schema(REPLIED)), "replies")
-    totals = {"every": (0, 0), "counted": (0, 0)}
-    for row in replies.where("child = -1").select("every", "counted").toLocalIterator():  # one row a partition
-        for name, (n, v) in totals.items():
-            a, b = _values(row[name], np.uint64).tolist()
-            totals[name] = (n + a, v + b)
+    replies = materialise(sent.repartition(_dealt(2 * ranges[top]), "range").groupBy("range").applyInArrow(answer, _schema(REPLIED)), "replies")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                every, counted = (_values(row[f], np.uint64).astype(np.int64) for f in ("every", "counted"))
+                yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in (*every, *counted)], ["a", "b", "c", "d"])
+
+    sums = replies.where("child = -1").select("every", "counted").mapInArrow(spread, "a long, b long, c long, d long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in "abcd")).first()
+    totals = {"every": (sums[0], sums[1]), "counted": (sums[2], sums[3])}
     for level in reversed(range(top)):
         own = (F.col("squad") * ranges[level] + F.col("range")).alias("me")
-        left = kept[level].select(own, *ASKED).repartition(max(1, n_blocks), "me")
-        right = replies.where("child >= 0").select(F.col("child").alias("me"), *REPLIED).repartition(max(1, n_blocks), "me")
+        left = kept[level].select(own, *ASKED).repartition(_dealt(n_blocks), "me")
+        right = replies.where("child >= 0").select(F.col("child").alias("me"), *REPLIED).repartition(_dealt(n_blocks), "me")
         after = materialise(left.groupBy("me").cogroup(right.groupBy("me")).applyInArrow(down(level), _schema(REPLIED)), "replies")
         discard(replies)
         discard(kept[level])
@@ -401,9 +417,8 @@ def attach_pairs(encoded: DataFrame, replies: DataFrame, tasks: int, mask: int)
         keys, word, pair = block.keys(mask)
         every, counted = (_in_order(right, f) for f in ("every", "counted"))
         others = _in_order(right, "elsewhere", bool).astype(bool)
-        flag = np.uint64(mask & -mask)
-        vocabulary = np.searchsorted(keys, (block.vocabulary & np.uint64(mask)) | flag)
-        end = int(np.searchsorted(keys, (END & np.uint64(mask)) | flag))
+        vocabulary = np.searchsorted(keys, block.vocabulary | WORD)
+        end = int(np.searchsorted(keys, END | WORD))
         mixed = block.part == MIXED
         inner, at, some, _ = block.triples(mask)
         own = block.counted(at, len(some), inner)
@@ -496,7 +511,7 @@ def lm_scores(docs: DataFrame, train_when: Column | None = None, block_bytes: in
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("part", part.cast("int"))
     encoded = materialise(blocks(source, block_bytes), "blocks")
     n_tokens, n_blocks = encoded.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
-    owners, tasks, mask = max(1, -(-n_tokens // keys_per_partition)), max(1, -(-n_blocks // BLOCKS_PER_TASK)), key_mask(n_tokens)
+    owners, tasks, mask = max(1, -(-n_tokens // keys_per_partition)), _dealt(-(-n_blocks // BLOCKS_PER_TASK)), key_mask(n_tokens)
     replies, totals = exchange(ask_for_pairs(encoded, mask), owners, n_blocks, mask, fan_out)
     paired = materialise(attach_pairs(encoded, replies, tasks, mask), "paired")
     discard(encoded)

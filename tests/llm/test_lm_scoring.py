@@ -151,3 +151,15 @@ def test_nothing_to_learn_from(spark):
     got = lm.lm_scores(docs, train_when=lm.F.lit(False)).collect()
     assert [(r["base_score"], r["score"], r["n_known"], r["train_tokens"]) for r in got] == [(0, 0, 0, 0)] * 2
     assert lm.lm_scores(docs.limit(0)).count() == 0
+
+
+def test_many_blocks_to_a_partition(spark, monkeypatch):
+    """Partitions are capped; what a group does not share with others stays right."""
+    from groundling.llm import lm_scoring as lm
+
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 23}" for j in range(40))) for k in range(60)], "doc_id long, text string")
+    want = sorted(lm.lm_scores(docs).collect())
+    monkeypatch.setattr(lm, "MOST_PARTITIONS", 2)
+    got = sorted(lm.lm_scores(docs, block_bytes=200, keys_per_partition=100, fan_out=4).collect())
+    assert [tuple(r)[:5] for r in got] == [tuple(r)[:5] for r in want]
+    assert all(abs(a.base_score - b.base_score) < 1e-9 and abs(a.score - b.score) < 1e-6 for a, b in zip(got, want, strict=True))
