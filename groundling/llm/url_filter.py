@@ -11,13 +11,17 @@ inverted index on the rule's rarest token. URLs with equal tokens are judged
 once, so a host with a third of all pages costs no more than another.
 
 FP-growth itself knows no longest combination, and a basket of n tokens that
-are all frequent has 2^n of them. Baskets hold frequent tokens only, and a
-basket of more than ``BASKET`` tokens is dealt into overlapping smaller ones
-such that any three tokens are together in one; what is counted too often
-there is put right by the exact count.
-
-Labels come from outside the URL. :func:`page_labels` takes them from written
-rules where one decides and else from what the page shows.
+are all frequent has 2^n of them. So baskets hold no token whose combinations
+could only be redundant: none that is not frequent, none that has one label
+alone (it is a rule of confidence 1 by itself), and of tokens that always
+stand together only the first by name (a combination of two of them is as sure
+as one of them). Rules of the first are rules of the others. A basket of more
+than ``BASKET`` tokens is dealt into overlapping smaller ones such that any
+three tokens are together in one; what is counted too often there is put right
+by the exact count. A rule has ``MOST_TOKENS`` tokens at most.
+
+Labels come from outside the mined rules: the written rules' verdicts, or
+labels that are given, or what pages show (:func:`page_labels`).
 
 All steps are DataFrame operations.
 """
@@ -130,6 +134,17 @@ def small_baskets(tokens: Column) -> Column:
     return F.when(F.size(tokens) <= BASKET, F.array(tokens)).otherwise(threes)
 
 
+def _together(spread: DataFrame, sets: DataFrame) -> DataFrame:
+    """Which ids of ``spread`` (id, token) have all tokens of which of ``sets`` (tokens, two or more): id, tokens."""
+    seen = spread.groupBy("token").agg(F.count("*").alias("n"))
+    each = materialise(sets.select("tokens", F.explode("tokens").alias("token")), "each")
+    rarest = each.join(seen, "token").groupBy("tokens").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    met = materialise(spread_join(spread.select("id", "token"), rarest, ["token"], counts=seen).select("id", "tokens"), "met")
+    wanted = met.select("id", "tokens", F.explode("tokens").alias("token"))
+    full = wanted.join(spread.select("id", "token"), ["id", "token"]).groupBy("id", "tokens").agg(F.count("*").alias("held"))
+    return full.where(F.col("held") == F.size("tokens")).select("id", "tokens")
+
+
 def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, min_count: int = 5) -> DataFrame:
     """Rules (tokens, verdict, confidence, support, lift) from transactions (tokens, label).
 
@@ -143,53 +158,70 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, m
     if not totals:
         return nothing
     total = sum(totals.values())
-    found, used = None, [shapes]
+    rate = F.create_map(*(F.lit(x) for label, n in sorted(totals.items()) for x in (label, float(n))))
+    enough = lambda label, n: n >= F.greatest(F.lit(float(min_count)), min_support * F.element_at(rate, label))
+    spread = materialise(shapes.select("id", "label", "n", F.explode("tokens").alias("token")), "spread")
+    # each token alone: its counts by label, and where it stands (two sums of hashes tell tokens apart that do not always stand together)
+    alone = spread.groupBy("token", "label").agg(F.sum("n").alias("freq"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("x"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("y"))
+    alone = materialise(alone, "alone")
+    where = F.array_sort(F.collect_list(F.struct("label", "freq", "x", "y"))).alias("where")  # an entry a label
+    tokens = materialise(alone.groupBy("token").agg(F.sum("freq").alias("base"), where), "tokens")
+    firsts = tokens.groupBy("where").agg(F.min("token").alias("first"))
+    named = materialise(tokens.join(firsts, "where").select("token", "first", "base", F.size("where").alias("labels")), "named")
+    mixed = named.where((F.col("labels") > 1) & (F.col("token") == F.col("first"))).select("token")
+    frequent = materialise(alone.join(mixed, "token").where(enough(F.col("label"), F.col("freq"))).select("token", "label"), "frequent")
+    sizes = spread.groupBy("token", "label").agg(F.count("*").alias("n"))
+    kept = spread_join(spread, frequent, ["token", "label"], counts=sizes).groupBy("label", "id").agg(F.first("n").alias("n"), F.array_sort(F.collect_set("token")).alias("items")).where(F.size("items") > 1)
+    kept = materialise(kept.groupBy("label", "items").agg(F.sum("n").alias("n")), "kept")
+    found, used = None, [shapes, spread, alone, tokens, named, frequent, kept]
     for label, n in sorted(totals.items()):
         least = max(min_count, min_support * n)
-        spread = materialise(shapes.where(F.col("label") == label).select("id", "n", F.explode("tokens").alias("token")), "spread")
-        frequent = materialise(spread.groupBy("token").agg(F.sum("n").alias("seen")).where(F.col("seen") >= least), "frequent")
-        sizes = spread.groupBy("token").agg(F.count("*").alias("n"))
-        kept = spread_join(spread, frequent.select("token"), ["token"], counts=sizes).groupBy("id").agg(F.first("n").alias("n"), F.array_sort(F.collect_set("token")).alias("items"))
-        kept = kept.groupBy("items").agg(F.sum("n").alias("n"))
         # equal baskets are one, which stands once for every `scale` pages and once more: no combination gets less than its due
         scale = max(1, int(least) // _GRAIN)
         share = F.ceil(F.col("n") / F.lit(scale)).cast("long")
-        baskets = materialise(kept.select("n", F.explode(small_baskets(F.col("items"))).alias("items")).groupBy("items").agg(F.sum("n").alias("n")).select("items", share.alias("n")), "baskets")
-        used += [spread, frequent, baskets]
+        own = kept.where(F.col("label") == label)
+        baskets = materialise(own.select("n", F.explode(small_baskets(F.col("items"))).alias("items")).groupBy("items").agg(F.sum("n").alias("n")).select("items", share.alias("n")), "baskets")
+        used.append(baskets)
         many = baskets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if not many:
             continue
         rows = baskets.select("items", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("items")
         floor = max(1, int(least) // scale)
-        sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (floor - 0.5) / many)).fit(rows).freqItemsets.where(F.size("items") <= MOST_TOKENS).select(F.array_sort("items").alias("tokens"))
+        sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (floor - 0.5) / many)).fit(rows).freqItemsets.where(F.size("items").between(2, MOST_TOKENS)).select(F.array_sort("items").alias("tokens"))
         found = sets if found is None else found.unionByName(sets)
-    if found is None:
-        return nothing
-    found = materialise(found.distinct(), "itemsets")
-    # exact counts: an itemset meets the shapes of its rarest token
-    vocabulary = found.select(F.explode("tokens").alias("token")).distinct()
-    every = materialise(shapes.select("id", "label", "n", F.explode("tokens").alias("token")), "tokens")
-    spread = materialise(spread_join(every, vocabulary, ["token"]), "spread")
-    seen = spread.groupBy("token").agg(F.count("*").alias("n"))
-    rarest = found.select("tokens", F.explode("tokens").alias("token")).join(seen, "token").groupBy("tokens").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
-    sets = spread.groupBy("id").agg(F.collect_set("token").alias("own"))
-    met = spread_join(spread, rarest, ["token"], counts=seen).join(sets, "id").where(F.size(F.array_except("tokens", "own")) == 0)
-    counted = met.groupBy("tokens", F.col("label").alias("verdict")).agg(F.sum("n").alias("freq"))
-    counted = materialise(counted, "counted")
-    base = counted.groupBy("tokens").agg(F.sum("freq").alias("base"))
-    rate = F.create_map(*(F.lit(x) for label, n in sorted(totals.items()) for x in (label, float(n))))
+    counted = alone.join(named.select("token", "base"), "token").select(F.array("token").alias("tokens"), F.col("label").alias("verdict"), "freq", "base")
+    if found is not None:
+        found = materialise(found.distinct(), "itemsets")
+        vocabulary = found.select(F.explode("tokens").alias("token")).distinct()
+        near = materialise(spread_join(spread, vocabulary, ["token"]), "near")
+        held = _together(near, found).join(shapes.select("id", "label", "n"), "id")
+        sums = materialise(held.groupBy("tokens", "label").agg(F.sum("n").alias("freq")), "sums")
+        base = sums.groupBy("tokens").agg(F.sum("freq").alias("base"))
+        counted = counted.unionByName(sums.join(base, "tokens").select("tokens", F.col("label").alias("verdict"), "freq", "base"))
+        used += [found, near, sums]
     confidence = F.col("freq") / F.col("base")
     own = F.element_at(rate, F.col("verdict"))
-    rules = counted.join(base, "tokens").where((confidence >= min_confidence) & (F.col("freq") >= F.greatest(F.lit(float(min_count)), min_support * own)))
+    rules = counted.where((confidence >= min_confidence) & enough(F.col("verdict"), F.col("freq")))
     rules = materialise(rules.select("tokens", "verdict", confidence.alias("confidence"), (F.col("freq") / F.lit(total)).alias("support"), (confidence / (own / F.lit(total))).alias("lift")), "rules")
     # a rule is redundant if a part of its tokens predicts the same as surely
-    smaller = rules.select("tokens", "verdict", "confidence", F.explode(_proper_parts(F.col("tokens"), MOST_TOKENS)).alias("part"))
+    smaller = rules.where(F.size("tokens") > 1).select("tokens", "verdict", "confidence", F.explode(_proper_parts(F.col("tokens"), MOST_TOKENS)).alias("part"))
     general = rules.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("sure"))
     redundant = smaller.join(general, ["part", "verdict"]).where("sure >= confidence").select("tokens", "verdict").distinct()
-    kept = materialise(rules.join(redundant, ["tokens", "verdict"], "left_anti"), "kept")
-    for table in (*used, found, every, spread, counted, rules):
+    left = rules.join(redundant, ["tokens", "verdict"], "left_anti")
+    # what holds for the first of some tokens holds for each that always stands with it
+    several = left.where(F.size("tokens") > 1).withColumn("rule", F.struct("tokens", "verdict", "confidence", "support", "lift"))
+    parts = several.select("rule", F.posexplode("tokens").alias("at", "first"))
+    members = named.where("labels > 1").select("first", "token")
+    options = parts.join(members, "first").groupBy("rule", "at").agg(F.collect_list("token").alias("any")).groupBy("rule").agg(F.sort_array(F.collect_list(F.struct("at", "any"))).alias("options"))
+    full = options.select("rule", F.array().cast("array<string>").alias("tokens"), "options")
+    for k in range(MOST_TOKENS):
+        choices = F.coalesce(F.get(F.col("options.any"), F.lit(k)), F.array(F.lit(None).cast("string")))
+        full = full.select("rule", "tokens", "options", F.explode(choices).alias("one")).select("rule", F.array_compact(F.array_append("tokens", F.col("one"))).alias("tokens"), "options")
+    expanded = full.select(F.array_sort("tokens").alias("tokens"), *(F.col(f"rule.{c}").alias(c) for c in ("verdict", "confidence", "support", "lift")))
+    out = materialise(left.where(F.size("tokens") == 1).unionByName(expanded), "kept")
+    for table in (*used, rules):
         discard(table)
-    return kept
+    return out
 
 
 def _proper_parts(tokens: Column, most: int) -> Column:
@@ -205,27 +237,29 @@ def _proper_parts(tokens: Column, most: int) -> Column:
 def match_rules(shapes: DataFrame, rules: DataFrame) -> DataFrame:
     """The surest rule of each token set: tokens, mined (its tokens), mined_verdict, confidence.
 
-    Rules are indexed by the token that the fewest token sets have; ties go to
-    more lift, more support, to ``block``, and to the first by name.
+    Rules of several tokens are indexed by the token that the fewest token sets
+    have; ties go to more lift, more support, to ``block``, and to the first by
+    name.
     """
+    numbered = materialise(shapes.select("tokens", F.unhex(F.md5(F.concat_ws("\n", "tokens"))).alias("id")), "shapes")
+    each = materialise(numbered.select("id", F.explode("tokens").alias("token")), "tokens")
     vocabulary = rules.select(F.explode("tokens").alias("token")).distinct()
-    spread = materialise(spread_join(materialise(shapes.select("tokens", F.explode("tokens").alias("token")), "tokens"), vocabulary, ["token"]), "spread")
-    seen = spread.groupBy("token").agg(F.count("*").alias("n"))
-    numbered = rules.select(F.struct("tokens", "verdict", "confidence", "support", "lift").alias("r"))
-    rarest = numbered.select("r", F.explode("r.tokens").alias("token")).join(seen, "token").groupBy("r").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
-    met = spread_join(spread, rarest, ["token"], counts=seen).where(F.size(F.array_except("r.tokens", "tokens")) == 0)
+    spread = materialise(spread_join(each, vocabulary, ["token"]), "spread")
+    single = spread_join(spread, rules.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"), F.struct("tokens", "verdict", "confidence", "support", "lift").alias("r")), ["token"]).select("id", "r")
+    several = rules.where(F.size("tokens") > 1)
+    found = _together(spread, several.select("tokens").distinct()).join(several, "tokens").select("id", F.struct("tokens", "verdict", "confidence", "support", "lift").alias("r"))
     order = F.struct((-F.col("r.confidence")).alias("c"), (-F.col("r.lift")).alias("l"), (-F.col("r.support")).alias("s"), (F.col("r.verdict") != "block").alias("v"), F.array_join("r.tokens", " ").alias("name"), F.col("r.verdict").alias("verdict"), F.col("r.confidence").alias("confidence"))
-    best = met.groupBy("tokens").agg(F.min(order).alias("best"))
-    return best.select("tokens", F.col("best.name").alias("mined"), F.col("best.verdict").alias("mined_verdict"), F.col("best.confidence").alias("confidence"))
+    best = single.unionByName(found).groupBy("id").agg(F.min(order).alias("best"))
+    return best.join(numbered, "id").select("tokens", F.col("best.name").alias("mined"), F.col("best.verdict").alias("mined_verdict"), F.col("best.confidence").alias("confidence"))
 
 
-def url_filter(pages: DataFrame, rules: DataFrame, labels: DataFrame | None = None, min_support: float = 0.005, min_confidence: float = 0.9, default: str = "allow", train_when: Column | None = None) -> DataFrame:
+def url_filter(pages: DataFrame, rules: DataFrame, labels: DataFrame | None = None, min_support: float = 0.005, min_confidence: float = 0.9, default: str = "allow", train_when: Column | None = None, page_evidence: bool = False) -> DataFrame:
     """Verdict of every page's URL.
 
     ``rules`` has rule_host, rule_path and rule_verdict. ``labels`` (page_id,
-    label: block or allow) are what the mined rules learn from; without it,
-    every page is labelled by :func:`page_labels` (``html``, where there is such
-    a column). ``train_when`` is a condition on ``page_id`` that pages learned
+    label: block or allow) are what the mined rules learn from; without it the
+    written rules' verdicts are, and with ``page_evidence`` also what pages show
+    (:func:`page_labels`; ``html``, where there is such a column). ``train_when`` is a condition on ``page_id`` that pages learned
     from must meet. One row per input row: page_id, host, path, rule, verdict,
     mined, confidence, label (what the page was labelled, null if it was not).
     A written rule decides; else the surest mined rule; else ``default``. A
@@ -242,7 +276,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, labels: DataFrame | None = No
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"), url_tokens(host, path, query).alias("tokens"), html.alias("html"))
     judged = apply_rules(parsed, rules)
     if labels is None:
-        judged = materialise(judged.withColumn("label", page_labels(F.col("rule_verdict"), F.col("html"))).drop("html"), "urls")
+        label = page_labels(F.col("rule_verdict"), F.col("html")) if page_evidence else F.col("rule_verdict")
+        judged = materialise(judged.withColumn("label", label).drop("html"), "urls")
     else:
         kept = labels.where("page_id is not null and label in ('block', 'allow')").groupBy(F.col("page_id").cast("long").alias("labelled_id")).agg(F.max("label").alias("label"))
         judged = judged.drop("html")

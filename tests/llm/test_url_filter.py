@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,7 +129,7 @@ def test_labels_come_from_what_a_page_shows(spark):
         (5, "<p>too few</p>", "block"), (6, None, "block"), (7, "", "block"), (8, f"<nav>{'### ' * 300}</nav>{prose}", "allow"), (9, f"{prose}<script>" + "<nav <!-- " * 3000, "allow"), (10, f"{prose}" + "<" * 20000, "block"),
     ]
     table = spark.createDataFrame([(i, f"https://h{i}.com/", html) for i, html, _ in pages] + [(11, "https://a.net/x", "<p>few</p>"), (12, "https://a.net/x", None)], "page_id long, url string, html string")
-    got = {r["page_id"]: (r["label"], r["verdict"]) for r in uf.url_filter(table, uf.written_rules(spark, uf.RULES)).collect()}
+    got = {r["page_id"]: (r["label"], r["verdict"]) for r in uf.url_filter(table, uf.written_rules(spark, uf.RULES), page_evidence=True).collect()}
     assert {i: got[i][0] for i, _, _ in pages} == {i: label for i, _, label in pages} and got[11] == got[12] == ("block", "block")
 
 
@@ -140,13 +141,31 @@ def test_very_long_url_and_ties(spark):
     assert len(got) == 31 and len({got[i] for i in range(10, 40)}) == 1
 
 
-def test_held_out_precision_of_the_query(spark):
-    """Verdicts of pages that were not learned from, against what the pages show."""
-    rows = uf.op7_url_filter(spark, "/root/testdata/sf0.1").where("held_out and rule is null and host != ''").collect()
-    right = sum(r["verdict"] == r["label"] for r in rows)
-    blocked = [r for r in rows if r["verdict"] == "block"]
-    print("held out", len(rows), "right", right, "blocked", len(blocked), "of them right", sum(r["label"] == "block" for r in blocked))
-    assert right >= 0.85 * len(rows)
+@pytest.mark.parametrize("segments", [60, 120, 20_000])
+def test_long_url_that_repeats(spark, segments):
+    """A crawler trap: all its tokens are frequent, with one label or with both."""
+    trap = "https://trap.com/" + "/".join(f"s{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}x" for k in range(segments))
+    other = trap.replace("trap", "maze").replace("x", "y")
+    urls = [*((i, trap) for i in range(8)), *((i, other) for i in range(10, 22)), *((i, f"https://b.com/fine/{i}") for i in range(30, 60))]
+    labels = [(i, "block") for i in range(8)] + [(i, "block" if i % 2 else "allow") for i in range(10, 22)] + [(i, "allow") for i in range(30, 60)]
+    began = time.time()
+    out = uf.url_filter(spark.createDataFrame(urls, "page_id long, url string"), uf.written_rules(spark, []), spark.createDataFrame(labels, "page_id long, label string"))
+    got = {r["page_id"]: (r["verdict"], r["confidence"]) for r in out.collect()}
+    assert all(got[i] == ("block", 1.0) for i in range(8)) and all(got[i] == ("allow", 1.0) for i in range(30, 60))
+    assert {got[i] for i in range(10, 22)} == {("allow", None)} and time.time() - began < 60
+
+
+def test_held_out_verdicts_of_mined_rules(spark):
+    """Pages that written rules decide, judged by what was mined from others alone: far above what always answering one verdict gives."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    known = uf.op7_url_filter(spark, "/root/testdata/sf0.1").where("label is not null and host != ''").select("page_id", "label", "held_out").toPandas()
+    learned = spark.createDataFrame(known[~known.held_out][["page_id", "label"]])
+    got = uf.url_filter(pages, uf.written_rules(spark, []), learned).select("page_id", "verdict").toPandas().set_index("page_id").verdict
+    test = known[known.held_out]
+    said, true = got.loc[test.page_id].to_numpy() == "block", (test.label == "block").to_numpy()
+    recall, precision, base = (said & true).sum() / true.sum(), (said & true).sum() / said.sum(), true.mean()
+    print("held out", len(test), "base rate of block", base, "recall", recall, "precision", precision)
+    assert recall >= 0.9 and precision >= 0.9 and precision > base
 
 
 def test_mined_rules_against_counts(spark):
