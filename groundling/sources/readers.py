@@ -1,4 +1,4 @@
-"""Sources: text, Markdown and (where the tool is present) PDF files as rows.
+"""Sources: text, Markdown, word-processing and (where the tool is present) PDF files as rows.
 
 Each file is one row (source_id, name, text, error); a file that cannot be
 read has an error and an empty text, so that one bad file costs no other.
@@ -6,9 +6,7 @@ read has an error and an empty text, so that one bad file costs no other.
 
 from __future__ import annotations
 
-import shutil
-import subprocess
-import tempfile
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,51 +15,55 @@ from pyspark.sql import functions as F
 
 from groundling.functions import text as tx
 from groundling.operators.planning import ARTICLE_BYTES, SOURCE_BYTES
+from groundling.sources import source_files as sf
 
-PDF_SECONDS = 120
-TEXT_KINDS = ("txt", "md", "markdown", "text")
 
+def _opens(path: str) -> bool:
+    """Whether workers can open a path themselves; stores that only Spark reads go through its own scan."""
+    from pyarrow import fs
 
-def _pdf_text(content: bytes, tool: str) -> str:
-    with tempfile.NamedTemporaryFile(suffix=".pdf") as file:
-        file.write(content)
-        file.flush()
-        done = subprocess.run([tool, file.name, "-"], capture_output=True, timeout=PDF_SECONDS, check=False)
-    if done.returncode:
-        raise ValueError((done.stderr[:8192].decode(errors="replace").splitlines() or ["failed"])[0].strip())
-    return done.stdout[:SOURCE_BYTES].decode(errors="replace")
+    try:
+        fs.FileSystem.from_uri(path)
+    except (OSError, ValueError, NotImplementedError):
+        return False
+    return True
 
 
-def _extract_pdf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    tool = shutil.which("pdftotext")
-    for batch in batches:
-        texts, errors = [], []
-        for content in batch["content"]:
-            try:
-                text = _pdf_text(bytes(content), tool) if tool else ""
-                error = "pdftotext is not installed" if not tool else "" if text.strip() else "no text layer"
-            except (ValueError, OSError, subprocess.TimeoutExpired) as failure:
-                text, error = "", str(failure).splitlines()[0]
-            texts.append(text)
-            errors.append(error)
-        yield pd.DataFrame({"path": batch["path"], "text": texts, "error": errors})
+def source_files(spark: SparkSession, paths: str | list[str], limit: int = SOURCE_BYTES, partition_bytes: int = sf.PARTITION_BYTES, names: str = "*", shortest: int = 0, longest: int = 1 << 62) -> DataFrame:
+    """(path, name, length, text, error) of the files under ``paths``, each scanned once; see :mod:`groundling.sources.source_files`.
+
+    ``names`` (a shell pattern) and the lengths in bytes say which files are wanted.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if all(map(_opens, paths)):
+        spark.dataSource.register(sf.SourceFiles)
+        return spark.read.format("source_files").options(paths=json.dumps(paths), limit=limit, partitionBytes=partition_bytes, names=names, shortest=shortest, longest=longest).load()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(paths).where(F.col("length").between(shortest, longest))
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, errors = [], []
+            for file, content in zip(batch["name"], batch["content"], strict=True):
+                text, error = "", ""
+                try:
+                    if not sf.known(file):
+                        raise sf.Refused(f"unsupported file type: {sf.kind_of(file)}")
+                    text = sf.extract(file, bytes(content), limit)
+                except (sf.Refused, OSError) as failure:
+                    error = str(failure).splitlines()[0]
+                texts.append(text)
+                errors.append(error)
+            yield batch[["path", "name", "length"]].assign(text=texts, error=errors)
+
+    fits = files.where(F.col("length") <= limit).select("path", name, "length", "content").mapInPandas(run, sf.SCHEMA)
+    big = files.where(F.col("length") > limit).select("path", name, "length")  # its content is not read
+    return fits.unionByName(big.select("path", "name", "length", F.lit("").alias("text"), F.format_string(f"%s is %d bytes; the limit is {limit}", "name", "length").alias("error")))
 
 
 def read_sources(spark: SparkSession, paths: str | list[str], limit: int = SOURCE_BYTES) -> DataFrame:
     """(path, name, text, error) of all files under ``paths``; what is over ``limit`` bytes is refused unread."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    name = F.element_at(F.split("path", "/"), -1)
-    kind = F.lower(F.regexp_extract(name, r"\.([^.]*)\z", 1))
-    sized = files.select("path", name.alias("name"), kind.alias("kind"), "length", "content")
-    fits = sized.where(F.col("length") <= limit)
-    body = F.col("content").cast("string")
-    valid = F.is_valid_utf8(body)
-    plain = fits.where(F.col("kind").isin(*TEXT_KINDS)).select("path", "name", F.when(valid, tx.normalise_space(body)).otherwise("").alias("text"), F.when(valid, "").otherwise(F.concat("name", F.lit(" is not valid UTF-8"))).alias("error"))
-    pdf = fits.where("kind = 'pdf'").select("path", "content").mapInPandas(_extract_pdf, "path string, text string, error string")
-    pdf = pdf.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), tx.normalise_space(F.col("text")).alias("text"), "error")
-    big = sized.where(F.col("length") > limit).select("path", "name", F.lit("").alias("text"), F.format_string(f"%s is %d bytes; the limit is {limit}", "name", "length").alias("error"))
-    other = fits.where(~F.col("kind").isin(*TEXT_KINDS, "pdf")).select("path", "name", F.lit("").alias("text"), F.concat(F.lit("unsupported file type: "), "kind").alias("error"))
-    return plain.unionByName(pdf).unionByName(big).unionByName(other)
+    return source_files(spark, paths, limit).select("path", "name", tx.normalise_space(F.col("text")).alias("text"), "error")
 
 
 def outcome(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
