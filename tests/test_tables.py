@@ -5,6 +5,7 @@ import os
 import shutil
 import subprocess
 import sys
+import threading
 
 import duckdb
 import pytest
@@ -67,10 +68,10 @@ def test_readers(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     articles = spark.createDataFrame([(1, "# Same\n\nbody"), (2, "# Same\n\nother")], "article_id int, md string")
     sinks.write_article_set(articles, str(tmp_path / "out"), "2024-03-09")
-    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    rows = sinks.read_article_sets(spark, str(tmp_path / "out")).collect()
     assert sorted(r["name"] for r in rows if r["folder"] == "source") == ["2024-03-09-same-2-body.md", "2024-03-09-same-body.md"] and len(rows) == 6
     sinks.write_article_set(spark.createDataFrame([(5, "# Same\n\nthird"), (6, "# Same 2\n\nnamed so")], "article_id int, md string"), str(tmp_path / "out"), "2024-03-09")
-    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    rows = sinks.read_article_sets(spark, str(tmp_path / "out")).collect()
     assert sorted(r["name"] for r in rows if r["folder"] == "final") == [f"2024-03-09-same{x}-final.md" for x in ("-2-2", "-2", "-3", "")] and len(rows) == 12
     failed, worth = sinks.split_failures(spark.createDataFrame([(1, "# T\n\n## H\n\nx"), (2, "no article")], "article_id int, md string"))
     assert failed.count() == 2 and [r["article_id"] for r in worth.collect()] == [1]
@@ -84,6 +85,38 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "x").read_bytes() == b"1" and not [p for p in os.listdir(tmp_path) if p.startswith(".staged")]
 
 
+def test_two_jobs_publish_at_once(spark, tmp_path, monkeypatch):
+    """Both have staged the same stems before either publishes; neither loses a file or a name."""
+    path, both, plain = str(tmp_path / "out"), threading.Barrier(2), sinks.publish
+    waited = set()
+
+    def together(*args):
+        if threading.get_ident() not in waited:
+            waited.add(threading.get_ident())
+            both.wait(120)
+        return plain(*args)
+
+    monkeypatch.setattr(sinks, "publish", together)
+    jobs = [spark.createDataFrame([(10 * k + i, "# Same\n\nbody") for i in range(3)] + [(10 * k + 9, f"# Own {k}\n\nbody")], "article_id int, md string") for k in (1, 2)]
+    numbers = []
+    threads = [threading.Thread(target=lambda job=job: numbers.append(sinks.write_article_set(job, path, "2024-03-09"))) for job in jobs]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(300)
+    rows = sinks.read_article_sets(spark, path).collect()
+    assert sorted(numbers) == [0, 1] and len(rows) == 24 and len({(r["folder"], r["name"]) for r in rows}) == 24
+    stems = {r["article_id"]: r["name"].removesuffix("-final.md") for r in rows if r["folder"] == "final"}
+    assert sorted(stems.values()) == sorted([f"2024-03-09-same{x}" for x in ("", "-2", "-3", "-4", "-5", "-6")] + ["2024-03-09-own-1", "2024-03-09-own-2"])
+    for i, stem in stems.items():
+        assert {r["name"] for r in rows if r["article_id"] == i} == {stem + e for e in sinks.ENDINGS.values()}
+    # a job that breaks off before its entry leaves nothing behind
+    monkeypatch.setattr(sinks, "publish", lambda *args: 1 // 0)
+    with pytest.raises(ZeroDivisionError):
+        sinks.write_article_set(jobs[0], path, "2024-03-09")
+    assert sinks.read_article_sets(spark, path).count() == 24 and len(os.listdir(tmp_path / "out" / sinks.SETS)) == 2
+
+
 def test_scratch_tables(spark):
     from groundling import session
 
