@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from groundling.functions import text as tx
 from groundling.functions import vocabulary as v
 from groundling.functions.cutting import WHITE
+from groundling.functions.quotes import quotes_found
 from groundling.functions.text import SP, WS_BUT_LF
 from groundling.operators.normalise import strip_sql, words_sql
 from groundling.plans import inputs
@@ -63,9 +64,14 @@ def parse(sections: DataFrame, *carry: str, outer: bool = False) -> DataFrame:
 DANGLING = "and|or|but|the|a|an|of|to|in|for|with|that|which|is|are|was|were"
 
 
-def reason(plain: Column | None = None) -> Column:
-    """Why a record (claim, source_quote, type, strength, source) fails verification; null if it does not. ``plain`` is the normalised source where it is at hand."""
-    c = {k: F.col(k) for k in (*FIELDS, "source")}
+def reason(plain: Column | None = None, found: Column | None = None) -> Column:
+    """Why a record (claim, source_quote, type, strength, source) fails verification; null if it does not.
+
+    ``plain`` is the normalised source where it is at hand; ``found`` says
+    whether the source holds the quote where that is known already.
+    """
+    c = {k: F.col(k) for k in FIELDS}
+    held = found if found is not None else F.contains(tx.normalise_claim(F.col("source")) if plain is None else plain, tx.normalise_claim(tx.strip(c["source_quote"])))
     quote = tx.strip(c["source_quote"])
     kind, strength = (tx.lower(tx.strip(c[k])) for k in ("type", "strength"))
     missing = F.array_join(F.array_except(tx.numbers(c["claim"]), tx.numbers(quote)), ", ")
@@ -74,7 +80,7 @@ def reason(plain: Column | None = None) -> Column:
         .when(F.char_length(quote) < v.MIN_QUOTE_CHARS, "quote too short")
         .when(~F.is_valid_utf8(quote), "quote is not valid UTF-8")
         .when(F.contains(quote, F.lit("�")), "quote contains a replacement character")
-        .when(~F.contains(tx.normalise_claim(c["source"]) if plain is None else plain, tx.normalise_claim(quote)), "quote not found in source")
+        .when(~held, "quote not found in source")
         .when(F.regexp_like(quote, F.lit(rf"(?iu)(?:,|;|(?<![0-9A-Za-z_])(?:{DANGLING})(?![0-9A-Za-z_]))[{SP}]*\z")), "quote is a truncated fragment")
         .when((kind != "") & ~kind.isin(v.CLAIM_TYPES), F.concat(F.lit("invalid TYPE '"), kind, F.lit("'")))
         .when((strength != "") & ~strength.isin(v.STRENGTHS), F.concat(F.lit("invalid STRENGTH '"), strength, F.lit("'")))
@@ -138,10 +144,27 @@ def resume(sections: DataFrame) -> DataFrame:
     return verify(parse(sections.withColumn("raw", text)))
 
 
+def resume_against(saved: DataFrame, sources: DataFrame) -> DataFrame:
+    """Records of saved ledgers (section_id, raw) with the reasons that speak against them, held against sources (section_id, source) as they are now.
+
+    All quotes of a source are looked up in one pass over it, and no record
+    carries the source along. A ledger without a source has no rows.
+    """
+    at = F.instr("raw", "CLAIM:")
+    text = F.when(at > 0, F.substring(F.col("raw"), at, F.lit(1 << 30))).otherwise(F.lit(""))
+    current = sources.select("section_id", tx.normalise_claim(tx.text("source")).alias("plain"))
+    there = saved.join(current.select("section_id").distinct(), "section_id", "left_semi")
+    records = parse(there.select("section_id", text.alias("raw"), F.lit("").alias("source"))).drop("source", "plain")
+    records = records.withColumn("quote", tx.normalise_claim(tx.strip(F.col("source_quote"))))
+    held = quotes_found(current, records, "section_id").withColumn("held", F.lit(True))
+    known = records.join(held, ["section_id", "quote"], "left")
+    return known.withColumn("reason", reason(found=F.coalesce("held", F.lit(False)))).drop("held", "quote")
+
+
 def _resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledgers = render_ledger(verify(_records(spark, sf_dir))).join(inputs.extractions(spark, sf_dir).drop("raw"), "section_id")
     changed = F.when(F.col("section_id") % 3 == 0, F.lit("another source")).otherwise(F.col("source"))
-    kept = resume(ledgers.select("section_id", F.col("ledger").alias("raw"), changed.alias("source")))
+    kept = resume_against(ledgers.select("section_id", F.col("ledger").alias("raw")), ledgers.select("section_id", changed.alias("source")))
     return kept.groupBy("section_id").agg(F.count_if(F.col("reason").isNull()).alias("kept"), F.count_if(F.col("reason").isNotNull()).alias("dropped"))
 
 

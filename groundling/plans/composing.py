@@ -31,7 +31,7 @@ def extract_claims(sections: DataFrame, generators: list[gen.Generator]) -> tupl
 def resume_claims(sections: DataFrame, saved: DataFrame) -> DataFrame:
     """Checked records of saved ledgers (source_id, raw), held against all sections of their source as they are now."""
     corpus = sections.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "body"))), lambda x: x["body"]), "\n\n").alias("source"))
-    again = cl.resume(saved.join(corpus, "source_id").select(F.col("source_id").alias("section_id"), "raw", "source"))
+    again = cl.resume_against(saved.select(F.col("source_id").alias("section_id"), "raw"), corpus.select(F.col("source_id").alias("section_id"), "source"))
     return again.select(F.col("section_id").alias("source_id"), F.lit(0).alias("section"), "ord", *cl.FIELDS, "reason")
 
 
