@@ -34,7 +34,9 @@ from groundling.llm import textkernel as tk
 from groundling.llm.lm_scoring import _cut, _planes, _sorted_blob, _sorted_keys, _values, levels
 from groundling.session import discard, materialise
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
+#: Blocks whose counts are added before they are shuffled.
+BLOCKS_PER_TASK = 16
 #: Blocks that meet at one range of a level.
 FAN_OUT = 256
 #: Phrases to each range of the last level.
@@ -133,15 +135,16 @@ class Phrases:
         piece = np.cumsum(raw == 0x0A, dtype=np.int32)[start] if len(raw) else np.zeros(0, np.int32)
         named = np.frombuffer(lang.encode() + b" ", np.uint8)
         seed = tk.hash_spans(named, np.array([0]), np.array([len(named)]))[0]
-        keys, first, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int8)]
+        hash_, first, size, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int8)], [np.zeros(0, np.int32)]
         for k in range(1, most + 1):
             n = len(hashes) - k + 1
-            whole = np.flatnonzero(piece[:n] == piece[k - 1 :]) if n > 0 else np.zeros(0, np.int64)
-            keys.append(tk.combine([np.full(len(whole), seed), *(hashes[whole + j] for j in range(k))]))
-            first.append(whole.astype(np.int32))
-            size.append(np.full(len(whole), k, np.int8))
-        self.hashes, some, self.counts = np.unique(np.concatenate(keys), return_index=True, return_counts=True)
-        self.first, self.size = np.concatenate(first)[some], np.concatenate(size)[some]
+            whole = np.flatnonzero(piece[:n] == piece[k - 1 :]).astype(np.int32) if n > 0 else np.zeros(0, np.int32)
+            own, some, often = np.unique(tk.combine([np.full(len(whole), seed), *(hashes[whole + j] for j in range(k))]), return_index=True, return_counts=True)
+            for out, column in zip((hash_, first, size, counts), (own, whole[some], np.full(len(own), k, np.int8), often.astype(np.int32)), strict=True):
+                out.append(column)
+        joined = np.concatenate(hash_)
+        order = np.argsort(joined)
+        self.hashes, self.first, self.size, self.counts = joined[order], *(np.concatenate(x)[order] for x in (first, size, counts))
         self._start, self._end = start, end
 
     def cells(self, mask: int) -> tuple[np.ndarray, np.ndarray]:
@@ -289,7 +292,8 @@ def phrase_counts(docs: DataFrame, lang: str | Column = "lang", most: int = 3, l
             phrases = Phrases(text, row["lang"], most)
             cells, at = phrases.cells(mask)
             rows = np.flatnonzero(_flags(right, cells, ranges)[at])
-            names = phrases.strings(text, rows)
+            names = sorted(phrases.strings(text, rows))  # what is alike lies together in the shuffle
+            del phrases, cells, at, rows
             if names:
                 automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
                 for k, name in enumerate(names):
@@ -300,7 +304,7 @@ def phrase_counts(docs: DataFrame, lang: str | Column = "lang", most: int = 3, l
                 named = [f"{name}\n{row['lang']}" for name in names]
         return pa.table({"key": pa.array(named, pa.string()), "a": pa.array(n, pa.int64())})
 
-    tasks = max(1, min(n_blocks, MOST_PARTITIONS))
+    tasks = max(1, min(-(-n_blocks // BLOCKS_PER_TASK), MOST_PARTITIONS))
     texts, answers = stored.select("block", "lang", "text").repartition(tasks, "block"), flags.select(F.col("child").alias("block"), "range", "flags").repartition(tasks, "block")
     local = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(count, "key string, a long")
     summed = local.groupBy("key").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
