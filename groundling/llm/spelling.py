@@ -26,14 +26,16 @@ RUN = "[A-Za-zÀ-ÿ]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def spelled_words(docs: DataFrame, every: int = 97, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Every run of letters of every whole text, one row each (``word``); of one in ``every`` runs a character is missing.
+def spelled_words(docs: DataFrame, every: int = 97, text_col: str = "text", id_col: str = "doc_id", shortest: int = 1) -> DataFrame:
+    """Every run of ``shortest`` letters or more of every whole text, one row each (``word``); of one in ``every`` runs a character is missing.
 
     Which ones, and which character, follows from the crc32 of id and run. A
     null id is an empty one; a null text has no runs.
     """
+    # a match begins where its run begins, so it is the whole run
+    pattern = RUN.removesuffix("+") + f"{{{shortest},}}"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    runs = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.explode(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(RUN), F.lit(0))).alias("run"))
+    runs = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.explode(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(pattern), F.lit(0))).alias("run"))
     hashed = runs.withColumn("h", F.crc32(F.concat("id", F.lit(":"), "run")))
     at = F.pmod("h", F.char_length("run")).cast("int")
     shorter = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))
@@ -105,7 +107,7 @@ def spelling_variants(docs: DataFrame, shortest: int = 5, least: int = 3, every:
     Rows that repeat count each; other columns are ignored; a table without
     words has no rows.
     """
-    return spelling_groups(word_counts(spelled_words(docs, every, text_col, id_col), shortest, least), ratio)
+    return spelling_groups(word_counts(spelled_words(docs, every, text_col, id_col, shortest), shortest, least), ratio)
 
 
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
