@@ -9,18 +9,21 @@ limited: a bigram that the edit leaves alone stands either before the edit,
 at the same distance from the beginning and with the same text before it, or
 after the edit, at the same distance from the end and with the same text
 behind it. That text is part of the key, which keeps apart words that share
-no more than a bigram, and Spark's edit distance verifies what meets.
+no more than a bigram. Of words that meet, those without an equal half differ
+by more than one edit; Spark's edit distance verifies the rest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundling.session import discard, materialise
 
 #: Bigrams that are joined: two that an edit may change, and one.
 PREFIX = 3
+#: Hashes that keep most words which share a key from the edit distance, see :func:`_halves`.
+HALVES = ["head", "tail", "shorter_head", "shorter_tail"]
 #: Fixed values of the query: runs of these characters are words, and only A-Z fold to lower case.
 RUN = "[A-Za-zÀ-ÿ]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,6 +50,19 @@ def word_counts(words: DataFrame, shortest: int = 5, least: int = 3) -> DataFram
     return words.where(F.char_length("word") >= shortest).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def _halves() -> list[Column]:
+    """Hashes of a word's two halves, and of the two halves that are left of it without the character between them.
+
+    An edit leaves one half of a word alone: of two words of one length either
+    the first or the second halves are equal, and where one word is longer,
+    either half of the shorter one is the same half of the longer one without
+    the middle character (the first of its second half).
+    """
+    size = F.col("size")
+    half, less = F.floor(size / 2), F.floor((size - 1) / 2)
+    return [F.hash(part).alias(name) for name, part in zip(HALVES, (F.left("word", half), F.right("word", size - half), F.left("word", less), F.right("word", size - 1 - less)), strict=True)]
+
+
 def _keys(counts: DataFrame) -> DataFrame:
     """Two rows for each of a word's three rarest bigrams: key (side, and the text up to its end or from its start), word, n, size."""
     size = F.char_length("word")
@@ -55,19 +71,20 @@ def _keys(counts: DataFrame) -> DataFrame:
     often = grams.groupBy("gram").agg(F.count("*").alias("often"))
     placed = grams.join(often, "gram")
     rarest = F.slice(F.array_sort(F.collect_list(F.struct("often", "gram", "at"))), 1, PREFIX)  # of the bigrams of one word
-    chosen = placed.groupBy("word", "n", "size").agg(rarest.alias("rarest")).select("word", "n", "size", F.explode("rarest.at").alias("at"))
+    chosen = placed.groupBy("word", "n", "size").agg(rarest.alias("rarest")).select("word", "n", "size", *_halves(), F.explode("rarest.at").alias("at"))
     before = F.concat(F.lit("<"), F.substring("word", F.lit(1), F.col("at") + 1))
     after = F.concat(F.lit(">"), F.substring("word", F.col("at"), F.col("size")))
-    return chosen.select("word", "n", "size", F.explode(F.array(before, after)).alias("key"))
+    return chosen.select("word", "n", "size", *HALVES, F.explode(F.array(before, after)).alias("key"))
 
 
 def near_words(counts: DataFrame) -> DataFrame:
     """All ordered pairs of words of ``counts`` one edit apart: word, n, near, near_n. Words have two characters or more."""
     keys = materialise(_keys(counts), "spelling-keys")
-    left, right = keys.select("key", "word", "n", "size"), keys.select("key", F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("size").alias("near_size"))
-    longer = (F.col("near_size") - F.col("size")).isin(0, 1)
-    once = (F.col("size") < F.col("near_size")) | (F.col("word") < F.col("near"))
-    met = left.join(right, "key").where(longer & once & (F.levenshtein("word", "near", 1) == 1))
+    left = keys.select("key", "word", "n", "size", "head", "tail")
+    right = keys.select("key", F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("size").alias("near_size"), *(F.col(c).alias(f"near_{c}") for c in HALVES))
+    replaced = (F.col("near_size") == F.col("size")) & ((F.col("head") == F.col("near_head")) | (F.col("tail") == F.col("near_tail"))) & (F.col("word") < F.col("near"))
+    longer = (F.col("near_size") == F.col("size") + 1) & ((F.col("head") == F.col("near_shorter_head")) | (F.col("tail") == F.col("near_shorter_tail")))
+    met = left.join(right, "key").where((replaced | longer) & (F.levenshtein("word", "near", 1) == 1))
     pairs = met.select("word", "n", "near", "near_n").distinct()
     turned = pairs.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     return pairs.unionByName(turned)
