@@ -21,6 +21,7 @@ from groundling.session import materialise
 def extract_claims(sections: DataFrame, generators: list[gen.Generator]) -> tuple[DataFrame, DataFrame]:
     """Checked records (source_id, section, ord, fields, reason) of sections (source_id, section, key, body), and (source_id, failed, error) of sources with a section that no generator could read."""
     raw = gen.with_fallback(sections.select("key", prompts.claim_prompt(F.col("body")).alias("prompt")), "key", "extract", generators)
+    raw = materialise(raw, "generated")
     outputs = materialise(sections.join(raw.select("key", F.col("text").alias("raw"), "error"), "key"), "extracted")
     read = outputs.where("error = ''").select(F.struct("source_id", "section").alias("section_id"), F.col("body").alias("source"), "raw")
     checked = cl.verify(cl.parse(read)).select("section_id.*", "ord", *cl.FIELDS, "reason")

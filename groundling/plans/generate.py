@@ -1,7 +1,7 @@
 """The seam where text is generated: any callable on batches of prompts.
 
 The engine ships only a deterministic fake. A generator runs in executors'
-Python workers, one call a batch; what it returns is materialised before any
+Python workers, one call a batch (more where one fails); what it returns is materialised before any
 later stage reads it, since a model may answer differently when asked again.
 """
 
@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from groundling.functions import text as tx
 from groundling.operators import rules
@@ -40,30 +41,62 @@ def fake_generator(kind: str, prompts: list[str]) -> list[str]:
     return out
 
 
-def generate(asked: DataFrame, key: str, kind: str, generator: Generator, first_failure: str = "") -> DataFrame:
-    """(key, text, error) of ``asked`` (key, prompt); a batch that raises gives its rows an error and no text."""
+class Cancelled(Exception):
+    """A generator was stopped by who asked it: its rows fail, and no other generator is asked for them."""
+
+
+def along_chain(kind: str, prompts: list[str], generators: list[Generator], cursor: int = 0) -> tuple[list[tuple[str, str, int]], int]:
+    """((text, error, generator) of each prompt, where the chain stands afterwards), asking from ``cursor`` on.
+
+    A call that fails is halved until the prompt it fails on is alone, so what
+    else it held keeps its answers. That prompt and all after it then go to the
+    next generator, and none goes back. The last generator is never left: its
+    failures are errors of their prompts. :class:`Cancelled` and
+    ``TimeoutError`` fail all prompts of their call and leave the chain where it
+    stands.
+    """
+    out, todo = [("", "", cursor)] * len(prompts), [(0, len(prompts))] if prompts else []
+    while todo:
+        low, high = todo.pop()
+        try:
+            texts = generators[cursor](kind, prompts[low:high])
+            if len(texts) != high - low:
+                raise ValueError(f"{len(texts)} answers to {high - low} prompts")
+            out[low:high] = [(text or "", "", cursor) for text in texts]
+        except Exception as failure:  # noqa: BLE001  a backend may fail in any way; the row says how
+            stopped = isinstance(failure, (Cancelled, TimeoutError))
+            if stopped or (high - low == 1 and cursor == len(generators) - 1):
+                out[low:high] = [("", f"{type(failure).__name__}: {failure}", cursor)] * (high - low)
+            elif high - low > 1:
+                todo += [((low + high) // 2, high), (low, (low + high) // 2)]
+            else:
+                cursor, todo = cursor + 1, [(low, len(prompts))]  # all before it is answered, all after it is not
+    return out, cursor
+
+
+def with_fallback(asked: DataFrame, key: str, kind: str, generators: list[Generator]) -> DataFrame:
+    """(key, text, error, generator) of ``asked`` (key, prompt) in one pass, see :func:`along_chain`; a partition's chain stands across its batches.
+
+    A null prompt is an empty one. A task that runs again starts its chain anew.
+    """
+    if not generators:
+        raise ValueError("no generator is given")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cursor = 0
         for batch in batches:
-            try:
-                texts, error = generator(kind, batch["prompt"].tolist()), first_failure
-            except Exception as failure:  # noqa: BLE001  a backend may fail in any way; the row says how
-                texts, error = [""] * len(batch), f"{type(failure).__name__}: {failure}"
-            yield pd.DataFrame({key: batch[key], "text": texts, "error": error})
+            rows, cursor = along_chain(kind, batch["prompt"].tolist(), generators, cursor)
+            texts, errors, which = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pd.DataFrame({key: batch[key], "text": list(texts), "error": list(errors), "generator": list(which)})
 
-    kept = asked.select(key, "prompt")
-    return kept.mapInPandas(run, f"{kept.schema[key].simpleString()}, text string, error string".replace(f"{key}:", f"{key} "))
+    kept = asked.select(key, F.coalesce(F.col("prompt"), F.lit("")).alias("prompt"))
+    schema = StructType([kept.schema[key], StructField("text", StringType()), StructField("error", StringType()), StructField("generator", IntegerType())])
+    return kept.mapInPandas(run, schema)
 
 
-def with_fallback(asked: DataFrame, key: str, kind: str, generators: list[Generator]) -> DataFrame:
-    """(key, text, error) by the first generator that does not fail, row by row: later ones see only what is left."""
-    done, left = None, asked
-    for generator in generators:
-        tried = materialise(generate(left, key, kind, generator), "generated")
-        good = tried.where("error = ''")
-        done = good if done is None else done.unionByName(good)
-        left = left.join(tried.where("error != ''").select(key), key, "left_semi")
-    return done.unionByName(tried.where("error != ''"))
+def generate(asked: DataFrame, key: str, kind: str, generator: Generator) -> DataFrame:
+    """(key, text, error) of ``asked`` (key, prompt); a prompt that the generator fails on has an error and no text."""
+    return with_fallback(asked, key, kind, [generator]).drop("generator")
 
 
 def continue_until_closed(texts: DataFrame, key: str, generator: Generator, repair: Callable[[Column], Column], rounds: int = 3) -> DataFrame:

@@ -171,6 +171,56 @@ def test_generators(spark):
     assert rows[1]["verified"] == 1 and rows[1]["article"].startswith("# Report") and "article is" in rows[1]["house"] and rows[2]["sections"] == 0
 
 
+def test_chain_of_generators():
+    calls = []
+
+    def script(name, bad=(), failure=RuntimeError):
+        def ask(kind, prompts):
+            calls.append((name, list(prompts)))
+            if set(prompts) & set(bad):
+                raise failure("no")
+            return [f"{name}:{p}" for p in prompts]
+
+        return ask
+
+    # the first stops at c, and what follows never sees it again, in this batch or the next
+    chain = [script("x", "c"), script("y", "e")]
+    rows, cursor = gen.along_chain("extract", list("abcdef"), chain)
+    assert [r[0] for r in rows] == ["x:a", "x:b", "y:c", "y:d", "", "y:f"] and cursor == 1
+    assert [(r[1], r[2]) for r in rows] == [("", 0), ("", 0), ("", 1), ("", 1), ("RuntimeError: no", 1), ("", 1)]
+    calls.clear()
+    rows, cursor = gen.along_chain("extract", ["g"], chain, cursor)
+    assert rows == [("y:g", "", 1)] and [c[0] for c in calls] == ["y"]
+    # who cancels or runs out of time is not sent on, nor asked again
+    for stop in (gen.Cancelled, TimeoutError):
+        calls.clear()
+        rows, cursor = gen.along_chain("extract", list("ab"), [script("x", "b", stop), script("y")])
+        assert cursor == 0 and calls == [("x", ["a", "b"])] and [r[1] for r in rows] == [f"{stop.__name__}: no"] * 2
+    # answers that do not match their prompts are a failure; nothing asked is nothing answered
+    assert gen.along_chain("extract", list("ab"), [lambda k, p: ["one"] if len(p) > 1 else p])[0] == [("a", "", 0), ("b", "", 0)]
+    assert gen.along_chain("extract", [], chain) == ([], 0)
+
+
+def test_chain_stands_across_batches(spark):
+    def dead(kind, prompts):
+        raise RuntimeError("offline")
+
+    def picky(kind, prompts):
+        if any(p == "p7" for p in prompts):
+            raise RuntimeError("p7")
+        return [p.upper() for p in prompts]
+
+    asked = spark.range(40).select(F.col("id").alias("key"), F.when(F.col("id") != 9, F.format_string("p%d", "id")).alias("prompt")).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
+    try:
+        rows = {r["key"]: r for r in gen.with_fallback(asked, "key", "extract", [dead, picky]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == 40 and {r["generator"] for r in rows.values()} == {1}
+    assert {k: r["error"] for k, r in rows.items() if r["error"]} == {7: "RuntimeError: p7"}
+    assert rows[8]["text"] == "P8" and rows[9]["text"] == "" and gen.with_fallback(asked.limit(0), "key", "extract", [dead]).count() == 0
+
+
 def test_stems_are_free(spark):
     rows = [(1, "a"), (2, "a"), (3, "a-2"), (4, "a"), (5, "a-2"), (6, "a-2-2"), (7, "b"), (8, "a-02"), (9, "a"), (10, "a-4")]
     frame = spark.createDataFrame(rows, "article_id int, base string")
