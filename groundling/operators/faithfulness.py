@@ -185,7 +185,7 @@ def sql_errors(source: str, name: str) -> str:
     return rf"""{name} as (with {own}{_METRIC}, {_PARAS}
         select a.article_id, list_concat(coalesce(m.x, []), case when {_CLOSED} then ['article appears truncated (does not end on sentence punctuation)'] else [] end, coalesce(d.x, [])) as f from articles a
         left join (select article_id, list('uses metric term ''' || term || ''' that appears in no claim (possible conversion)' order by pos) x from conversions group by 1) m using (article_id)
-        left join (select article_id, case when count(*) <= 2 then list('near-duplicate paragraph (>= 80% overlap with an earlier one): "' || replace(replace(snippet, '\', '\'), '"', '\"') || '"...' order by pos)
+        left join (select article_id, case when count(*) <= 2 then list('near-duplicate paragraph (>= 80% overlap with an earlier one): "' || replace(replace(snippet, '\', '\\'), '"', '\"') || '"...' order by pos)
             else [count(*) || ' paragraphs nearly duplicate earlier ones (>= 80% overlap); give each section distinct content'] end x from dup_rows group by 1) d using (article_id))"""
 
 

@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from groundling.functions import text as tx
 from groundling.functions import vocabulary as v
 from groundling.functions.text import WS
-from groundling.operators.normalise import strip_sql
+from groundling.operators.normalise import strip_sql, words_sql
+from groundling.operators.ranking import ranked
 from groundling.plans import inputs
 
 SOURCE_BYTES, ARTICLE_BYTES = 256 << 20, 32 << 20
@@ -100,28 +101,33 @@ def config_clamp(name: Column, raw: Column, settings: dict[str, tuple[int, int,
 def unique_stems(articles: DataFrame, base: Column, taken: DataFrame | None = None) -> DataFrame:
     """(article_id, stem): file stems that are all different, and none of ``taken`` (stem).
 
-    In the order of article_id, the first of a base has the base itself and
-    each later one the least number from 2 on that makes a free stem. A stem is
-    free if nobody took it and it is no article's base: a base always belongs
-    to the first article that has it. Only numbers that are bases themselves or
-    taken are skipped, so the tables meet on the numbered name and no loop runs.
+    In the order of article_id (distinct), the first of a base has the base
+    itself and each later one the least number from 2 on that makes a free stem.
+    A stem is free if nobody took it and it is no article's base: a base always
+    belongs to the first article that has it. A null base is an empty one. Only
+    numbers that are bases themselves or taken are skipped, so the tables meet
+    on the numbered name and no loop runs. Articles and skipped numbers of a
+    base are ranked over slices (see :mod:`groundling.operators.ranking`), and
+    of skipped numbers in a row only the last counts.
     """
-    rows = articles.select("article_id", base.alias("base"))
+    rows = articles.select("article_id", F.coalesce(base, F.lit("")).alias("base"))
     names = rows.select(F.col("base").alias("name")).distinct()
     held = names if taken is None else names.unionByName(taken.select(F.col("stem").alias("name"))).distinct()
     # the numbers of a base that are held, and how many free ones stand before each
-    parts = held.select(F.regexp_extract("name", r"(?s)\A(.*)-([1-9][0-9]{0,8})\z", 1).alias("base"), F.regexp_extract("name", r"(?s)\A(.*)-([1-9][0-9]{0,8})\z", 2).try_cast("int").alias("k"))
-    used = parts.where("k >= 2").join(names.select(F.col("name").alias("base")), "base", "left_semi")
-    skips = used.groupBy("base").agg(F.array_sort(F.collect_set("k")).alias("used"))
-    own = F.lit(0) if taken is None else F.when(F.col("gone").isNotNull(), 1).otherwise(0)
-    nth = F.row_number().over(Window.partitionBy("base").orderBy("article_id"))
-    numbered = rows.withColumn("n", nth).join(skips, "base", "left")
+    numbered = r"(?s)\A(.*)-([1-9][0-9]{0,8})\z"
+    parts = held.select(F.regexp_extract("name", numbered, 1).alias("base"), F.regexp_extract("name", numbered, 2).try_cast("int").alias("k"))
+    used = ranked(parts.where("k >= 2").join(names.select(F.col("name").alias("base")), "base", "left_semi"), "base", "k", "at")
+    runs = used.groupBy("base", (F.col("k") - 1 - F.col("at")).alias("free")).agg(F.max("at").alias("at"))
+    skips = runs.groupBy("base").agg(F.collect_list(F.struct("free", "at")).alias("runs"))
+    wanted = ranked(rows, "base", "article_id", "n").join(skips, "base", "left")
+    own = F.lit(0)
     if taken is not None:
-        numbered = numbered.join(taken.select(F.col("stem").alias("base"), F.lit(True).alias("gone")).distinct(), "base", "left")
-    # the n-th free number from 2 on: each held one up to it moves it by one
+        wanted = wanted.join(taken.select(F.col("stem").alias("base"), F.lit(True).alias("gone")).distinct(), "base", "left")
+        own = F.when(F.col("gone").isNotNull(), 1).otherwise(0)
     want = F.col("n") + own
-    free = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), want, lambda at, k: F.when(k <= at, at + 1).otherwise(at))
-    return numbered.select("article_id", F.when(want == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), free.cast("string"))).alias("stem"))
+    # the free number that has want - 2 free ones before it: behind it lie the held numbers with fewer
+    behind = F.coalesce(F.array_max(F.transform(F.filter("runs", lambda r: r["free"] < want - 1), lambda r: r["at"])), F.lit(0))
+    return wanted.select("article_id", F.when(want == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), (want + behind).cast("string"))).alias("stem"))
 
 
 def size_cap(text: Column, limit: int) -> tuple[Column, Column]:
@@ -154,12 +160,26 @@ def summary_lines(jobs: DataFrame) -> DataFrame:
     return jobs.select("job_id", F.to_json(F.struct("source", some("words", 0), "ok", some("error", ""), F.when(F.size("warnings") > 0, F.col("warnings")).alias("warnings"), some("duration_ms", 0))).alias("line"))
 
 
-def _literal(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    quote = lambda x: "'" + x.replace("'", "\\'") + "'" if isinstance(x, str) else str(x)
-    return spark.sql(f"select * from values {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)} as t({names})")
+def attested_forms(docs: DataFrame, text: Column) -> DataFrame:
+    """(word, n, kind, form, found) of all words of ASCII letters: each form of each word, and how often the texts have it."""
+    runs = docs.select(F.explode(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))).alias("run"))
+    words = runs.groupBy(F.lower("run").alias("word")).agg(F.count("*").alias("n"))
+    every = words.select("word", "n", F.explode(F.array(*map(F.lit, v.KINDS))).alias("kind")).withColumn("form", inflect(F.col("word"), F.col("kind")))
+    return every.join(words.select(F.col("word").alias("form"), F.col("n").alias("found")), "form", "left").select("word", "n", "kind", "form", F.coalesce("found", F.lit(0)).alias("found"))
+
+
+def metric_names(articles: DataFrame) -> DataFrame:
+    """(article_id, term, forms): the metrics that articles (article_id, md) name, and the names of the same metric."""
+    low = articles.select("article_id", tx.lower(tx.collapse(tx.text("md"))).alias("low"))
+    used = lambda t: F.contains("low", F.lit(t)) if " " in t or "-" in t else F.regexp_like("low", F.lit(tx.bounded(tx.quoted(t))))
+    terms = [F.when(used(t), F.struct(F.lit(t).alias("term"), F.lit("|".join(v.metric_forms(t))).alias("forms"))) for t in v.METRIC_TERMS]
+    return low.select("article_id", F.inline(F.array_compact(F.array(*terms))))
+
+
+def _stops(s: SparkSession, d: str) -> DataFrame:
+    return inputs.documents(s, d).select("doc_id", F.regexp_count(tx.text("text"), F.lit("[.]")).alias("claims"))
 
 
-_WORDS = sorted({*v.BANNED_WORDS, *v.REPLACEMENTS.values(), *v.ASSERTIVE_VERBS, *v.CLAIM_TYPES})
 _RAW = "case {id} % 7 when 0 then '' when 1 then ' 12x' when 2 then '-5' when 3 then ' 100 ' when 4 then '2000000' when 5 then '7' else '1024' end"
 _NAMES = list(SETTINGS)
 #: Stems of which some look like others' numbered ones.
@@ -182,13 +202,13 @@ def _jobs(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "write_budget": lambda s, d: inputs.documents(s, d).select("doc_id", *(c.alias(n) for n, c in zip(("least", "most"), write_budget(F.col("doc_id") % 60), strict=True))),
-    "token_budget": lambda s, d: inputs.documents(s, d).select("doc_id", token_budget(write_budget(F.col("doc_id") % 60)[1], 4096).alias("tokens")),
+    "write_budget": lambda s, d: _stops(s, d).select("doc_id", *(c.alias(n) for n, c in zip(("least", "most"), write_budget(F.col("claims")), strict=True))),
+    "token_budget": lambda s, d: _stops(s, d).select("doc_id", token_budget(write_budget(F.col("claims"))[1], 4096).alias("tokens")),
     "looks_truncated": lambda s, d: inputs.articles(s, d).select("article_id", looks_truncated(F.col("article_id") % 5 == 0, tx.text("md")).alias("value")),
     "running_eta": lambda s, d: running_eta(_events(s, d).select(F.col("user_id").alias("job"), F.col("event_id").alias("at"), F.round("value").alias("seconds"))),
     "phase_timings": lambda s, d: phase_timings(_events(s, d).select(F.col("user_id").alias("job"), F.col("event_id").alias("at"), "ts", F.when(F.col("event_type").isin("view", "click", "signup"), "running").when(F.col("event_type") == "error", "failed").otherwise("done").alias("status"))),
     "ledger_name": lambda s, d: inputs.documents(s, d).select("doc_id", ledger_name(F.to_date(F.lit("2024-03-09")), F.slice(F.array(F.concat(F.lit("/in/My Paper."), F.coalesce("lang", F.lit("")), F.lit(".pdf")), F.lit("b.txt"), F.lit("c.md")), F.lit(1), (F.col("doc_id") % 4).cast("int"))).alias("name")),
-    "progress_score": lambda s, d: inputs.articles(s, d).select("article_id", progress_score(F.when(F.col("article_id") % 7 == 0, F.lit(" \n")).otherwise(F.left("md", (F.col("article_id") * 13 % 900).cast("int")))).alias("score")),
+    "progress_score": lambda s, d: inputs.articles(s, d).select("article_id", "md", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("part")).select("article_id", "part", progress_score(F.left("md", F.floor(F.char_length("md") * F.col("part") / 4).cast("int"))).alias("score")),
     "tail_preview": lambda s, d: inputs.articles(s, d).select("article_id", tail_preview(F.when(F.col("article_id") % 2 == 0, F.translate("md", "\n", " ")).otherwise(F.col("md"))).alias("preview")).withColumn("words", F.size(F.filter(F.split("preview", rf"[{WS}]+"), lambda w: w != "")).cast("long")),
     "config_clamp": lambda s, d: _events(s, d).select("event_id", *(c.alias(n) for n, c in zip(("value", "warning"), config_clamp(F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("event_id") % 5 + 1).cast("int")), F.expr(_RAW.format(id="event_id"))), strict=True))),
     "unique_stem": lambda s, d: unique_stems(inputs.documents(s, d).withColumnRenamed("doc_id", "article_id"), F.concat(F.lit("2024-03-09-"), F.expr(_BASE.replace("doc_id", "article_id")))),
@@ -196,22 +216,22 @@ QUERIES = {
     "style_samples": lambda s, d: style_samples(inputs.articles(s, d).select(F.format_string("%d.md", "article_id").alias("name"), F.col("article_id").alias("modified"), F.col("md").alias("text"))),
     "merge_sources": lambda s, d: inputs.documents(s, d).groupBy(F.col("source").alias("job")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("sources")),
     "job_summary": lambda s, d: summary_lines(_jobs(s, d)),
-    "inflect_forms": lambda s, d: _literal(s, [(w, k) for w in _WORDS for k in v.KINDS], "word, kind").select("word", "kind", inflect(F.col("word"), F.col("kind")).alias("form")),
-    "metric_forms": lambda s, d: _literal(s, [(t, "|".join(v.metric_forms(t))) for t in v.METRIC_TERMS], "term, forms"),
+    "inflect_forms": lambda s, d: attested_forms(inputs.documents(s, d), tx.text("text")),
+    "metric_forms": lambda s, d: metric_names(inputs.articles(s, d)),
 }
 
-_TARGET = "least(350 + 110 * (doc_id % 60), 3000)"
+_STOPS = "(select doc_id, len(regexp_extract_all(coalesce(text, ''), '[.]')) as c from documents)"
+_TARGET = "least(350 + 110 * c, 3000)"
 _LEAST = f"greatest({_TARGET} * 3 // 4, 500)"
 _MOST = f"greatest({_TARGET}, {_LEAST} + 150)"
 _SECONDS = "floor(left_)::bigint"
-_PIECE = "case when article_id % 7 = 0 then ' ' || chr(10) else left(md, article_id * 13 % 900) end"
 _TAILED = "case when article_id % 2 = 0 then replace(md, chr(10), ' ') else md end"
 _LAST = "coalesce(" + ", ".join(f"try(decode(encode(t)[-{8192 - k}:]))" for k in range(4)) + ")"
 _SETTING_ROWS = ", ".join(f"({k}, '{n}', {s[0]}, {s[1]}, {s[2]})" for k, (n, s) in enumerate(SETTINGS.items()))
-_KIND_ROWS = ", ".join(f"('{w}', '{k}')" for w in (x.replace("'", "''") for x in _WORDS) for k in v.KINDS)
+_METRIC_ROWS = ", ".join(f"('{t}', {str(' ' in t or '-' in t).lower()}, '{'|'.join(v.metric_forms(t))}')" for t in v.METRIC_TERMS)
 ORACLE_SQL = {
-    "write_budget": f"select doc_id, {_LEAST} as least, {_MOST} as most from documents",
-    "token_budget": f"select doc_id, least({_MOST} * 18 // 10 + 400, 4096) as tokens from documents",
+    "write_budget": f"select doc_id, {_LEAST} as least, {_MOST} as most from {_STOPS}",
+    "token_budget": f"select doc_id, least({_MOST} * 18 // 10 + 400, 4096) as tokens from {_STOPS}",
     "looks_truncated": rf"with {inputs.ARTICLES_SQL}, t as (select article_id, regexp_replace(md, '[ \t\r\n]+$', '') x from articles) select article_id, article_id % 5 = 0 or (x <> '' and not ends_with(x, '---') and not contains('.!?)]”’…»' || chr(34) || chr(39), right(x, 1))) as value from t",
     "running_eta": f"""with c as (select user_id as job, row_number() over w as done, (count(*) over (partition by user_id) - row_number() over w) * avg(round(value)) over (partition by user_id order by event_id rows between unbounded preceding and current row) as left_
         from events window w as (partition by user_id order by event_id))
@@ -222,8 +242,8 @@ ORACLE_SQL = {
         select p.job, p.at_ as "at", p.status, (epoch_us(p.ts) - epoch_us(x.ts)) // 1000 as millis from p join e x on x.job = p.job and x.at_ = p.s where p.status <> 'running' and (p.f is null or p.s > p.f)""",
     "ledger_name": """select doc_id, '2024-03-09-' || case doc_id % 4 when 0 then 'sources' else trim(regexp_replace(lower('My Paper.' || coalesce(lang, '')), '[^a-z0-9]+', '-', 'g'), '-') end
         || case when doc_id % 4 > 1 then '-plus-' || (doc_id % 4 - 1) else '' end || '-verified-claim-ledger.md' as name from documents""",
-    "progress_score": f"""with {inputs.ARTICLES_SQL}, p as (select article_id, {_PIECE} as t from articles)
-        select article_id, case when {strip_sql("t")} = '' then 0.05 else least(0.94, case when contains(t, 'Executive Summary') then 0.62 when contains(t, '<aside') then 0.46 when contains(t, '# ') then 0.30 else 0.18 end
+    "progress_score": f"""with {inputs.ARTICLES_SQL}, q as (select article_id, md, unnest(range(5))::int as part from articles), p as (select article_id, part, left(md, length(md) * part // 4) as t from q)
+        select article_id, part, case when {strip_sql("t")} = '' then 0.05 else least(0.94, case when contains(t, 'Executive Summary') then 0.62 when contains(t, '<aside') then 0.46 when contains(t, '# ') then 0.30 else 0.18 end
         + 0.08 * least(4, len(string_split(t, chr(10) || '## ')) - 1)) end::double as score from p""",
     "tail_preview": f"""with {inputs.ARTICLES_SQL}, p as (select article_id, {_TAILED} as t from articles),
         q as (select article_id, {strip_sql(f"case when len(string_split(t, chr(10))) > 17 then array_to_string(string_split(t, chr(10))[-17:], chr(10)) when strlen(t) > 8192 then {_LAST} else t end")} as x from p),
@@ -245,11 +265,12 @@ ORACLE_SQL = {
     "job_summary": rf"""with {inputs.ARTICLES_SQL}, j as (select article_id, case when article_id % 6 = 0 then 0 else len(regexp_extract_all(md, '[\p{{L}}\p{{N}}]+')) end as w, article_id * 37 % 900 as ms from articles)
         select article_id as job_id, '{{"source":"paper-' || article_id || '.pdf"' || case when w > 0 then ',"words":' || w else '' end || ',"ok":' || (article_id % 5 <> 0) || case when article_id % 5 = 0 then ',"error":"engine \"x\" failed"' else '' end
         || case when article_id % 3 = 0 then ',"warnings":["fell back","no ledger"]' else '' end || case when ms > 0 then ',"duration_ms":' || ms else '' end || '}}' as line from j""",
-    "inflect_forms": f"""with t(word, kind) as (values {_KIND_ROWS})
-        select word, kind, case kind when 'base' then word when 's' then word || case when right(word, 1) in ('s', 'x', 'z') or right(word, 2) in ('ch', 'sh') then 'es' else 's' end
+    "inflect_forms": f"""with c as (select word, count(*) as n from (select lower(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'))) as word from documents) group by word), t as (select word, n, unnest({v.KINDS}) as kind from c),
+        f as (select word, n, kind, case kind when 'base' then word when 's' then word || case when right(word, 1) in ('s', 'x', 'z') or right(word, 2) in ('ch', 'sh') then 'es' else 's' end
         when 'ed' then case when right(word, 1) = 'e' then word || 'd' else word || 'ed' end when 'ing' then case when right(word, 1) = 'e' then left(word, length(word) - 1) else word end || 'ing'
         else case when right(word, 2) = 'ic' then word || 'ally' when right(word, 2) = 'le' and length(word) > 2 then left(word, length(word) - 1) || 'y'
-        when right(word, 1) = 'y' and length(word) > 1 and not contains('aeiou', substr(word, length(word) - 1, 1)) then left(word, length(word) - 1) || 'ily' else word || 'ly' end end as form from t""",
-    "metric_forms": f"""with g(forms) as (values {", ".join(f"({[*group]})" for group in v.METRIC_GROUPS)}), t as (select unnest({v.METRIC_TERMS}) as term)
-        select term, coalesce(array_to_string(any_value(forms), '|'), term) as forms from t left join g on list_contains(forms, term) group by term""",
+        when right(word, 1) = 'y' and length(word) > 1 and not contains('aeiou', substr(word, length(word) - 1, 1)) then left(word, length(word) - 1) || 'ily' else word || 'ly' end end as form from t)
+        select f.word, f.n, kind, form, coalesce(c.n, 0) as found from f left join c on c.word = form""",
+    "metric_forms": f"""with {inputs.ARTICLES_SQL}, t(term, loose, forms) as (values {_METRIC_ROWS}), lows as (select article_id, lower({words_sql("md")}) as low from articles)
+        select article_id, term, forms from lows join t on case when loose then contains(low, term) else regexp_matches(low, '\\b' || term || '\\b') end""",
 }

@@ -15,7 +15,7 @@ from groundling import registry
 from groundling.functions import cutting
 from groundling.functions import text as tx
 from groundling.operators import metadata as md
-from groundling.operators import running, sections
+from groundling.operators import ranking, running, sections
 from groundling.operators.planning import unique_stems
 from groundling.operators.rules import house_errors
 from groundling.plans import composing
@@ -231,6 +231,31 @@ def test_stems_are_free(spark):
     assert len(set(got.values())) == 10 and not {"a", "a-3", "b-2"} & set(got.values()) and got[7] == "b" and got[1] == "a-5"
 
 
+def test_ranks_of_a_hot_group(spark):
+    rows = spark.range(6000).select(F.col("id"), F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 3 == 0, None).otherwise(F.concat(F.lit("g"), (F.col("id") % 50).cast("string"))).alias("g"), F.lit(1).alias("_x")).orderBy(F.rand(1))
+    got = ranking.ranked(rows, "g", "id", slices=16)
+    nth, seen = {r["id"]: r["nth"] for r in got.collect()}, {}
+    for r in sorted(rows.collect(), key=lambda r: r["id"]):
+        seen[r["g"]] = seen.get(r["g"], 0) + 1
+        assert nth[r["id"]] == seen[r["g"]]
+    assert len(nth) == 6000 and got.columns == ["id", "g", "_x", "nth"] and ranking.ranked(rows.limit(0), "g", "id").count() == 0
+
+
+def test_stems_of_one_title(spark):
+    """Half of all articles have one title whose numbers an earlier run took, in runs and alone."""
+    taken = {"t"} | {f"t-{k}" for k in [*range(2, 900), 905, 907, *range(1200, 1300)]}
+    rows = [(k, "t" if k % 2 else f"t-{k}" if k % 5 == 0 else f"u{k}") for k in range(1, 1001)] + [(2000, None), (2001, "")]
+    got = {r["article_id"]: r["stem"] for r in unique_stems(spark.createDataFrame(rows, "article_id int, base string"), F.col("base"), spark.createDataFrame([(x,) for x in taken], "stem string")).collect()}
+    gone, k, want = taken | {b for _, b in rows}, 2, []
+    for _ in range(500):
+        while f"t-{k}" in gone:
+            k += 1
+        want.append(f"t-{k}")
+        k += 1
+    assert [got[i] for i in range(1, 1001, 2)] == want and len(set(got.values())) == 1002 and not taken & set(got.values())
+    assert (got[2000], got[2001]) in (("", "-2"), ("-2", "")) and got[2000] == ""
+
+
 def test_open_texts_are_continued(spark):
     asked = []
 
