@@ -208,7 +208,7 @@ QUERIES = {
     "running_eta": lambda s, d: running_eta(_events(s, d).select(F.col("user_id").alias("job"), F.col("event_id").alias("at"), F.round("value").alias("seconds"))),
     "phase_timings": lambda s, d: phase_timings(_events(s, d).select(F.col("user_id").alias("job"), F.col("event_id").alias("at"), "ts", F.when(F.col("event_type").isin("view", "click", "signup"), "running").when(F.col("event_type") == "error", "failed").otherwise("done").alias("status"))),
     "ledger_name": lambda s, d: inputs.documents(s, d).select("doc_id", ledger_name(F.to_date(F.lit("2024-03-09")), F.slice(F.array(F.concat(F.lit("/in/My Paper."), F.coalesce("lang", F.lit("")), F.lit(".pdf")), F.lit("b.txt"), F.lit("c.md")), F.lit(1), (F.col("doc_id") % 4).cast("int"))).alias("name")),
-    "progress_score": lambda s, d: inputs.articles(s, d).select("article_id", "md", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("part")).select("article_id", "part", progress_score(F.left("md", F.floor(F.char_length("md") * F.col("part") / 4).cast("int"))).alias("score")),
+    "progress_score": lambda s, d: inputs.articles(s, d).select("article_id", "md", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("part")).select("article_id", "part", progress_score(F.left("md", F.floor(F.char_length("md") * F.col("part") / 4).cast("int"))).alias("score")),
     "tail_preview": lambda s, d: inputs.articles(s, d).select("article_id", tail_preview(F.when(F.col("article_id") % 2 == 0, F.translate("md", "\n", " ")).otherwise(F.col("md"))).alias("preview")).withColumn("words", F.size(F.filter(F.split("preview", rf"[{WS}]+"), lambda w: w != "")).cast("long")),
     "config_clamp": lambda s, d: _events(s, d).select("event_id", *(c.alias(n) for n, c in zip(("value", "warning"), config_clamp(F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("event_id") % 5 + 1).cast("int")), F.expr(_RAW.format(id="event_id"))), strict=True))),
     "unique_stem": lambda s, d: unique_stems(inputs.documents(s, d).withColumnRenamed("doc_id", "article_id"), F.concat(F.lit("2024-03-09-"), F.expr(_BASE.replace("doc_id", "article_id")))),
@@ -242,7 +242,7 @@ ORACLE_SQL = {
         select p.job, p.at_ as "at", p.status, (epoch_us(p.ts) - epoch_us(x.ts)) // 1000 as millis from p join e x on x.job = p.job and x.at_ = p.s where p.status <> 'running' and (p.f is null or p.s > p.f)""",
     "ledger_name": """select doc_id, '2024-03-09-' || case doc_id % 4 when 0 then 'sources' else trim(regexp_replace(lower('My Paper.' || coalesce(lang, '')), '[^a-z0-9]+', '-', 'g'), '-') end
         || case when doc_id % 4 > 1 then '-plus-' || (doc_id % 4 - 1) else '' end || '-verified-claim-ledger.md' as name from documents""",
-    "progress_score": f"""with {inputs.ARTICLES_SQL}, q as (select article_id, md, unnest(range(5))::int as part from articles), p as (select article_id, part, left(md, length(md) * part // 4) as t from q)
+    "progress_score": f"""with {inputs.ARTICLES_SQL}, q as (select article_id, md, unnest(range(5)) as part from articles), p as (select article_id, part, left(md, length(md) * part // 4) as t from q)
         select article_id, part, case when {strip_sql("t")} = '' then 0.05 else least(0.94, case when contains(t, 'Executive Summary') then 0.62 when contains(t, '<aside') then 0.46 when contains(t, '# ') then 0.30 else 0.18 end
         + 0.08 * least(4, len(string_split(t, chr(10) || '## ')) - 1)) end::double as score from p""",
     "tail_preview": f"""with {inputs.ARTICLES_SQL}, p as (select article_id, {_TAILED} as t from articles),
