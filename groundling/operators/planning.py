@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from groundling.functions import text as tx
 from groundling.functions import vocabulary as v
 from groundling.functions.text import WS
+from groundling.functions.wordlists import held
 from groundling.operators.normalise import strip_sql, words_sql
 from groundling.operators.ranking import ranked
 from groundling.plans import inputs
@@ -171,7 +172,8 @@ def attested_forms(docs: DataFrame, text: Column) -> DataFrame:
 def metric_names(articles: DataFrame) -> DataFrame:
     """(article_id, term, forms): the metrics that articles (article_id, md) name, and the names of the same metric."""
     low = articles.select("article_id", tx.lower(tx.collapse(tx.text("md"))).alias("low"))
-    used = lambda t: F.contains("low", F.lit(t)) if " " in t or "-" in t else F.regexp_like("low", F.lit(tx.bounded(tx.quoted(t))))
+    low = low.select("article_id", "low", held(F.col("low"), v.METRIC_TERMS).alias("found"))
+    used = lambda t: F.array_contains("found", t) if " " in t or "-" in t else F.array_contains("found", t) & F.regexp_like("low", F.lit(tx.bounded(tx.quoted(t))))
     terms = [F.when(used(t), F.struct(F.lit(t).alias("term"), F.lit("|".join(v.metric_forms(t))).alias("forms"))) for t in v.METRIC_TERMS]
     return low.select("article_id", F.inline(F.array_compact(F.array(*terms))))
 
