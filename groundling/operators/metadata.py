@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator, Mapping
 from dataclasses import asdict, dataclass, fields
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,10 +81,10 @@ def merge_fields(adjacent: Column, own: Column) -> Column:
 
 def terms(text: Column, most: int = 8) -> Column:
     """The most frequent terms of a text, the first to appear first among equals; counted within the row."""
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        return paragraphs.term_lists(batches, most)
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from paragraphs.term_lists(batches, most)
 
-    return F.pandas_udf(count, "array<string>")(tx.lower(tx.clean_text(text)))
+    return F.arrow_udf(count, "array<string>")(tx.lower(tx.clean_text(text)))
 
 
 def key_terms(texts: DataFrame, key: str, most: int = 8) -> DataFrame:
@@ -118,10 +118,10 @@ def description(body: Column, heading: Column, standfirst: Column) -> Column:
 
 def category(text: Column) -> Column:
     """Finance, Security or AI by the number of their terms, in this order among equals; Technology without any."""
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        return paragraphs.category_names(batches)
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from paragraphs.category_names(batches)
 
-    return F.pandas_udf(count, "string")(tx.lower(F.replace(text, F.lit("ſ"), F.lit("s"))))  # a search without case takes the long s for an s
+    return F.arrow_udf(count, "string")(tx.lower(F.replace(text, F.lit("ſ"), F.lit("s"))))  # a search without case takes the long s for an s
 
 
 def extract_metadata(articles: DataFrame) -> DataFrame:
