@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 
 from groundling.functions.vocabulary import style_passes
 
@@ -35,6 +35,7 @@ def repair(text: str) -> str:
     return text
 
 
-def repair_all(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def repair_all(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """One text at a time becomes a Python string, so a batch of long ones is held once."""
     for batch in texts:
-        yield pd.Series([repair(text) for text in batch], dtype=object)
+        yield pa.array((repair(text.as_py()) for text in batch), pa.string(), size=len(batch))

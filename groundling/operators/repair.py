@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +19,10 @@ ECHO_BYTES = 40
 
 def enforce_style(md: Column) -> Column:
     """Banned phrases (longest first), then every form of the banned words, replaced one after the other."""
-    return F.pandas_udf(styling.repair_all, "string")(md)
+    def repair(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from styling.repair_all(texts)
+
+    return F.arrow_udf(repair, "string")(md)
 
 
 def normalise_article(md: Column) -> Column:
