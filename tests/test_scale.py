@@ -45,7 +45,7 @@ def test_terms_are_found_in_one_pass(spark, name):
 
 @pytest.mark.parametrize("name", ["edit_spans", "apply_edits"])
 def test_answers_are_parsed_once_a_branch(spark, name):
-    assert plan(spark, name).count("parse_json") <= {"edit_spans": 1, "apply_edits": 2}[name]
+    assert plan(spark, name).count("parseJson") <= {"edit_spans": 1, "apply_edits": 2}[name]
 
 
 def test_words_of_a_list(spark):
