@@ -16,8 +16,9 @@ import pyarrow as pa
 from groundling.functions.vocabulary import style_passes
 
 
-#: Letters that a search without case takes for ASCII ones.
-_FOLD = str.maketrans({"ſ": "s", "ı": "i", "İ": "i"})
+def _low(text: str) -> str:
+    """Lower case, with the letters that a search without case takes for ASCII ones."""
+    return text.replace("ſ", "s").replace("ı", "i").replace("İ", "i").lower()
 
 
 @lru_cache(maxsize=1)
@@ -27,11 +28,11 @@ def _passes() -> list[tuple[str, re.Pattern, str]]:
 
 def repair(text: str) -> str:
     """Banned terms replaced, with the case of the first letter kept."""
-    low = text.translate(_FOLD).lower()
+    low = _low(text)
     for term, pattern, to in _passes():
         if term in low:  # a plain search tells most passes that they have nothing to do
             text = pattern.sub(lambda m, to=to: to[0].upper() + to[1:] if m[0][0].isupper() else to, text)
-            low = text.translate(_FOLD).lower()
+            low = _low(text)
     return text
 
 

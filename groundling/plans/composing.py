@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from groundling.functions import text as tx
 from groundling.operators import claims as cl
 from groundling.operators import edits as ed
-from groundling.operators import planning, repair, rules
+from groundling.operators import planning, repair
 from groundling.operators.faithfulness import faithfulness
 from groundling.operators.metadata import split_front
 from groundling.operators.running import saved_review
@@ -18,15 +18,19 @@ from groundling.plans import inputs, prompts
 from groundling.session import materialise
 
 
-def extract_claims(sections: DataFrame, generators: list[gen.Generator]) -> tuple[DataFrame, DataFrame]:
-    """Checked records (source_id, section, ord, fields, reason) of sections (source_id, section, key, body), and (source_id, failed, error) of sources with a section that no generator could read."""
-    raw = gen.with_fallback(sections.select("key", prompts.claim_prompt(F.col("body")).alias("prompt")), "key", "extract", generators)
-    raw = materialise(raw, "generated")
-    outputs = materialise(sections.join(raw.select("key", F.col("text").alias("raw"), "error"), "key"), "extracted")
+def extract_claims(sections: DataFrame, generators: list[gen.Generator]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Checked records (source_id, section, ord, fields, reason) of sections (source_id, section, key, body), (source_id, failed, error) of sources with a section that no generator could read, and the table of all answers (source_id, section, body, raw, error).
+
+    ``sections`` is read once: a section goes past the generator with its prompt and is not joined to the answer.
+    """
+    carried = ("source_id", "section", "body")
+    asked = sections.select("key", prompts.claim_prompt(F.col("body")).alias("prompt"), *carried)
+    answers = gen.with_fallback(asked, "key", "extract", generators, carried)
+    outputs = materialise(answers.select(*carried, F.col("text").alias("raw"), "error"), "extracted")
     read = outputs.where("error = ''").select(F.struct("source_id", "section").alias("section_id"), F.col("body").alias("source"), "raw")
     checked = cl.verify(cl.parse(read)).select("section_id.*", "ord", *cl.FIELDS, "reason")
     first = F.min(F.struct("section", "error"))["error"]
-    return checked, outputs.where("error != ''").groupBy("source_id").agg(F.count("*").alias("failed"), F.concat(F.lit("claim extraction failed: "), first).alias("error"))
+    return checked, outputs.where("error != ''").groupBy("source_id").agg(F.count("*").alias("failed"), F.concat(F.lit("claim extraction failed: "), first).alias("error")), outputs
 
 
 def resume_claims(sections: DataFrame, saved: DataFrame) -> DataFrame:
@@ -51,12 +55,13 @@ def compose_articles(sources: DataFrame, generators: list[gen.Generator], retrie
     kinds = {c: sections.schema[c].dataType for c in ("source_id", "section")}
     again = None
     if saved is not None:
+        sections = materialise(sections, "sections")
         old = materialise(resume_claims(sections, saved), "resumed")
         again = old.where("reason is null").select("source_id").distinct().withColumn("resumed", F.lit(True))
-        checked, failed = extract_claims(sections.join(again, "source_id", "left_anti"), generators)
+        checked, failed, _ = extract_claims(sections.join(again, "source_id", "left_anti"), generators)
         checked = checked.unionByName(old.join(again, "source_id", "left_semi").withColumn("section", F.col("section").cast(kinds["section"])))
     else:
-        checked, failed = extract_claims(sections, generators)
+        checked, failed, sections = extract_claims(sections, generators)  # a row for each section, without cutting again
     checked, failed = materialise(checked, "checked"), materialise(failed, "failed")
     kept = cl.dedupe(checked.where("reason is null"), ["section", "ord"], within=["source_id"])
     numbered = kept.withColumn("ord", F.struct("section", "ord")).withColumnRenamed("source_id", "ledger_id")
@@ -71,12 +76,11 @@ def compose_articles(sources: DataFrame, generators: list[gen.Generator], retrie
         found = faithfulness(texts.select(F.col("source_id").alias("article_id"), F.col("text").alias("md")), claims)
         return found.select(F.col("article_id").alias("source_id"), F.col("errors").alias("facts"), "warnings")
 
-    written = gen.write_until_valid(wanted, "source_id", generators[0], repair.normalise_article, retries, facts=lambda texts: facts(texts).drop("warnings")).withColumnRenamed("errors", "all")
-    written = written.withColumn("house", rules.house_errors(F.col("text")))
+    written = gen.write_until_valid(wanted, "source_id", generators[0], repair.normalise_article, retries, facts=facts).drop("errors")
     counts = sections.groupBy("source_id").agg(F.count("*").alias("sections"))
     dropped = checked.groupBy("source_id").agg(F.count_if(F.col("reason").isNotNull()).alias("dropped"))
     out = sources.select("source_id")
-    for part in (written, facts(written.select("source_id", "text")), counts, dropped, failed, ledger.select("source_id", "verified")):
+    for part in (written, counts, dropped, failed, ledger.select("source_id", "verified")):
         out = out.join(part, "source_id", "left")
     out = out.join(again, "source_id", "left") if again is not None else out.withColumn("resumed", F.lit(False))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

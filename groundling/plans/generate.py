@@ -8,9 +8,9 @@ later stage reads it, since a model may answer differently when asked again.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -30,12 +30,12 @@ def fake_generator(kind: str, prompts: list[str]) -> list[str]:
     out = []
     for prompt in prompts:
         tail = prompt.rpartition("SOURCE\n")[2] if kind == "extract" else prompt.rpartition("CLAIMS\n")[2]
-        mark = hashlib.sha256(f"{kind}\0{prompt}".encode()).hexdigest()[:8]
         if kind == "extract":
-            quote = " ".join(tail.split()[:12])
+            quote = " ".join(tail.split(None, 12)[:12])
             out.append(f'CLAIM: {quote}\nSOURCE_QUOTE: "{quote}"\nTYPE: result\nSTRENGTH: demonstrated\n---' if quote else "NONE")
         else:
             facts = [line.removeprefix("CLAIM: ") for line in tail.splitlines() if line.startswith("CLAIM: ")]
+            mark = hashlib.sha256(f"{kind}\0{prompt}".encode()).hexdigest()[:8]
             body = "\n\n".join(f"## Finding {k + 1}\n\n{fact}." for k, fact in enumerate(facts)) or "## Nothing\n\nNothing was found."
             out.append(f'# Report {mark}\n\n<aside class="post-lead"></aside>\n\n> **Executive Summary**\n> - {len(facts)} facts.\n\n{body}')
     return out
@@ -74,24 +74,27 @@ def along_chain(kind: str, prompts: list[str], generators: list[Generator], curs
     return out, cursor
 
 
-def with_fallback(asked: DataFrame, key: str, kind: str, generators: list[Generator]) -> DataFrame:
+def with_fallback(asked: DataFrame, key: str, kind: str, generators: list[Generator], carry: Sequence[str] = ()) -> DataFrame:
     """(key, text, error, generator) of ``asked`` (key, prompt) in one pass, see :func:`along_chain`; a partition's chain stands across its batches.
 
     A null prompt is an empty one. A task that runs again starts its chain anew.
+    Columns of ``asked`` named by ``carry`` follow, so no join has to bring them back.
     """
     if not generators:
         raise ValueError("no generator is given")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kept = asked.select(key, F.coalesce(F.col("prompt"), F.lit("")).alias("prompt"), *carry)
+    schema = StructType([kept.schema[key], StructField("text", StringType()), StructField("error", StringType()), StructField("generator", IntegerType()), *kept.schema.fields[2:]])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cursor = 0
         for batch in batches:
-            rows, cursor = along_chain(kind, batch["prompt"].tolist(), generators, cursor)
+            rows, cursor = along_chain(kind, batch.column(1).to_pylist(), generators, cursor)
             texts, errors, which = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({key: batch[key], "text": list(texts), "error": list(errors), "generator": list(which)})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(errors, pa.string()), pa.array(which, pa.int32()), *batch.columns[2:]], names)
 
-    kept = asked.select(key, F.coalesce(F.col("prompt"), F.lit("")).alias("prompt"))
-    schema = StructType([kept.schema[key], StructField("text", StringType()), StructField("error", StringType()), StructField("generator", IntegerType())])
-    return kept.mapInPandas(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def generate(asked: DataFrame, key: str, kind: str, generator: Generator) -> DataFrame:
@@ -127,19 +130,22 @@ def continue_until_closed(texts: DataFrame, key: str, generator: Generator, repa
 
 
 def write_until_valid(wanted: DataFrame, key: str, generator: Generator, repair: Callable[[Column], Column], retries: int = 2, rounds: int = 3, facts: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(key, text, errors): articles for prompts (key, prompt), rewritten while they break a rule, ``retries`` times at most; only failing rows are asked again.
+    """(key, text, house, errors): articles for prompts (key, prompt), rewritten while they break a rule, ``retries`` times at most; only failing rows are asked again.
 
     Rules are the house rules and, where given, ``facts``: from (key, text) to
-    (key, facts), an array of further errors.
+    (key, facts, ...), an array of further errors; all its columns are returned
+    as they were found for the text that stays, so no text is checked again.
     """
     done, left = None, wanted
     for turn in range(retries + 1):
         first = materialise(generate(left, key, "write", generator).select(key, repair(tx.text("text")).alias("text")), "drafted")
         texts = materialise(continue_until_closed(first, key, generator, repair, rounds), "closed")
-        checked = texts.withColumn("errors", rules.house_errors(F.col("text")))
-        if facts is not None:
+        checked = texts.withColumn("house", rules.house_errors(F.col("text")))
+        if facts is None:
+            checked = checked.withColumn("errors", F.col("house"))
+        else:
             none = F.array().cast("array<string>")
-            checked = checked.join(facts(texts), key, "left").select(key, "text", F.concat("errors", F.coalesce("facts", none)).alias("errors"))
+            checked = checked.join(facts(texts), key, "left").withColumn("errors", F.concat("house", F.coalesce("facts", none)))
         tried = materialise(checked, "written")
         keep = tried if turn == retries else tried.where(F.size("errors") == 0)
         done = keep if done is None else done.unionByName(keep)

@@ -8,6 +8,8 @@ from groundling import registry
 from groundling.functions import cutting, paragraphs, styling
 from groundling.functions import vocabulary as v
 from groundling.functions.wordlists import bounded, held
+from groundling.plans import composing
+from groundling.plans import generate as gen
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +72,28 @@ def test_sections_of_a_batch_leave_in_parts():
     out = list(cutting.section_batches(iter([batch]), cutting.cut_part))
     assert len(out) == 3 and "".join(x for b in out for x in b.column("body").to_pylist()) == "".join(texts)
     assert [k for b in out for k, at in zip(b.column("k").to_pylist(), b.column("at").to_pylist(), strict=True) if at == 0] == list(range(1, 10))
+
+
+def test_sources_are_cut_once_and_articles_checked_once_a_turn(spark, monkeypatch):
+    read, checked = spark.sparkContext.accumulator(0), []
+
+    def text(k):
+        read.add(1)
+        return f"Some facts of {k} words that one source states plainly and fully here. More of it."
+
+    monkeypatch.setattr(composing, "faithfulness", lambda *a, f=composing.faithfulness: checked.append(1) or f(*a))
+    sources = spark.range(1, 4).select(F.col("id").alias("source_id"), F.lit("a").alias("name"), F.udf(text)("id").alias("text"))
+    rows = composing.compose_articles(sources, [gen.fake_generator], retries=1).collect()
+    assert [r["sections"] for r in rows] == [1, 1, 1] and all("article is" in r["house"] for r in rows)
+    assert read.value == 3 and len(checked) == 2
+
+
+def test_columns_go_past_the_generator(spark):
+    asked = spark.createDataFrame([(1, "p", [1, 2]), (2, None, None)], "key int, prompt string, more array<int>")
+    rows = sorted(gen.with_fallback(asked, "key", "x", [lambda kind, texts: [t.upper() for t in texts]], ["more"]).collect())
+    assert [tuple(r) for r in rows] == [(1, "P", "", 0, [1, 2]), (2, "", "", 0, None)]
+
+
+def test_folded_letters_keep_their_place():
+    assert [cutting.lower(t) for t in ("AΣİß", "ABC", "ẞİx")] == ["aσiß", "abc", "ßix"]
+    assert cutting.sectioner(["Abstract"], ["references"], "\n ")("a\nREFERENCEſ\nb") == ["a"] and styling.repair("A ſeamleſs realm") == styling.repair("A seamless realm")
