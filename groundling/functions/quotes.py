@@ -8,12 +8,16 @@ dealt over tasks by its quotes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Quotes of one source that meet it in one task.
 QUOTES_PER_TASK = 20_000
+#: So few quotes are searched for one by one, which takes less than to build an automaton.
+FEW_QUOTES = 8
 
 
 def quotes_of(plain: str, quotes: list[str]) -> list[str]:
@@ -30,6 +34,23 @@ def quotes_of(plain: str, quotes: list[str]) -> list[str]:
     return list(dict.fromkeys(quote for _, quote in automaton.iter(plain)))
 
 
+def held(texts: list[str], quotes: list[str]) -> list[bool]:
+    """Whether any of ``texts`` contains each quote; none contains an empty one."""
+    if len(quotes) <= FEW_QUOTES:
+        return [q != "" and any(q in text for text in texts) for q in quotes]
+    found = {q for text in texts for q in quotes_of(text, quotes)}
+    return [q in found for q in quotes]
+
+
+def quotes_held(plains: Column, quotes: Column) -> Column:
+    """For each of a row's ``quotes`` whether any of its texts ``plains`` contains it, see :func:`held`; nothing is shuffled."""
+    def search(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, asked in batches:
+            yield pa.array((held(t.as_py(), q.as_py()) for t, q in zip(texts, asked, strict=True)), pa.list_(pa.bool_()), size=len(asked))
+
+    return F.arrow_udf(search, "array<boolean>")(plains, quotes)
+
+
 def quotes_found(sources: DataFrame, quotes: DataFrame, key: str, per_task: int = QUOTES_PER_TASK) -> DataFrame:
     """The rows of ``quotes`` (``key``, quote) that stand in the source (``key``, plain) of that key, once each.
 

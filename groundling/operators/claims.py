@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from groundling.functions import text as tx
 from groundling.functions import vocabulary as v
 from groundling.functions.cutting import WHITE
-from groundling.functions.quotes import quotes_found
+from groundling.functions.quotes import quotes_held
 from groundling.functions.text import SP, WS_BUT_LF
 from groundling.operators.normalise import strip_sql, words_sql
 from groundling.plans import inputs
@@ -45,6 +45,17 @@ def field(parts: Column, name: str) -> Column:
     return tx.strip(many)
 
 
+def source_quote(parts: Column) -> Column:
+    return F.btrim(field(parts, "SOURCE_QUOTE"), F.lit('"'))
+
+
+def read_fields(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with the fields of its column ``block`` in place of it."""
+    parts = blocks.withColumn("parts", field_parts(F.col("block")))
+    value = lambda key, name: source_quote(F.col("parts")) if key == "source_quote" else field(F.col("parts"), name)
+    return parts.select(*(c for c in blocks.columns if c != "block"), *(value(key, name).alias(key) for key, name in FIELDS.items()))
+
+
 def parse(sections: DataFrame, *carry: str, outer: bool = False) -> DataFrame:
     """Records of each section (section_id, source, raw): section_id, ord, claim, source_quote, type, strength, source, plain.
 
@@ -52,12 +63,10 @@ def parse(sections: DataFrame, *carry: str, outer: bool = False) -> DataFrame:
     section. Columns named by ``carry`` come along. With ``outer`` a section
     without blocks has one row whose ``ord`` is null.
     """
-    spread = (F.posexplode_outer if outer else F.posexplode)("blocks").alias("ord", "block")
+    spread = F.posexplode_outer("blocks").alias("ord", "block")  # from a plain one a filter is inferred, which cuts every output in blocks twice more
     listed = sections.select("section_id", "source", *carry, tx.normalise_claim(F.col("source")).alias("plain"), blocks(tx.text("raw")).alias("blocks"))
     split = listed.select("section_id", "source", "plain", *carry, spread)
-    parts = split.withColumn("parts", field_parts(F.col("block")))
-    value = lambda key, name: field(F.col("parts"), name) if key != "source_quote" else F.btrim(field(F.col("parts"), name), F.lit('"'))
-    return parts.select("section_id", "ord", *(value(key, name).alias(key) for key, name in FIELDS.items()), "source", "plain", *carry)
+    return read_fields(split if outer else split.where(F.col("ord").isNotNull())).select("section_id", "ord", *FIELDS, "source", "plain", *carry)
 
 
 #: Words that a complete quote does not end on.
@@ -81,7 +90,7 @@ def reason(plain: Column | None = None, found: Column | None = None) -> Column:
         .when(~F.is_valid_utf8(quote), "quote is not valid UTF-8")
         .when(F.contains(quote, F.lit("�")), "quote contains a replacement character")
         .when(~held, "quote not found in source")
-        .when(F.regexp_like(quote, F.lit(rf"(?iu)(?:,|;|(?<![0-9A-Za-z_])(?:{DANGLING})(?![0-9A-Za-z_]))[{SP}]*\z")), "quote is a truncated fragment")
+        .when(F.regexp_like(F.right(quote, F.lit(len(max(DANGLING.split("|"), key=len)) + 1)), F.lit(rf"(?iu)(?:,|;|(?<![0-9A-Za-z_])(?:{DANGLING})(?![0-9A-Za-z_]))[{SP}]*\z")), "quote is a truncated fragment")
         .when((kind != "") & ~kind.isin(v.CLAIM_TYPES), F.concat(F.lit("invalid TYPE '"), kind, F.lit("'")))
         .when((strength != "") & ~strength.isin(v.STRENGTHS), F.concat(F.lit("invalid STRENGTH '"), strength, F.lit("'")))
         .when(missing != "", F.concat(F.lit("claim numbers absent from quote: "), missing))
@@ -147,24 +156,25 @@ def resume(sections: DataFrame) -> DataFrame:
 def resume_against(saved: DataFrame, sources: DataFrame) -> DataFrame:
     """Records of saved ledgers (section_id, raw) with the reasons that speak against them, held against sources (section_id, source) as they are now.
 
-    All quotes of a source are looked up in one pass over it, and no record
-    carries the source along. A ledger without a source has no rows.
+    All quotes of a ledger are looked up in its source in one pass, where the
+    two have met, and no record carries the source along. Several sources of
+    one section hold what any of them holds. A ledger without a source has no
+    rows.
     """
     at = F.instr("raw", "CLAIM:")
     text = F.when(at > 0, F.substring(F.col("raw"), at, F.lit(1 << 30))).otherwise(F.lit(""))
-    current = sources.select("section_id", tx.normalise_claim(tx.text("source")).alias("plain"))
-    there = saved.join(current.select("section_id").distinct(), "section_id", "left_semi")
-    records = parse(there.select("section_id", text.alias("raw"), F.lit("").alias("source"))).drop("source", "plain")
-    records = records.withColumn("quote", tx.normalise_claim(tx.strip(F.col("source_quote"))))
-    held = quotes_found(current, records, "section_id").withColumn("held", F.lit(True))
-    known = records.join(held, ["section_id", "quote"], "left")
-    return known.withColumn("reason", reason(found=F.coalesce("held", F.lit(False)))).drop("held", "quote")
+    current = sources.select("section_id", tx.normalise_claim(tx.text("source")).alias("plain")).groupBy("section_id").agg(F.collect_list("plain").alias("plains"))
+    listed = saved.join(current, "section_id").select("section_id", "plains", blocks(text).alias("blocks"))
+    quotes = F.transform(F.transform(F.transform("blocks", field_parts), lambda p: tx.strip(source_quote(p))), tx.normalise_claim)  # one by one: a variable is evaluated once
+    looked = listed.select("section_id", "blocks", quotes_held(F.col("plains"), quotes).alias("held"))
+    split = looked.select("section_id", F.posexplode(F.arrays_zip("blocks", "held")).alias("ord", "one")).select("section_id", "ord", F.col("one.blocks").alias("block"), F.col("one.held").alias("held"))
+    return read_fields(split).withColumn("reason", reason(found=F.col("held"))).drop("held")
 
 
 def _resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledgers = render_ledger(verify(_records(spark, sf_dir))).join(inputs.extractions(spark, sf_dir).drop("raw"), "section_id")
+    ledgers = render_ledger(verify(_records(spark, sf_dir))).withColumnRenamed("ledger", "raw")
     changed = F.when(F.col("section_id") % 3 == 0, F.lit("another source")).otherwise(F.col("source"))
-    kept = resume_against(ledgers.select("section_id", F.col("ledger").alias("raw")), ledgers.select("section_id", changed.alias("source")))
+    kept = resume_against(ledgers, inputs.extractions(spark, sf_dir).select("section_id", changed.alias("source")))
     return kept.groupBy("section_id").agg(F.count_if(F.col("reason").isNull()).alias("kept"), F.count_if(F.col("reason").isNotNull()).alias("dropped"))
 
 

@@ -38,3 +38,22 @@ def test_resume_says_what_plain_verification_says(spark):
     got = sorted(map(tuple, cl.resume_against(ledgers, now).select(*columns).collect()))
     want = sorted(map(tuple, cl.resume(ledgers.join(now, "section_id")).select(*columns).collect()), key=lambda r: r[:2])
     assert got == want and [r[-1] is None for r in got if r[0] == 1] == [True, False, False, False] and not any(r[0] == 4 for r in got)
+
+
+def test_held_with_few_and_many_quotes():
+    texts, quotes = ["abc", "xbc y"], ["", "bc", "bc x", "c y", "abcx", "abc", "q", "c"]
+    want = [False, True, False, True, False, True, False, True]
+    assert len(quotes) == q.FEW_QUOTES and q.held(texts, quotes) == want and q.held(texts, quotes + quotes) == want + want and q.held([], quotes) == [False] * 8
+
+
+def test_several_sources_of_a_section(spark):
+    raw = "".join(f'CLAIM: {text}\nSOURCE_QUOTE: "{text}"\n---\n' for text in ["stands in the first one", "Stands  in the second one", "stands in neither of them"])
+    now = spark.createDataFrame([(1, "It stands in the first one."), (1, "It stands in the SECOND one."), (1, None)], "section_id int, source string")
+    rows = sorted(cl.resume_against(spark.createDataFrame([(1, raw), (2, raw), (1, None)], "section_id int, raw string"), now).select("ord", "reason").collect())
+    assert [tuple(r) for r in rows] == [(0, None), (1, None), (2, "quote not found in source")]
+
+
+def test_quotes_that_end_on_dangling_words(spark):
+    ends = {"a measured rate which": True, "a measured rate WHICH \n": True, "a measured ratewhich": False, "a measured rate_a": False, "a measured rate a": True, "a measured rate,": True, "a measured rate of it": False}
+    records = spark.createDataFrame([(k, "c", k, "", "", k) for k in ends], "k string, claim string, source_quote string, type string, strength string, source string")
+    assert {r["k"]: r["reason"] == "quote is a truncated fragment" for r in cl.verify(records).collect()} == ends

@@ -97,3 +97,12 @@ def test_columns_go_past_the_generator(spark):
 def test_folded_letters_keep_their_place():
     assert [cutting.lower(t) for t in ("AΣİß", "ABC", "ẞİx")] == ["aσiß", "abc", "ßix"]
     assert cutting.sectioner(["Abstract"], ["references"], "\n ")("a\nREFERENCEſ\nb") == ["a"] and styling.repair("A ſeamleſs realm") == styling.repair("A seamless realm")
+
+
+def test_ledgers_are_parsed_once_and_meet_their_source_in_the_row(spark):
+    text = plan(spark, "resume_verify")
+    assert text.count("Generate ") == 2 and "CoGroup" not in text
+
+
+def test_no_output_is_cut_in_blocks_by_a_filter(spark):
+    assert "Filter ((size(" not in plan(spark, "resume_verify")
