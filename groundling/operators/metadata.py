@@ -84,7 +84,7 @@ def terms(text: Column, most: int = 8) -> Column:
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from paragraphs.term_lists(batches, most)
 
-    return F.arrow_udf(count, "array<string>")(tx.lower(tx.clean_text(text)))
+    return F.arrow_udf(count, "array<string>")(tx.lower(text))
 
 
 def key_terms(texts: DataFrame, key: str, most: int = 8) -> DataFrame:
@@ -97,9 +97,16 @@ def title(body: Column) -> Column:
     return F.when(F.regexp_like(body, F.lit(line)), tx.clean_text(F.regexp_extract(body, line, 1))).otherwise(F.lit("Untitled Article"))
 
 
-def subtitle(body: Column) -> Column:
-    deck = tx.clean_text(F.regexp_extract(body, rf'(?is)<p[{SP}]+class="deck">(.*?)</p>', 1))
-    bold = tx.clean_text(F.regexp_extract(body, rf"(?dm)^\*\*(.+?)\*\*[{SP}]*$", 1))
+def deck(body: Column) -> Column:
+    return tx.clean_text(F.regexp_extract(body, rf'(?is)<p[{SP}]+class="deck">(.*?)</p>', 1))
+
+
+def bold_line(body: Column) -> Column:
+    return tx.clean_text(F.regexp_extract(body, rf"(?dm)^\*\*(.+?)\*\*[{SP}]*$", 1))
+
+
+def subtitle(deck: Column, bold: Column) -> Column:
+    """Of an article's :func:`deck` and :func:`bold_line`."""
     low = tx.lower(bold)
     return F.when(deck != "", deck).when(F.startswith(low, F.lit("author")) | F.startswith(low, F.lit("executive summary")), F.lit("")).otherwise(bold)
 
@@ -121,24 +128,41 @@ def category(text: Column) -> Column:
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from paragraphs.category_names(batches)
 
-    return F.arrow_udf(count, "string")(tx.lower(F.replace(text, F.lit("ſ"), F.lit("s"))))  # a search without case takes the long s for an s
+    return F.arrow_udf(count, "string")(tx.lower(text))
+
+
+def topics(heading: Column, low: Column, most: int = 8) -> Column:
+    """:func:`category` of a lower-cased heading and text, :func:`terms` of the heading and of the text, in one pass of one worker."""
+    def count(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        yield from paragraphs.topics(batches, most)
+
+    return F.arrow_udf(count, "struct<category:string,heading:array<string>,body:array<string>>")(heading, low)
+
 
+def extract_metadata(articles: DataFrame, *carry: str) -> DataFrame:
+    """(article_id, title, subtitle, description, excerpt, keywords, tags, category, slug); columns named by ``carry`` follow.
 
-def extract_metadata(articles: DataFrame) -> DataFrame:
-    """(article_id, title, subtitle, description, excerpt, keywords, tags, category, slug)."""
-    body = articles.select("article_id", split_front(tx.text("md"))[1].alias("body"))
-    named = body.withColumn("title", title(F.col("body"))).withColumn("subtitle", subtitle(F.col("body")))
+    An article is lower-cased once, and goes to Python once for its terms and its category.
+    """
+    body = articles.select("article_id", split_front(tx.text("md"))[1].alias("body"), *carry)
+    named = body.withColumn("title", title(F.col("body"))).withColumn("deck", deck(F.col("body"))).withColumn("bold", bold_line(F.col("body")))
+    named = named.withColumn("subtitle", subtitle(F.col("deck"), F.col("bold")))
     named = named.withColumn("description", description(F.col("body"), F.col("title"), F.col("subtitle")))
     longer = (F.col("subtitle") != "") & (F.octet_length("subtitle") > F.octet_length("description"))
     named = named.withColumn("excerpt", _short(F.when(longer, F.col("subtitle")).otherwise(F.col("description")), 220))
-    named = named.withColumn("category", category(F.concat("title", F.lit(" "), "body"))).withColumn("slug", tx.slugify(F.col("title")))
-    named = named.withColumn("keywords", keywords(F.col("title"), F.col("body")))
-    return named.select("article_id", "title", "subtitle", "description", "excerpt", "keywords", F.col("keywords").alias("tags"), "category", "slug")
+    named = named.withColumn("slug", tx.slugify(F.col("title"))).withColumn("low", tx.lower(F.col("body"))).withColumn("low_title", tx.lower(F.col("title")))
+    named = named.withColumn("topics", topics(F.col("low_title"), F.col("low"))).withColumn("category", F.col("topics.category"))
+    named = named.withColumn("keywords", joined_terms(F.col("topics.heading"), F.col("topics.body")))
+    return named.select("article_id", "title", "subtitle", "description", "excerpt", "keywords", F.col("keywords").alias("tags"), "category", "slug", *carry)
+
+
+def joined_terms(first: Column, then: Column, most: int = 12) -> Column:
+    return F.array_join(F.slice(F.array_distinct(F.concat(first, then)), 1, most), ", ")
 
 
 def keywords(heading: Column, body: Column, most: int = 12) -> Column:
     """Terms of the title, then of the body, each once."""
-    return F.array_join(F.slice(F.array_distinct(F.concat(terms(heading), terms(body))), 1, most), ", ")
+    return joined_terms(terms(heading), terms(body), most)
 
 
 def part_of_set(path: Column) -> Column:
@@ -207,15 +231,23 @@ def render_front(site: Site, day: Column, meta: Column, existing: Column) -> Col
     year, date = F.year(day), F.date_format(day, "yyyy-MM-dd")
     span = F.when(year > site.copyright_from, F.concat(F.lit(f"{site.copyright_from} - "), year.cast("string"))).otherwise(year.cast("string")) if site.copyright_from else year.cast("string")
     values |= {"date": date, "shown": F.date_format(day, "MMMM d, yyyy"), "rss": F.date_format(day, "EEE, dd MMM yyyy HH:mm:ss '+0000'"), "span": span, "lower_title": tx.lower(values["title"]), "url": F.concat(F.lit(site.base_url + "/"), date, F.lit("-"), values["slug"])}
-    out = [F.lit("---\n\n")]
-    for head, keys in FRONT:
-        out.append(F.lit(head))
-        for key, template in keys:
-            made = F.lit(RSS_DOCS) if template is None else tx.quote_yaml(F.concat(*(values[x] if named else F.lit(x) for named, x in _pieces(template, site))))
-            line = F.concat(F.lit(f"{key}: "), F.coalesce(F.element_at(existing, F.lit(key)), made), F.lit("\n"))
-            out.append(F.when((values["subtitle"] == "") & ~F.map_contains_key(existing, key), F.lit("")).otherwise(line) if key == "subtitle" else line)
-        out.append(F.lit("\n"))
-    return F.concat(*out, F.lit("---"))
+    quoted = {t: tx.quote_yaml(F.concat(*(values[x] if named else F.lit(x) for named, x in _pieces(t, site)))) for _, keys in FRONT for _, t in keys if t is not None}
+    fixed = {t for t in quoted if not any(named for named, _ in _pieces(t, site))}
+    once = {t: f"v{at}" for at, t in enumerate(quoted) if t not in fixed}
+
+    def block(made: Column) -> Column:
+        out = [F.lit("---\n\n")]
+        for head, keys in FRONT:
+            out.append(F.lit(head))
+            for key, template in keys:
+                own = F.lit(RSS_DOCS) if template is None else quoted[template] if template in fixed else made[once[template]]
+                line = F.concat(F.lit(f"{key}: "), F.coalesce(F.element_at(existing, F.lit(key)), own), F.lit("\n"))
+                out.append(F.when((values["subtitle"] == "") & ~F.map_contains_key(existing, key), F.lit("")).otherwise(line) if key == "subtitle" else line)
+            out.append(F.lit("\n"))
+        return F.concat(*out, F.lit("---"))
+
+    # a variable is evaluated once, so each value is quoted once, however many keys have it
+    return F.transform(F.array(F.struct(*(quoted[t].alias(name) for t, name in once.items()))), block)[0]
 
 
 #: An article with front matter of its own, for some with odd lines.
@@ -238,8 +270,8 @@ def _keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def render(articles: DataFrame, site: Site, day: Column) -> DataFrame:
     """(article_id, front): front matter of each article, keeping its own fields."""
-    own = articles.select("article_id", parse_fields(split_front(tx.text("md"))[0]).alias("existing"))
-    joined = extract_metadata(articles).join(own, "article_id")
+    own = articles.select("article_id", "md", parse_fields(split_front(tx.text("md"))[0]).alias("existing"))
+    joined = extract_metadata(own, "existing")
     meta = F.struct("title", "subtitle", "description", "excerpt", "keywords", "tags", "category", "slug")
     return joined.select("article_id", meta.alias("meta"), "existing").select("article_id", render_front(site, day, F.col("meta"), F.col("existing")).alias("front"))
 

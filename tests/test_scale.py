@@ -1,5 +1,7 @@
 """Plans and batches whose work grows with the input and not with how often an expression is written out."""
 
+import re
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +108,19 @@ def test_ledgers_are_parsed_once_and_meet_their_source_in_the_row(spark):
 
 def test_no_output_is_cut_in_blocks_by_a_filter(spark):
     assert "Filter ((size(" not in plan(spark, "resume_verify")
+
+
+def test_front_matter_needs_no_join_and_one_worker(spark):
+    text = plan(spark, "render_front")
+    assert "Join" not in text and text.count("ArrowEvalPython") == 1 and plan(spark, "extract_metadata").count("ArrowEvalPython") == 1
+
+
+def test_terms_and_categories_of_marked_texts():
+    low = "the <b>bank</b>s and [model_ card](http://audit.example) of *ledgers*, ledgers; bankers\r\nre-audit ſecurity gemma2 aid"
+    assert paragraphs.terms(low, 9) == ["ledgers", "banks", "model", "card", "bankers", "re-audit", "ſecurity", "gemma2"]
+    for text in (low, "", "ai", "xai ai_ said", "security dora", "banks bank finance model agents agentic", "cryptoaudit audit"):
+        words = re.findall("[0-9a-z_]+", text.replace("ſ", "s"))
+        counts = {name: sum(bool(re.fullmatch(pattern, w)) for w in words) for name, pattern in v.CATEGORIES.items()}
+        assert paragraphs.category(text) == (max(counts, key=counts.get) if any(counts.values()) else "Technology")
+    both = pa.array(["model"]), pa.array(["a bank, a bank. <i>words</i>"])
+    assert [b.to_pylist() for b in paragraphs.topics(iter([both]), 8)] == [[{"category": "Finance", "heading": ["model"], "body": ["bank", "words"]}]]
